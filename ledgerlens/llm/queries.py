@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontam, simhash, toxicity
+from . import ann, bpe, decontam, license, maintext, simhash, tokencount, toxicity, urlfilter
 
-MODULES = [decontam, simhash, toxicity, bpe]
+MODULES = [tokencount, maintext, ann, decontam, simhash, license, toxicity, urlfilter, bpe]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
