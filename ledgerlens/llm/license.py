@@ -66,16 +66,20 @@ def _template_terms(spark: SparkSession) -> DataFrame:
     )
 
 
+def _repeats(files: DataFrame) -> bool:
+    return not files.groupBy("row").count().where("count > 1").isEmpty()
+
+
 def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """row (a number of the row), path, licence, score: of the best line of each row, null if none is near enough.
+    """row (an id of the file), path, licence, score: of the best line of each row, null if none is near enough.
 
-    ``files`` has row, path, text.
+    ``files`` has row, path, text; rows that repeat an id and text are read once.
     """
+    every = files
+    files = files.groupBy("row").agg(F.max("text").alias("text")) if _repeats(files) else files
     in_templates = _template_terms(spark)
     vocabulary = sorted(r.term for r in in_templates.select("term").distinct().collect())  # bounded by the templates
     wanted = F.array(*map(F.lit, vocabulary))
-    words = files.select("row", F.split("text", r"[\r\n]+").alias("lines"))
-    lines = words.select("row", F.posexplode("lines").alias("line", "body")).select("row", "line", _terms(F.col("body")).alias("terms"))
     # whole counts: the documents that hold each template term, and all documents
     per_file = files.select(F.explode(F.array_intersect(_terms(F.coalesce("text", F.lit(""))), wanted)).alias("term"))
     seen = per_file.groupBy("term").agg(F.count("*").alias("df"))
@@ -92,29 +96,29 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     vectors = weighted.join(lengths, "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("length")).alias("unit"))
     # the cosine is at most the part of a line's length that its template terms make: a sound bound, taken before the explode
     weight = F.create_map(*[F.lit(x) for pair in idf_rows for x in pair])
-    some = lines.withColumn("hits", F.filter("terms", lambda t: F.array_contains(wanted, t))).where(F.size("hits") > 0)
-    some = some.withColumn("outside", F.size("terms") - F.size("hits")).drop("terms")
+    # template terms and other words of each line, made inside the array so that the explode fixes them: no later
+    # column evaluates them again
+    by_line = F.transform(
+        F.transform(F.split("text", r"[\r\n]+"), _terms),
+        lambda terms: F.struct(F.filter(terms, lambda t: t.isin(vocabulary)).alias("hits"), F.size(terms).alias("n")),
+    )
+    some = files.select("row", F.posexplode(by_line).alias("line", "of")).where(F.size("of.hits") > 0)
+    some = some.select("row", "line", F.col("of.hits").alias("hits"), (F.col("of.n") - F.size("of.hits")).alias("outside"))
     square = F.aggregate(
         F.array_distinct("hits"), F.lit(0.0),
         lambda acc, t: acc + F.pow(weight[t] * F.size(F.filter("hits", lambda x: x == t)), F.lit(2.0)),
     )
-    bound = square >= THRESHOLD**2 * 0.999 * (square + F.col("outside") * idf_top * idf_top)
-    some = some.where(bound).dropDuplicates(["row", "line"])
-    terms = some.select("row", "line", "outside", F.explode("hits").alias("term")).groupBy("row", "line", "term").agg(
-        F.count("*").alias("tf"), F.first("outside").alias("outside")
-    )
-    joined = terms.join(F.broadcast(idf), "term").select("row", "line", "term", "outside", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = joined.groupBy("row", "line").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("outside") * idf_top * idf_top).alias("norm")
-    )
-    dots = joined.join(F.broadcast(vectors.select("template", "licence", "term", "unit")), "term").groupBy("row", "line", "template", "licence").agg(
-        F.sum(F.col("w") * F.col("unit")).alias("dot")
-    )
-    scored = dots.join(norm, ["row", "line"]).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    some = some.withColumn("square", square).withColumn("whole", F.col("square") + F.col("outside") * idf_top * idf_top)
+    some = some.where(F.col("square") >= THRESHOLD**2 * 0.999 * F.col("whole"))
+    terms = some.select("row", "line", F.sqrt("whole").alias("norm"), F.explode("hits").alias("term"))
+    # each occurrence of a term adds idf * unit, so their sum is tf * idf * unit
+    units = vectors.select("template", "licence", "term", (F.col("idf") * F.col("unit")).alias("add"))
+    dots = terms.join(F.broadcast(units), "term").groupBy("row", "line", "template", "licence", "norm").agg(F.sum("add").alias("dot"))
+    scored = dots.select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     near = scored.where(F.col("score") >= THRESHOLD)
     best = near.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("down"), "licence")).alias("best"))
     best = best.select("row", F.col("best.licence").alias("licence"), (-F.col("best.down")).alias("score"))
-    return files.select("row", "path").join(best, "row", "left")
+    return every.select("row", "path").join(best, "row", "left")
 
 
 def ancestors(directory: Column) -> Column:
