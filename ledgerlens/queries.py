@@ -2,5 +2,375 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import fuzzy, numbers, text
+from ledgerlens.operators import retrieval
+from ledgerlens.plans import facts as P
+from ledgerlens.plans.facts import FACTS_SQL, facts_long, load
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _facts_sql(rest: str) -> str:
+    return f"WITH {FACTS_SQL}, p AS (SELECT company, year, {', '.join(f'max(CASE WHEN metric = {chr(39)}{m}{chr(39)} THEN value END) AS {m}' for m in P.METRICS)} FROM facts GROUP BY ALL) {rest}"
+
+
+@query(_facts_sql("SELECT company, year, metric, value FROM facts"))
+def facts_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    """U5, E1."""
+    return facts_long(spark, d)
+
+
+@query(_facts_sql("SELECT company, year, arg_max(metric, (abs(value), chr(CAST(255 - ascii(metric) AS INTEGER)))) AS metric, max(abs(value)) AS value FROM facts GROUP BY ALL"))
+def facts_argmax_abs(spark: SparkSession, d: str) -> DataFrame:
+    """A9, W1."""
+    return P.argmax_abs(facts_long(spark, d), ["company", "year"])
+
+
+@query(_facts_sql("SELECT company, metric, arg_min(value, (value < 0, year)) AS answer FROM facts GROUP BY ALL"))
+def op_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Lookup plan: Q11."""
+    return P.first_nonnegative(facts_long(spark, d), "year")
+
+
+@query(_facts_sql("SELECT company, year, extendedprice + tax_amt AS answer FROM p"))
+def op_sum(spark: SparkSession, d: str) -> DataFrame:
+    return P.binary(facts_long(spark, d), "sum", "extendedprice", "tax_amt")
+
+
+@query(_facts_sql("SELECT company, year, extendedprice - discount_amt AS answer FROM p"))
+def op_difference(spark: SparkSession, d: str) -> DataFrame:
+    return P.binary(facts_long(spark, d), "difference", "extendedprice", "discount_amt")
+
+
+@query(_facts_sql("SELECT company, year, CASE WHEN extendedprice = 0 THEN 0 ELSE discount_amt / extendedprice * 100 END AS answer FROM p"))
+def op_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Zero denominators give 0."""
+    return P.binary(facts_long(spark, d), "ratio", "discount_amt", "extendedprice")
+
+
+_ENDS = "SELECT company, metric, arg_min(value, year) AS lo, arg_max(value, year) AS hi FROM facts GROUP BY ALL HAVING count(DISTINCT year) >= 2"
+
+
+@query(_facts_sql(f"SELECT company, metric, hi - lo AS answer FROM ({_ENDS})"))
+def op_year_delta(spark: SparkSession, d: str) -> DataFrame:
+    """A14."""
+    return P.over_years(facts_long(spark, d), "year_delta")
+
+
+@query(_facts_sql(f"SELECT company, metric, CASE WHEN lo = 0 THEN 0 ELSE (hi - lo) / abs(lo) * 100 END AS answer FROM ({_ENDS})"))
+def op_pct_change(spark: SparkSession, d: str) -> DataFrame:
+    """A14, T16."""
+    return P.over_years(facts_long(spark, d), "pct_change")
+
+
+@query("SELECT c_nationkey, round(coalesce(avg(CASE WHEN c_acctbal >= 0 THEN c_acctbal END), avg(c_acctbal)), 4) AS answer FROM customer GROUP BY ALL")
+def op_mean_nonneg(spark: SparkSession, d: str) -> DataFrame:
+    """A8."""
+    out = P.mean_nonnegative(load(spark, d, "customer"), "c_nationkey", "c_acctbal")
+    return out.withColumn("answer", F.round("answer", 4))
+
+
+def _extreme_sql(sign: str, answer: str) -> str:
+    return _facts_sql(
+        f"SELECT year, company, {answer} AS answer FROM p QUALIFY row_number() OVER (PARTITION BY year ORDER BY extendedprice {sign}, company) = 1"
+    )
+
+
+@query(_extreme_sql("DESC", "discount_amt"))
+def op_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """A10, J15."""
+    return P.extreme(facts_long(spark, d), "argmax", "year", "extendedprice", "discount_amt")
+
+
+@query(_extreme_sql("ASC", "discount_amt"))
+def op_argmin(spark: SparkSession, d: str) -> DataFrame:
+    return P.extreme(facts_long(spark, d), "argmin", "year", "extendedprice", "discount_amt")
+
+
+_RATIO = "CASE WHEN extendedprice = 0 THEN 0 ELSE discount_amt / extendedprice * 100 END"
+
+
+@query(_extreme_sql("DESC", _RATIO))
+def op_argmax_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """A11."""
+    return P.extreme(facts_long(spark, d), "argmax_ratio", "year", "extendedprice", "discount_amt", "extendedprice")
+
+
+@query(_extreme_sql("ASC", _RATIO))
+def op_argmin_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return P.extreme(facts_long(spark, d), "argmin_ratio", "year", "extendedprice", "discount_amt", "extendedprice")
+
+
+@query(_facts_sql("SELECT year, metric, count(DISTINCT company) AS answer FROM facts WHERE value > 1000 GROUP BY ALL"))
+def op_count(spark: SparkSession, d: str) -> DataFrame:
+    """A12, F7."""
+    return facts_long(spark, d).where("value > 1000").groupBy("year", "metric").agg(F.countDistinct("company").alias("answer"))
+
+
+@query(_facts_sql("SELECT b.company, b.metric, b.year, b.value - a.value AS delta FROM facts a JOIN facts b ON a.company = b.company AND a.metric = b.metric AND b.year = a.year + 1"))
+def yoy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J4, Y9."""
+    return P.lagged(facts_long(spark, d), 1).select("company", "metric", "year", (F.col("value") - F.col("before")).alias("delta"))
+
+
+@query(_facts_sql("SELECT b.company, b.metric, b.year, round(power(b.value / a.value, 0.5) - 1, 9) AS cagr_fraction FROM facts a JOIN facts b ON a.company = b.company AND a.metric = b.metric AND b.year = a.year + 2 WHERE a.value > 0 AND b.value >= 0"))
+def cagr2(spark: SparkSession, d: str) -> DataFrame:
+    """J5, Y11, T17."""
+    pairs = P.lagged(facts_long(spark, d), 2).where("before > 0 and value >= 0")
+    return pairs.select("company", "metric", "year", F.round(F.pow(F.col("value") / F.col("before"), 0.5) - 1, 9).alias("cagr_fraction"))
+
+
+@query(_facts_sql("SELECT * FROM (SELECT year, metric, company, lead(company) OVER w AS next_company, value - lead(value) OVER w AS diff FROM facts WINDOW w AS (PARTITION BY year, metric ORDER BY company)) WHERE next_company IS NOT NULL"))
+def company_adjacent_diff(spark: SparkSession, d: str) -> DataFrame:
+    """J7, W3, Y4."""
+    w = Window.partitionBy("year", "metric").orderBy("company")
+    out = facts_long(spark, d).withColumn("next_company", F.lead("company").over(w)).withColumn("diff", F.col("value") - F.lead("value").over(w))
+    return out.where("next_company is not null").select("year", "metric", "company", "next_company", "diff")
+
+
+@query(_facts_sql("SELECT company, year, quantity, extendedprice, discount_amt, tax_amt FROM p"))
+def metric_pair_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """J6."""
+    return facts_long(spark, d).groupBy("company", "year").pivot("metric", P.METRICS).agg(F.max("value"))
+
+
+@query("SELECT o_orderkey, c_name, coalesce(c_acctbal, 0.0) AS confidence FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
+def dim_left_join_default(spark: SparkSession, d: str) -> DataFrame:
+    """A miss gives null and 0.0; the dimension is broadcast only if its size allows."""
+    dim = load(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", "c_acctbal")
+    out = load(spark, d, "orders").select("o_orderkey", "o_custkey").join(dim, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return out.select("o_orderkey", "c_name", F.coalesce("c_acctbal", F.lit(0.0)).alias("confidence"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_todo(spark: SparkSession, d: str) -> DataFrame:
+    """J12, J16."""
+    orders = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return load(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def semi_hits(spark: SparkSession, d: str) -> DataFrame:
+    """J11."""
+    orders = load(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return load(spark, d, "customer").join(orders, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_diff(spark: SparkSession, d: str) -> DataFrame:
+    """E3."""
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(load(spark, d, "orders").select("o_custkey").distinct())
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def set_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """E3."""
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(load(spark, d, "orders").select("o_custkey"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def group_counts_sets(spark: SparkSession, d: str) -> DataFrame:
+    """A1: several counts in one pass."""
+    load(spark, d, "lineitem").createOrReplaceTempView("ll_lineitem")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM ll_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type LIMIT 3")
+def top_k_common(spark: SparkSession, d: str) -> DataFrame:
+    """A2."""
+    return load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE text ILIKE '%license%') AS with_licence, count(DISTINCT lang) AS langs, min(n_chars) AS lo, max(n_chars) AS hi, round(avg(n_chars), 4) AS mean FROM documents GROUP BY ALL")
+def coverage_report(spark: SparkSession, d: str) -> DataFrame:
+    """A3-A5, A24, C12."""
+    return load(spark, d, "documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(F.lower("text").contains("license")).alias("with_licence"), F.countDistinct("lang").alias("langs"),
+        F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"), F.round(F.avg("n_chars"), 4).alias("mean"),
+    )
+
+
+_RANKED = "SELECT s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier"
+
+
+@query(f"SELECT s_nationkey, max(CASE WHEN i = 1 + CAST(round_even(0.5 * (n - 1), 0) AS BIGINT) THEN s_acctbal END) AS p50, max(CASE WHEN i = 1 + CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) THEN s_acctbal END) AS p90 FROM ({_RANKED}) GROUP BY s_nationkey")
+def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest rank, half-even; by window ranks, so that no group is collected."""
+    w = Window.partitionBy("s_nationkey")
+    ranked = load(spark, d, "supplier").select("s_nationkey", "s_acctbal", F.row_number().over(w.orderBy("s_acctbal")).alias("i"), F.count("*").over(w).alias("n"))
+    at = lambda p: F.max(F.when(F.col("i") == 1 + F.bround(p * (F.col("n") - 1)).cast("long"), F.col("s_acctbal")))
+    return ranked.groupBy("s_nationkey").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
+@query("SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderstatus = 'F' DESC, o_orderpriority, o_orderdate, o_orderkey) AS rk FROM orders) WHERE rk <= 3")
+def candidate_rank7(spark: SparkSession, d: str) -> DataFrame:
+    """A multi-key order with a total tie-break; the limit is the feature."""
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), F.desc(F.col("o_orderstatus") == "F"), "o_orderpriority", "o_orderdate", "o_orderkey")
+    return load(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("rk")).where("rk <= 3")
+
+
+_TOKENS = "list_transform(regexp_extract_all(text, '[A-Za-zÀ-ỹ0-9%]+'), lambda x: lower(x))"
+
+
+@query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens, len(list_distinct({_TOKENS})) AS n_distinct FROM documents")
+def tokenize(spark: SparkSession, d: str) -> DataFrame:
+    """N13."""
+    words = text.tokenize_vi(F.col("text"))
+    return load(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(text)), 'đ', 'd'), '[^a-z0-9%]+', ' ', 'g')) AS norm FROM documents")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    """N1, N4."""
+    return load(spark, d, "documents").select("doc_id", text.normalized_text(F.col("text")).alias("norm"))
+
+
+_QT = f"(SELECT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), post AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, len({_TOKENS}) AS dl FROM documents), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM post, s GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+sc AS (SELECT q.query_id, post.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) AS score
+  FROM (SELECT query_id, term, count(*) AS qtf FROM {_QT} GROUP BY ALL) q JOIN idf USING (term) JOIN post USING (term) JOIN dl ON dl.doc_id = post.doc_id, s GROUP BY ALL)
+SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20""")
+def bm25_top20(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as queries."""
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = retrieval.bm25(load(spark, d, "documents").select("doc_id", "text"), items)
+    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+_DOCS = ("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS a, "
+         "row_number() OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents")
+
+
+@query(f"""WITH r AS ({_DOCS}), u AS (SELECT source AS query_id, doc_id, a AS rank FROM r UNION ALL SELECT source, doc_id, b FROM r),
+f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20""")
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    """Two rankings of each source's documents, fused."""
+    docs = load(spark, d, "documents").select("doc_id", "source", "n_chars")
+    w = Window.partitionBy("source")
+    a = docs.select(F.col("source").alias("query_id"), "doc_id", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    b = docs.select(F.col("source").alias("query_id"), "doc_id", F.row_number().over(w.orderBy("doc_id")).alias("rank"))
+    return retrieval.fuse(a.unionByName(b)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH g AS (SELECT source, list(doc_id) FILTER (WHERE lang = 'en') AS gold, list(doc_id ORDER BY n_chars DESC, doc_id) AS found FROM documents GROUP BY source),
+m AS (SELECT source, len(list_intersect(found[1:20], gold)) AS hit, len(gold) AS n FROM g)
+SELECT source, round(hit / n, 9) AS recall20, round(CASE WHEN hit = 0 THEN 0 ELSE 5 * (hit/20.0) * (hit/n) / (4 * (hit/20.0) + hit/n) END, 9) AS f2 FROM m WHERE n > 0""")
+def recall_f2(spark: SparkSession, d: str) -> DataFrame:
+    """By counts, without collecting lists."""
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    docs = load(spark, d, "documents").select("source", (F.col("lang") == "en").alias("gold"), F.row_number().over(w).alias("r"))
+    m = docs.groupBy("source").agg(F.count_if(F.col("gold") & (F.col("r") <= 20)).alias("hit"), F.count_if("gold").alias("n")).where("n > 0")
+    p, r = F.col("hit") / 20.0, F.col("hit") / F.col("n")
+    return m.select("source", F.round(r, 9).alias("recall20"), F.round(numbers.f2(p, r), 9).alias("f2"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, c AS cell, CAST(replace(replace(replace(c, '.', ''), ',', '.'), '%', '') AS DOUBLE) AS value FROM
+(SELECT l_orderkey, l_linenumber, CAST(CAST(floor(l_extendedprice) AS BIGINT) // 1000 AS VARCHAR) || '.' || lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || ',5' AS c FROM lineitem)""")
+def vn_number_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Prices written with dots for thousands, then parsed."""
+    whole = F.floor("l_extendedprice").cast("long")
+    cell = F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"), F.lit(",5"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell"), numbers.parse_vn_number(cell).alias("value"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN n LIKE '%tong%' THEN 'sum' ELSE 'lookup' END AS operation, CASE WHEN n LIKE '%trieu%' THEN 1e6 ELSE 1.0 END AS scale FROM
+(SELECT conv_id, turn, replace(lower(strip_accents(text)), 'đ', 'd') AS n FROM conversations)""")
+def intent_scope_unit(spark: SparkSession, d: str) -> DataFrame:
+    """Q6, N9 over conversation turns with two terms and one year."""
+    t = F.col("text")
+    op = text.infer_operation(t, F.lit(2), F.lit(1))
+    return load(spark, d, "conversations").select("conv_id", "turn", F.when(op == "sum", "sum").otherwise("lookup").alias("operation"), F.when(text.target_scale(t) == 1e6, 1e6).otherwise(1.0).alias("scale"))
+
+
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS header_turn FROM conversations""")
+def asof_header(spark: SparkSession, d: str) -> DataFrame:
+    """The last header within ten rows."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-10, 0)
+    return load(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("header_turn"))
+
+
+@query("""SELECT user_id, island, count(*) AS n, min(event_id) AS first_event FROM (SELECT user_id, event_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM
+(SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY ALL""")
+def islands(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one event type of each user."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    marked = load(spark, d, "events").withColumn("brk", F.when(F.col("event_type") == F.lag("event_type").over(w), 0).otherwise(1))
+    return marked.withColumn("island", F.sum("brk").over(w)).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("""SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS rate FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'retrieval_miss' WHEN l.quality = 0 THEN 'execution_fail' WHEN l.toxic = 1 THEN 'wrong_logic' ELSE 'ok' END AS category
+FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id) GROUP BY category""")
+def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """A19, C2."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    rows = load(spark, d, "labels").join(docs, F.col("doc_id") == F.col("id"), "left")
+    cat = F.when(F.col("id").isNull(), "retrieval_miss").when(F.col("quality") == 0, "execution_fail").when(F.col("toxic") == 1, "wrong_logic").otherwise("ok")
+    counts = rows.groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
+    return counts.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 9))
+
+
+@query("""SELECT user_id, event_type AS answer, n AS n_agree FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1""")
+def mode_vote(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest answer of each group, ties to the first seen."""
+    votes = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    best = votes.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "first", "event_type")).alias("b"))
+    return best.select("user_id", F.col("b.event_type").alias("answer"), (-F.col("b.k")).alias("n_agree"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_project(spark: SparkSession, d: str) -> DataFrame:
+    """S5, S10, N24."""
+    return load(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(_facts_sql("SELECT metric_norm, min(metric) AS label, count(*) AS n FROM (SELECT replace(metric, '_', ' ') AS metric_norm, metric FROM facts) GROUP BY metric_norm"))
+def metric_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """A16, D11."""
+    return facts_long(spark, d).groupBy(text.normalized_text(F.col("metric")).alias("metric_norm")).agg(F.min("metric").alias("label"), F.count("*").alias("n"))
+
+
+@query(_facts_sql("SELECT company, year, metric, row_number() OVER (PARTITION BY company ORDER BY year, metric) - 1 AS row_id FROM facts"))
+def evidence_row_ids(spark: SparkSession, d: str) -> DataFrame:
+    """W2, Q14."""
+    w = Window.partitionBy("company").orderBy("year", "metric")
+    return facts_long(spark, d).select("company", "year", "metric", (F.row_number().over(w) - 1).cast("long").alias("row_id"))
+
+
+@query()
+def fuzzy_ontology_join(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct part types against a small alias list, exact first, then the best token_sort score of 85 or more."""
+    terms = load(spark, d, "part").select(F.lower("p_type").alias("raw")).distinct()
+    aliases = [r.key for r in load(spark, d, "part").select(F.lower("p_type").alias("key")).distinct().orderBy("key").limit(20).collect()]
+    best = F.array(*(F.struct(fuzzy.token_sort_score("raw", F.lit(a)).alias("score"), F.lit(a).alias("alias")) for a in aliases)) if aliases else None
+    if best is None:
+        return terms.select("raw", F.lit(None).cast("string").alias("canonical"), F.lit(0.0).alias("confidence"))
+    top = terms.select("raw", F.array_max(best).alias("b"))
+    fits = F.col("b.score") >= 85
+    return top.select("raw", F.when(fits, F.col("b.alias")).alias("canonical"), F.when(fits, F.col("b.score")).otherwise(0.0).alias("confidence"))
+
+
+@query()
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded tenth as holdout, by hash order of the id instead of a shuffled list."""
+    held = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(10)) == 0
+    return load(spark, d, "documents").select("doc_id", F.when(held, "holdout").otherwise("train").alias("part"))
