@@ -149,20 +149,22 @@ def select(approx: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(approx == edge)[: k - len(above)]])
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec (array<double>) of the vectors that take part."""
+def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """vec_id and vec (array<double>) of the vectors that take part, and their number."""
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = rows.where("vec_id is not null and vec is not null").where(~F.exists("vec", odd))
     rows = rows.where(F.exists("vec", lambda v: v != 0))
     sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0].n if sizes else 0))
+    return rows.where(F.size("vec") == (sizes[0].n if sizes else 0)), sizes[0]["count"] if sizes else 0
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row that ``is_query`` (over vec_id)."""
-    rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
+    rows, n_rows = usable(vectors)
+    # about twice the sample passes the filter, so that each task sends few rows to be ordered
+    share = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * FIT_ROWS / max(1, n_rows))
+    sample = rows.where(share).orderBy(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 20)), F.xxhash64("vec_id", "vec"), "vec_id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
     schema = "query_id long, vec_id long, score double"
     if not len(sample):
         none = spark.createDataFrame([], schema)
