@@ -149,6 +149,19 @@ def select(approx: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(approx == edge)[: k - len(above)]])
 
 
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of at least CHUNK rows, but for the last."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= CHUNK:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id and vec (array<double>) of the vectors that take part, and their number."""
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -173,7 +186,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     model = spark.sparkContext.broadcast(Quantiser.fit(x / np.linalg.norm(x, axis=1, keepdims=True)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in gathered(batches):
             for i in range(0, len(pdf), CHUNK):
                 part = pdf.iloc[i : i + CHUNK].sort_values("vec_id", kind="stable")
                 v = np.stack(part["vec"].to_numpy())

@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 
 from .common import table
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 #: New distinct pre-tokens that are merged together.
-WORDS_AT_ONCE = 60_000
+WORDS_AT_ONCE = 20_000
 #: Unicode white space as the vocabulary's normalizer sees it.
 _SPACE = "\t-\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 

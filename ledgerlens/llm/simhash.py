@@ -38,7 +38,9 @@ TAU = 4
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
 #: Pairs compared at once, and hashes counted at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Rows of sorted keys that are gathered before their runs are compared.
+ROWS = 1 << 16
 
 
 def fingerprint(text: str | None, k: int = WORDS_PER_SHINGLE) -> int:
@@ -154,29 +156,27 @@ def _run_edges(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[t
 def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by key; a run that goes on in the next batch waits for it."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n, enough = 0, ROWS
 
-    def edges(parts: list) -> Iterator[pa.RecordBatch]:
-        for u, v in _run_edges(*(np.concatenate(x) for x in zip(*parts))):
+    def edges(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for u, v in _run_edges(key, fp, probe):
             yield pa.record_batch({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
         key = batch.column("key").to_numpy(zero_copy_only=False)
         fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        probe = batch.column("probe").to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(key, key[-1]))
-        if last and len(held):
-            yield from edges([*held, (key[:last], fp[:last], probe[:last])])
-            held = []
-        elif last:
-            yield from edges([(key[:last], fp[:last], probe[:last])])
-        elif held and held[-1][0][-1] != key[0]:
-            yield from edges(held)
-            held = []
-        held.append((key[last:].copy(), fp[last:].copy(), probe[last:].copy()))
-    if held:
-        yield from edges(held)
+        held.append((key, fp, batch.column("probe").to_numpy(zero_copy_only=False)))
+        n += len(key)
+        if n < enough:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from edges(*(x[:last] for x in rows))
+        held = [tuple(x[last:].copy() for x in rows)]
+        n = len(held[0][0])
+        enough = max(ROWS, 2 * n)
+    if n:
+        yield from edges(*(np.concatenate(x) for x in zip(*held)))
 
 
 def link_edges(distinct_fps: DataFrame) -> DataFrame:
