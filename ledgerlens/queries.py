@@ -374,3 +374,41 @@ def hash_split(spark: SparkSession, d: str) -> DataFrame:
     """A seeded tenth as holdout, by hash order of the id instead of a shuffled list."""
     held = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(10)) == 0
     return load(spark, d, "documents").select("doc_id", F.when(held, "holdout").otherwise("train").alias("part"))
+
+
+_SETS = f"SELECT doc_id, list_sort(list_distinct({_TOKENS})) AS t FROM documents"
+
+
+@query(f"""WITH s AS (SELECT min(doc_id) AS id, t FROM ({_SETS}) WHERE len(t) > 0 GROUP BY t),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y FROM s a JOIN s b ON a.id < b.id AND least(len(a.t), len(b.t)) >= 0.92 * greatest(len(a.t), len(b.t)))
+SELECT a, b, round(i / (x + y - i), 9) AS jaccard FROM p WHERE i / (x + y - i) >= 0.92""")
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """E8."""
+    from ledgerlens.operators.dedupe import near_duplicate_pairs
+
+    return near_duplicate_pairs(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Time windows as a streaming job has them, over the whole table as a batch."""
+    from ledgerlens.streaming.ingest import windowed_counts
+
+    return windowed_counts(load(spark, d, "events"))
+
+
+@query(_facts_sql("SELECT company, max(CASE WHEN metric = 'extendedprice' AND year = 1997 THEN value END) / max(CASE WHEN metric = 'quantity' AND year = 1997 THEN value END) * 100 AS answer FROM facts GROUP BY company"))
+def grammar_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """An expression compiled to one aggregation, for all companies at once."""
+    from ledgerlens.operators.grammar import compile_expression
+
+    part = "float(df[(df['metric']=='{}')&(df['năm']==1997)]['giá_trị'].iloc[0])"
+    both = compile_expression(f"{part.format('extendedprice')} / {part.format('quantity')} * 100", order="year")
+    return facts_long(spark, d).groupBy("company").agg(both.alias("answer"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<li[ >]')) AS n_items, len(regexp_extract_all(html, '(?i)<table')) AS n_tables FROM pages")
+def html_rows(spark: SparkSession, d: str) -> DataFrame:
+    """X1."""
+    n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))).cast("long")
+    return load(spark, d, "pages").select("page_id", n("(?i)<li[ >]").alias("n_items"), n("(?i)<table").alias("n_tables"))
