@@ -37,13 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return kept
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again, which cuts its lineage.
+def materialize(spark: SparkSession, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (in folders ``by`` a column) and read it again, which cuts its lineage.
 
     The files survive a lost executor; they are removed when the session's JVM ends.
     """
     path = f"{shared_dir(spark)}/ledgerlens-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,58 +1,267 @@
 """Language-model scores by Katz backoff with Good-Turing discounts.
 
-Bigram and unigram counts of the training documents are tables hashed by history
-and word. A count r of at most K is discounted by Good-Turing's d_r, computed
-from the counts of counts of its order; where these give no discounts strictly
-between 0 and 1 (small corpora), the order takes absolute discounting with
-D = n1 / (n1 + 2 n2) instead. A history none of whose counts is discounted has
-one count added to its total, so that every history keeps mass for the unseen.
-
-P(w | h) = d_r r / c(h) for a seen pair, else alpha(h) P(w), recursively;
-P(w) = d_c c / N for a seen word, and one unknown type has the rest. alpha(h) is
+A count r of at most K is discounted by Good-Turing's d_r, computed from the
+counts of counts of its order; where these give no discounts strictly between 0
+and 1 (small corpora), the order takes absolute discounting with D = n1 / (n1 +
+2 n2) instead. Larger counts keep all but SPARE of one, so that every history
+keeps mass for the unseen. With r* for a discounted count:
+
+P(w | h) = r* / c(h) for a seen pair, else alpha(h) P(w), recursively;
+P(w) = c* / N for a seen word, and one unknown type has the rest. alpha(h) is
 (1 - sum of P(w | h)) / (1 - sum of P(w)) over the words seen after h, so each
 history's probabilities sum to 1 over the V + 1 types. Unknown histories leave
 P(w) as it is.
 
-Words and the text's start stand as 64-bit hashes. Per document the pairs are
-counted before any shuffle joins them with the tables, so a pair that holds a
-third of all tokens has one row for each document; joins on hot words are skewed
-joins that AQE splits, and counts are combined before they are shuffled.
+All occurrences are moved once, to partitions by the hash of the predicted word,
+in compressed blocks: sorted words, and for each occurrence the places of its
+history and its document. A partition's parts (by further hash bits) are read
+one at a time, so memory is bounded by a part of about PART_TOKENS tokens. Where
+a part's words are together, counts of words and pairs are exact, and each
+occurrence adds to its document's sums: log r* of seen pairs, log c* of the
+unseen, and, since a word's count is also its count as a history, the - log c(h)
+of the next token. What the discounts decide later is kept as counts by r. What
+is left is log(alpha(h) c(h)) of unseen pairs, from per-history sums joined by
+h. The tables of pairs' and histories' sums are partitioned by kind in the
+shared folder.
+
+A pair or word that holds a third of all tokens is one dictionary entry and four
+bytes for each occurrence, split by document block; sums are combined before
+they are shuffled. Per-history sums are only kept for histories that a bitmap
+(2^23 bits, fixed) names as words of held-out documents, since only those can
+meet unseen pairs. Words stand as 64-bit hashes once counted.
 
-Edge cases: a null or empty text has one token, the end. Rows that repeat a
-doc_id are scored each (rows are told apart by their text only if it differs:
-equal rows give equal rows). Without training documents N and V are 0 and every
-probability is that of the unknown type, 1. Extra columns are ignored.
+Edge cases: a null or empty text has one token, the end. Repeated rows are
+documents of their own. Without training documents N and V are 0, the unknown
+type has probability 1. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 K = 5
-START, END = "<s>", "</s>"
-_LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPARE = 0.01
+BLOCK_TOKENS = 3_000_000
+PART_TOKENS = 1_500_000
+PARTS_PER_GROUP = 4
+MAP_BITS = 23
+START, END = 1, 0
+DOC, UNSEEN, HISTORY, NAME, STATS = range(5)
+COUNTS = [f"i{k}" for k in range(13)]
+SCHEMA = "kind int, uid long, h long, n long, base double, part double, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
+def word_hash(word: bytes) -> int:
+    """Signed 64 bits; START and END are numbers of their own."""
+    return np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class _Ids(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 2
+        return n
+
+
+def _small(x: np.ndarray) -> bytes:
+    """An array of non-negative numbers in as few bytes as its largest needs."""
+    kind = np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[0]], offset=1).astype(np.int64)
+
+
+def _pack(fields: list[bytes]) -> bytes:
+    sizes = np.array([len(fields), *map(len, fields)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(fields))
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = 8 * (count + 1) + np.cumsum([0, *np.frombuffer(raw, np.int64, count, 8)])
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
 
+def _blocks(groups: int):
+    """Documents to packed occurrences: rows of (grp, sub, data)."""
+    parts = groups * PARTS_PER_GROUP
 
-def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), *_LETTERS)
-    return F.regexp_extract_all(lowered, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    def pack(base: int, ids: _Ids, docs: list[np.ndarray], doc_ids: list, held: list[bool]) -> Iterator[tuple]:
+        lengths = np.array([len(d) + 1 for d in docs])
+        ends = np.cumsum(lengths)
+        w = np.zeros(ends[-1], np.int64)
+        inside = np.ones(len(w), bool)
+        inside[ends - 1] = False
+        w[inside] = np.concatenate(docs)
+        h = np.empty_like(w)
+        h[1:], h[ends[:-1]], h[0] = w[:-1], START, START
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        names = [b"", b"", *ids]
+        hashes = np.array([END, START, *map(word_hash, ids)], np.int64)
+        bucket = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((doc, w, bucket[w]))
+        w, h, doc = w[order], h[order], doc[order]
+        cuts = np.searchsorted(bucket[w], np.arange(parts + 1))
+        flags = np.packbits(np.array(held, bool)).tobytes()
+        for b in range(parts):
+            a, z = cuts[b], cuts[b + 1]
+            if a == z:
+                continue
+            own, n = np.unique(w[a:z], return_counts=True)
+            before, place = np.unique(h[a:z], return_inverse=True)
+            # the words of both lists in order, END and START by number
+            lists = [b"\n".join(names[i] for i in x if i > START) for x in (own, before)]
+            marks = np.array([END in own, START in before], np.uint8).tobytes()
+            fields = [np.int64(base).tobytes(), flags, lists[0], lists[1], marks, _small(n), _small(place.reshape(-1)), _small(doc[a:z])]
+            yield b % groups, b // groups, _pack(fields)
+        head = [np.int64(base).tobytes(), np.array([-1 if i is None else i for i in doc_ids], np.int64).tobytes(), np.array([i is None for i in doc_ids], np.uint8).tobytes(), np.array(held, np.uint8).tobytes(), lengths.astype(np.int64).tobytes()]
+        yield base % groups, -1, _pack(head)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seq = TaskContext.get().partitionId(), 0
+        ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
 
-def _mark(name: str) -> Column:
-    """A number for a marker; words are hashed with a leading letter, so no word has it."""
-    return F.xxhash64(F.lit(name))
+        def flush() -> Iterator[pd.DataFrame]:
+            for row in pack((part << 40) + (seq << 24), ids, docs, doc_ids, held):
+                yield pd.DataFrame([row], columns=["grp", "sub", "data"])
 
+        for pdf in batches:
+            for doc_id, text, out in zip(pdf["doc_id"], pdf["text"], pdf["held"]):
+                found = words_of(text)
+                docs.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                held.append(bool(out))
+                size += len(found) + 1
+                if size >= BLOCK_TOKENS:
+                    yield from flush()
+                    seq += 1
+                    ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
+        if docs:
+            yield from flush()
 
-def pairs_of(docs: DataFrame, held_out: Column) -> DataFrame:
-    """row, held, h, w, n: how often each pair of neighbours occurs in each document; row numbers the documents."""
-    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(F.concat(F.lit("w"), w)))
-    seq = F.concat(F.array(_mark(START)), hashes, F.array(_mark(END)))
-    near = F.arrays_zip(F.slice(seq, 1, F.size(seq) - 1).alias("h"), F.slice(seq, 2, F.size(seq) - 1).alias("w"))
-    rows = docs.select("row", held_out.alias("held"), F.explode(near).alias("p"))
-    return rows.select("row", "held", F.col("p.h").alias("h"), F.col("p.w").alias("w")).groupBy("row", "held", "h", "w").agg(F.count("*").alias("n"))
+    return run
+
+
+def _hashes(words: bytes, mark: int, special: int) -> np.ndarray:
+    own = [word_hash(w) for w in words.split(b"\n")] if words else []
+    return np.array([special] * mark + own, np.int64)
+
+
+def _frame(kind: int, **columns: np.ndarray) -> pd.DataFrame:
+    n = len(next(iter(columns.values())))
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    fill = {c: np.zeros(n, float if c in ("base", "part") else np.int64) for c in names}
+    return pd.DataFrame({**fill, "kind": np.full(n, kind), **columns})[names]
+
+
+def _summed(frames: list[pd.DataFrame], key: str) -> pd.DataFrame:
+    return pd.concat(frames).groupby(key, sort=False, as_index=False).sum().assign(kind=frames[0]["kind"].iloc[0])
+
+
+def _part(blobs: list[list[bytes]], wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+    """All sums of one part: every occurrence of its words is in ``blobs``."""
+    w_dict, h_dict, w_at, h_at, uid, train = [], [], [], [], [], []
+    w_size = h_size = 0
+    for base, flags, w_words, h_words, marks, n, place, doc in blobs:
+        own, before = _hashes(w_words, marks[0], END), _hashes(h_words, marks[1], START)
+        w_at.append(np.repeat(np.arange(len(own)) + w_size, _large(n)))
+        h_at.append(_large(place) + h_size)
+        number = _large(doc)
+        uid.append(number + np.frombuffer(base, np.int64)[0])
+        train.append(~np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)[number])
+        w_dict.append(own)
+        h_dict.append(before)
+        w_size, h_size = w_size + len(own), h_size + len(before)
+    words, w_map = np.unique(np.concatenate(w_dict), return_inverse=True)
+    before, h_map = np.unique(np.concatenate(h_dict), return_inverse=True)
+    w, h, train = w_map[np.concatenate(w_at)], h_map[np.concatenate(h_at)], np.concatenate(train)
+    docs, d = np.unique(np.concatenate(uid), return_inverse=True)
+    del w_at, h_at, uid
+    pairs, p = np.unique(w * len(before) + h, return_inverse=True)
+    c1 = np.bincount(w, train, len(words)).astype(np.int64)
+    c2 = np.bincount(p, train, len(pairs)).astype(np.int64)
+    some, r1, r2 = len(docs), c1[w], c2[p]
+    seen = r2 > 0
+    by_doc = lambda at, x=None: np.bincount(d[at], None if x is None else x[at], some)
+    log_w = np.log10(np.maximum(c1, 1))[w]
+    part = np.where(seen & (r2 > K), np.log10(np.maximum(r2 - SPARE, 1)), 0) + np.where(~seen & (r1 > K), np.log10(np.maximum(r1 - SPARE, 1)), 0)
+    # as the history of the next token; the end is the history of none, but its count is that of the start (unknown: log 1)
+    part -= log_w
+    kinds = {"i0": by_doc(r1 > 0)} | {f"i{r}": by_doc(r2 == r) for r in range(1, K + 1)} | {f"i{K + 1 + r}": by_doc(~seen & (r1 == r)) for r in range(K + 1)}
+    everything = np.ones(len(d), bool)
+    yield _frame(DOC, uid=docs, base=by_doc(everything, np.log10(r1 + 1.0)), part=by_doc(everything, part), **{k: v.astype(np.int64) for k, v in kinds.items()})
+    if not seen.all():
+        lost, times = np.unique(d[~seen] * len(before) + h[~seen], return_counts=True)
+        yield _frame(UNSEEN, uid=docs[lost // len(before)], h=before[lost % len(before)], n=times)
+    known = np.flatnonzero(c2)
+    ph, pc, pw = pairs[known] % len(before), c2[known], c1[pairs[known] // len(before)]
+    asked = wanted[(before.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] | (before == START)
+    keep = asked[ph]
+    ph, m, t = ph[keep], pc[keep], pw[keep]
+    count = lambda at, x=None: np.bincount(ph[at], None if x is None else x[at], len(before)).astype(np.int64)
+    sums = {f"i{r - 1}": count(m == r) for r in range(1, K + 1)} | {f"i{K}": count(m > K)}
+    sums |= {f"i{K + r}": count(t == r) for r in range(1, K + 1)} | {f"i{2 * K + 1}": count(t > K), "n": count(t > K, t)}
+    there = np.flatnonzero(np.bincount(ph, minlength=len(before)))
+    if len(there):
+        yield _frame(HISTORY, h=before[there], **{k: v[there] for k, v in sums.items()})
+    stats = {f"i{r - 1}": np.array([(c1 == r).sum()]) for r in range(1, K + 2)} | {f"i{K + r}": np.array([(c2 == r).sum()]) for r in range(1, K + 2)}
+    yield _frame(STATS, n=np.array([c1.sum()]), uid=np.array([(c1 > 0).sum()]), **stats)
+
+
+def _reduce(wanted: np.ndarray):
+    """Packed occurrences in order of their part to rows of SCHEMA; sums by document and history are combined in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[pd.DataFrame]] = {DOC: [], HISTORY: []}
+        blobs, at = [], None
+
+        def finish() -> Iterator[pd.DataFrame]:
+            for frame in _part(blobs, wanted):
+                kind = int(frame["kind"].iloc[0])
+                if kind not in held:
+                    yield frame
+                    continue
+                held[kind].append(frame)
+                if sum(map(len, held[kind])) > 1_500_000:
+                    yield _summed(held[kind], "uid" if kind == DOC else "h")
+                    held[kind] = []
+
+        for pdf in batches:
+            for sub, data in zip(pdf["sub"], pdf["data"]):
+                fields = _unpack(data)
+                if sub < 0:
+                    base, doc_ids, nulls, out, lengths = (np.frombuffer(f, k) for f, k in zip(fields, (np.int64, np.int64, np.uint8, np.uint8, np.int64)))
+                    yield _frame(NAME, uid=base[0] + np.arange(len(doc_ids)), h=doc_ids, i0=out.astype(np.int64), i1=nulls.astype(np.int64), n=lengths)
+                    continue
+                if blobs and sub != at:
+                    yield from finish()
+                    blobs = []
+                at = sub
+                blobs.append(fields)
+        if blobs:
+            yield from finish()
+        for kind, key in ((DOC, "uid"), (HISTORY, "h")):
+            if held[kind]:
+                yield _summed(held[kind], key)
+
+    return run
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -68,66 +277,74 @@ def discounts(counts: dict[int, int]) -> list[float]:
     return [(r - spare) / r for r in range(1, K + 1)]
 
 
-def discounted(count: Column, d: list[float]) -> Column:
-    out = count.cast("double")
-    for r, x in enumerate(d, 1):
-        out = F.when(count == r, F.lit(r * x)).otherwise(out)
-    return out
+def _wanted(spark: SparkSession, docs: DataFrame) -> np.ndarray:
+    """The bitmap of the words of held-out documents; at most 2^MAP_BITS / 64 rows come to the driver."""
 
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marked = np.zeros(1 << MAP_BITS, bool)
+        for pdf in batches:
+            for text in pdf["text"]:
+                own = np.array([word_hash(w) for w in set(words_of(text))], np.int64)
+                marked[(own.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+        bits = np.packbits(marked, bitorder="little").view(np.int64)
+        at = np.flatnonzero(bits)
+        yield pd.DataFrame({"place": at.astype(np.int32), "bits": bits[at]})
 
-def counts_of_counts(counts: DataFrame, name: str) -> dict[int, int]:
-    return {r[0]: r[1] for r in counts.where(F.col(name) <= K + 1).groupBy(name).agg(F.count("*")).collect()}
+    found = docs.where("held").select("text").mapInPandas(places, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros((1 << MAP_BITS) // 64, np.int64)
+    for r in found.collect():
+        out[r.place] = r.bits
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
 def score(spark: SparkSession, docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
-        "doc_id", "text", held_out.alias("held"), F.xxhash64("doc_id", "text").alias("row")
-    )
-    pairs = pairs_of(rows, F.col("held"))
-    train = pairs.where(~F.col("held"))
-    bigrams = materialize(spark, train.groupBy("h", "w").agg(F.sum("n").alias("c2")), "bigrams")
-    unigrams = materialize(spark, bigrams.groupBy("w").agg(F.sum("c2").alias("c1")), "unigrams")
-    n, v = unigrams.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.count("*")).first()
-    d1, d2 = discounts(counts_of_counts(unigrams, "c1")), discounts(counts_of_counts(bigrams, "c2"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    groups = max(2, -(-chars // (6 * PART_TOKENS * PARTS_PER_GROUP)))
+    wanted = spark.sparkContext.broadcast(np.packbits(_wanted(spark, rows)))
+    packed = rows.mapInPandas(_blocks(groups), "grp int, sub int, data binary")
+
+    def reducer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _reduce(np.unpackbits(wanted.value).astype(bool))(batches)
+
+    sums = packed.repartition(groups, "grp").sortWithinPartitions("grp", "sub").mapInPandas(reducer, SCHEMA)
+    sums = materialize(spark, sums, "katz", by="kind")
+    of = lambda kind: sums.where(F.col("kind") == kind)
+    s = of(STATS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "uid", *COUNTS))).first()
+    n, v = int(s.n), int(s.uid)
+    d1, d2 = (discounts({r: int(s[f"i{at + r - 1}"]) for r in range(1, K + 2)}) for at in (0, K + 1))
     total = float(max(n, 1))
-    p1 = discounted(F.col("c1"), d1) / total
-    known = unigrams.select("w", "c1", p1.alias("p1"))
-    unseen = 1.0 - (known.agg(F.sum("p1")).first()[0] or 0.0)
-    seen = bigrams.join(known, "w").groupBy("h").agg(
-        F.sum("c2").alias("c"), F.sum(discounted(F.col("c2"), d2)).alias("kept"), F.sum("p1").alias("lower")
-    )
-    base = F.when(F.col("kept") == F.col("c"), F.col("c") + 1.0).otherwise(F.col("c").cast("double"))
-    history = seen.select("h", base.alias("base"), ((1.0 - F.col("kept") / base) / (1.0 - F.col("lower"))).alias("alpha"))
-    history = materialize(spark, history, "histories")
-    model = pairs.join(bigrams, ["h", "w"], "left").join(history, "h", "left").join(known, "w", "left")
-    word = F.coalesce("p1", F.lit(unseen))
-    p = F.when(F.col("c2").isNotNull(), discounted(F.col("c2"), d2) / F.col("base")).otherwise(F.coalesce("alpha", F.lit(1.0)) * word)
-    sums = model.groupBy("row").agg(
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("c1").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c1", F.lit(0)) + 1.0) / F.lit(float(n + v + 1)))).alias("base_score"),
-        F.sum(F.col("n") * F.log10(p)).alias("score"),
+    # mass of the unknown type: what discounting took from the words
+    words_by_count = [int(s[f"i{r - 1}"]) for r in range(1, K + 1)]
+    unseen = (sum(x * r * (1 - d) for r, (x, d) in enumerate(zip(words_by_count, d1), 1)) + SPARE * (v - sum(words_by_count))) / total if n else 1.0
+    add = lambda terms: reduce(lambda a, b: a + b, terms)
+    history = of(HISTORY).groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", *COUNTS)))
+    left = add([F.col(f"i{r - 1}") * (r * (1 - d)) for r, d in enumerate(d2, 1)] + [F.col(f"i{K}") * SPARE])
+    lower = add([F.col(f"i{K + r}") * (r * d) for r, d in enumerate(d1, 1)] + [F.col("n") - F.col(f"i{2 * K + 1}") * SPARE]) / total
+    history = history.select("h", F.log10(left / (1.0 - lower)).alias("beta"))
+    backed = of(UNSEEN).select("uid", "h", "n").join(history, "h").groupBy("uid").agg(F.sum(F.col("n") * F.col("beta")).alias("backed"))
+    log = lambda x: float(np.log10(x))
+    per_doc = of(DOC).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("base", "part", *COUNTS)))
+    counted = add(
+        [F.col(f"i{r}") * log(r * d) for r, d in enumerate(d2, 1)] + [F.col(f"i{K + 1 + r}") * log(r * d1[r - 1] / total) for r in range(1, K + 1)] + [F.col(f"i{K + 1}") * log(unseen)]
     )
-    # rows that repeat are counted together above: each gets its share
-    repeats = rows.groupBy("row").agg(F.count("*").alias("times"))
-    sums = sums.join(repeats, "row")
-    share = lambda c: F.col(c) / F.col("times")
-    return rows.join(sums, "row").select(
-        "doc_id",
-        F.col("held").alias("held_out"),
-        share("n_tokens").cast("long").alias("n_tokens"),
-        share("n_known").cast("long").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        F.round(share("base_score"), 6).alias("base_score"),
-        F.round(share("score"), 6).alias("score"),
+    # unseen words above K lack only - log N; there are as many as unseen pairs less those counted by r
+    lost = of(UNSEEN).groupBy("uid").agg(F.sum("n").alias("lost"))
+    names = of(NAME).select("uid", F.when(F.col("i1") == 0, F.col("h")).alias("doc_id"), (F.col("i0") == 1).alias("held_out"), F.col("n").alias("n_tokens"))
+    out = names.join(per_doc, "uid").join(backed, "uid", "left").join(lost, "uid", "left")
+    above = F.coalesce("lost", F.lit(0)) - add([F.col(f"i{K + 1 + r}") for r in range(K + 1)])
+    final = F.col("part") + counted + F.coalesce("backed", F.lit(0.0)) - above * log(total)
+    return out.select(
+        "doc_id", "held_out", "n_tokens", F.col("i0").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * log(n + v + 1)).alias("base_score"), final.alias("score"),
     )
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole ``documents``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (to six places)."""
+    """Whole ``documents``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    return score(spark, table(spark, sf_dir, "documents"), F.coalesce(held, F.lit(False)))
+    return score(spark, table(spark, sf_dir, "documents"), held)
 
 
 QUERIES = {"op8_katz": op8_katz}

@@ -251,7 +251,7 @@ def test_katz_equals_brute_force_and_sums_to_one(spark):
         if not held[i]:
             c1.update(t), c2.update(zip([1, *t], t))
     n, d1, d2 = sum(c1.values()), katz.discounts(Counter(c1.values())), katz.discounts(Counter(c2.values()))
-    cut = lambda r, d: r * d[r - 1] if r <= katz.K else r
+    cut = lambda r, d: r * d[r - 1] if r <= katz.K else r - katz.SPARE
     p1 = {w: cut(c, d1) / n for w, c in c1.items()}
     unseen = 1 - math.fsum(p1.values())
     after = defaultdict(dict)
@@ -262,10 +262,9 @@ def test_katz_equals_brute_force_and_sums_to_one(spark):
         if h not in after:
             return p1.get(w, unseen)
         total, kept = sum(after[h].values()), math.fsum(cut(c, d2) for c in after[h].values())
-        base = total + 1 if kept == total else total
         if w in after[h]:
-            return cut(after[h][w], d2) / base
-        return (1 - kept / base) / (1 - math.fsum(p1[x] for x in after[h])) * p1.get(w, unseen)
+            return cut(after[h][w], d2) / total
+        return (1 - kept / total) / (1 - math.fsum(p1[x] for x in after[h])) * p1.get(w, unseen)
 
     for h in after:
         assert math.isclose(math.fsum(p(h, w) for w in [*c1, "unseen"]), 1, abs_tol=1e-9)
