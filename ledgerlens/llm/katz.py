@@ -52,10 +52,13 @@ from .common import materialize, table
 
 K = 5
 SPARE = 0.01
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 1_500_000
 PARTS_PER_GROUP = 4
 MAP_BITS = 23
+#: Rows of a frame that leaves a task, and documents whose sums a task holds before it lets them go.
+ROWS = 50_000
+HELD_DOCS = 300_000
 START, END = 1, 0
 DOC, UNSEEN, HISTORY, NAME, STATS = range(5)
 COUNTS = [f"i{k}" for k in range(13)]
@@ -164,102 +167,131 @@ def _hashes(words: bytes, mark: int, special: int) -> np.ndarray:
     return np.array([special] * mark + own, np.int64)
 
 
-def _frame(kind: int, **columns: np.ndarray) -> pd.DataFrame:
-    n = len(next(iter(columns.values())))
+def _frames(kind: int, **columns: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows of SCHEMA, ROWS at a time; what isn't given is 0."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    fill = {c: np.zeros(n, float if c in ("base", "part") else np.int64) for c in names}
-    return pd.DataFrame({**fill, "kind": np.full(n, kind), **columns})[names]
-
-
-def _summed(frames: list[pd.DataFrame], key: str) -> pd.DataFrame:
-    return pd.concat(frames).groupby(key, sort=False, as_index=False).sum().assign(kind=frames[0]["kind"].iloc[0])
-
-
-def _part(blobs: list[list[bytes]], wanted: np.ndarray) -> Iterator[pd.DataFrame]:
-    """All sums of one part: every occurrence of its words is in ``blobs``."""
-    w_dict, h_dict, w_at, h_at, uid, train = [], [], [], [], [], []
-    w_size = h_size = 0
-    for base, flags, w_words, h_words, marks, n, place, doc in blobs:
-        own, before = _hashes(w_words, marks[0], END), _hashes(h_words, marks[1], START)
-        w_at.append(np.repeat(np.arange(len(own)) + w_size, _large(n)))
-        h_at.append(_large(place) + h_size)
-        number = _large(doc)
-        uid.append(number + np.frombuffer(base, np.int64)[0])
-        train.append(~np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)[number])
-        w_dict.append(own)
-        h_dict.append(before)
-        w_size, h_size = w_size + len(own), h_size + len(before)
-    words, w_map = np.unique(np.concatenate(w_dict), return_inverse=True)
-    before, h_map = np.unique(np.concatenate(h_dict), return_inverse=True)
-    w, h, train = w_map[np.concatenate(w_at)], h_map[np.concatenate(h_at)], np.concatenate(train)
-    docs, d = np.unique(np.concatenate(uid), return_inverse=True)
-    del w_at, h_at, uid
-    pairs, p = np.unique(w * len(before) + h, return_inverse=True)
-    c1 = np.bincount(w, train, len(words)).astype(np.int64)
-    c2 = np.bincount(p, train, len(pairs)).astype(np.int64)
-    some, r1, r2 = len(docs), c1[w], c2[p]
-    seen = r2 > 0
-    by_doc = lambda at, x=None: np.bincount(d[at], None if x is None else x[at], some)
-    log_w = np.log10(np.maximum(c1, 1))[w]
-    part = np.where(seen & (r2 > K), np.log10(np.maximum(r2 - SPARE, 1)), 0) + np.where(~seen & (r1 > K), np.log10(np.maximum(r1 - SPARE, 1)), 0)
-    # as the history of the next token; the end is the history of none, but its count is that of the start (unknown: log 1)
-    part -= log_w
-    kinds = {"i0": by_doc(r1 > 0)} | {f"i{r}": by_doc(r2 == r) for r in range(1, K + 1)} | {f"i{K + 1 + r}": by_doc(~seen & (r1 == r)) for r in range(K + 1)}
-    everything = np.ones(len(d), bool)
-    yield _frame(DOC, uid=docs, base=by_doc(everything, np.log10(r1 + 1.0)), part=by_doc(everything, part), **{k: v.astype(np.int64) for k, v in kinds.items()})
-    if not seen.all():
-        lost, times = np.unique(d[~seen] * len(before) + h[~seen], return_counts=True)
-        yield _frame(UNSEEN, uid=docs[lost // len(before)], h=before[lost % len(before)], n=times)
-    known = np.flatnonzero(c2)
-    ph, pc, pw = pairs[known] % len(before), c2[known], c1[pairs[known] // len(before)]
-    asked = wanted[(before.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] | (before == START)
-    keep = asked[ph]
-    ph, m, t = ph[keep], pc[keep], pw[keep]
-    count = lambda at, x=None: np.bincount(ph[at], None if x is None else x[at], len(before)).astype(np.int64)
-    sums = {f"i{r - 1}": count(m == r) for r in range(1, K + 1)} | {f"i{K}": count(m > K)}
-    sums |= {f"i{K + r}": count(t == r) for r in range(1, K + 1)} | {f"i{2 * K + 1}": count(t > K), "n": count(t > K, t)}
-    there = np.flatnonzero(np.bincount(ph, minlength=len(before)))
-    if len(there):
-        yield _frame(HISTORY, h=before[there], **{k: v[there] for k, v in sums.items()})
-    stats = {f"i{r - 1}": np.array([(c1 == r).sum()]) for r in range(1, K + 2)} | {f"i{K + r}": np.array([(c2 == r).sum()]) for r in range(1, K + 2)}
-    yield _frame(STATS, n=np.array([c1.sum()]), uid=np.array([(c1 > 0).sum()]), **stats)
+    for i in range(0, len(next(iter(columns.values()))), ROWS):
+        part = {c: x[i : i + ROWS] for c, x in columns.items()}
+        n = len(next(iter(part.values())))
+        fill = {c: np.zeros(n, float if c in ("base", "part") else np.int64) for c in names if c not in part}
+        yield pd.DataFrame({**fill, **part, "kind": np.full(n, kind)})[names]
+
+
+class _Part:
+    """All occurrences of some words. The blocks stay packed; one is open at a time."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs = blobs
+        own, before = [], []
+        for blob in blobs:
+            _, _, w_words, h_words, marks, *_ = _unpack(blob)
+            own.append(_hashes(w_words, marks[0], END))
+            before.append(_hashes(h_words, marks[1], START))
+        self.words, w_map = np.unique(np.concatenate(own), return_inverse=True)
+        self.before, h_map = np.unique(np.concatenate(before), return_inverse=True)
+        self.w_maps = np.split(w_map.reshape(-1), np.cumsum([len(x) for x in own])[:-1])
+        self.h_maps = np.split(h_map.reshape(-1), np.cumsum([len(x) for x in before])[:-1])
+
+    def occurrences(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(base, documents of the block, word, pair code, document, training?) of each block."""
+        for blob, w_map, h_map in zip(self.blobs, self.w_maps, self.h_maps):
+            base, flags, _, _, _, n, place, doc = _unpack(blob)
+            w = np.repeat(w_map, _large(n))
+            doc = _large(doc)
+            held = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
+            yield int(np.frombuffer(base, np.int64)[0]), len(held), w, w * len(self.before) + h_map[_large(place)], doc, ~held[doc]
+
+    def count(self) -> None:
+        """Training counts of words, and of pairs by code."""
+        self.c1 = np.zeros(len(self.words), np.int64)
+        codes, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def merge() -> None:
+            both, at = np.unique(np.concatenate(codes), return_inverse=True)
+            counts[:] = [np.bincount(at.reshape(-1), np.concatenate(counts), len(both)).astype(np.int64)]
+            codes[:] = [both]
+
+        for _, _, w, code, _, train in self.occurrences():
+            self.c1 += np.bincount(w[train], minlength=len(self.words))
+            found, n = np.unique(code[train], return_counts=True)
+            codes.append(found)
+            counts.append(n)
+            size += len(found)
+            if size > 1_000_000 and size > len(codes[0]):
+                merge()
+                size = 0
+        merge()
+        self.pairs, self.c2 = codes[0], counts[0]
+
+    def rows(self, wanted: np.ndarray, docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        """Rows of unseen pairs, histories and statistics; adds the documents' sums to ``docs`` by block."""
+        self.count()
+        log_w = np.log10(np.maximum(self.c1, 1))
+        big = len(self.before)
+        for base, n, w, code, doc, _ in self.occurrences():
+            r1 = self.c1[w]
+            at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
+            r2 = np.where(self.pairs[at] == code, self.c2[at], 0) if len(self.pairs) else np.zeros_like(code)
+            seen = r2 > 0
+            part = np.where(seen & (r2 > K), np.log10(np.maximum(r2 - SPARE, 1)), 0) + np.where(~seen & (r1 > K), np.log10(np.maximum(r1 - SPARE, 1)), 0)
+            # as the history of the next token; the end is the history of none, but its count is that of the start
+            part -= log_w[w]
+            sums = docs.setdefault(base, np.zeros((n, 2 + len(COUNTS))))
+            sums[:, 0] += np.bincount(doc, np.log10(r1 + 1.0), n)
+            sums[:, 1] += np.bincount(doc, part, n)
+            sums[:, 2] += np.bincount(doc, r1 > 0, n)
+            kind = np.where(seen, np.where(r2 <= K, r2, 0), np.where(r1 <= K, K + 1 + r1, 0))  # 0: counted by its logarithm
+            sums[:, 3:] += np.bincount(doc * len(COUNTS) + kind, minlength=n * len(COUNTS)).reshape(n, -1)[:, 1:]
+            if not seen.all():
+                lost, times = np.unique(doc[~seen] * big + code[~seen] % big, return_counts=True)
+                yield from _frames(UNSEEN, uid=base + lost // big, h=self.before[lost % big], n=times)
+        ph, m, t = self.pairs % big, self.c2, self.c1[self.pairs // big]
+        asked = wanted[(self.before.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] | (self.before == START)
+        keep = asked[ph]
+        ph, m, t = ph[keep], m[keep], t[keep]
+        there, ph = np.unique(ph, return_inverse=True)
+        if len(there):
+            count = lambda at, x=None: np.bincount(ph[at], None if x is None else x[at], len(there)).astype(np.int64)
+            sums = {f"i{r - 1}": count(m == r) for r in range(1, K + 1)} | {f"i{K}": count(m > K)}
+            sums |= {f"i{K + r}": count(t == r) for r in range(1, K + 1)} | {f"i{2 * K + 1}": count(t > K), "n": count(t > K, t)}
+            yield from _frames(HISTORY, h=self.before[there], **sums)
+        stats = {f"i{r - 1}": np.array([(self.c1 == r).sum()]) for r in range(1, K + 2)} | {f"i{K + r}": np.array([(self.c2 == r).sum()]) for r in range(1, K + 2)}
+        yield from _frames(STATS, n=np.array([self.c1.sum()]), uid=np.array([(self.c1 > 0).sum()]), **stats)
+
+
+def _document_rows(docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    for base, sums in docs.items():
+        counts = {c: sums[:, 2 + k].astype(np.int64) for k, c in enumerate(COUNTS)}
+        yield from _frames(DOC, uid=base + np.arange(len(sums)), base=sums[:, 0], part=sums[:, 1], **counts)
+    docs.clear()
 
 
 def _reduce(wanted: np.ndarray):
-    """Packed occurrences in order of their part to rows of SCHEMA; sums by document and history are combined in a task."""
+    """Packed occurrences in order of their part to rows of SCHEMA; a task combines the sums of documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[pd.DataFrame]] = {DOC: [], HISTORY: []}
+        docs: dict[int, np.ndarray] = {}
         blobs, at = [], None
 
         def finish() -> Iterator[pd.DataFrame]:
-            for frame in _part(blobs, wanted):
-                kind = int(frame["kind"].iloc[0])
-                if kind not in held:
-                    yield frame
-                    continue
-                held[kind].append(frame)
-                if sum(map(len, held[kind])) > 1_500_000:
-                    yield _summed(held[kind], "uid" if kind == DOC else "h")
-                    held[kind] = []
+            yield from _Part(blobs).rows(wanted, docs)
+            if sum(map(len, docs.values())) > HELD_DOCS:
+                yield from _document_rows(docs)
 
         for pdf in batches:
             for sub, data in zip(pdf["sub"], pdf["data"]):
-                fields = _unpack(data)
                 if sub < 0:
-                    base, doc_ids, nulls, out, lengths = (np.frombuffer(f, k) for f, k in zip(fields, (np.int64, np.int64, np.uint8, np.uint8, np.int64)))
-                    yield _frame(NAME, uid=base[0] + np.arange(len(doc_ids)), h=doc_ids, i0=out.astype(np.int64), i1=nulls.astype(np.int64), n=lengths)
+                    base, doc_ids, nulls, out, lengths = (np.frombuffer(f, k) for f, k in zip(_unpack(data), (np.int64, np.int64, np.uint8, np.uint8, np.int64)))
+                    yield from _frames(NAME, uid=base[0] + np.arange(len(doc_ids)), h=doc_ids, i0=out.astype(np.int64), i1=nulls.astype(np.int64), n=lengths)
                     continue
                 if blobs and sub != at:
                     yield from finish()
                     blobs = []
                 at = sub
-                blobs.append(fields)
+                blobs.append(data)
         if blobs:
             yield from finish()
-        for kind, key in ((DOC, "uid"), (HISTORY, "h")):
-            if held[kind]:
-                yield _summed(held[kind], key)
+        yield from _document_rows(docs)
 
     return run
 
