@@ -37,7 +37,7 @@ type has probability 1. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import reduce
 
 import numpy as np
@@ -65,9 +65,9 @@ COUNTS = [f"i{k}" for k in range(13)]
 SCHEMA = "kind int, uid long, h long, n long, base double, part double, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
-def word_hash(word: bytes) -> int:
-    """Signed 64 bits; START and END are numbers of their own."""
-    return np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64)
+def hashes_of(words: Collection[bytes]) -> np.ndarray:
+    """Signed 64-bit hashes; START and END are numbers of their own."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -117,9 +117,12 @@ def _blocks(groups: int):
         h[1:], h[ends[:-1]], h[0] = w[:-1], START, START
         doc = np.repeat(np.arange(len(docs)), lengths)
         names = [b"", b"", *ids]
-        hashes = np.array([END, START, *map(word_hash, ids)], np.int64)
+        hashes = np.concatenate([np.array([END, START], np.int64), hashes_of(ids)])
         bucket = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((doc, w, bucket[w]))
+        # by part, then word; a stable sort leaves the documents of a word in order
+        rank = np.empty(len(bucket), np.int32)
+        rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
+        order = np.argsort(rank[w], kind="stable")
         w, h, doc = w[order], h[order], doc[order]
         cuts = np.searchsorted(bucket[w], np.arange(parts + 1))
         flags = np.packbits(np.array(held, bool)).tobytes()
@@ -163,8 +166,8 @@ def _blocks(groups: int):
 
 
 def _hashes(words: bytes, mark: int, special: int) -> np.ndarray:
-    own = [word_hash(w) for w in words.split(b"\n")] if words else []
-    return np.array([special] * mark + own, np.int64)
+    own = hashes_of(words.split(b"\n") if words else [])
+    return np.concatenate([np.full(mark, special, np.int64), own])
 
 
 def _frames(kind: int, **columns: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -316,7 +319,7 @@ def _wanted(spark: SparkSession, docs: DataFrame) -> np.ndarray:
         marked = np.zeros(1 << MAP_BITS, bool)
         for pdf in batches:
             for text in pdf["text"]:
-                own = np.array([word_hash(w) for w in set(words_of(text))], np.int64)
+                own = hashes_of(set(words_of(text)))
                 marked[(own.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
         bits = np.packbits(marked, bitorder="little").view(np.int64)
         at = np.flatnonzero(bits)
