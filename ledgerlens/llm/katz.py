@@ -24,11 +24,16 @@ is left is log(alpha(h) c(h)) of unseen pairs, from per-history sums joined by
 h. The tables of pairs' and histories' sums are partitioned by kind in the
 shared folder.
 
-A pair or word that holds a third of all tokens is one dictionary entry and four
-bytes for each occurrence, split by document block; sums are combined before
-they are shuffled. Per-history sums are only kept for histories that a bitmap
-(2^23 bits, fixed) names as words of held-out documents, since only those can
-meet unseen pairs. Words stand as 64-bit hashes once counted.
+No word or pair is a hot group. One pass over all texts finds the words and pairs
+that may make more than a quarter of a part (or SHARE of the corpus, so that the
+list is bounded), a second counts just these exactly, and the counts are
+broadcast, at most 2 / SHARE of each. Occurrences of a listed pair are then scored
+where they are read and never moved; those of other pairs of a listed word go by
+the hash of the pair, over all parts. What is listed decides where the work is
+done, not the results. Sums are combined before they are shuffled. Per-history
+sums are only kept for histories that a bitmap (2^23 bits, fixed) names as words
+of held-out documents, since only those can meet unseen pairs. Words stand as
+64-bit hashes once counted.
 
 Edge cases: a null or empty text has one token, the end. Repeated rows are
 documents of their own. Without training documents N and V are 0, the unknown
@@ -55,6 +60,8 @@ SPARE = 0.01
 BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 1_500_000
 PARTS_PER_GROUP = 4
+#: The least share of the corpus that lists a word or pair.
+SHARE = 2.0**-18
 MAP_BITS = 23
 #: Rows of a frame that leaves a task, and documents whose sums a task holds before it lets them go.
 ROWS = 50_000
@@ -102,66 +109,192 @@ def _unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _blocks(groups: int):
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Ids, list[np.ndarray], list, list[bool]]]:
+    """Blocks of about BLOCK_TOKENS tokens: the words' numbers, and each document's words, doc_id and part."""
+    ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
+    for pdf in batches:
+        for doc_id, text, out in zip(pdf["doc_id"], pdf["text"], pdf["held"]):
+            found = words_of(text)
+            docs.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
+            doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+            held.append(bool(out))
+            size += len(found) + 1
+            if size >= BLOCK_TOKENS:
+                yield ids, docs, doc_ids, held
+                ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
+    if docs:
+        yield ids, docs, doc_ids, held
+
+
+def _tokens(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word, history and document of each token, and the documents' lengths."""
+    lengths = np.array([len(d) + 1 for d in docs])
+    ends = np.cumsum(lengths)
+    w = np.zeros(ends[-1], np.int64)
+    inside = np.ones(len(w), bool)
+    inside[ends - 1] = False
+    w[inside] = np.concatenate(docs)
+    h = np.empty_like(w)
+    h[1:], h[ends[:-1]], h[0] = w[:-1], START, START
+    return w, h, np.repeat(np.arange(len(docs)), lengths), lengths
+
+
+def _vocabulary(ids: _Ids) -> np.ndarray:
+    return np.concatenate([np.array([END, START], np.int64), hashes_of(ids)])
+
+
+def _places(of: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each of ``of`` stands in the sorted ``among``, else -1."""
+    if not len(among):
+        return np.full(len(of), -1)
+    at = np.minimum(np.searchsorted(among, of), len(among) - 1)
+    return np.where(among[at] == of, at, -1)
+
+
+class _Listed:
+    """The words and pairs whose training counts are known before the main pass."""
+
+    def __init__(self, words: np.ndarray, before: np.ndarray, after: np.ndarray):
+        self.words, self.before = np.unique(words), np.unique(before)
+        k = _places(after, self.words)
+        self.codes = np.unique((k * len(self.before) + _places(before, self.before))[k >= 0])
+        self.c1, self.c2 = np.zeros(len(self.words), np.int64), np.zeros(len(self.codes), np.int64)
+
+    def find(self, hashes: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For tokens with words w and histories h of a block: places of their words and pairs, -1 if not listed."""
+        k, j = _places(hashes, self.words)[w], _places(hashes, self.before)[h]
+        both = np.flatnonzero((k >= 0) & (j >= 0))
+        pair = np.full(len(w), -1)
+        pair[both] = _places(k[both] * len(self.before) + j[both], self.codes)
+        return k, pair
+
+
+def _frequent(share: float):
+    """Rows (kind, a, b, n): words (0) and pairs (1) with at least half of ``share`` of a block, held-out words' bitmap (2)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marked = np.zeros(1 << MAP_BITS, bool)
+        for ids, docs, _, held in _documents(batches):
+            w, h, doc, _ = _tokens(docs)
+            hashes, least, size = _vocabulary(ids), max(1.0, share * len(w) / 2), len(ids) + 2
+            out = np.array(held, bool)[doc]
+            own = np.zeros(size, bool)
+            own[w[out]] = True
+            marked[(hashes[own].view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+            n = np.bincount(w, minlength=size)
+            often = np.flatnonzero(n >= least)
+            yield pd.DataFrame({"kind": 0, "a": hashes[often], "b": 0, "n": n[often]})
+            some = (n >= least)[w] & (n + np.bincount(h, minlength=size) >= least)[h]
+            code, n = np.unique(h[some] * size + w[some], return_counts=True)
+            code, n = code[n >= least], n[n >= least]
+            yield pd.DataFrame({"kind": 1, "a": hashes[code // size], "b": hashes[code % size], "n": n})
+        bits = np.packbits(marked, bitorder="little").view(np.int64)
+        at = np.flatnonzero(bits)
+        yield pd.DataFrame({"kind": 2, "a": at, "b": 0, "n": bits[at]})
+
+    return run
+
+
+def _exact(listed: _Listed):
+    """Rows (kind, a, b, n): training counts of the listed words and pairs by place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c1, c2 = np.zeros_like(listed.c1), np.zeros_like(listed.c2)
+        for ids, docs, _, held in _documents(batches):
+            w, h, doc, _ = _tokens(docs)
+            train = ~np.array(held, bool)[doc]
+            k, pair = listed.find(_vocabulary(ids), w[train], h[train])
+            c1 += np.bincount(k[k >= 0], minlength=len(c1))
+            c2 += np.bincount(pair[pair >= 0], minlength=len(c2))
+        for kind, n in ((0, c1), (1, c2)):
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"kind": kind, "a": at, "b": 0, "n": n[at]})
+
+    return run
+
+
+def _survey(rows: DataFrame, share: float, least: float) -> tuple[_Listed, np.ndarray]:
+    """The listed words and pairs with their counts, and the bitmap; at most 4 / SHARE + 2^MAP_BITS / 64 rows come to the driver."""
+    schema = "kind int, a long, b long, n long"
+    counts = F.sum(F.when(F.col("kind") < 2, F.col("n"))).alias("n")
+    found = rows.mapInPandas(_frequent(share), schema).groupBy("kind", "a", "b").agg(counts, F.bit_or("n").alias("bits"))
+    found = found.where((F.col("kind") == 2) | (F.col("n") >= least)).toPandas()
+    words, pairs, bits = (found[found["kind"] == k] for k in range(3))
+    listed = _Listed(*(x.to_numpy(np.int64) for x in (words["a"], pairs["a"], pairs["b"])))
+    out = np.zeros((1 << MAP_BITS) // 64, np.int64)
+    out[bits["a"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    sums = rows.mapInPandas(_exact(listed), schema).groupBy("kind", "a").agg(F.sum("n").alias("n")).toPandas()
+    for kind, c in ((0, listed.c1), (1, listed.c2)):
+        own = sums[sums["kind"] == kind]
+        c[own["a"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+    return listed, np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _add(sums: np.ndarray, doc: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> None:
+    """Adds tokens with counts r1 of their words and r2 of their pairs to the sums of their documents."""
+    n, seen = len(sums), r2 > 0
+    part = np.where(seen & (r2 > K), np.log10(np.maximum(r2 - SPARE, 1)), 0) + np.where(~seen & (r1 > K), np.log10(np.maximum(r1 - SPARE, 1)), 0)
+    # as the history of the next token; the end is the history of none, but its count is that of the start
+    part -= np.log10(np.maximum(r1, 1))
+    sums[:, 0] += np.bincount(doc, np.log10(r1 + 1.0), n)
+    sums[:, 1] += np.bincount(doc, part, n)
+    sums[:, 2] += np.bincount(doc, r1 > 0, n)
+    kind = np.where(seen, np.where(r2 <= K, r2, 0), np.where(r1 <= K, K + 1 + r1, 0))  # 0: counted by its logarithm
+    sums[:, 3:] += np.bincount(doc * len(COUNTS) + kind, minlength=n * len(COUNTS)).reshape(n, -1)[:, 1:]
+
+
+def _blocks(groups: int, shared):
     """Documents to packed occurrences: rows of (grp, sub, data)."""
     parts = groups * PARTS_PER_GROUP
 
     def pack(base: int, ids: _Ids, docs: list[np.ndarray], doc_ids: list, held: list[bool]) -> Iterator[tuple]:
-        lengths = np.array([len(d) + 1 for d in docs])
-        ends = np.cumsum(lengths)
-        w = np.zeros(ends[-1], np.int64)
-        inside = np.ones(len(w), bool)
-        inside[ends - 1] = False
-        w[inside] = np.concatenate(docs)
-        h = np.empty_like(w)
-        h[1:], h[ends[:-1]], h[0] = w[:-1], START, START
-        doc = np.repeat(np.arange(len(docs)), lengths)
-        names = [b"", b"", *ids]
-        hashes = np.concatenate([np.array([END, START], np.int64), hashes_of(ids)])
+        listed, _ = shared.value
+        w, h, doc, lengths = _tokens(docs)
+        names, hashes = [b"", b"", *ids], _vocabulary(ids)
+        k, pair = listed.find(hashes, w, h)
+        known = pair >= 0
+        if known.any():
+            # scored here: the counts are known
+            sums = np.zeros((-(-len(docs) // 8) * 8, 2 + len(COUNTS)))  # as many as there are flags
+            r2 = listed.c2[pair[known]]
+            _add(sums, doc[known], listed.c1[k[known]], r2)
+            lost, times = np.unique(doc[known][r2 == 0] * len(names) + h[known][r2 == 0], return_counts=True)
+            fields = [np.int64(base).tobytes(), sums.tobytes(), (lost // len(names)).tobytes(), hashes[lost % len(names)].tobytes(), times.astype(np.int64).tobytes()]
+            yield base % groups, -2, _pack(fields)
+            w, h, doc, k = w[~known], h[~known], doc[~known], k[~known]
         bucket = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        # a listed word counts as several, one for each part, by the hash of the pair
+        word, own = w.copy(), np.arange(len(names))
+        spread = np.flatnonzero(k >= 0)
+        mixed = (hashes[w[spread]].view(np.uint64) * np.uint64(31) + hashes[h[spread]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        several, at = np.unique(w[spread] * parts + (mixed % np.uint64(parts)).astype(np.int64), return_inverse=True)
+        word[spread] = len(names) + at.reshape(-1)
+        own, bucket = np.concatenate([own, several // parts]), np.concatenate([bucket, several % parts])
         # by part, then word; a stable sort leaves the documents of a word in order
         rank = np.empty(len(bucket), np.int32)
-        rank[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.int32)
-        order = np.argsort(rank[w], kind="stable")
+        rank[np.lexsort((own, bucket))] = np.arange(len(bucket), dtype=np.int32)
+        order = np.argsort(rank[word], kind="stable")
         w, h, doc = w[order], h[order], doc[order]
-        cuts = np.searchsorted(bucket[w], np.arange(parts + 1))
+        cuts = np.searchsorted(bucket[word[order]], np.arange(parts + 1))
         flags = np.packbits(np.array(held, bool)).tobytes()
-        for b in range(parts):
+        for b in np.flatnonzero(np.diff(cuts)):
             a, z = cuts[b], cuts[b + 1]
-            if a == z:
-                continue
-            own, n = np.unique(w[a:z], return_counts=True)
+            found, n = np.unique(w[a:z], return_counts=True)
             before, place = np.unique(h[a:z], return_inverse=True)
             # the words of both lists in order, END and START by number
-            lists = [b"\n".join(names[i] for i in x if i > START) for x in (own, before)]
-            marks = np.array([END in own, START in before], np.uint8).tobytes()
+            lists = [b"\n".join(names[i] for i in x if i > START) for x in (found, before)]
+            marks = np.array([END in found, START in before], np.uint8).tobytes()
             fields = [np.int64(base).tobytes(), flags, lists[0], lists[1], marks, _small(n), _small(place.reshape(-1)), _small(doc[a:z])]
-            yield b % groups, b // groups, _pack(fields)
+            yield int(b) % groups, int(b) // groups, _pack(fields)
         head = [np.int64(base).tobytes(), np.array([-1 if i is None else i for i in doc_ids], np.int64).tobytes(), np.array([i is None for i in doc_ids], np.uint8).tobytes(), np.array(held, np.uint8).tobytes(), lengths.astype(np.int64).tobytes()]
         yield base % groups, -1, _pack(head)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seq = TaskContext.get().partitionId(), 0
-        ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for row in pack((part << 40) + (seq << 24), ids, docs, doc_ids, held):
+        part = TaskContext.get().partitionId()
+        for seq, block in enumerate(_documents(batches)):
+            for row in pack((part << 40) + (seq << 24), *block):
                 yield pd.DataFrame([row], columns=["grp", "sub", "data"])
 
-        for pdf in batches:
-            for doc_id, text, out in zip(pdf["doc_id"], pdf["text"], pdf["held"]):
-                found = words_of(text)
-                docs.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                held.append(bool(out))
-                size += len(found) + 1
-                if size >= BLOCK_TOKENS:
-                    yield from flush()
-                    seq += 1
-                    ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
-        if docs:
-            yield from flush()
-
     return run
 
 
@@ -204,8 +337,8 @@ class _Part:
             held = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
             yield int(np.frombuffer(base, np.int64)[0]), len(held), w, w * len(self.before) + h_map[_large(place)], doc, ~held[doc]
 
-    def count(self) -> None:
-        """Training counts of words, and of pairs by code."""
+    def count(self, listed: _Listed) -> None:
+        """Training counts of words, and of pairs by code; those of listed words are known."""
         self.c1 = np.zeros(len(self.words), np.int64)
         codes, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
@@ -225,41 +358,43 @@ class _Part:
                 size = 0
         merge()
         self.pairs, self.c2 = codes[0], counts[0]
+        at = _places(self.words, listed.words)
+        self.own = at < 0
+        self.c1[~self.own] = listed.c1[at[~self.own]]
 
-    def rows(self, wanted: np.ndarray, docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    def rows(self, listed: _Listed, wanted: np.ndarray, docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
         """Rows of unseen pairs, histories and statistics; adds the documents' sums to ``docs`` by block."""
-        self.count()
-        log_w = np.log10(np.maximum(self.c1, 1))
+        self.count(listed)
         big = len(self.before)
         for base, n, w, code, doc, _ in self.occurrences():
-            r1 = self.c1[w]
             at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
             r2 = np.where(self.pairs[at] == code, self.c2[at], 0) if len(self.pairs) else np.zeros_like(code)
             seen = r2 > 0
-            part = np.where(seen & (r2 > K), np.log10(np.maximum(r2 - SPARE, 1)), 0) + np.where(~seen & (r1 > K), np.log10(np.maximum(r1 - SPARE, 1)), 0)
-            # as the history of the next token; the end is the history of none, but its count is that of the start
-            part -= log_w[w]
-            sums = docs.setdefault(base, np.zeros((n, 2 + len(COUNTS))))
-            sums[:, 0] += np.bincount(doc, np.log10(r1 + 1.0), n)
-            sums[:, 1] += np.bincount(doc, part, n)
-            sums[:, 2] += np.bincount(doc, r1 > 0, n)
-            kind = np.where(seen, np.where(r2 <= K, r2, 0), np.where(r1 <= K, K + 1 + r1, 0))  # 0: counted by its logarithm
-            sums[:, 3:] += np.bincount(doc * len(COUNTS) + kind, minlength=n * len(COUNTS)).reshape(n, -1)[:, 1:]
+            _add(docs.setdefault(base, np.zeros((n, 2 + len(COUNTS)))), doc, self.c1[w], r2)
             if not seen.all():
                 lost, times = np.unique(doc[~seen] * big + code[~seen] % big, return_counts=True)
                 yield from _frames(UNSEEN, uid=base + lost // big, h=self.before[lost % big], n=times)
-        ph, m, t = self.pairs % big, self.c2, self.c1[self.pairs // big]
-        asked = wanted[(self.before.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] | (self.before == START)
-        keep = asked[ph]
-        ph, m, t = ph[keep], m[keep], t[keep]
-        there, ph = np.unique(ph, return_inverse=True)
-        if len(there):
-            count = lambda at, x=None: np.bincount(ph[at], None if x is None else x[at], len(there)).astype(np.int64)
-            sums = {f"i{r - 1}": count(m == r) for r in range(1, K + 1)} | {f"i{K}": count(m > K)}
-            sums |= {f"i{K + r}": count(t == r) for r in range(1, K + 1)} | {f"i{2 * K + 1}": count(t > K), "n": count(t > K, t)}
-            yield from _frames(HISTORY, h=self.before[there], **sums)
-        stats = {f"i{r - 1}": np.array([(self.c1 == r).sum()]) for r in range(1, K + 2)} | {f"i{K + r}": np.array([(self.c2 == r).sum()]) for r in range(1, K + 2)}
-        yield from _frames(STATS, n=np.array([self.c1.sum()]), uid=np.array([(self.c1 > 0).sum()]), **stats)
+        yield from _pair_rows(self.before, self.pairs % big, self.c2, self.c1[self.pairs // big], wanted)
+        yield from _statistics(self.c1[self.own], self.c2)
+
+
+def _pair_rows(before: np.ndarray, h: np.ndarray, m: np.ndarray, t: np.ndarray, wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Sums of the pairs of each history: h by place in ``before``, counts m of the pairs and t of their words."""
+    asked = wanted[(before.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] | (before == START)
+    keep = asked[h] & (m > 0)
+    h, m, t = h[keep], m[keep], t[keep]
+    there, h = np.unique(h, return_inverse=True)
+    if len(there):
+        count = lambda at, x=None: np.bincount(h[at], None if x is None else x[at], len(there)).astype(np.int64)
+        sums = {f"i{r - 1}": count(m == r) for r in range(1, K + 1)} | {f"i{K}": count(m > K)}
+        sums |= {f"i{K + r}": count(t == r) for r in range(1, K + 1)} | {f"i{2 * K + 1}": count(t > K), "n": count(t > K, t)}
+        yield from _frames(HISTORY, h=before[there], **sums)
+
+
+def _statistics(c1: np.ndarray, c2: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Counts of counts of words and pairs, tokens and words."""
+    stats = {f"i{r - 1}": np.array([(c1 == r).sum()]) for r in range(1, K + 2)} | {f"i{K + r}": np.array([(c2 == r).sum()]) for r in range(1, K + 2)}
+    yield from _frames(STATS, n=np.array([c1.sum()]), uid=np.array([(c1 > 0).sum()]), **stats)
 
 
 def _document_rows(docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -269,7 +404,7 @@ def _document_rows(docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
     docs.clear()
 
 
-def _reduce(wanted: np.ndarray):
+def _reduce(listed: _Listed, wanted: np.ndarray):
     """Packed occurrences in order of their part to rows of SCHEMA; a task combines the sums of documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,12 +412,22 @@ def _reduce(wanted: np.ndarray):
         blobs, at = [], None
 
         def finish() -> Iterator[pd.DataFrame]:
-            yield from _Part(blobs).rows(wanted, docs)
+            yield from _Part(blobs).rows(listed, wanted, docs)
             if sum(map(len, docs.values())) > HELD_DOCS:
                 yield from _document_rows(docs)
 
         for pdf in batches:
             for sub, data in zip(pdf["sub"], pdf["data"]):
+                if sub == -2:
+                    base, sums, doc, h, times = (np.frombuffer(f, k) for f, k in zip(_unpack(data), (np.int64, float, np.int64, np.int64, np.int64)))
+                    sums = sums.reshape(-1, 2 + len(COUNTS))
+                    docs.setdefault(int(base[0]), np.zeros(sums.shape))
+                    docs[int(base[0])] += sums
+                    if len(doc):
+                        yield from _frames(UNSEEN, uid=base[0] + doc, h=h, n=times)
+                    if sum(map(len, docs.values())) > HELD_DOCS:
+                        yield from _document_rows(docs)
+                    continue
                 if sub < 0:
                     base, doc_ids, nulls, out, lengths = (np.frombuffer(f, k) for f, k in zip(_unpack(data), (np.int64, np.int64, np.uint8, np.uint8, np.int64)))
                     yield from _frames(NAME, uid=base[0] + np.arange(len(doc_ids)), h=doc_ids, i0=out.astype(np.int64), i1=nulls.astype(np.int64), n=lengths)
@@ -312,39 +457,27 @@ def discounts(counts: dict[int, int]) -> list[float]:
     return [(r - spare) / r for r in range(1, K + 1)]
 
 
-def _wanted(spark: SparkSession, docs: DataFrame) -> np.ndarray:
-    """The bitmap of the words of held-out documents; at most 2^MAP_BITS / 64 rows come to the driver."""
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marked = np.zeros(1 << MAP_BITS, bool)
-        for pdf in batches:
-            for text in pdf["text"]:
-                own = hashes_of(set(words_of(text)))
-                marked[(own.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-        bits = np.packbits(marked, bitorder="little").view(np.int64)
-        at = np.flatnonzero(bits)
-        yield pd.DataFrame({"place": at.astype(np.int32), "bits": bits[at]})
-
-    found = docs.where("held").select("text").mapInPandas(places, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros((1 << MAP_BITS) // 64, np.int64)
-    for r in found.collect():
-        out[r.place] = r.bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def score(spark: SparkSession, docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    groups = max(2, -(-chars // (6 * PART_TOKENS * PARTS_PER_GROUP)))
-    wanted = spark.sparkContext.broadcast(np.packbits(_wanted(spark, rows)))
-    packed = rows.mapInPandas(_blocks(groups), "grp int, sub int, data binary")
+    about = max(1, chars / 6)
+    groups = max(2, int(-(-about // (PART_TOKENS * PARTS_PER_GROUP))))
+    least = max(PART_TOKENS / 4, about * SHARE)
+    listed, wanted = _survey(rows, least / about, least / 2)
+    shared = spark.sparkContext.broadcast((listed, np.packbits(wanted)))
+    packed = rows.mapInPandas(_blocks(groups, shared), "grp int, sub int, data binary")
 
     def reducer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _reduce(np.unpackbits(wanted.value).astype(bool))(batches)
+        counts, bits = shared.value
+        yield from _reduce(counts, np.unpackbits(bits).astype(bool))(batches)
 
     sums = packed.repartition(groups, "grp").sortWithinPartitions("grp", "sub").mapInPandas(reducer, SCHEMA)
     sums = materialize(spark, sums, "katz", by="kind")
+    known = list(_statistics(listed.c1, listed.c2))
+    h = listed.codes % max(len(listed.before), 1)
+    known += _pair_rows(listed.before, h, listed.c2, listed.c1[listed.codes // max(len(listed.before), 1)], wanted)
+    sums = sums.unionByName(spark.createDataFrame(pd.concat(known), SCHEMA))
     of = lambda kind: sums.where(F.col("kind") == kind)
     s = of(STATS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "uid", *COUNTS))).first()
     n, v = int(s.n), int(s.uid)

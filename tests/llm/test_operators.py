@@ -241,7 +241,9 @@ def test_cascade_is_exact_over_its_universe():
     assert all((k in made) == (k in listed) for k in universe) and len(made.levels) > 2
 
 
-def test_katz_equals_brute_force_and_sums_to_one(spark):
+@pytest.mark.parametrize("part_tokens", [katz.PART_TOKENS, 40])
+def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, part_tokens):
+    monkeypatch.setattr(katz, "PART_TOKENS", part_tokens)  # small parts: frequent words and pairs are counted before
     texts = [(i, t) for i, t in dict(TEXTS).items() if i != 36]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
     rows = katz.score(spark, documents(spark, texts), katz.F.crc32(katz.F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()
