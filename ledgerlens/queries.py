@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy, numbers, text
-from ledgerlens.operators import retrieval
+from ledgerlens.operators import corpus, evaluation, retrieval
 from ledgerlens.plans import facts as P
 from ledgerlens.plans.facts import FACTS_SQL, facts_long, load
 
@@ -412,3 +412,57 @@ def html_rows(spark: SparkSession, d: str) -> DataFrame:
     """X1."""
     n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))).cast("long")
     return load(spark, d, "pages").select("page_id", n("(?i)<li[ >]").alias("n_items"), n("(?i)<table").alias("n_tables"))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    """Facts with the columns of long rows; a report of each company, a table of each year."""
+    return facts_long(spark, d).select(
+        F.col("company").cast("string").alias("report_id"), F.col("year").cast("string").alias("start_line"), "company", "year",
+        F.lit("CDKT").alias("table_type"), F.lit("VND").alias("unit"), F.col("metric").alias("canonical"), F.replace("metric", F.lit("_"), F.lit(" ")).alias("metric"), F.col("metric").alias("seq"),
+    )
+
+
+@query(_facts_sql("""SELECT company || '|' || year AS table_key, company, year, 'Công ty: ' || company || ' | Năm: ' || year || ' | Loại bảng: CDKT | Đơn vị: VND | report: ' || company || ' | ' ||
+string_agg(CASE WHEN contains(metric, '_') THEN metric || ' | ' || replace(metric, '_', ' ') ELSE metric END, ' | ' ORDER BY metric) AS text FROM facts GROUP BY company, year"""))
+def table_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """R1, R11, A15."""
+    return corpus.table_documents(_long(spark, d))
+
+
+@query(_facts_sql("""SELECT DISTINCT company || '|' || year AS table_key, company, year, metric AS canonical, 'Công ty ' || company || ' ticker ' || company || ' năm ' || year || ' CDKT ' || metric || ' ' || replace(metric, '_', ' ') || ' report ' || company AS text FROM facts"""))
+def metric_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """R2, E7."""
+    return corpus.metric_documents(_long(spark, d))
+
+
+@query("SELECT role, role IS NULL AS overall, count(*) AS n, round(avg(length(text)), 6) AS length FROM conversations GROUP BY ROLLUP (role)")
+def rollup_means(spark: SparkSession, d: str) -> DataFrame:
+    """A17."""
+    rows = load(spark, d, "conversations").select("role", F.length("text").alias("length"))
+    return evaluation.means_by(rows, "role", ["length"]).withColumn("length", F.round("length", 6))
+
+
+_KINDS = {"licence": "license", "number": "[0-9]{4,}", "mail": "@"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (WHERE regexp_matches(text, '{p}', 'i')) AS n FROM documents" for k, p in _KINDS.items()))
+def pattern_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """A23."""
+    return evaluation.pattern_counts(load(spark, d, "documents"), "text", _KINDS)
+
+
+@query("""SELECT n_name, count(c_custkey) AS n, round(count(c_custkey) / (SELECT count(*) FROM customer), 9) AS share, count(c_custkey) / (SELECT count(*) FROM customer) < 0.05 AS rare
+FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name""")
+def category_shares(spark: SparkSession, d: str) -> DataFrame:
+    """A22, C13."""
+    nations = load(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("c_nationkey"))
+    rows = load(spark, d, "customer").select("c_nationkey").join(nations, "c_nationkey")
+    return evaluation.shares(rows, nations, "n_name").withColumn("share", F.round("share", 9))
+
+
+@query("""SELECT 'customers' AS gate, CAST(count(*) AS DOUBLE) AS value, 1.0 AS least, count(*) >= 1 AS passed FROM customer UNION ALL
+SELECT 'solvent', round(avg(CASE WHEN c_acctbal >= 0 THEN 1.0 ELSE 0 END), 9), 2.0, false FROM customer""")
+def gate_report(spark: SparkSession, d: str) -> DataFrame:
+    """C11."""
+    solvent = F.round(F.avg((F.col("c_acctbal") >= 0).cast("double")), 9)
+    return evaluation.gates(load(spark, d, "customer"), {"customers": (F.count("*"), 1), "solvent": (solvent, 2)})
