@@ -1,4 +1,4 @@
-"""Evaluation and control (inventory A7, A17, A21-A23, C6, C11, C13, N19, N20, N31, R10)."""
+"""Evaluation and control (inventory A7, A17, A21-A23, C6, C11, C13, N19, N20, N30, N31, R10)."""
 
 from __future__ import annotations
 
@@ -89,3 +89,25 @@ def last_lines(error: Column, n: int = 3) -> Column:
 def year_available(years: Column, wanted: Column) -> Column:
     """Whether the wanted year is among those there are."""
     return F.coalesce(F.array_contains(years, wanted), F.lit(False))
+
+
+#: What an answer of these intents lies between.
+RANGES = {"financial_index": (-200.0, 200.0), "calc_ratio": (-500.0, 500.0)}
+
+
+def verify(answer: Column, intent: Column) -> Column:
+    """Struct (valid, issues): an answer is a number and lies in the range of its intent, if that has one."""
+    outside = F.lit(False)
+    for name, (low, high) in RANGES.items():
+        outside = outside | (intent.eqNullSafe(F.lit(name)) & ~answer.between(low, high))
+    empty = F.when(~sane(answer), F.lit("answer is empty or NaN"))
+    far = F.when(F.coalesce(outside, F.lit(False)), F.lit("answer is out of range"))
+    issues = F.array_compact(F.array(empty, far))
+    return F.struct((F.size(issues) == 0).alias("valid"), issues.alias("issues"))
+
+
+def notes_format(gold: DataFrame) -> DataFrame:
+    """n_notes_qa and the share of them with a number for an answer (null if there are none)."""
+    notes = F.col("category").isin("notes_qa", "thuyet_minh")
+    numeric = F.count_if(notes & F.col("answer").try_cast("double").isNotNull())
+    return gold.agg(F.count_if(notes).alias("n_notes_qa"), F.try_divide(numeric, F.count_if(notes)).alias("numeric_answer_ratio"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import keys
 from ledgerlens.operators import corpus, evaluation, retrieval
 
 LONG = "report_id string, start_line int, company string, year int, table_type string, unit string, canonical string, metric string, seq int"
@@ -51,3 +52,25 @@ def test_evaluation(spark):
     ops = spark.createDataFrame([("df[df['năm']==1].iloc[0]",), (None,)], "q string")
     counts = {r.pattern: r.n for r in evaluation.pattern_counts(ops, "q", evaluation.OPERATION_PATTERNS).collect()}
     assert counts["lookup_simple"] == counts["filter_year"] == 1 and counts["groupby"] == 0
+
+
+def test_keys(spark):
+    one = spark.range(1)
+    get = lambda *c: tuple(one.select(*c).first())
+    lit = F.lit
+    assert get(*(keys.report_year(lit(s)) for s in ("VJC_2018_x", "a20181", "y_1999_2018", None))) == (2018, None, None, None)
+    paths = ("a/b\\VJC_2018_extracted.txt", "x/", None, "plain")
+    assert get(*(keys.official_report_id(lit(s)) for s in paths)) == ("VJC_2018", "unknown", "unknown", "plain")
+    assert get(keys.table_key(lit("r"), lit(3)), keys.table_key(lit("r"), lit(None)), keys.table_key(lit(None), lit(3))) == ("r|3", "r", "unknown|3")
+    assert get(keys.code_block(lit("so:\n```python\nx = 1\n```\nend")), keys.code_block(lit(" y "))) == ("x = 1", "y")
+    assert get(*(keys.eval_query(lit(s)) for s in ("answer = df.x", "answer=1", " ", None, "f(2)"))) == ("df.x", "1", "0.0", "0.0", "f(2)")
+    assert get(keys.unit_answer(lit(2.0), lit("Tỷ đồng"), lit("triệu đồng")), keys.unit_answer(lit(2.0), lit(None), lit("tỷ đồng"))) == (2000.0, 2.0)
+
+
+def test_verify(spark):
+    rows = spark.createDataFrame([(100.0, "calc_ratio"), (900.0, "calc_ratio"), (900.0, "lookup"), (None, "calc_ratio"), (float("nan"), None)], "a double, i string")
+    got = [(r.v.valid, len(r.v.issues)) for r in rows.select(evaluation.verify(F.col("a"), F.col("i")).alias("v")).collect()]
+    assert got[:4] == [(True, 0), (False, 1), (True, 0), (False, 1)] and not got[4][0]
+    gold = spark.createDataFrame([("notes_qa", "1.5"), ("thuyet_minh", "x"), ("other", "2")], "category string, answer string")
+    assert tuple(evaluation.notes_format(gold).first()) == (2, 0.5)
+    assert tuple(evaluation.notes_format(gold.limit(0)).first()) == (0, None)
