@@ -9,7 +9,9 @@ one, found by joins of directory paths.
 
 Only DataFrame functions are used. The templates' terms bound all that is
 broadcast. Words outside them count once each in a line's length at the largest
-idf. Joins on directories have one row for each directory on one side, so that a
+idf. No idf exceeds that of a word in one of RAREST documents, so that the weight
+of words the files lack doesn't grow with their number and a line's verdict is
+the same in small and large corpora. Joins on directories have one row for each directory on one side, so that a
 directory with a third of all files is a skewed join that AQE splits, and
 minima are taken before shuffles.
 
@@ -22,12 +24,16 @@ Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 THRESHOLD = 0.6
+#: Rarer words weigh like those of one document in so many; the smallest tables have as many documents.
+RAREST = 200
 # Short notices by which works name their licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -49,6 +55,7 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
+    ("Proprietary", "All rights reserved"),
     ("Proprietary", "All rights reserved. Unauthorized copying is prohibited"),
 ]
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -84,10 +91,11 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     per_file = files.select(F.explode(F.array_intersect(_terms(F.coalesce("text", F.lit(""))), wanted)).alias("term"))
     seen = per_file.groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(files.count())
-    idf_top = F.log(1.0 + n) + 1.0
+    most = F.lit(math.log(1.0 + RAREST) + 1.0)
+    idf_top = F.least(F.log(1.0 + n) + 1.0, most)
     idf = (
         in_templates.select("term").distinct().join(F.broadcast(seen), "term", "left")
-        .select("term", (F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
+        .select("term", F.least(F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0, most).alias("idf"))
     )
     idf_rows = sorted((r.term, r.idf) for r in idf.collect())
     idf = spark.createDataFrame(idf_rows, "term string, idf double")

@@ -292,6 +292,20 @@ def test_license_lines_and_inheritance(spark):
     }
 
 
+@pytest.mark.parametrize("n", [200, 2000, 40000])
+def test_license_verdicts_are_the_same_in_large_corpora(spark, n):
+    lines = ["All rights reserved.", "All rights reserved. Unauthorized copying is prohibited.", "Copyright Acme. All rights reserved.", "Released under the MIT License.",
+             "the rights of all are reserved for those who asked first"]
+    F = license.F
+    plain = spark.range(n).select(F.concat(F.lit("p"), "id").alias("row"), F.lit(None).cast("string").alias("path"), F.concat(F.lit("of the words under a tree "), "id").alias("text"))
+    # each notice stands in the same share of the files
+    notices = spark.range(n // 40).select(F.concat(F.lit("q"), "id").alias("row"), F.lit(None).cast("string").alias("path"),
+                                          F.element_at(F.array(*map(F.lit, lines)), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    found = license.own_licences(spark, plain.union(notices)).where("row like 'q%'").select((F.substring("row", 2, 9).cast("int") % 5).alias("k"), "licence", "score").distinct().collect()
+    got = {r.k: r.licence for r in found}
+    assert len(found) == 5 and got == {0: "Proprietary", 1: "Proprietary", 2: "Proprietary", 3: "MIT", 4: None}
+
+
 def test_toxicity_learns_words_and_their_forms(spark):
     r = random.Random(2)
     plain = ["".join(r.choice("abcdefg") for _ in range(r.randrange(2, 7))) for _ in range(400)]
