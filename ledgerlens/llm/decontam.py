@@ -11,9 +11,8 @@ if a random bit of (j, character) says so, so that edits of the text become
 differences at few steps of the walk, which falls back into step with the
 unedited walk. Bit-sampling LSH keeps some of the first WALK steps and hashes
 them; REPETITIONS walks with bits of their own, met at all the words of an item
-(some 35 in 240 characters), bring the recall for up to a tenth of the
-characters edited, evenly spread, to 0.95 and more, and that for unspread edits
-to nearly 1. A walk's hash after a few steps must already be that of some item
+(some 35 in 240 characters), bring the recall for up to a fifth of the
+characters edited, evenly spread, to 0.95 and more. A walk's hash after a few steps must already be that of some item
 walk, which drops most windows early and loses none. What collides names an
 item and a window; windows of one item that overlap are one candidate, and its
 exact edit distance (Myers' bit-vector search for the best passage in the
@@ -24,6 +23,7 @@ the executors by broadcast, one pass over the documents for each block.
 
 Edge cases: null or blank documents and items match nothing; repeated items
 match each for itself; items shorter than SHORT characters must occur exactly;
+text without spaces has windows everywhere;
 one row per row of documents and item, the best passage, ties to the earliest.
 Very long documents are read in pieces that overlap by the largest window.
 Extra columns are ignored. Rows with a null doc_id are compared like any other.
@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 SIMILARITY = 0.8
-REPETITIONS = 4
+REPETITIONS = 16
 WALK = 36
-#: Steps whose characters are hashed: three of four.
-SAMPLED = tuple(j for j in range(WALK) if j % 4 != 3)
+#: Steps whose characters are hashed: three of four, the fourth another one in each repetition.
+SAMPLED = [tuple(j for j in range(WALK) if j % 4 != left) for left in (3, 2, 1, 0)]
 #: After these steps windows whose hash begins no item walk are dropped.
-GATES = (8, 14, 22)
+GATES = (6, 8, 10, 12, 16, 22)
 SHORT = 48
+#: In a run of more characters without a space windows stand at every character.
+RUN = 16
 ITEM_BLOCK = 2000
 #: Characters whose windows are walked at once.
 BATCH = 1 << 20
@@ -60,17 +62,26 @@ def normal(text: str | None) -> str:
 
 
 def as_bytes(text: str) -> np.ndarray:
-    """A byte for each character; those beyond Latin-1 share one."""
-    return np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
+    """A byte for each character; those beyond Latin-1 are hashed to the upper half."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), dtype=np.uint8)
+    except UnicodeEncodeError:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return np.where(code < 256, code, 128 | (code * np.uint32(0x9E3779B1)) >> np.uint32(25)).astype(np.uint8)
 
 
 def word_starts(chars: np.ndarray) -> np.ndarray:
-    after = np.flatnonzero(chars[:-1] == 32) + 1 if len(chars) else np.zeros(0, np.int64)
-    return np.concatenate([[0], after]) if len(chars) else after
+    """Places of words, and each place more than RUN characters into a run without a space."""
+    if not len(chars):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(chars[:-1] == 32) + 1])
+    long = np.flatnonzero(np.diff(starts, append=len(chars)) > RUN + 1)
+    ends = np.append(starts, len(chars))
+    return np.concatenate([starts, *(np.arange(starts[k] + RUN, ends[k + 1]) for k in long)])
 
 
-def best_passage(item: str, text: str) -> tuple[int, int, int]:
-    """(distance, start, end) of the passage of ``text`` nearest to ``item``, the earliest end of ties."""
+def best_passage(item: str, text: str, most: int) -> tuple[int, int, int]:
+    """(distance, start, end) of the passage of ``text`` nearest to ``item``, the earliest end of ties; no start beyond ``most``."""
 
     def search(pattern: str, over: str) -> tuple[int, int]:
         m = len(pattern)
@@ -92,6 +103,8 @@ def best_passage(item: str, text: str) -> tuple[int, int, int]:
         return best, end
 
     distance, end = search(item, text)
+    if distance > most:
+        return distance, end, end
     _, back = search(item[::-1], text[:end][::-1])
     return distance, end - back, end
 
@@ -116,7 +129,7 @@ class ItemIndex:
         passed = []
         for j in range(WALK):
             c = chars[pointer]
-            if j in SAMPLED:
+            if j in SAMPLED[rep % len(SAMPLED)]:
                 h ^= c
                 h *= _P
             pointer += self.moves[rep, j][c]
@@ -185,7 +198,7 @@ def matches(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
 
     def offer(doc: int, item: int, low: int, high: int) -> None:
         part = texts[doc][max(0, low) : high]
-        distance, a, b = best_passage(index.texts[item], part)
+        distance, a, b = best_passage(index.texts[item], part, budget[item])
         found = (distance, max(0, low) + a, max(0, low) + b)
         if distance <= budget[item] and found < best.get((doc, item), (1 << 60, 0, 0)):
             best[doc, item] = found

@@ -170,6 +170,23 @@ def test_decontamination_finds_edited_passages_and_leaves_clean_text(spark):
         assert g.distance == edit_distance_to_best_passage(decontam.normal(items[g.item_id][1]), decontam.normal(texts[g.doc_id]))
 
 
+def edited(r, text, edits, letters):
+    s = list(text)
+    for _ in range(edits):
+        at, kind = r.randrange(len(s)), r.randrange(3)
+        s[at : at + (kind != 1)] = [r.choice(letters)] * (kind != 2)
+    return "".join(s)
+
+
+def test_decontamination_recall_at_the_bound():
+    r = random.Random(3)
+    make = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(n))
+    items = [make(40) for _ in range(100)]
+    texts = [f"{make(30)} {edited(r, t, len(t) // 5, 'abcdefghij ')} {make(30)}" for t in items]
+    found = {d for d, i, *_ in decontam.matches(decontam.build_index(list(range(100)), items), texts) if d == i}
+    assert len(found) >= 95
+
+
 def test_main_text_reads_the_article_and_differences_pages_without_one(spark):
     menu = "<nav><a href='/'>Home</a></nav><div id=cookie-notice>We use cookies</div>"
     pages = [
