@@ -22,8 +22,8 @@ Items are the small side: they are read in blocks of ITEM_BLOCK, each sent to
 the executors by broadcast, one pass over the documents for each block.
 
 Edge cases: null or blank documents and items match nothing; repeated items
-match each for itself; items shorter than SHORT characters must occur exactly;
-text without spaces has windows everywhere;
+match each for itself; items shorter than SHORT characters are searched for by
+edit distance in whole documents; text without spaces has windows everywhere;
 one row per row of documents and item, the best passage, ties to the earliest.
 Very long documents are read in pieces that overlap by the largest window.
 Extra columns are ignored. Rows with a null doc_id are compared like any other.
@@ -48,6 +48,7 @@ WALK = 36
 SAMPLED = [tuple(j for j in range(WALK) if j % 4 != left) for left in (3, 2, 1, 0)]
 #: After these steps windows whose hash begins no item walk are dropped.
 GATES = (6, 8, 10, 12, 16, 22)
+#: Items of fewer characters are searched for whole, without walks.
 SHORT = 48
 #: In a run of more characters without a space windows stand at every character.
 RUN = 16
@@ -80,6 +81,37 @@ def word_starts(chars: np.ndarray) -> np.ndarray:
     return np.concatenate([starts, *(np.arange(starts[k] + RUN, ends[k + 1]) for k in long)])
 
 
+def short_hits(item: np.ndarray, budget: int, chars: np.ndarray) -> np.ndarray:
+    """Places of ``chars`` where a passage within ``budget`` edits of ``item`` (at most 63 bytes) ends.
+
+    Myers' search in many lanes of ``chars`` at once; lanes overlap by the longest passage. Bytes that several
+    characters share can only add hits.
+    """
+    m, n = len(item), len(chars)
+    lead = m + budget
+    step = max(256, lead)
+    first = np.arange(0, n, step)
+    padded = np.concatenate([np.zeros(lead, np.uint8), chars, np.zeros(step, np.uint8)])
+    one, full, top = np.uint64(1), np.uint64((1 << m) - 1), np.uint64(m - 1)
+    eq = np.zeros(256, np.uint64)
+    for i, c in enumerate(item):
+        eq[c] |= one << np.uint64(i)
+    pv, mv, score = np.full(len(first), full), np.zeros(len(first), np.uint64), np.full(len(first), m, np.int32)
+    hits = []
+    for j in range(lead + step):
+        x = eq[padded[first + j]]
+        xv = x | mv
+        xh = (((x & pv) + pv) ^ pv) | x
+        ph, mh = mv | (full & ~(xh | pv)), pv & xh
+        score += ((ph >> top) & one).astype(np.int32) - ((mh >> top) & one).astype(np.int32)
+        ph, mh = (ph << one) & full, (mh << one) & full
+        pv, mv = mh | (full & ~(xv | ph)), ph & xv
+        if j >= lead:
+            hits.append(first[score <= budget] + j - lead)
+    ends = np.concatenate(hits) + 1
+    return np.sort(ends[ends <= n])
+
+
 def best_passage(item: str, text: str, most: int) -> tuple[int, int, int]:
     """(distance, start, end) of the passage of ``text`` nearest to ``item``, the earliest end of ties; no start beyond ``most``."""
 
@@ -243,10 +275,20 @@ def matches(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
             held, size = [], 0
     if held:
         flush(held)
-    for i in index.short:
-        for doc, text in enumerate(texts):
-            if (at := text.find(index.texts[i])) >= 0:
-                best[doc, i] = (0, at, at + len(index.texts[i]))
+    for doc, at, chars in pieces() if index.short else ():
+        for i in index.short:
+            last = -1
+            size = len(index.texts[i]) + budget[i]
+            for end in short_hits(as_bytes(index.texts[i]), budget[i], chars):
+                # ends next to each other are one passage's; each gap starts another search
+                if last >= 0 and end > last + 1:
+                    offer(doc, i, at + begin, at + last)
+                    last = -1
+                if last < 0:
+                    begin = int(end) - size
+                last = int(end)
+            if last >= 0:
+                offer(doc, i, at + begin, at + last)
     for (doc, i), (distance, a, b) in sorted(best.items()):
         yield doc, i, distance, a, b
 

@@ -187,6 +187,18 @@ def test_decontamination_recall_at_the_bound():
     assert len(found) >= 95
 
 
+def test_decontamination_without_spaces_and_of_edited_short_items():
+    r = random.Random(6)
+    kana = [chr(c) for c in range(0x3042, 0x3094)]
+    run = lambda n: "".join(r.choice(kana) for _ in range(n))
+    items = [run(80), run(80), "what is the capital of france?", "2+2", "exactly how many legs has a spider"]
+    texts = [run(300) + items[0] + run(200), run(100) + edited(r, items[1], 8, kana) + run(300), "so wat is teh capital of france? paris", run(500), "",
+             "1+2", "x 2+2", "exactly how many legs has a spidr" + " z" * 900 + " exactly how many legs has a spider"]
+    got = {(d, i): n for d, i, n, *_ in decontam.matches(decontam.build_index(list(range(5)), items), texts)}
+    want = {(d, i): n for d, t in enumerate(texts) for i, x in enumerate(items) if (n := edit_distance_to_best_passage(x, t)) <= len(x) // 5}
+    assert got == want and set(want) == {(0, 0), (1, 1), (2, 2), (6, 3), (7, 4)}
+
+
 def test_main_text_reads_the_article_and_differences_pages_without_one(spark):
     menu = "<nav><a href='/'>Home</a></nav><div id=cookie-notice>We use cookies</div>"
     pages = [
