@@ -7,14 +7,15 @@ the like), or neither. Pages are sorted by host, path and page_id, so that a
 page's neighbours are the same host's pages with the nearest paths. The lines of
 neighbours are aligned by a longest common subsequence; lines that a neighbour
 shares are furniture and are deleted. Two things stand against deleting too
-much: lines inside a declared article stay, since articles share passages, and a
-neighbour that shares nearly all of a page without a declared article is a copy
-of it and deletes nothing. What the markup rules out goes in any case; where an
-article is declared, only its lines stay.
+much: articles share passages, so a line inside a declared article goes only if
+every one of the up to four nearest pages (REACH on each side) shares it, MOST_LIKE
+at least; and a neighbour that shares nearly all of a page (of its article, where
+one is declared) is a copy of it and deletes nothing. What the markup rules out
+goes in any case; where an article is declared, only its lines stay.
 
 Sorting is a range partitioning: no host is ever gathered in one task. The first
-and last page of each partition meet their neighbours across the boundary in a
-small second step that sees at most four pages of each partition.
+and last pages of each partition meet their neighbours across the boundary in a
+small second step that sees at most 4 * REACH pages of each partition.
 
 Edge cases: a null or empty page has the empty text. A null url, or one without
 ``://``, has no neighbours. Equal urls are neighbours by page_id. Very long pages
@@ -37,8 +38,12 @@ from .common import table
 from .urlfilter import host_of, path_of
 
 ARTICLE, OTHER, NEVER = "a", "o", "n"
-#: Of a page without a declared article: a neighbour that shares this part of its characters is a copy.
+#: A neighbour that shares this part of a page's (or its article's) characters is a copy.
 COPY = 0.8
+#: Pages on each side whose lines are compared with an article's.
+REACH = 2
+#: Neighbours that must share an article's line, and no other may lack it.
+MOST_LIKE = 3
 
 # Element names and the words of class, id and role that mark what is never article.
 INLINE = set(
@@ -208,33 +213,43 @@ class Page:
         lines = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if len(packed) else []
         self.kinds, self.texts = [x[0] for x in lines], [x[1:] for x in lines]
         self.shared: set[int] = set()
+        self.declared = ARTICLE in self.kinds
+        self.own = sum(len(t) for t, k in zip(self.texts, self.kinds) if k == (ARTICLE if self.declared else OTHER))
+        #: Of an article: how many neighbours, copies left out, share each of its lines, and how many there are.
+        self.likes: dict[int, int] = {}
+        self.met = 0
         self.pending = bool(row[5]) if len(row) > 5 else True
 
-    def meet(self, other: Page) -> None:
-        """Mark in both pages the lines that they share."""
-        if not self.host or self.host != other.host:
+    def meet(self, other: Page, apart: int) -> None:
+        """Mark in both pages the lines that they share; only articles look further than the next page."""
+        if not self.host or self.host != other.host or (apart > 1 and not (self.declared or other.declared)):
             return
         pairs = common_lines(self.texts, other.texts)
         for page, places in ((self, {i for i, _ in pairs}), (other, {j for _, j in pairs})):
-            if ARTICLE not in page.kinds:
-                own = sum(len(t) for t, k in zip(page.texts, page.kinds) if k == OTHER)
-                if sum(len(page.texts[i]) for i in places if page.kinds[i] == OTHER) >= COPY * own:
-                    continue
-            page.shared |= places
+            alike = [i for i in places if page.kinds[i] == (ARTICLE if page.declared else OTHER)]
+            copy = sum(len(page.texts[i]) for i in alike) >= COPY * page.own
+            if page.declared and not copy:
+                page.met += 1
+                for i in alike:
+                    page.likes[i] = page.likes.get(i, 0) + 1
+            if apart == 1 and (page.declared or not copy):
+                page.shared |= places
+
+    def deleted(self) -> set[int]:
+        """The lines that go because neighbours share them."""
+        if not self.declared:
+            return self.shared
+        furniture = {i for i, n in self.likes.items() if n == self.met >= MOST_LIKE}
+        return furniture | {i for i in self.shared if self.kinds[i] != ARTICLE}
 
     def text(self) -> str:
-        declared = ARTICLE in self.kinds
-        left = [
-            t
-            for i, (k, t) in enumerate(zip(self.kinds, self.texts))
-            if k != NEVER and (k == ARTICLE if declared else i not in self.shared)
-        ]
+        gone = self.deleted()
+        left = [t for i, (k, t) in enumerate(zip(self.kinds, self.texts)) if k == (ARTICLE if self.declared else OTHER) and i not in gone]
         return " ".join(left)
 
     def row(self) -> tuple:
         text = self.text()
-        gone = sum(1 for i in self.shared if self.kinds[i] != ARTICLE)
-        return self.page_id, self.url, text, len(text), gone
+        return self.page_id, self.url, text, len(text), len(self.deleted())
 
 
 OUT = ["page_id", "url", "text", "n_chars", "n_shared_lines"]
@@ -247,15 +262,15 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[Page]:
 
 
 def _met(pages: Iterator[Page]) -> Iterator[Page]:
-    """Each page once it has met the page before and the page after it."""
-    before = None
+    """Each page once it has met the REACH pages before and after it."""
+    before: list[Page] = []
     for page in pages:
-        if before is not None:
-            before.meet(page)
-            yield before
-        before = page
-    if before is not None:
-        yield before
+        for apart, other in enumerate(reversed(before), 1):
+            other.meet(page, apart)
+        before.append(page)
+        if len(before) > REACH:
+            yield before.pop(0)
+    yield from before
 
 
 def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
@@ -281,31 +296,32 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The results of all pages of a partition but its first and last."""
+    """The results of all pages of a partition but its first and last REACH."""
 
     def rows() -> Iterator[tuple]:
-        held = None
+        held: list[Page] = []
         for n, page in enumerate(_met(_stream(batches))):
-            if held is not None and n > 1:
-                yield held.row()
-            held = page
+            if n >= REACH:
+                held.append(page)
+            if len(held) > REACH:
+                yield held.pop(0).row()
 
     return _frames(rows())
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first two and last two pages of a partition; the outermost are pending."""
+    """The first and last 2 * REACH pages of a partition; the outermost REACH are pending."""
     first, last, n = [], [], 0
     for pdf in batches:
         for row in pdf.itertuples(index=False, name=None):
-            if n < 2:
+            if n < 2 * REACH:
                 first.append(row)
             else:
-                last = [*last, row][-2:]
+                last = [*last, row][-2 * REACH :]
             n += 1
     kept = [*first, *last]
     if kept:
-        marks = [i in (0, len(kept) - 1) for i in range(len(kept))]
+        marks = [i < REACH or i >= len(kept) - REACH for i in range(len(kept))]
         yield pd.DataFrame([(*r, m) for r, m in zip(kept, marks)], columns=["page_id", "url", "host", "path", "packed", "pending"])
 
 

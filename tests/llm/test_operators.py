@@ -199,6 +199,16 @@ def test_decontamination_without_spaces_and_of_edited_short_items():
     assert got == want and set(want) == {(0, 0), (1, 1), (2, 2), (6, 3), (7, 4)}
 
 
+def test_main_text_deletes_unnamed_template_lines_inside_articles(spark):
+    page = lambda k, extra="": f"<article><p>Share this story with friends</p><p>Own text number {k} of this page</p>{extra}<p>{'long tail ' * 9}{k}</p><p>Subscribe to us</p></article>"
+    pages = [(k, f"http://a.com/{k}", page(k, "<p>A passage of two</p>" if k in (3, 4) else "")) for k in range(1, 7)]
+    pages += [(20 + k, f"http://copy.com/{k}", page(1)) for k in range(6)] + [(30 + k, f"http://few.com/{k}", page(k)) for k in range(2)]
+    got = {r.page_id: r for r in maintext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in (2, 3, 4, 5):  # pages with three neighbours or more
+        assert got[k].text == f"Own text number {k} of this page{' A passage of two' if k in (3, 4) else ''} {'long tail ' * 9}{k}" and got[k].n_shared_lines == 2
+    assert all("Share this" in got[k].text and got[k].n_shared_lines == 0 for k in (*range(20, 26), 30, 31)) and len(got) == 14
+
+
 def test_main_text_reads_the_article_and_differences_pages_without_one(spark):
     menu = "<nav><a href='/'>Home</a></nav><div id=cookie-notice>We use cookies</div>"
     pages = [
