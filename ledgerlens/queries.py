@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import fuzzy, numbers, text
-from ledgerlens.operators import corpus, evaluation, retrieval
+from ledgerlens.operators import corpus, evaluation, ontology, retrieval
 from ledgerlens.plans import facts as P
 from ledgerlens.plans.facts import FACTS_SQL, facts_long, load
 
@@ -358,15 +358,12 @@ def evidence_row_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_ontology_join(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct part types against a small alias list, exact first, then the best token_sort score of 85 or more."""
+    """Distinct part types against all of them as aliases, exact first, then the best token_sort score of 85 or more."""
     terms = load(spark, d, "part").select(F.lower("p_type").alias("raw")).distinct()
-    aliases = [r.key for r in load(spark, d, "part").select(F.lower("p_type").alias("key")).distinct().orderBy("key").limit(20).collect()]
-    best = F.array(*(F.struct(fuzzy.token_sort_score("raw", F.lit(a)).alias("score"), F.lit(a).alias("alias")) for a in aliases)) if aliases else None
-    if best is None:
-        return terms.select("raw", F.lit(None).cast("string").alias("canonical"), F.lit(0.0).alias("confidence"))
-    top = terms.select("raw", F.array_max(best).alias("b"))
-    fits = F.col("b.score") >= 85
-    return top.select("raw", F.when(fits, F.col("b.alias")).alias("canonical"), F.when(fits, F.col("b.score")).otherwise(0.0).alias("confidence"))
+    index = ontology.alias_index(terms.select(F.col("raw").alias("alias"), F.col("raw").alias("canonical"), F.col("raw").alias("seq")))
+    mapped = ontology.map_terms(terms, index)
+    confidence = F.when(F.col("canonical").isNotNull(), 100 * F.col("confidence")).otherwise(0.0)
+    return mapped.select("raw", "canonical", confidence.alias("confidence"))
 
 
 @query()
