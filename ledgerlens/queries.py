@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import fuzzy, numbers, text
+from ledgerlens.functions import numbers, text
 from ledgerlens.operators import corpus, evaluation, ontology, retrieval
 from ledgerlens.plans import facts as P
 from ledgerlens.plans.facts import FACTS_SQL, facts_long, load
