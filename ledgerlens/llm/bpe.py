@@ -13,9 +13,12 @@ a parameter; its text is read once on the driver and sent to the executors.
 Edge cases: a null or empty text has no tokens and decodes to the empty string.
 Strings of the vocabulary's special tokens in a text become those tokens, as in
 the library. Symbols outside the vocabulary are dropped, as the library does
-without an unknown token. Very long texts are encoded whole: the memory of a
-task is bounded by the new distinct pre-tokens of WORDS_AT_ONCE words and by a
-cache that is emptied at CACHED_WORDS. Extra columns are ignored by the query.
+without an unknown token. Very long texts are encoded whole. No pre-token crosses
+white space and no character composes across it, so a text is cut at white space
+and each distinct chunk is normalised, split and encoded once; the memory of a task
+is bounded by a text's own chunks, by WORDS_AT_ONCE pre-tokens that are merged
+together and by caches that are emptied at CACHED_CHARS characters. Extra columns
+are ignored by the query.
 """
 
 from __future__ import annotations
@@ -35,10 +38,13 @@ from pyspark.sql import types as T
 
 from .common import table
 
-CACHED_WORDS = 200_000
+#: Characters of chunks, ids and decoded texts that a task keeps, and what an entry counts besides.
+CACHED_CHARS, ENTRY_CHARS = 40_000_000, 300
 #: New distinct pre-tokens that are merged together.
 WORDS_AT_ONCE = 20_000
 #: Unicode white space as the vocabulary's normalizer sees it.
+#: ``str.split`` cuts at these as well, the vocabulary doesn't.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = "\t-\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
@@ -69,20 +75,28 @@ class WordBpe:
         self.find = regex.compile(pattern).findall
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        #: chunk -> (decimal ids joined by one space, decoded text, number of tokens)
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.kept = 0
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """Pre-tokens and special tokens of a text in order."""
+    def chunks(self, text: str) -> list[str]:
+        """What stands between white space, and special tokens, in order."""
         parts = self.cut.split(text) if any(s in text for s in self.special) else [text]
         out: list[str] = []
         for part in parts:
             if part in self.special:
                 out.append(part)
-            elif part:
-                plain = self.spaces.sub(" ", unicodedata.normalize("NFC", part))
-                out += self.find(plain.replace("Σ", "σ").lower())  # the library lower-cases each character by itself
+            elif any(c in part for c in _NOT_SPACE):
+                out += filter(None, self.spaces.split(part))
+            else:
+                out += part.split()
         return out
 
+    def pre_tokens(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk in order."""
+        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+        return self.find(plain.replace("Σ", "σ").lower())  # the library lower-cases each character by itself
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each distinct pre-token, by the pair occurrence index."""
         sym: list[int] = []
@@ -129,38 +143,51 @@ class WordBpe:
                     at[pair_].append(o)
         return [[s for s in sym[a:b] if s >= 0] for a, b in zip(bounds, bounds[1:])]
 
-    def learn(self, words: set[str]) -> None:
-        """Put the pre-tokens that are not yet known in the cache."""
-        new = sorted(w for w in words if w not in self.known and w not in self.special)
-        for i in range(0, len(new), WORDS_AT_ONCE):
-            part = new[i : i + WORDS_AT_ONCE]
-            for word, ids in zip(part, self.encode_words(part)):
-                self.known[word] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        for s, i in self.special.items():
-            self.known[s] = (str(i), s, 1)
+    def learn(self, chunks: set[str]) -> None:
+        """Put the chunks that are not yet known in the cache."""
+        held: list[tuple[str, list[str]]] = []
+        words: dict[str, int] = {}
+
+        def flush() -> None:
+            coded = self.encode_words(list(words))
+            for chunk, own in held:
+                ids = [i for w in own for i in coded[words[w]]]
+                self.keep(chunk, " ".join(map(str, ids)), self.decode(ids), len(ids))
+            held.clear(), words.clear()
+
+        for chunk in sorted(chunks):
+            if chunk in self.special:
+                self.keep(chunk, str(self.special[chunk]), chunk, 1)
+                continue
+            own = self.pre_tokens(chunk)
+            held.append((chunk, own))
+            for w in own:
+                words.setdefault(w, len(words))
+            if len(words) >= WORDS_AT_ONCE:
+                flush()
+        flush()
+
+    def keep(self, chunk: str, ids: str, text: str, count: int) -> None:
+        self.known[chunk] = ids, text, count
+        self.kept += len(chunk) + len(ids) + len(text) + ENTRY_CHARS
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens' names joined by one space."""
         return " ".join(self.name[i] for i in ids)
 
     def encode(self, text: str | None) -> list[int]:
-        words = self.pre_tokens(text or "")
-        self.learn(set(words))
-        return [int(i) for w in words for i in self.known[w][0].split()]
+        return [int(i) for ids, _, _ in self.rows([text]) for i in ids.split()]
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """(decimal ids joined by one space, decoded text, number of tokens) of each text."""
-        for i in range(0, len(texts), 500):
-            cut = [self.pre_tokens(t or "") for t in texts[i : i + 500]]
-            self.learn(set().union(*cut))
-            known = self.known
-            for words in cut:
-                found = [known[w] for w in words]
-                if not all(f[2] for f in found):
-                    found = [f for f in found if f[2]]
-                yield " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
-            if len(known) > CACHED_WORDS:
-                self.known = {}
+        for text in texts:
+            if self.kept > CACHED_CHARS:
+                self.known, self.kept = {}, 0
+            chunks, known = self.chunks(text or ""), self.known
+            if new := {c for c in chunks if c not in known}:
+                self.learn(new)
+            found = [f for f in map(known.__getitem__, chunks) if f[2]]
+            yield " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
 
 
 @lru_cache(maxsize=2)

@@ -15,14 +15,16 @@ from a public SentencePiece model file, a parameter; a piece's log-probability
 follows from its place by Zipf's law, ln(1 / ((place + 1) * H)).
 
 Edge cases: null, empty and blank texts have no tokens. Very long texts are
-counted whole; a word of any length is walked a character at a time. The trie is
-emptied when it holds TRIE_NODES nodes, which bounds a task's memory and changes
-no count. Repeated rows each give a row. Extra columns are ignored.
+counted whole. The trie is emptied, also in the middle of a text, when it holds
+TRIE_NODES nodes, and a word of more than LONG_WORD characters is scored without
+it, keeping only as many forward scores as the longest piece needs; both bound a
+task's memory and change no count. Repeated rows each give a row. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import pandas as pd
@@ -33,7 +35,8 @@ from .common import table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-TRIE_NODES = 1_500_000
+TRIE_NODES = 1_200_000
+LONG_WORD = 2_000
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -54,8 +57,8 @@ def sentencepiece_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in sorted(ids, key=lambda i: (-model.get_score(i), i))]
 
 
-class Trie:
-    """Nodes are numbers; node 0 is the empty prefix."""
+class Trie(dict):
+    """word -> its terminal count. Nodes are numbers; node 0 is the empty prefix."""
 
     def __init__(self, scores: dict[str, float], most_nodes: int = TRIE_NODES):
         self.scores, self.most_nodes = scores, most_nodes
@@ -65,44 +68,55 @@ class Trie:
         self.empty()
 
     def empty(self) -> None:
+        self.clear()
         self.children: list[dict[str, int]] = [{}]
         self.best: list[tuple[float, int]] = [(0.0, 0)]  # forward score, minus the number of tokens
-        self.terminal: dict[str, int] = {}
 
-    def add(self, word: str) -> int:
-        """The number of tokens of a marked word; new nodes are made and scored on the way."""
-        children, best, scores, longest = self.children, self.best, self.scores, self.longest
+    def forward(self, text: str, end: int, before: Callable[[int], tuple[float, int]]) -> tuple[float, int]:
+        """The best (score, minus tokens) of the first ``end`` characters, given those of shorter prefixes."""
+        score, tokens = before(end - 1)
+        top = (score + self.unknown, tokens - 1)
+        for start in range(max(0, end - self.longest), end):
+            piece = self.scores.get(text[start:end])
+            if piece is not None:
+                score, tokens = before(start)
+                if (found := (score + piece, tokens - 1)) > top:
+                    top = found
+        return top
+
+    def __missing__(self, word: str) -> int:
+        """The number of tokens of a word; new nodes are made and scored on the way."""
+        marked = MARK + word
+        if len(marked) > LONG_WORD:
+            return self.long(marked)
+        if len(self.best) > self.most_nodes:
+            self.empty()
+        children, best = self.children, self.best
         path, node = [0], 0
-        for end, c in enumerate(word, 1):
+        before = lambda k: best[path[k]]
+        for end, c in enumerate(marked, 1):
             below = children[node].get(c)
             if below is None:
-                score, tokens = best[node]
-                top = (score + self.unknown, tokens - 1)
-                for start in range(max(0, end - longest), end):
-                    piece = scores.get(word[start:end])
-                    if piece is not None:
-                        score, tokens = best[path[start]]
-                        if (found := (score + piece, tokens - 1)) > top:
-                            top = found
                 below = children[node][c] = len(best)
-                best.append(top)
+                best.append(self.forward(marked, end, before))
                 children.append({})
                 self.made += 1
             node = below
             path.append(node)
-        self.terminal[word] = count = -best[node][1]
+        self[word] = count = -best[node][1]
         return count
 
+    def long(self, marked: str) -> int:
+        ring = [(0.0, 0)] * (self.longest + 1)
+        before = lambda k: ring[k % len(ring)]
+        for end in range(1, len(marked) + 1):
+            ring[end % len(ring)] = self.forward(marked, end, before)
+        return -before(len(marked))[1]
+
     def count(self, text: str | None) -> tuple[int, int]:
         """(tokens, words) of a text."""
         words = (text or "").split()
-        if len(self.best) > self.most_nodes:
-            self.empty()
-        known = self.terminal
-        for w in set(words):
-            if (marked := MARK + w) not in known:
-                self.add(marked)
-        return sum([known[MARK + w] for w in words]), len(words)
+        return sum(map(self.__getitem__, words)), len(words)
 
 
 def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:

@@ -105,7 +105,8 @@ def test_empty_tables(spark):
 def test_bpe_equals_the_library(spark):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    texts = [*TEXTS, (50, "ΑΣ İst ß ﬁ Å é \x1c\x85　x"), (51, "a<|endoftext|>B it's we'll"), (52, "aaaa" * 3000), (53, "١٢٣ ½ 🙂")]
+    texts = [*TEXTS, (50, "ΑΣ İst ß ﬁ Å é \x1c\x85　x"), (51, "a<|endoftext|>B it's we'll"), (52, "aaaa" * 3000), (53, "١٢٣ ½ 🙂"), (54, "e\u0301 \u0301x a\u2000\u0308 \ufb01\u2003Å\u1680\x1da\x1c\x1d b\u3000don't\u00a0I'LL--'re"),
+             (55, "<|endoftext|><|startoftext|> x<|endoftext|>")]
     rows = {r.doc_id: r for r in bpe.encode_documents(documents(spark, texts), bpe.public_vocabulary()).collect()}
     for i, t in texts:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -134,10 +135,27 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     assert Counter((r.doc_id, r.n_tokens, r.n_words) for r in rows) == want
 
 
-def test_trie_shares_prefixes():
-    trie = tokencount.Trie({"a": -1.0, "b": -1.0})
-    trie.add("aaab"), trie.add("aaaa"), trie.add("aaab")
-    assert trie.made == 5 and trie.terminal == {"aaab": 4, "aaaa": 4}
+def test_trie_shares_prefixes_and_bounds_its_nodes():
+    trie = tokencount.Trie({"▁": -0.5, "a": -1.0, "b": -1.0})
+    assert [trie["aaab"], trie["aaaa"], trie["aaab"]] == [5, 5, 5]
+    assert trie.made == 6 and dict(trie) == {"aaab": 5, "aaaa": 5}
+    small, r = tokencount.Trie({"▁": -0.5, "a": -1.0, "ab": -1.2, "b": -1.0}, most_nodes=30), random.Random(1)
+    words = ["".join(r.choice("ab") for _ in range(r.randrange(1, 30))) for _ in range(300)]
+    assert small.count(" ".join(words)) == (sum(map(tokencount.Trie(small.scores).__getitem__, words)), 300)
+    assert len(small.best) <= 30 + 31
+    assert small["ab" * 500_000] == small.long("▁" + "ab" * 500_000) == 500_001 and len(small.best) <= 30 + 31
+
+
+def test_token_counts_equal_a_unigram_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    r = random.Random(8)
+    pieces = sorted({"▁", *"abcdef", *("".join(r.choice("abcdef") for _ in range(r.randrange(2, 5))) for _ in range(200)), "▁ab", "▁fed", "▁c"})
+    scores = {p: -1.0 - 9 * r.random() for p in pieces}
+    library = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", -99.0), *scores.items()], unk_id=0))
+    trie = tokencount.Trie(scores)
+    for _ in range(500):
+        word = "".join(r.choice("abcdef") for _ in range(r.randrange(1, 25)))
+        assert trie[word] == len(library.encode("▁" + word).ids)
 
 
 def edit_distance_to_best_passage(item, text):
