@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,7 +48,21 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, by: str | None =
     (writer.partitionBy(by) if by else writer).parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(spark: SparkSession, df: DataFrame | None = None, part: str = "") -> None:
+    """Remove the files of a materialised table (or one folder of them) that nothing reads any more.
+
+    The driver's collection lets Spark remove shuffle files of finished jobs as well.
+    """
+    if df is not None:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{df.stage_path}/{part}" if part else df.stage_path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -3,47 +3,45 @@
 A count r of at most K is discounted by Good-Turing's d_r, computed from the
 counts of counts of its order; where these give no discounts strictly between 0
 and 1 (small corpora), the order takes absolute discounting with D = n1 / (n1 +
-2 n2) instead. Larger counts keep all but SPARE of one, so that every history
-keeps mass for the unseen. With r* for a discounted count:
-
-P(w | h) = r* / c(h) for a seen pair, else alpha(h) P(w), recursively;
-P(w) = c* / N for a seen word, and one unknown type has the rest. alpha(h) is
-(1 - sum of P(w | h)) / (1 - sum of P(w)) over the words seen after h, so each
-history's probabilities sum to 1 over the V + 1 types. Unknown histories leave
-P(w) as it is.
-
-All occurrences are moved once, to partitions by the hash of the predicted word,
-in compressed blocks: sorted words, and for each occurrence the places of its
-history and its document. A partition's parts (by further hash bits) are read
-one at a time, so memory is bounded by a part of about PART_TOKENS tokens. Where
-a part's words are together, counts of words and pairs are exact, and each
-occurrence adds to its document's sums: log r* of seen pairs, log c* of the
-unseen, and, since a word's count is also its count as a history, the - log c(h)
-of the next token. What the discounts decide later is kept as counts by r. What
-is left is log(alpha(h) c(h)) of unseen pairs, from per-history sums joined by
-h. The tables of pairs' and histories' sums are partitioned by kind in the
-shared folder.
-
-No word or pair is a hot group. One pass over all texts finds the words and pairs
-that may make more than a quarter of a part (or SHARE of the corpus, so that the
-list is bounded), a second counts just these exactly, and the counts are
-broadcast, at most 2 / SHARE of each. Occurrences of a listed pair are then scored
-where they are read and never moved; those of other pairs of a listed word go by
-the hash of the pair, over all parts. What is listed decides where the work is
-done, not the results. Sums are combined before they are shuffled. Per-history
-sums are only kept for histories that a bitmap (2^23 bits, fixed) names as words
-of held-out documents, since only those can meet unseen pairs. Words stand as
-64-bit hashes once counted.
+2 n2) instead. Larger counts are kept whole; only where a history has none of at
+most K, so that nothing would be left for the unseen, each of its counts gives
+up SPARE. With r* for a discounted count, h for a history and h' for the history
+less its first word, P of order k is recursively
+
+    P_k(w | h) = r* / c(h) for a seen n-gram, else alpha(h) P_(k-1)(w | h'),
+
+with alpha(h) = (1 - sum of P_k(w | h)) / (1 - sum of P_(k-1)(w | h')) over the
+words seen after h, alpha = 1 for an unknown history, P_1(w) = r* / N for a seen
+word and one unknown type that has the rest. So each history's probabilities
+sum to 1 over the V + 1 types.
+
+Documents are cut into blocks of BLOCK_TOKENS tokens. For each order k, from 1 up,
+a block sends its distinct n-grams, with their training counts, to the parts of
+that order's table. A part merges what all blocks sent, stores its n-grams and
+counts as the table (partitioned by order and part in the shared folder) and
+answers each block: the counts, the n-grams' numbers, and for unseen n-grams the
+sums from which alpha follows. The number of an n-gram is its place in its part
+and the part, so an n-gram of the next order is a pair of numbers, its history's
+and its word's, and n-grams of one history meet in one part. When all orders are
+answered, each block evaluates the recursion token by token.
+
+No n-gram is a hot group: a block sends it once, however often it occurs. A
+history with more than SPLIT tokens is spread over several parts by the next
+word; sums of such histories (at most 2 / SHARE per order) are gathered and
+broadcast. A part has about PART_KEYS n-grams and a task works on one part or one
+block at a time, which bounds its memory. A stage's files are removed once the
+next has read them.
 
 Edge cases: a null or empty text has one token, the end. Repeated rows are
-documents of their own. Without training documents N and V are 0, the unknown
-type has probability 1. Extra columns are ignored.
+documents of their own. A long text fills a block by itself. Without training
+documents N and V are 0 and the unknown type has probability 1. Extra columns
+are ignored. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection, Iterator
-from functools import reduce
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -53,28 +51,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
+ORDER = 3
 K = 5
 SPARE = 0.01
-BLOCK_TOKENS = 1_500_000
-PART_TOKENS = 1_500_000
-PARTS_PER_GROUP = 4
-#: The least share of the corpus that lists a word or pair.
+BLOCK_TOKENS = 400_000
+PART_KEYS = 1_000_000
+#: Histories of more tokens (or more than SHARE of all, so that few are) are spread over parts.
+SPLIT = 250_000
 SHARE = 2.0**-18
-MAP_BITS = 23
-#: Rows of a frame that leaves a task, and documents whose sums a task holds before it lets them go.
-ROWS = 50_000
-HELD_DOCS = 300_000
-START, END = 1, 0
-DOC, UNSEEN, HISTORY, NAME, STATS = range(5)
-COUNTS = [f"i{k}" for k in range(13)]
-SCHEMA = "kind int, uid long, h long, n long, base double, part double, " + ", ".join(f"{c} long" for c in COUNTS)
+DOCS, KEYS, ANSWER, STATS, SPREAD, TABLE = range(6)
+ROW = "kind int, block long, ord int, part int, data binary"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
+END = 0
 
 
 def hashes_of(words: Collection[bytes]) -> np.ndarray:
-    """Signed 64-bit hashes; START and END are numbers of their own."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,21 +77,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 2
+        self[word] = n = len(self) + 1
         return n
 
 
-def _small(x: np.ndarray) -> bytes:
-    """An array of non-negative numbers in as few bytes as its largest needs."""
-    kind = np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint16 if x.max() < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes as the largest needs, first all lowest bytes, then the next."""
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    raw = np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width)
+    return bytes([width]) + raw.T.tobytes()
 
 
-def _large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw[0]], offset=1).astype(np.int64)
+def _whole(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    x = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    return np.ascontiguousarray(x.T).view(f"<u{width}").reshape(-1).astype(np.int64)
 
 
-def _pack(fields: list[bytes]) -> bytes:
+def _rises(x: np.ndarray) -> bytes:
+    """Integers as differences, each by its sign in the lowest bit."""
+    d = np.diff(x, prepend=0)
+    return _planes(np.where(d < 0, -2 * d - 1, 2 * d))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    d = _whole(raw)
+    return np.cumsum(np.where(d & 1, -(d >> 1) - 1, d >> 1))
+
+
+def _pack(*fields: bytes) -> bytes:
     sizes = np.array([len(fields), *map(len, fields)], np.int64).tobytes()
     return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(fields))
 
@@ -109,404 +118,359 @@ def _unpack(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Ids, list[np.ndarray], list, list[bool]]]:
-    """Blocks of about BLOCK_TOKENS tokens: the words' numbers, and each document's words, doc_id and part."""
-    ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
-    for pdf in batches:
-        for doc_id, text, out in zip(pdf["doc_id"], pdf["text"], pdf["held"]):
-            found = words_of(text)
-            docs.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
-            doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-            held.append(bool(out))
-            size += len(found) + 1
-            if size >= BLOCK_TOKENS:
-                yield ids, docs, doc_ids, held
-                ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
-    if docs:
-        yield ids, docs, doc_ids, held
-
-
-def _tokens(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word, history and document of each token, and the documents' lengths."""
-    lengths = np.array([len(d) + 1 for d in docs])
-    ends = np.cumsum(lengths)
-    w = np.zeros(ends[-1], np.int64)
-    inside = np.ones(len(w), bool)
-    inside[ends - 1] = False
-    w[inside] = np.concatenate(docs)
-    h = np.empty_like(w)
-    h[1:], h[ends[:-1]], h[0] = w[:-1], START, START
-    return w, h, np.repeat(np.arange(len(docs)), lengths), lengths
-
-
-def _vocabulary(ids: _Ids) -> np.ndarray:
-    return np.concatenate([np.array([END, START], np.int64), hashes_of(ids)])
-
-
-def _places(of: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Where each of ``of`` stands in the sorted ``among``, else -1."""
-    if not len(among):
-        return np.full(len(of), -1)
-    at = np.minimum(np.searchsorted(among, of), len(among) - 1)
-    return np.where(among[at] == of, at, -1)
-
-
-class _Listed:
-    """The words and pairs whose training counts are known before the main pass."""
-
-    def __init__(self, words: np.ndarray, before: np.ndarray, after: np.ndarray):
-        self.words, self.before = np.unique(words), np.unique(before)
-        k = _places(after, self.words)
-        self.codes = np.unique((k * len(self.before) + _places(before, self.before))[k >= 0])
-        self.c1, self.c2 = np.zeros(len(self.words), np.int64), np.zeros(len(self.codes), np.int64)
-
-    def find(self, hashes: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For tokens with words w and histories h of a block: places of their words and pairs, -1 if not listed."""
-        k, j = _places(hashes, self.words)[w], _places(hashes, self.before)[h]
-        both = np.flatnonzero((k >= 0) & (j >= 0))
-        pair = np.full(len(w), -1)
-        pair[both] = _places(k[both] * len(self.before) + j[both], self.codes)
-        return k, pair
-
-
-def _frequent(share: float):
-    """Rows (kind, a, b, n): words (0) and pairs (1) with at least half of ``share`` of a block, held-out words' bitmap (2)."""
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=NAMES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marked = np.zeros(1 << MAP_BITS, bool)
-        for ids, docs, _, held in _documents(batches):
-            w, h, doc, _ = _tokens(docs)
-            hashes, least, size = _vocabulary(ids), max(1.0, share * len(w) / 2), len(ids) + 2
-            out = np.array(held, bool)[doc]
-            own = np.zeros(size, bool)
-            own[w[out]] = True
-            marked[(hashes[own].view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-            n = np.bincount(w, minlength=size)
-            often = np.flatnonzero(n >= least)
-            yield pd.DataFrame({"kind": 0, "a": hashes[often], "b": 0, "n": n[often]})
-            some = (n >= least)[w] & (n + np.bincount(h, minlength=size) >= least)[h]
-            code, n = np.unique(h[some] * size + w[some], return_counts=True)
-            code, n = code[n >= least], n[n >= least]
-            yield pd.DataFrame({"kind": 1, "a": hashes[code // size], "b": hashes[code % size], "n": n})
-        bits = np.packbits(marked, bitorder="little").view(np.int64)
-        at = np.flatnonzero(bits)
-        yield pd.DataFrame({"kind": 2, "a": at, "b": 0, "n": bits[at]})
 
-    return run
+def _keyed(block: int, order: int, part: np.ndarray, *columns) -> pd.DataFrame:
+    """KEYS rows: ``columns`` are (array, packer), cut by the ascending ``part``."""
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    cuts = [*at.tolist(), len(part)]
+    rows = [(KEYS, block, order, int(part[a]), _pack(*(p(x[a:b]) for x, p in columns))) for a, b in zip(cuts, cuts[1:])]
+    return _frame(rows)
+
+
+def discounts(counts: dict[int, int]) -> list[float]:
+    """d_1 .. d_K from the counts of counts 1 .. K + 1."""
+    n = [0, *(counts.get(r, 0) for r in range(1, K + 2))]
+    if n[1] and n[K + 1]:
+        common = (K + 1) * n[K + 1] / n[1]
+        if common < 1:
+            found = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] else 0.0 for r in range(1, K + 1)]
+            if all(0 < d < 1 for d in found):
+                return found
+    spare = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return [(r - spare) / r for r in range(1, K + 1)]
+
+
+@dataclass
+class Model:
+    """What the tasks of all orders need: sizes, discounts by order and the sums of spread histories."""
+
+    parts: int
+    split: int
+    n: int = 0
+    v: int = 0
+    docs: int = 0
+    unseen: float = 1.0
+    #: No word occurs at most K times.
+    closed: bool = False
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+    #: order -> sorted histories, counts n_1 .. n_K and n_(>K), lower sums
+    spread: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
+    def star(self, order: int, c: np.ndarray, closed: np.ndarray | bool) -> np.ndarray:
+        """Discounted counts; ``closed``: the history has no count of at most K."""
+        return np.where(c <= K, c * self.d[order][np.minimum(c, K)], c - SPARE * closed)
 
-def _exact(listed: _Listed):
-    """Rows (kind, a, b, n): training counts of the listed words and pairs by place."""
+    def learn(self, order: int, counts: dict[int, int]) -> None:
+        self.d[order] = np.array([1.0, *discounts(counts)])
+        if order == 1 and self.n:
+            self.closed = not any(counts[r] for r in range(1, K + 1))
+            left = SPARE * self.v if self.closed else sum(counts.get(r, 0) * r * (1 - self.d[1][r]) for r in range(1, K + 1))
+            self.unseen = left / self.n
+
+
+def _tokenise(parts: int):
+    """Texts to blocks: a DOCS row and the words of the block as KEYS of order 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c1, c2 = np.zeros_like(listed.c1), np.zeros_like(listed.c2)
-        for ids, docs, _, held in _documents(batches):
-            w, h, doc, _ = _tokens(docs)
-            train = ~np.array(held, bool)[doc]
-            k, pair = listed.find(_vocabulary(ids), w[train], h[train])
-            c1 += np.bincount(k[k >= 0], minlength=len(c1))
-            c2 += np.bincount(pair[pair >= 0], minlength=len(c2))
-        for kind, n in ((0, c1), (1, c2)):
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"kind": kind, "a": at, "b": 0, "n": n[at]})
+        base, seq = TaskContext.get().partitionId() << 32, 0
+        ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
+
+        def flush() -> pd.DataFrame:
+            hashes = np.concatenate([np.zeros(1, np.uint64), hashes_of(ids)])
+            part = (hashes % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((hashes, part))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            lengths = np.array([len(d) + 1 for d in docs])
+            words = np.zeros(lengths.sum(), np.int64)  # END where nothing else stands
+            inside = np.ones(len(words), bool)
+            inside[np.cumsum(lengths) - 1] = False
+            words[inside] = np.concatenate(docs)
+            words = rank[words]
+            out = np.array(held, bool)
+            token_out = np.repeat(out, lengths)
+            n = np.bincount(words[~token_out], minlength=len(order))
+            wanted = np.bincount(words[token_out], minlength=len(order)) > 0
+            names = np.array([0 if i is None else i for i in doc_ids], np.int64), np.array([i is None for i in doc_ids])
+            head = _pack(names[0].tobytes(), _planes(names[1]), _planes(out), _planes(lengths), _planes(words))
+            sent = _keyed(base + seq, 1, part[order], (hashes[order], np.ndarray.tobytes), (n, _planes), (wanted, _planes))
+            return pd.concat([_frame([(DOCS, base + seq, 0, -1, head)]), sent])
+
+        for pdf in batches:
+            for doc_id, text, out in zip(pdf["doc_id"], pdf["text"], pdf["held"]):
+                found = words_of(text)
+                docs.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                held.append(bool(out))
+                size += len(found) + 1
+                if size >= BLOCK_TOKENS:
+                    yield flush()
+                    seq += 1
+                    ids, docs, doc_ids, held, size = _Ids(), [], [], [], 0
+        if docs:
+            yield flush()
 
     return run
 
 
-def _survey(rows: DataFrame, share: float, least: float) -> tuple[_Listed, np.ndarray]:
-    """The listed words and pairs with their counts, and the bitmap; at most 4 / SHARE + 2^MAP_BITS / 64 rows come to the driver."""
-    schema = "kind int, a long, b long, n long"
-    counts = F.sum(F.when(F.col("kind") < 2, F.col("n"))).alias("n")
-    found = rows.mapInPandas(_frequent(share), schema).groupBy("kind", "a", "b").agg(counts, F.bit_or("n").alias("bits"))
-    found = found.where((F.col("kind") == 2) | (F.col("n") >= least)).toPandas()
-    words, pairs, bits = (found[found["kind"] == k] for k in range(3))
-    listed = _Listed(*(x.to_numpy(np.int64) for x in (words["a"], pairs["a"], pairs["b"])))
-    out = np.zeros((1 << MAP_BITS) // 64, np.int64)
-    out[bits["a"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    sums = rows.mapInPandas(_exact(listed), schema).groupBy("kind", "a").agg(F.sum("n").alias("n")).toPandas()
-    for kind, c in ((0, listed.c1), (1, listed.c2)):
-        own = sums[sums["kind"] == kind]
-        c[own["a"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
-    return listed, np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _add(sums: np.ndarray, doc: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> None:
-    """Adds tokens with counts r1 of their words and r2 of their pairs to the sums of their documents."""
-    n, seen = len(sums), r2 > 0
-    part = np.where(seen & (r2 > K), np.log10(np.maximum(r2 - SPARE, 1)), 0) + np.where(~seen & (r1 > K), np.log10(np.maximum(r1 - SPARE, 1)), 0)
-    # as the history of the next token; the end is the history of none, but its count is that of the start
-    part -= np.log10(np.maximum(r1, 1))
-    sums[:, 0] += np.bincount(doc, np.log10(r1 + 1.0), n)
-    sums[:, 1] += np.bincount(doc, part, n)
-    sums[:, 2] += np.bincount(doc, r1 > 0, n)
-    kind = np.where(seen, np.where(r2 <= K, r2, 0), np.where(r1 <= K, K + 1 + r1, 0))  # 0: counted by its logarithm
-    sums[:, 3:] += np.bincount(doc * len(COUNTS) + kind, minlength=n * len(COUNTS)).reshape(n, -1)[:, 1:]
-
-
-def _blocks(groups: int, shared):
-    """Documents to packed occurrences: rows of (grp, sub, data)."""
-    parts = groups * PARTS_PER_GROUP
-
-    def pack(base: int, ids: _Ids, docs: list[np.ndarray], doc_ids: list, held: list[bool]) -> Iterator[tuple]:
-        listed, _ = shared.value
-        w, h, doc, lengths = _tokens(docs)
-        names, hashes = [b"", b"", *ids], _vocabulary(ids)
-        k, pair = listed.find(hashes, w, h)
-        known = pair >= 0
-        if known.any():
-            # scored here: the counts are known
-            sums = np.zeros((-(-len(docs) // 8) * 8, 2 + len(COUNTS)))  # as many as there are flags
-            r2 = listed.c2[pair[known]]
-            _add(sums, doc[known], listed.c1[k[known]], r2)
-            lost, times = np.unique(doc[known][r2 == 0] * len(names) + h[known][r2 == 0], return_counts=True)
-            fields = [np.int64(base).tobytes(), sums.tobytes(), (lost // len(names)).tobytes(), hashes[lost % len(names)].tobytes(), times.astype(np.int64).tobytes()]
-            yield base % groups, -2, _pack(fields)
-            w, h, doc, k = w[~known], h[~known], doc[~known], k[~known]
-        bucket = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        # a listed word counts as several, one for each part, by the hash of the pair
-        word, own = w.copy(), np.arange(len(names))
-        spread = np.flatnonzero(k >= 0)
-        mixed = (hashes[w[spread]].view(np.uint64) * np.uint64(31) + hashes[h[spread]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-        several, at = np.unique(w[spread] * parts + (mixed % np.uint64(parts)).astype(np.int64), return_inverse=True)
-        word[spread] = len(names) + at.reshape(-1)
-        own, bucket = np.concatenate([own, several // parts]), np.concatenate([bucket, several % parts])
-        # by part, then word; a stable sort leaves the documents of a word in order
-        rank = np.empty(len(bucket), np.int32)
-        rank[np.lexsort((own, bucket))] = np.arange(len(bucket), dtype=np.int32)
-        order = np.argsort(rank[word], kind="stable")
-        w, h, doc = w[order], h[order], doc[order]
-        cuts = np.searchsorted(bucket[word[order]], np.arange(parts + 1))
-        flags = np.packbits(np.array(held, bool)).tobytes()
-        for b in np.flatnonzero(np.diff(cuts)):
-            a, z = cuts[b], cuts[b + 1]
-            found, n = np.unique(w[a:z], return_counts=True)
-            before, place = np.unique(h[a:z], return_inverse=True)
-            # the words of both lists in order, END and START by number
-            lists = [b"\n".join(names[i] for i in x if i > START) for x in (found, before)]
-            marks = np.array([END in found, START in before], np.uint8).tobytes()
-            fields = [np.int64(base).tobytes(), flags, lists[0], lists[1], marks, _small(n), _small(place.reshape(-1)), _small(doc[a:z])]
-            yield int(b) % groups, int(b) // groups, _pack(fields)
-        head = [np.int64(base).tobytes(), np.array([-1 if i is None else i for i in doc_ids], np.int64).tobytes(), np.array([i is None for i in doc_ids], np.uint8).tobytes(), np.array(held, np.uint8).tobytes(), lengths.astype(np.int64).tobytes()]
-        yield base % groups, -1, _pack(head)
+def _by(batches: Iterator[pd.DataFrame], name: str) -> Iterator[list[tuple]]:
+    """The rows of each block or part in turn; rows come sorted."""
+    at, held = None, []
+    place = NAMES.index(name)
+    for pdf in batches:
+        for row in pdf[NAMES].itertuples(index=False, name=None):
+            if held and row[place] != at:
+                yield held
+                held = []
+            at = row[place]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _answer(order: int, sent):
+    """KEYS of a part to a TABLE row, the blocks' ANSWER rows, STATS and the sums of SPREAD histories."""
+
+    def merge(rows: list[tuple]) -> Iterator[tuple]:
+        model, part = sent.value, rows[0][3]
+        fields = [_unpack(r[4]) for r in rows]
+        n, wanted = (np.concatenate([_whole(f[k]) for f in fields]) for k in (-2, -1))
+        if order == 1:
+            words = np.concatenate([np.frombuffer(f[0], np.uint64) for f in fields])
+            sizes = [len(f[0]) // 8 for f in fields]
+            names, at = np.unique(words, return_inverse=True)
+            table_ = _pack(names.tobytes())
+        else:
+            before, words, lower, spread = ([g(f[k]) for f in fields] for k, g in enumerate((_risen, _whole, _whole, _whole)))
+            sizes = list(map(len, words))
+            before, words, lower, spread = map(np.concatenate, (before, words, lower, spread))
+            wide = int(words.max()) + 1
+            if (int(before.max()) + 1) * wide < 1 << 62:
+                histories, code = None, before * wide + words
+            else:
+                histories, code = np.unique(before, return_inverse=True)
+                code = code * wide + words
+            names, at = np.unique(code, return_inverse=True)
+            h, w = names // wide, names % wide
+            h = h if histories is None else histories[h]
+        c = np.bincount(at, n, len(names)).astype(np.int64)
+        out = np.zeros(len(names), bool)
+        out[at[wanted > 0]] = True
+        stats = [int((c == r).sum()) for r in range(1, K + 2)]
+        closed, sums, hist = np.zeros(len(names), bool), None, None
+        if order == 1:
+            stats += [int(c.sum()), int((c > 0).sum()), int(c[names == END].sum())]
+        else:
+            table_ = _pack(_rises(h[c > 0]), _planes(w[c > 0]), _planes(c[c > 0]))
+            low = np.zeros(len(names), np.int64)
+            low[at[lower > 0]] = lower[lower > 0]
+            own = np.zeros(len(names), bool)
+            own[at[spread > 0]] = True
+            start = np.diff(h, prepend=-1) != 0
+            hist = np.cumsum(start) - 1
+            size = int(hist[-1]) + 1
+            kind = np.minimum(c, K + 1)
+            sums = np.stack([np.bincount(hist, kind == r, size) for r in range(1, K + 2)], axis=1).astype(np.int64)
+            below = np.bincount(hist, np.where((c > 0) & (low > 0), model.star(order - 1, low >> 1, low & 1), 0.0), size)
+            closed = ((sums[:, :K].sum(axis=1) == 0) & (sums[:, K] > 0))[hist]
+            shared = own[start] & (sums.sum(axis=1) > 0)
+            if shared.any():
+                yield SPREAD, 0, order, part, _pack(h[start][shared].tobytes(), sums[shared].tobytes(), below[shared].tobytes())
+        yield TABLE, 0, order, part, table_ if order > 1 else _pack(names[c > 0].tobytes(), _planes(c[c > 0]))
+        yield STATS, 0, order, part, np.array(stats, np.int64).tobytes()
+        flags = closed.astype(np.int64) + 2 * out
+        for row, own_at in zip(rows, np.split(at, np.cumsum(sizes)[:-1])):
+            answer = [_planes(c[own_at]), _rises(own_at), _planes(flags[own_at])]
+            if order > 1:
+                lost = own_at[c[own_at] == 0]
+                answer += [*(_planes(sums[hist[lost], r]) for r in range(K + 1)), below[hist[lost]].tobytes()]
+            yield ANSWER, row[1], order, part, _pack(*answer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        for seq, block in enumerate(_documents(batches)):
-            for row in pack((part << 40) + (seq << 24), *block):
-                yield pd.DataFrame([row], columns=["grp", "sub", "data"])
+        for rows in _by(batches, "part"):
+            for row in merge(rows):
+                yield _frame([row])
 
     return run
 
 
-def _hashes(words: bytes, mark: int, special: int) -> np.ndarray:
-    own = hashes_of(words.split(b"\n") if words else [])
-    return np.concatenate([np.full(mark, special, np.int64), own])
-
-
-def _frames(kind: int, **columns: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows of SCHEMA, ROWS at a time; what isn't given is 0."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for i in range(0, len(next(iter(columns.values()))), ROWS):
-        part = {c: x[i : i + ROWS] for c, x in columns.items()}
-        n = len(next(iter(part.values())))
-        fill = {c: np.zeros(n, float if c in ("base", "part") else np.int64) for c in names if c not in part}
-        yield pd.DataFrame({**fill, **part, "kind": np.full(n, kind)})[names]
-
-
-class _Part:
-    """All occurrences of some words. The blocks stay packed; one is open at a time."""
-
-    def __init__(self, blobs: list[bytes]):
-        self.blobs = blobs
-        own, before = [], []
-        for blob in blobs:
-            _, _, w_words, h_words, marks, *_ = _unpack(blob)
-            own.append(_hashes(w_words, marks[0], END))
-            before.append(_hashes(h_words, marks[1], START))
-        self.words, w_map = np.unique(np.concatenate(own), return_inverse=True)
-        self.before, h_map = np.unique(np.concatenate(before), return_inverse=True)
-        self.w_maps = np.split(w_map.reshape(-1), np.cumsum([len(x) for x in own])[:-1])
-        self.h_maps = np.split(h_map.reshape(-1), np.cumsum([len(x) for x in before])[:-1])
-
-    def occurrences(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(base, documents of the block, word, pair code, document, training?) of each block."""
-        for blob, w_map, h_map in zip(self.blobs, self.w_maps, self.h_maps):
-            base, flags, _, _, _, n, place, doc = _unpack(blob)
-            w = np.repeat(w_map, _large(n))
-            doc = _large(doc)
-            held = np.unpackbits(np.frombuffer(flags, np.uint8)).astype(bool)
-            yield int(np.frombuffer(base, np.int64)[0]), len(held), w, w * len(self.before) + h_map[_large(place)], doc, ~held[doc]
-
-    def count(self, listed: _Listed) -> None:
-        """Training counts of words, and of pairs by code; those of listed words are known."""
-        self.c1 = np.zeros(len(self.words), np.int64)
-        codes, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-
-        def merge() -> None:
-            both, at = np.unique(np.concatenate(codes), return_inverse=True)
-            counts[:] = [np.bincount(at.reshape(-1), np.concatenate(counts), len(both)).astype(np.int64)]
-            codes[:] = [both]
-
-        for _, _, w, code, _, train in self.occurrences():
-            self.c1 += np.bincount(w[train], minlength=len(self.words))
-            found, n = np.unique(code[train], return_counts=True)
-            codes.append(found)
-            counts.append(n)
-            size += len(found)
-            if size > 1_000_000 and size > len(codes[0]):
-                merge()
-                size = 0
-        merge()
-        self.pairs, self.c2 = codes[0], counts[0]
-        at = _places(self.words, listed.words)
-        self.own = at < 0
-        self.c1[~self.own] = listed.c1[at[~self.own]]
-
-    def rows(self, listed: _Listed, wanted: np.ndarray, docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
-        """Rows of unseen pairs, histories and statistics; adds the documents' sums to ``docs`` by block."""
-        self.count(listed)
-        big = len(self.before)
-        for base, n, w, code, doc, _ in self.occurrences():
-            at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
-            r2 = np.where(self.pairs[at] == code, self.c2[at], 0) if len(self.pairs) else np.zeros_like(code)
-            seen = r2 > 0
-            _add(docs.setdefault(base, np.zeros((n, 2 + len(COUNTS)))), doc, self.c1[w], r2)
-            if not seen.all():
-                lost, times = np.unique(doc[~seen] * big + code[~seen] % big, return_counts=True)
-                yield from _frames(UNSEEN, uid=base + lost // big, h=self.before[lost % big], n=times)
-        yield from _pair_rows(self.before, self.pairs % big, self.c2, self.c1[self.pairs // big], wanted)
-        yield from _statistics(self.c1[self.own], self.c2)
-
-
-def _pair_rows(before: np.ndarray, h: np.ndarray, m: np.ndarray, t: np.ndarray, wanted: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Sums of the pairs of each history: h by place in ``before``, counts m of the pairs and t of their words."""
-    asked = wanted[(before.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] | (before == START)
-    keep = asked[h] & (m > 0)
-    h, m, t = h[keep], m[keep], t[keep]
-    there, h = np.unique(h, return_inverse=True)
-    if len(there):
-        count = lambda at, x=None: np.bincount(h[at], None if x is None else x[at], len(there)).astype(np.int64)
-        sums = {f"i{r - 1}": count(m == r) for r in range(1, K + 1)} | {f"i{K}": count(m > K)}
-        sums |= {f"i{K + r}": count(t == r) for r in range(1, K + 1)} | {f"i{2 * K + 1}": count(t > K), "n": count(t > K, t)}
-        yield from _frames(HISTORY, h=before[there], **sums)
-
-
-def _statistics(c1: np.ndarray, c2: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Counts of counts of words and pairs, tokens and words."""
-    stats = {f"i{r - 1}": np.array([(c1 == r).sum()]) for r in range(1, K + 2)} | {f"i{K + r}": np.array([(c2 == r).sum()]) for r in range(1, K + 2)}
-    yield from _frames(STATS, n=np.array([c1.sum()]), uid=np.array([(c1 > 0).sum()]), **stats)
-
-
-def _document_rows(docs: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
-    for base, sums in docs.items():
-        counts = {c: sums[:, 2 + k].astype(np.int64) for k, c in enumerate(COUNTS)}
-        yield from _frames(DOC, uid=base + np.arange(len(sums)), base=sums[:, 0], part=sums[:, 1], **counts)
-    docs.clear()
-
-
-def _reduce(listed: _Listed, wanted: np.ndarray):
-    """Packed occurrences in order of their part to rows of SCHEMA; a task combines the sums of documents."""
-
+class _Block:
+    """The tokens of a block and what the tables know of their n-grams, order by order."""
+
+    def __init__(self, model: Model, rows: list[tuple]):
+        self.model, self.block = model, rows[0][1]
+        head = _unpack(rows[0][4])
+        nulls, self.held, self.lengths, words = map(_whole, head[1:])
+        self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(head[0], np.int64), nulls)]
+        self.train = np.repeat(self.held == 0, self.lengths)
+        ends = np.cumsum(self.lengths)
+        self.first = np.concatenate([[0], ends[:-1]])
+        #: of each order: the n-gram of each token, and each n-gram's count, number, flags, a token of it and history's count
+        self.inv, self.c, self.gid, self.closed, self.wanted, self.some, self.total, self.alpha = ({} for _ in range(8))
+        self.inv[1] = words
+        for order in range(1, 1 + max(r[2] for r in rows)):
+            if order > 1:
+                self.keys(order)
+            self.read(order, [_unpack(r[4]) for r in rows if r[2] == order], [r[3] for r in rows if r[2] == order])
+
+    def keys(self, order: int) -> None:
+        """Finds the block's distinct n-grams, sorted by part, history and word, from the order below."""
+        model, lower = self.model, order - 1
+        names, counts = np.concatenate([[0], self.gid[lower] + 1]), np.concatenate([[model.docs], self.c[lower]])
+        before = np.empty(len(self.inv[1]), np.int64)
+        before[1:] = self.inv[lower][:-1] + 1
+        before[self.first] = 0
+        by_gid = np.argsort(self.gid[1])
+        rank = np.empty(len(by_gid), np.int64)
+        rank[by_gid] = np.arange(len(by_gid))
+        # histories stand in their own part; a spread one stands in several, by the word
+        several = -(-counts // model.split)
+        pair, home = before, names % model.parts
+        at = np.flatnonzero(several[before] > 1)
+        owner = np.arange(len(names))
+        if len(at):
+            h = before[at]
+            mixed = (self.gid[1][self.inv[1][at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            part = (home[h] + (mixed % several[h].astype(np.uint64)).astype(np.int64)) % model.parts
+            made, place = np.unique(h * model.parts + part, return_inverse=True)
+            pair = before.copy()
+            pair[at] = len(names) + place
+            owner, home = np.concatenate([owner, made // model.parts]), np.concatenate([home, made % model.parts])
+        place = np.empty(len(owner), np.int64)
+        ordered = np.lexsort((names[owner], home))
+        place[ordered] = np.arange(len(owner))
+        found, inv = np.unique(place[pair] * len(rank) + rank[self.inv[1]], return_inverse=True)
+        some = np.empty(len(found), np.int64)
+        some[inv] = np.arange(len(inv))
+        owned = ordered[found // len(rank)]
+        self.inv[order], self.some[order], self.total[order] = inv, some, counts[owner[owned]]
+        self.sent = home[owned], names[owner[owned]], self.gid[1][by_gid[found % len(rank)]], owner[owned], several[owner[owned]] > 1
+
+    def emit(self, order: int) -> pd.DataFrame:
+        self.keys(order)
+        part, before, words, owner, spread = self.sent
+        n = np.bincount(self.inv[order][self.train], minlength=len(part))
+        out = np.bincount(self.inv[order][~self.train], minlength=len(part)) > 0
+        below = self.inv[order - 1][self.some[order]]
+        # the lower order's count and flag, for sums over histories that held-out documents ask for
+        asked = np.concatenate([[True], self.wanted[order - 1]])[owner] & (n > 0)
+        lower = np.where(asked, 2 * self.c[order - 1][below] + self.closed[order - 1][below], 0)
+        return _keyed(self.block, order, part, (before, _rises), (words, _planes), (lower, _planes), (spread, _planes), (n, _planes), (out, _planes))
+
+    def read(self, order: int, answers: list[list[bytes]], parts: list[int]) -> None:
+        model = self.model
+        self.c[order] = np.concatenate([_whole(a[0]) for a in answers])
+        self.gid[order] = np.concatenate([_risen(a[1]) * model.parts + p for a, p in zip(answers, parts)])
+        flags = np.concatenate([_whole(a[2]) for a in answers])
+        self.closed[order], self.wanted[order] = flags & 1, flags > 1
+        if order == 1:
+            self.closed[order] = np.full(len(flags), int(model.closed))
+            return
+        c, total = self.c[order], self.total[order]
+        lost = np.flatnonzero(c == 0)
+        sums = np.stack([np.concatenate([_whole(a[3 + r]) for a in answers]) for r in range(K + 1)], axis=1)
+        below = np.concatenate([np.frombuffer(a[4 + K]) for a in answers])
+        _, before, _, _, spread = self.sent
+        if spread.any():
+            names, every, lower = model.spread.get(order, (np.zeros(0, np.int64), np.zeros((0, K + 1), np.int64), np.zeros(0)))
+            at = np.searchsorted(names, before)
+            there = spread & (at < len(names))
+            there[there] = names[at[there]] == before[there]
+            closed = (every[:, :K].sum(axis=1) == 0) & (every[:, K] > 0)
+            self.closed[order][there] = closed[at[there]]
+            mine = there[lost]
+            sums, below = sums.copy(), below.copy()
+            sums[mine], below[mine] = every[at[lost][mine]], lower[at[lost][mine]]
+        # alpha of unseen n-grams whose history is known, as logarithms; 0 for the others
+        left = sums[:, :K] @ (np.arange(1, K + 1) * (1 - model.d[order][1:]))
+        left = np.where(sums[:, :K].sum(axis=1) == 0, SPARE * sums[:, K], left)
+        known = (total[lost] > 0) & (left > 0)
+        of_lower = np.full(len(lost), model.n) if order == 2 else self.total[order - 1][self.inv[order - 1][self.some[order][lost]]]
+        value = np.zeros(len(lost))
+        value[known] = np.log10(left[known] / total[lost][known]) - np.log10(1 - below[known] / of_lower[known])
+        self.alpha[order] = np.zeros(len(c))
+        self.alpha[order][lost] = value
+
+    def scores(self, order: int) -> pd.DataFrame:
+        """The recursion, for all tokens, from words up."""
+        model, c1 = self.model, self.c[1]
+        first = np.where(c1 > 0, model.star(1, c1, self.closed[1]) / max(model.n, 1), model.unseen)
+        score = np.log10(first)[self.inv[1]]
+        for k in range(2, order + 1):
+            seen = self.c[k] > 0
+            own = np.zeros(len(seen))
+            own[seen] = np.log10(model.star(k, self.c[k][seen], self.closed[k][seen])) - np.log10(self.total[k][seen])
+            score = np.where(seen[self.inv[k]], own[self.inv[k]], self.alpha[k][self.inv[k]] + score)
+        base = (np.log10(c1 + 1.0) - np.log10(model.n + model.v + 1.0))[self.inv[1]]
+        over = lambda x: np.add.reduceat(x, self.first)
+        known = over((c1 > 0)[self.inv[1]].astype(np.int64))
+        return pd.DataFrame({
+            "doc_id": pd.array(self.doc_ids, "Int64"), "held_out": self.held > 0, "n_tokens": self.lengths, "n_known": known,
+            "train_tokens": np.full(len(known), model.n), "base_score": over(base), "score": over(score),
+        })
+
+
+def _emit(order: int, sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs: dict[int, np.ndarray] = {}
-        blobs, at = [], None
+        for rows in _by(batches, "block"):
+            yield _Block(sent.value, rows).emit(order)
 
-        def finish() -> Iterator[pd.DataFrame]:
-            yield from _Part(blobs).rows(listed, wanted, docs)
-            if sum(map(len, docs.values())) > HELD_DOCS:
-                yield from _document_rows(docs)
+    return run
 
-        for pdf in batches:
-            for sub, data in zip(pdf["sub"], pdf["data"]):
-                if sub == -2:
-                    base, sums, doc, h, times = (np.frombuffer(f, k) for f, k in zip(_unpack(data), (np.int64, float, np.int64, np.int64, np.int64)))
-                    sums = sums.reshape(-1, 2 + len(COUNTS))
-                    docs.setdefault(int(base[0]), np.zeros(sums.shape))
-                    docs[int(base[0])] += sums
-                    if len(doc):
-                        yield from _frames(UNSEEN, uid=base[0] + doc, h=h, n=times)
-                    if sum(map(len, docs.values())) > HELD_DOCS:
-                        yield from _document_rows(docs)
-                    continue
-                if sub < 0:
-                    base, doc_ids, nulls, out, lengths = (np.frombuffer(f, k) for f, k in zip(_unpack(data), (np.int64, np.int64, np.uint8, np.uint8, np.int64)))
-                    yield from _frames(NAME, uid=base[0] + np.arange(len(doc_ids)), h=doc_ids, i0=out.astype(np.int64), i1=nulls.astype(np.int64), n=lengths)
-                    continue
-                if blobs and sub != at:
-                    yield from finish()
-                    blobs = []
-                at = sub
-                blobs.append(data)
-        if blobs:
-            yield from finish()
-        yield from _document_rows(docs)
+
+def _score(order: int, sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _by(batches, "block"):
+            yield _Block(sent.value, rows).scores(order)
 
     return run
 
 
-def discounts(counts: dict[int, int]) -> list[float]:
-    """d_1 .. d_K from the counts of counts 1 .. K + 1."""
-    n = [0, *(counts.get(r, 0) for r in range(1, K + 2))]
-    if n[1] and n[K + 1]:
-        common = (K + 1) * n[K + 1] / n[1]
-        if common < 1:
-            found = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] else 0.0 for r in range(1, K + 1)]
-            if all(0 < d < 1 for d in found):
-                return found
-    spare = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-    return [(r - spare) / r for r in range(1, K + 1)]
+def _learn(model: Model, order: int, answers: DataFrame) -> None:
+    """Statistics and spread histories of an order: a row for each part, and at most 2 / SHARE histories."""
+    rows = answers.where(F.col("kind").isin(STATS, SPREAD)).select("kind", "data").collect()
+    stats = sum((np.frombuffer(r.data, np.int64) for r in rows if r.kind == STATS), np.zeros(K + 4 if order == 1 else K + 1, np.int64))
+    counts = {r: int(stats[r - 1]) for r in range(1, K + 2)}
+    if order == 1:
+        model.n, model.v, model.docs = map(int, stats[K + 1 :])
+    model.learn(order, counts)
+    parts = [_unpack(r.data) for r in rows if r.kind == SPREAD]
+    if parts:
+        h = np.concatenate([np.frombuffer(f[0], np.int64) for f in parts])
+        sums = np.concatenate([np.frombuffer(f[1], np.int64).reshape(-1, K + 1) for f in parts])
+        names, at = np.unique(h, return_inverse=True)
+        every, lower = np.zeros((len(names), K + 1), np.int64), np.zeros(len(names))
+        np.add.at(every, at, sums)
+        np.add.at(lower, at, np.concatenate([np.frombuffer(f[2]) for f in parts]))
+        model.spread[order] = names, every, lower
+
+
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(spark: SparkSession, docs: DataFrame, held_out: Column) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    about = max(1, chars / 6)
-    groups = max(2, int(-(-about // (PART_TOKENS * PARTS_PER_GROUP))))
-    least = max(PART_TOKENS / 4, about * SHARE)
-    listed, wanted = _survey(rows, least / about, least / 2)
-    shared = spark.sparkContext.broadcast((listed, np.packbits(wanted)))
-    packed = rows.mapInPandas(_blocks(groups, shared), "grp int, sub int, data binary")
-
-    def reducer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, bits = shared.value
-        yield from _reduce(counts, np.unpackbits(bits).astype(bool))(batches)
-
-    sums = packed.repartition(groups, "grp").sortWithinPartitions("grp", "sub").mapInPandas(reducer, SCHEMA)
-    sums = materialize(spark, sums, "katz", by="kind")
-    known = list(_statistics(listed.c1, listed.c2))
-    h = listed.codes % max(len(listed.before), 1)
-    known += _pair_rows(listed.before, h, listed.c2, listed.c1[listed.codes // max(len(listed.before), 1)], wanted)
-    sums = sums.unionByName(spark.createDataFrame(pd.concat(known), SCHEMA))
-    of = lambda kind: sums.where(F.col("kind") == kind)
-    s = of(STATS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "uid", *COUNTS))).first()
-    n, v = int(s.n), int(s.uid)
-    d1, d2 = (discounts({r: int(s[f"i{at + r - 1}"]) for r in range(1, K + 2)}) for at in (0, K + 1))
-    total = float(max(n, 1))
-    # mass of the unknown type: what discounting took from the words
-    words_by_count = [int(s[f"i{r - 1}"]) for r in range(1, K + 1)]
-    unseen = (sum(x * r * (1 - d) for r, (x, d) in enumerate(zip(words_by_count, d1), 1)) + SPARE * (v - sum(words_by_count))) / total if n else 1.0
-    add = lambda terms: reduce(lambda a, b: a + b, terms)
-    history = of(HISTORY).groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", *COUNTS)))
-    left = add([F.col(f"i{r - 1}") * (r * (1 - d)) for r, d in enumerate(d2, 1)] + [F.col(f"i{K}") * SPARE])
-    lower = add([F.col(f"i{K + r}") * (r * d) for r, d in enumerate(d1, 1)] + [F.col("n") - F.col(f"i{2 * K + 1}") * SPARE]) / total
-    history = history.select("h", F.log10(left / (1.0 - lower)).alias("beta"))
-    backed = of(UNSEEN).select("uid", "h", "n").join(history, "h").groupBy("uid").agg(F.sum(F.col("n") * F.col("beta")).alias("backed"))
-    log = lambda x: float(np.log10(x))
-    per_doc = of(DOC).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("base", "part", *COUNTS)))
-    counted = add(
-        [F.col(f"i{r}") * log(r * d) for r, d in enumerate(d2, 1)] + [F.col(f"i{K + 1 + r}") * log(r * d1[r - 1] / total) for r in range(1, K + 1)] + [F.col(f"i{K + 1}") * log(unseen)]
-    )
-    # unseen words above K lack only - log N; there are as many as unseen pairs less those counted by r
-    lost = of(UNSEEN).groupBy("uid").agg(F.sum("n").alias("lost"))
-    names = of(NAME).select("uid", F.when(F.col("i1") == 0, F.col("h")).alias("doc_id"), (F.col("i0") == 1).alias("held_out"), F.col("n").alias("n_tokens"))
-    out = names.join(per_doc, "uid").join(backed, "uid", "left").join(lost, "uid", "left")
-    above = F.coalesce("lost", F.lit(0)) - add([F.col(f"i{K + 1 + r}") for r in range(K + 1)])
-    final = F.col("part") + counted + F.coalesce("backed", F.lit(0.0)) - above * log(total)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", F.col("i0").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * log(n + v + 1)).alias("base_score"), final.alias("score"),
-    )
+    about = (rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) / 6
+    model = Model(parts=max(1, int(-(-about // PART_KEYS))), split=max(SPLIT, int(about * SHARE)))
+    groups = max(2, int(-(-about // (4 * BLOCK_TOKENS))))
+    found = materialize(spark, rows.mapInPandas(_tokenise(model.parts), ROW), "katz-blocks", by="kind")
+    kept, keys = found.where(F.col("kind") == DOCS), found.where(F.col("kind") == KEYS)
+    for k in range(1, order + 1):
+        sent = spark.sparkContext.broadcast(model)
+        if k > 1:
+            keys = kept.repartition(groups, "block").sortWithinPartitions("block", "ord", "part").mapInPandas(_emit(k, sent), ROW)
+        merged = keys.repartition(model.parts, "part").sortWithinPartitions("part", "block").mapInPandas(_answer(k, sent), ROW)
+        answers = materialize(spark, merged, f"katz-{k}", by="kind")
+        del merged, keys
+        discard(spark, found, f"kind={KEYS}") if k == 1 else discard(spark)
+        _learn(model, k, answers)
+        kept = kept.unionByName(answers.where(F.col("kind") == ANSWER))
+    sent = spark.sparkContext.broadcast(model)
+    return kept.repartition(groups, "block").sortWithinPartitions("block", "ord", "part").mapInPandas(_score(order, sent), OUT)
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,40 +298,59 @@ def test_cascade_is_exact_over_its_universe():
     assert all((k in made) == (k in listed) for k in universe) and len(made.levels) > 2
 
 
-@pytest.mark.parametrize("part_tokens", [katz.PART_TOKENS, 40])
-def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, part_tokens):
-    monkeypatch.setattr(katz, "PART_TOKENS", part_tokens)  # small parts: frequent words and pairs are counted before
-    texts = [(i, t) for i, t in dict(TEXTS).items() if i != 36]
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
-    rows = katz.score(spark, documents(spark, texts), katz.F.crc32(katz.F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()
-    tokens = {i: [*(t or "").encode().lower().split(), 0] for i, t in texts}
-    c1, c2 = Counter(), Counter()
+def brute_katz(tokens, held, order):
+    """P(w | h) by definition over lists of tokens; histories are tuples."""
+    counts = [None] + [Counter() for _ in range(order)]
     for i, t in tokens.items():
         if not held[i]:
-            c1.update(t), c2.update(zip([1, *t], t))
-    n, d1, d2 = sum(c1.values()), katz.discounts(Counter(c1.values())), katz.discounts(Counter(c2.values()))
-    cut = lambda r, d: r * d[r - 1] if r <= katz.K else r - katz.SPARE
-    p1 = {w: cut(c, d1) / n for w, c in c1.items()}
-    unseen = 1 - math.fsum(p1.values())
+            padded = ["<s>"] * (order - 1) + t
+            for at in range(len(t)):
+                for k in range(1, order + 1):
+                    counts[k][tuple(padded[at + order - k : at + order])] += 1
+    n, d = sum(counts[1].values()), [None] + [katz.discounts(Counter(c.values())) for c in counts[1:]]
     after = defaultdict(dict)
-    for (h, w), c in c2.items():
-        after[h][w] = c
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            after[g[:-1]][g[-1]] = c
+
+    def kept(h):
+        small = any(c <= katz.K for c in after[h].values())
+        return {w: c * d[len(h) + 1][c - 1] if c <= katz.K else c - (0 if small else katz.SPARE) for w, c in after[h].items()}
+
+    star = {h: kept(h) for h in after}
 
     def p(h, w):
+        if not h:
+            return star[()].get(w, 0) / n or 1 - math.fsum(star[()].values()) / n if n else 1.0
         if h not in after:
-            return p1.get(w, unseen)
-        total, kept = sum(after[h].values()), math.fsum(cut(c, d2) for c in after[h].values())
+            return p(h[1:], w)
+        total = sum(after[h].values())
         if w in after[h]:
-            return cut(after[h][w], d2) / total
-        return (1 - kept / total) / (1 - math.fsum(p1[x] for x in after[h])) * p1.get(w, unseen)
+            return star[h][w] / total
+        return (1 - math.fsum(star[h].values()) / total) / (1 - math.fsum(p(h[1:], x) for x in after[h])) * p(h[1:], w)
 
-    for h in after:
+    return Counter({g[0]: c for g, c in counts[1].items()}), n, after, p
+
+
+@pytest.mark.parametrize("order, block, part, split", [(2, 60, 40, 20), (3, 10**6, 10**6, 10**6), (3, 60, 40, 20), (3, 200, 30, 3), (4, 100, 50, 10)])
+def test_katz_equals_brute_force_and_sums_to_one(spark, monkeypatch, order, block, part, split):
+    # small blocks, parts and splits: every n-gram is merged across blocks and frequent histories are spread
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block), monkeypatch.setattr(katz, "PART_KEYS", part), monkeypatch.setattr(katz, "SPLIT", split)
+    texts = [(i, t) for i, t in dict(TEXTS).items() if i != 36] + [(40 + i, "often said " * 3 + t) for i, t in TEXTS[:6]] + [(None, "no id"), (60, "x y " * 300)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
+    held[None] = False
+    rows = katz.score(spark, documents(spark, texts), katz.F.crc32(katz.F.col("doc_id").cast("string").cast("binary")) % 7 == 2, order).collect()
+    tokens = {i: [*(t or "").encode().lower().split(), 0] for i, t in texts}
+    c1, n, after, p = brute_katz(tokens, held, order)
+    for h in list(after)[:150]:
         assert math.isclose(math.fsum(p(h, w) for w in [*c1, "unseen"]), 1, abs_tol=1e-9)
+    assert len(rows) == len(texts)
     for r in rows:
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(w in c1 for w in t), n)
-        assert math.isclose(r.score, sum(math.log10(p(h, w)) for h, w in zip([1, *t], t)), abs_tol=1e-5)
-        assert math.isclose(r.base_score, sum(math.log10((c1[w] + 1) / (n + len(c1) + 1)) for w in t), abs_tol=1e-5)
+        padded = ["<s>"] * (order - 1) + t
+        assert math.isclose(r.score, sum(math.log10(p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(t)), abs_tol=1e-6)
+        assert math.isclose(r.base_score, sum(math.log10((c1[w] + 1) / (n + len(c1) + 1)) for w in t), abs_tol=1e-6)
 
 
 def test_license_lines_and_inheritance(spark):
