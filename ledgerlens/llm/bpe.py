@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a pair occurrence index.
 
 The distinct pre-tokens of a partition's documents lie end to end in one array
-of symbols. An index maps each pair of adjacent symbols to all its positions;
-a heap holds the ranks of the pairs that occur. The lowest rank is taken, its
+of symbols. An index maps each pair of adjacent symbols, by its rank, to all its
+positions; a heap holds the ranks that occur. The lowest rank is taken, its
 pair is merged at every indexed position from left to right, and the pairs that
 arise beside the merged symbols join the index and the heap. Words never share
 a pair, so each word sees its own pairs in ascending rank, as if encoded alone.
@@ -16,8 +16,8 @@ the library. Symbols outside the vocabulary are dropped, as the library does
 without an unknown token. Very long texts are encoded whole. No pre-token crosses
 white space and no character composes across it, so a text is cut at white space
 and each distinct chunk is normalised, split and encoded once; the memory of a task
-is bounded by a text's own chunks, by WORDS_AT_ONCE pre-tokens that are merged
-together and by caches that are emptied at CACHED_CHARS characters. Extra columns
+is bounded by the chunks of TEXTS_AT_ONCE texts, by WORDS_AT_ONCE pre-tokens that are merged
+together and by caches that are halved beyond CACHED_CHARS characters. Extra columns
 are ignored by the query.
 """
 
@@ -27,9 +27,11 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,9 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Characters of chunks, ids and decoded texts that a task keeps, and what an entry counts besides.
-CACHED_CHARS, ENTRY_CHARS = 40_000_000, 300
+CACHED_CHARS, ENTRY_CHARS = 80_000_000, 200
+#: Texts that are cut together.
+TEXTS_AT_ONCE = 100
 #: New distinct pre-tokens that are merged together.
 WORDS_AT_ONCE = 20_000
 #: Unicode white space as the vocabulary's normalizer sees it.
@@ -65,9 +69,17 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [vocab.get(s) for s in symbols]
         self.final = [vocab.get(s + suffix) for s in symbols]
-        self.merge = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        # pairs of vocabulary ids as one number -> rank; rank -> ids of the two and of the whole
+        self.rank: dict[int, int] = {}
+        self.rules: list[tuple[int, int, int]] = []
+        for a, b in model["merges"]:
+            if (code := vocab[a] << 32 | vocab[b]) not in self.rank:
+                self.rank[code] = len(self.rules)
+                self.rules.append((vocab[a], vocab[b], vocab[a + b]))
+        #: symbols of single bytes, and the ranks of their pairs, -1 for none
+        own = np.array([-1 if i is None else i for i in self.inner + self.final])
+        self.single = own
+        self.first = np.array([[self.rank.get(x << 32 | y, -1) if x >= 0 and y >= 0 else -1 for y in own.tolist()] for x in own.tolist()], np.int32)
         self.name = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.name.update({i: t for t, i in self.special.items()})
@@ -78,6 +90,7 @@ class WordBpe:
         #: chunk -> (decimal ids joined by one space, decoded text, number of tokens)
         self.known: dict[str, tuple[str, str, int]] = {}
         self.kept = 0
+        self.numeral = [str(i) for i in range(max(self.name) + 1)]
 
     def chunks(self, text: str) -> list[str]:
         """What stands between white space, and special tokens, in order."""
@@ -94,35 +107,46 @@ class WordBpe:
 
     def pre_tokens(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk in order."""
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        return self.find(plain.replace("Σ", "σ").lower())  # the library lower-cases each character by itself
+        if chunk.isascii():
+            plain = chunk.lower()
+        else:  # the library lower-cases each character by itself
+            plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return [plain] if plain.isalpha() else self.find(plain)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each distinct pre-token, by the pair occurrence index."""
-        sym: list[int] = []
-        bounds = [0]
-        for word in words:
-            raw = word.encode("utf-8", "replace")
-            ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-            sym += [i for i in ids if i is not None]
-            bounds.append(len(sym))
-        n, merge = len(sym), self.merge
+        raw = [w.encode("utf-8", "replace") for w in words]
+        place = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(lengths)
+        place[ends[lengths > 0] - 1] += 256
+        word = np.repeat(np.arange(len(raw)), lengths)
+        there = self.single[place] >= 0
+        place, word = place[there], word[there]
+        n = len(place)
+        bounds = np.searchsorted(word, np.arange(len(raw) + 1)).tolist()
+        # the index of all pairs that have a rank, in ascending order of rank and place
+        rank = np.where(word[:-1] == word[1:], self.first[place[:-1], place[1:]], -1)
+        where = np.flatnonzero(rank >= 0)
+        where = where[np.argsort(rank[where], kind="stable")]
+        ranks, cuts = np.unique(rank[where], return_index=True)
+        where, ranks, cuts = where.tolist(), ranks.tolist(), [*cuts.tolist(), len(where)]
+        at = {r: where[a:b] for r, a, b in zip(ranks, cuts, cuts[1:])}
+        sym = self.single[place].tolist()
         following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
         for b in bounds:
             if b:
                 following[b - 1] = -1
             if b < n:
                 previous[b] = -1
-        at: dict[tuple[int, int], list[int]] = {}
-        for p in range(n):
-            if (q := following[p]) >= 0 and (pair := (sym[p], sym[q])) in merge:
-                at.setdefault(pair, []).append(p)
-        ranks = [(*merge[pair], pair) for pair in at]
-        heapq.heapify(ranks)
-        while ranks:
-            _, new, pair = heapq.heappop(ranks)
-            left, right = pair
-            for p in sorted(at.pop(pair, ())):
+        find, rules, push, pop = self.rank.get, self.rules, heapq.heappush, heapq.heappop
+        while ranks:  # ascending, so a heap
+            rank = pop(ranks)
+            left, right, new = rules[rank]
+            places = at.pop(rank)
+            if len(places) > 1:
+                places.sort()
+            for p in places:
                 q = following[p] if sym[p] == left else -1
                 if q < 0 or sym[q] != right:
                     continue  # merged into another symbol since
@@ -131,63 +155,76 @@ class WordBpe:
                 following[p] = r
                 if r >= 0:
                     previous[r] = p
-                    if (pair_ := (new, sym[r])) in merge:
-                        if pair_ not in at:
-                            at[pair_] = []
-                            heapq.heappush(ranks, (*merge[pair_], pair_))
-                        at[pair_].append(p)
-                if o >= 0 and (pair_ := (sym[o], new)) in merge:
-                    if pair_ not in at:
-                        at[pair_] = []
-                        heapq.heappush(ranks, (*merge[pair_], pair_))
-                    at[pair_].append(o)
+                    if (k := find(new << 32 | sym[r])) is not None:
+                        if k in at:
+                            at[k].append(p)
+                        else:
+                            at[k] = [p]
+                            push(ranks, k)
+                if o >= 0 and (k := find(sym[o] << 32 | new)) is not None:
+                    if k in at:
+                        at[k].append(o)
+                    else:
+                        at[k] = [o]
+                        push(ranks, k)
         return [[s for s in sym[a:b] if s >= 0] for a, b in zip(bounds, bounds[1:])]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the chunks that are not yet known in the cache."""
-        held: list[tuple[str, list[str]]] = []
-        words: dict[str, int] = {}
-
-        def flush() -> None:
-            coded = self.encode_words(list(words))
-            for chunk, own in held:
-                ids = [i for w in own for i in coded[words[w]]]
-                self.keep(chunk, " ".join(map(str, ids)), self.decode(ids), len(ids))
-            held.clear(), words.clear()
-
-        for chunk in sorted(chunks):
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Put chunks that are not yet known, and their pre-tokens, in the cache."""
+        known, cut, new = self.known, {}, {}
+        for chunk in chunks:
             if chunk in self.special:
-                self.keep(chunk, str(self.special[chunk]), chunk, 1)
+                known[chunk] = str(self.special[chunk]), chunk, 1
                 continue
-            own = self.pre_tokens(chunk)
-            held.append((chunk, own))
-            for w in own:
-                words.setdefault(w, len(words))
-            if len(words) >= WORDS_AT_ONCE:
-                flush()
-        flush()
-
-    def keep(self, chunk: str, ids: str, text: str, count: int) -> None:
-        self.known[chunk] = ids, text, count
-        self.kept += len(chunk) + len(ids) + len(text) + ENTRY_CHARS
+            words = self.pre_tokens(chunk)
+            if len(words) != 1 or words[0] != chunk:
+                cut[chunk] = words
+            for w in words:  # a pre-token by itself is cut as it was inside its chunk
+                if w not in known:
+                    new[w] = None
+        new = list(new)
+        for i in range(0, len(new), WORDS_AT_ONCE):
+            part = new[i : i + WORDS_AT_ONCE]
+            for word, ids in zip(part, self.encode_words(part)):
+                known[word] = found = " ".join([self.numeral[i] for i in ids]), self.decode(ids), len(ids)
+                self.kept += len(found[0]) + len(found[1]) + ENTRY_CHARS
+        for chunk, words in cut.items():
+            if len(words) == 1:
+                known[chunk] = known[words[0]]
+            else:
+                found = [f for f in map(known.__getitem__, words) if f[2]]
+                known[chunk] = " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
+            self.kept += len(chunk) + ENTRY_CHARS
+
+    def shrink(self) -> None:
+        """Keep the earlier half of the cache: what is frequent was met early."""
+        self.known = dict(islice(self.known.items(), len(self.known) // 2))
+        self.kept //= 2
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens' names joined by one space."""
-        return " ".join(self.name[i] for i in ids)
+        return " ".join([self.name[i] for i in ids])
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, _ in self.rows([text]) for i in ids.split()]
 
     def rows(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """(decimal ids joined by one space, decoded text, number of tokens) of each text."""
-        for text in texts:
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            cut = [self.chunks(t or "") for t in texts[i : i + TEXTS_AT_ONCE]]
+            known = self.known
+            found = [list(map(known.get, chunks)) for chunks in cut]
+            some = [None in f for f in found]
+            if any(some):
+                self.learn({c: None for chunks, new in zip(cut, some) if new for c in chunks if c not in known})
+            for chunks, own, new in zip(cut, found, some):
+                own = list(map(known.__getitem__, chunks)) if new else own
+                ids, names, counts = zip(*own) if own else ((), (), ())
+                if 0 in counts:
+                    ids, names = filter(None, ids), [x for x, n in zip(names, counts) if n]
+                yield " ".join(ids), " ".join(names), sum(counts)
             if self.kept > CACHED_CHARS:
-                self.known, self.kept = {}, 0
-            chunks, known = self.chunks(text or ""), self.known
-            if new := {c for c in chunks if c not in known}:
-                self.learn(new)
-            found = [f for f in map(known.__getitem__, chunks) if f[2]]
-            yield " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum([f[2] for f in found])
+                self.shrink()
 
 
 @lru_cache(maxsize=2)
