@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts can be long, and each task holds a batch in several forms.
 BATCH_ROWS = 2000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -41,11 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(spark: SparkSession, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder (in folders ``by`` a column) and read it again, which cuts its lineage.
 
-    The files survive a lost executor; they are removed when the session's JVM ends.
+    The files survive a lost executor; they are removed when the session's JVM ends. Shuffle files are removed once
+    the table is written.
     """
     path = f"{shared_dir(spark)}/ledgerlens-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,16 +59,10 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, by: str | None =
     return out
 
 
-def discard(spark: SparkSession, df: DataFrame | None = None, part: str = "") -> None:
-    """Remove the files of a materialised table (or one folder of them) that nothing reads any more.
-
-    The driver's collection lets Spark remove shuffle files of finished jobs as well.
-    """
-    if df is not None:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{df.stage_path}/{part}" if part else df.stage_path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    gc.collect()
-    spark._jvm.System.gc()
+def discard(spark: SparkSession, df: DataFrame, part: str = "") -> None:
+    """Remove the files of a materialised table (or one folder of them) that nothing reads any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{df.stage_path}/{part}" if part else df.stage_path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ that order's table. A part merges what all blocks sent, stores its n-grams and
 counts as the table (partitioned by order and part in the shared folder) and
 answers each block: the counts, the n-grams' numbers, and for unseen n-grams the
 sums from which alpha follows. The number of an n-gram is its place in its part
-and the part, so an n-gram of the next order is a pair of numbers, its history's
+(frequent words first) and the part, so an n-gram of the next order is a pair of numbers, its history's
 and its word's, and n-grams of one history meet in one part. When all orders are
 answered, each block evaluates the recursion token by token.
 
@@ -56,8 +56,8 @@ from .common import discard, materialize, table
 ORDER = 3
 K = 5
 SPARE = 0.01
-BLOCK_TOKENS = 400_000
-PART_KEYS = 1_000_000
+BLOCK_TOKENS = 600_000
+PART_KEYS = 1_500_000
 #: Histories of more tokens (or more than SHARE of all, so that few are) are spread over parts.
 SPLIT = 250_000
 SHARE = 2.0**-18
@@ -65,6 +65,10 @@ DOCS, KEYS, ANSWER, STATS, SPREAD, TABLE = range(6)
 ROW = "kind int, block long, ord int, part int, data binary"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 END = 0
+#: Bytes of rows that leave a task together.
+FRAME_BYTES = 1 << 22
+
+_zstd, _unzstd = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def hashes_of(words: Collection[bytes]) -> np.ndarray:
@@ -108,11 +112,11 @@ def _risen(raw: bytes) -> np.ndarray:
 
 def _pack(*fields: bytes) -> bytes:
     sizes = np.array([len(fields), *map(len, fields)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(fields))
+    return _zstd.compress(sizes + b"".join(fields))
 
 
 def _unpack(data: bytes) -> list[bytes]:
-    raw = zstandard.decompress(data)
+    raw = _unzstd.decompress(data)
     count = int(np.frombuffer(raw, np.int64, 1)[0])
     ends = 8 * (count + 1) + np.cumsum([0, *np.frombuffer(raw, np.int64, count, 8)])
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
@@ -231,7 +235,7 @@ def _by(batches: Iterator[pd.DataFrame], name: str) -> Iterator[list[tuple]]:
         yield held
 
 
-def _answer(order: int, sent):
+def _answer(order: int, last: bool, sent):
     """KEYS of a part to a TABLE row, the blocks' ANSWER rows, STATS and the sums of SPREAD histories."""
 
     def merge(rows: list[tuple]) -> Iterator[tuple]:
@@ -242,7 +246,11 @@ def _answer(order: int, sent):
             words = np.concatenate([np.frombuffer(f[0], np.uint64) for f in fields])
             sizes = [len(f[0]) // 8 for f in fields]
             names, at = np.unique(words, return_inverse=True)
-            table_ = _pack(names.tobytes())
+            # frequent words first: small numbers, in few bytes
+            order_ = np.argsort(-np.bincount(at, n, len(names)), kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[order_] = np.arange(len(names))
+            names, at = names[order_], place[at]
         else:
             before, words, lower, spread = ([g(f[k]) for f in fields] for k, g in enumerate((_risen, _whole, _whole, _whole)))
             sizes = list(map(len, words))
@@ -281,9 +289,10 @@ def _answer(order: int, sent):
                 yield SPREAD, 0, order, part, _pack(h[start][shared].tobytes(), sums[shared].tobytes(), below[shared].tobytes())
         yield TABLE, 0, order, part, table_ if order > 1 else _pack(names[c > 0].tobytes(), _planes(c[c > 0]))
         yield STATS, 0, order, part, np.array(stats, np.int64).tobytes()
-        flags = closed.astype(np.int64) + 2 * out
+        flags = closed.astype(np.int64) + 2 * (out & (not last))
         for row, own_at in zip(rows, np.split(at, np.cumsum(sizes)[:-1])):
-            answer = [_planes(c[own_at]), _rises(own_at), _planes(flags[own_at])]
+            # the last order's n-grams need no numbers
+            answer = [_planes(c[own_at]), b"" if last else _rises(own_at), _planes(flags[own_at])]
             if order > 1:
                 lost = own_at[c[own_at] == 0]
                 answer += [*(_planes(sums[hist[lost], r]) for r in range(K + 1)), below[hist[lost]].tobytes()]
@@ -291,8 +300,14 @@ def _answer(order: int, sent):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by(batches, "part"):
+            held, size = [], 0
             for row in merge(rows):
-                yield _frame([row])
+                held.append(row)
+                size += len(row[4])
+                if size > FRAME_BYTES:
+                    yield _frame(held)
+                    held, size = [], 0
+            yield _frame(held)
 
     return run
 
@@ -363,7 +378,8 @@ class _Block:
     def read(self, order: int, answers: list[list[bytes]], parts: list[int]) -> None:
         model = self.model
         self.c[order] = np.concatenate([_whole(a[0]) for a in answers])
-        self.gid[order] = np.concatenate([_risen(a[1]) * model.parts + p for a, p in zip(answers, parts)])
+        if all(a[1] for a in answers):
+            self.gid[order] = np.concatenate([_risen(a[1]) * model.parts + p for a, p in zip(answers, parts)])
         flags = np.concatenate([_whole(a[2]) for a in answers])
         self.closed[order], self.wanted[order] = flags & 1, flags > 1
         if order == 1:
@@ -463,10 +479,10 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, order: int = O
         sent = spark.sparkContext.broadcast(model)
         if k > 1:
             keys = kept.repartition(groups, "block").sortWithinPartitions("block", "ord", "part").mapInPandas(_emit(k, sent), ROW)
-        merged = keys.repartition(model.parts, "part").sortWithinPartitions("part", "block").mapInPandas(_answer(k, sent), ROW)
+        merged = keys.repartition(model.parts, "part").sortWithinPartitions("part", "block").mapInPandas(_answer(k, k == order, sent), ROW)
         answers = materialize(spark, merged, f"katz-{k}", by="kind")
-        del merged, keys
-        discard(spark, found, f"kind={KEYS}") if k == 1 else discard(spark)
+        if k == 1:
+            discard(spark, found, f"kind={KEYS}")
         _learn(model, k, answers)
         kept = kept.unionByName(answers.where(F.col("kind") == ANSWER))
     sent = spark.sparkContext.broadcast(model)
