@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share; a temporary one where none is named, on local masters only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
     kept = getattr(shared_dir, "own", None)
     if kept is None:
         kept = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
@@ -96,7 +98,9 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     if before[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
-        edges = materialize(spark, small_star(large_star(edges)).where("u <> v").distinct(), "edges")
+        last = edges
+        edges = materialize(spark, small_star(large_star(last)).where("u <> v").distinct(), "edges")
+        discard(spark, last)
         now = mark(edges)
         if now == before:
             break

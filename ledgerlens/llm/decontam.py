@@ -4,19 +4,24 @@ Texts are compared in lower case with each run of white space as one space. An
 item is found in a document when some passage is within floor((1 - SIMILARITY) *
 length) edits of it.
 
-Item-sized windows stand at every word of a document, one for each place an
-item's own words could be aligned to it. The CGK random walk reads a window
-from there: at step j it puts out the character under its pointer and moves on
-if a random bit of (j, character) says so, so that edits of the text become
-differences at few steps of the walk, which falls back into step with the
-unedited walk. Bit-sampling LSH keeps some of the first WALK steps and hashes
-them; REPETITIONS walks with bits of their own, met at all the words of an item
-(some 35 in 240 characters), bring the recall for up to a fifth of the
-characters edited, evenly spread, to 0.95 and more. A walk's hash after a few steps must already be that of some item
-walk, which drops most windows early and loses none. What collides names an
+Item-sized windows stand at the words of a document (of LEAST_WORD characters at
+least), one for each place an item's own words could be aligned to it. The CGK
+random walk reads a window from there: at step j it puts out the character under
+its pointer and moves on if a random bit of (j, character) says so, so that edits
+of the text become differences at few steps of the walk, which falls back into
+step with the unedited walk. Bit-sampling LSH draws SAMPLED of the first WALK
+steps, anew for each of the REPETITIONS, and hashes what they put out. Walks of an
+item's whole length agree too seldom at a fifth of the characters edited, which is
+why bits are drawn from a walk's beginning; an item has a window at each of its
+words, so a passage is met from all its places. WALK, SAMPLED and REPETITIONS are
+set for a recall of 0.95 at the largest distance (measured in the tests).
+
+What a window's first HEAD characters allow is looked up in one table for each
+repetition, and at a few later steps the hash must be that of some item walk
+(a bitmap); both drop most windows early and lose none. What collides names an
 item and a window; windows of one item that overlap are one candidate, and its
-exact edit distance (Myers' bit-vector search for the best passage in the
-window, whole item) decides.
+exact edit distance (Myers' bit-vector search for the best passage in the window,
+whole item) decides. Walks see classes of characters, the exact search characters.
 
 Items are the small side: they are read in blocks of ITEM_BLOCK, each sent to
 the executors by broadcast, one pass over the documents for each block.
@@ -36,18 +41,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 SIMILARITY = 0.8
-REPETITIONS = 16
-WALK = 36
-#: Steps whose characters are hashed: three of four, the fourth another one in each repetition.
-SAMPLED = [tuple(j for j in range(WALK) if j % 4 != left) for left in (3, 2, 1, 0)]
-#: After these steps windows whose hash begins no item walk are dropped.
-GATES = (6, 8, 10, 12, 16, 22)
+REPETITIONS = 18
+WALK = 29
+#: Steps of a walk whose characters are hashed; which, is drawn anew for each repetition.
+SAMPLED = 21
+#: Every so many steps a walk moves on whatever its bits say.
+STALL = 5
+#: Classes of characters: the lowest five bits.
+CLASSES = 32
+#: Characters at a window's beginning that are looked up first.
+HEAD = 4
+#: After these steps windows whose hash begins no item walk are dropped, by bitmaps of 2^GATE_BITS.
+GATES, GATE_BITS = (9, 13, 18, 23), 18
+#: Windows begin at words of at least so many characters.
+LEAST_WORD = 4
 #: Items of fewer characters are searched for whole, without walks.
 SHORT = 48
 #: In a run of more characters without a space windows stand at every character.
@@ -71,14 +86,15 @@ def as_bytes(text: str) -> np.ndarray:
         return np.where(code < 256, code, 128 | (code * np.uint32(0x9E3779B1)) >> np.uint32(25)).astype(np.uint8)
 
 
-def word_starts(chars: np.ndarray) -> np.ndarray:
-    """Places of words, and each place more than RUN characters into a run without a space."""
+def window_starts(chars: np.ndarray) -> np.ndarray:
+    """Places of words of at least LEAST_WORD characters, and each place more than RUN characters into a run without a space."""
     if not len(chars):
         return np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.flatnonzero(chars[:-1] == 32) + 1])
-    long = np.flatnonzero(np.diff(starts, append=len(chars)) > RUN + 1)
-    ends = np.append(starts, len(chars))
-    return np.concatenate([starts, *(np.arange(starts[k] + RUN, ends[k + 1]) for k in long)])
+    cuts = np.flatnonzero(chars == 32)
+    starts, ends = np.concatenate([[0], cuts + 1]), np.append(cuts, len(chars))
+    size = ends - starts
+    long = np.flatnonzero(size > RUN)
+    return np.concatenate([starts[size >= LEAST_WORD], *(np.arange(starts[k] + RUN, ends[k]) for k in long)])
 
 
 def short_hits(item: np.ndarray, budget: int, chars: np.ndarray) -> np.ndarray:
@@ -141,74 +157,110 @@ def best_passage(item: str, text: str, most: int) -> tuple[int, int, int]:
     return distance, end - back, end
 
 
+class Walker:
+    """The random bits of all repetitions: which character classes move the pointer at which step, and which steps count."""
+
+    def __init__(self, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.moves = rng.integers(0, 2, (REPETITIONS, WALK, CLASSES), dtype=np.int32)
+        self.moves[:, STALL - 1 :: STALL] = 1  # no walk stands still for long
+        self.sampled = np.array([np.isin(np.arange(WALK), rng.choice(WALK, SAMPLED, replace=False)) for _ in range(REPETITIONS)])
+
+    def step(self, rep: int, j: int, c: np.ndarray, h: np.ndarray, pointer: np.ndarray) -> None:
+        if self.sampled[rep, j]:
+            h ^= c
+            h *= _P
+        pointer += self.moves[rep, j][c]
+
+    def heads(self, rep: int, code: np.ndarray) -> np.ndarray:
+        """The hash of each window's steps within its first HEAD characters, whose classes are packed in ``code``."""
+        h, pointer = np.full(len(code), rep + 1, np.uint64), np.zeros(len(code), np.int32)
+        for j in range(WALK):
+            inside = np.flatnonzero(pointer < HEAD)
+            if not len(inside):
+                break
+            at, own = pointer[inside], h[inside]
+            self.step(rep, j, ((code[inside] >> (5 * at)) & 31).astype(np.uint8), own, at)
+            h[inside], pointer[inside] = own, at
+            h[inside[at >= HEAD]] ^= np.uint64(j << 8)  # how many steps it took counts as well
+        return h
+
+
+def head_codes(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The classes of the first HEAD characters of each window in one number."""
+    code = np.zeros(len(starts), np.int32)
+    for k in range(HEAD):
+        code |= classes[starts + k].astype(np.int32) << (5 * k)
+    return code
+
+
 @dataclass
 class ItemIndex:
-    """The walks of a block of items: for each repetition sorted hashes with item and offset."""
+    """The walks of a block of items: for each repetition the heads and gates that they pass, and sorted hashes with item and offset."""
 
     ids: list
     texts: list[str]
-    moves: np.ndarray
+    walker: Walker
+    heads: list[np.ndarray]
     gates: list[list[np.ndarray]]
     hashes: list[np.ndarray]
     item: list[np.ndarray]
     offset: list[np.ndarray]
     short: list[int]
 
-    def walk(self, rep: int, chars: np.ndarray, starts: np.ndarray, gated: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """(hash, start, pointer at the end) of the windows that pass the gates, and the hashes at the gates."""
-        pointer, start = starts.astype(np.int32), starts.astype(np.int32)
-        h = np.full(len(starts), rep + 1, dtype=np.uint64)
-        passed = []
-        for j in range(WALK):
-            c = chars[pointer]
-            if j in SAMPLED[rep % len(SAMPLED)]:
-                h ^= c
-                h *= _P
-            pointer += self.moves[rep, j][c]
-            if j + 1 in GATES:
-                if gated:
-                    keep = self.gates[rep][len(passed)][(h >> np.uint64(44)).astype(np.int32)]
-                    h, start, pointer = h[keep], start[keep], pointer[keep]
-                    passed.append(None)
-                else:
-                    passed.append(h.copy())
-        return h, start, pointer, passed
+
+def _gate(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - GATE_BITS)).astype(np.int64)
 
 
 def build_index(ids: list, texts: list[str], seed: int = 11) -> ItemIndex:
-    rng = np.random.default_rng(seed)
-    index = ItemIndex(ids, texts, rng.integers(0, 2, (REPETITIONS, WALK, 256), dtype=np.int32), [], [], [], [], [])
-    index.short = [i for i, t in enumerate(texts) if t and len(t) < SHORT]
+    walker = Walker(seed)
+    index = ItemIndex(ids, texts, walker, [], [], [], [], [], [i for i, t in enumerate(texts) if t and len(t) < SHORT])
+    whole = [(i, as_bytes(t) & 31) for i, t in enumerate(texts) if len(t) >= SHORT]
+    flat = np.concatenate([np.concatenate([c, np.zeros(WALK + 1, np.uint8)]) for _, c in whole]) if whole else np.zeros(WALK + 1, np.uint8)
+    base, starts, item, stop = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, c in whole:
+        own = window_starts(as_bytes(texts[i]))
+        starts.append(own + base), item.append(np.full(len(own), i)), stop.append(np.full(len(own), base + len(c)))
+        base += len(c) + WALK + 1
+    starts, item, stop = map(np.concatenate, (starts, item, stop))
+    first = np.cumsum([0, *(len(c) + WALK + 1 for _, c in whole)])[:-1]
+    offset = starts - (first[np.searchsorted(first, starts, side="right") - 1] if len(first) else 0)
+    every = np.arange(1 << (5 * HEAD), dtype=np.int32)
     for rep in range(REPETITIONS):
-        hashes, items, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        gates = [np.zeros(1 << 20, bool) for _ in GATES]
-        for i, t in enumerate(texts):
-            if len(t) < SHORT:
-                continue
-            chars = as_bytes(t)
-            h, start, end, passed = index.walk(rep, np.concatenate([chars, np.zeros(WALK + 1, np.uint8)]), word_starts(chars), False)
-            whole = end <= len(chars)
-            for gate, at in zip(gates, passed):
-                gate[(at[whole] >> np.uint64(44)).astype(np.int32)] = True
-            hashes.append(h[whole])
-            items.append(np.full(whole.sum(), i))
-            offsets.append(start[whole].astype(np.int64))
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        index.gates.append(gates)
-        index.hashes.append(h[order])
-        index.item.append(np.concatenate(items)[order])
-        index.offset.append(np.concatenate(offsets)[order])
+        h, pointer, gates = np.full(len(starts), rep + 1, np.uint64), starts.astype(np.int32), []
+        for j in range(WALK):
+            walker.step(rep, j, flat[pointer], h, pointer)
+            if j + 1 in GATES:
+                gates.append(h.copy())
+        fits = pointer <= stop
+        marks = []
+        for g in gates:
+            marks.append(np.zeros(1 << GATE_BITS, bool))
+            marks[-1][_gate(g[fits])] = True
+        heads = np.isin(walker.heads(rep, every), walker.heads(rep, head_codes(flat, starts[fits])))
+        order = np.argsort(h[fits], kind="stable")
+        index.heads.append(heads)
+        index.gates.append(marks)
+        index.hashes.append(h[fits][order])
+        index.item.append(item[fits][order])
+        index.offset.append(offset[fits][order])
     return index
 
 
-def candidates(index: ItemIndex, chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, place in ``chars`` where the item would begin) of all collisions; ``chars`` ends in padding."""
-    items, begins = [], []
+def candidates(index: ItemIndex, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place in ``classes`` where the item would begin) of all collisions; ``classes`` ends in padding."""
+    items, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    code = head_codes(classes, starts)
     for rep in range(REPETITIONS):
-        if not len(index.hashes[rep]):
-            continue
-        h, start, _, _ = index.walk(rep, chars, starts, True)
+        start = starts[index.heads[rep][code]].astype(np.int32)
+        h, pointer = np.full(len(start), rep + 1, np.uint64), start.copy()
+        gates = iter(index.gates[rep])
+        for j in range(WALK):
+            index.walker.step(rep, j, classes[pointer], h, pointer)
+            if j + 1 in GATES:
+                keep = np.flatnonzero(next(gates)[_gate(h)])
+                h, start, pointer = h[keep], start[keep], pointer[keep]
         low = np.searchsorted(index.hashes[rep], h, side="left")
         count = np.searchsorted(index.hashes[rep], h, side="right") - low
         hit = np.flatnonzero(count)
@@ -216,8 +268,6 @@ def candidates(index: ItemIndex, chars: np.ndarray, starts: np.ndarray) -> tuple
         entry = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         items.append(index.item[rep][entry])
         begins.append(np.repeat(start[hit].astype(np.int64), n) - index.offset[rep][entry])
-    if not items:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(items), np.concatenate(begins)
 
 
@@ -244,8 +294,8 @@ def matches(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
     def flush(held: list) -> None:
         flat = np.concatenate([x for _, _, c in held for x in (c, gap)])
         bounds = np.cumsum([0, *(len(c) + len(gap) for _, _, c in held)])
-        starts = np.concatenate([word_starts(c) + b for (_, _, c), b in zip(held, bounds)])
-        item, begin = candidates(index, flat, starts)
+        starts = np.concatenate([window_starts(c) + b for (_, _, c), b in zip(held, bounds)])
+        item, begin = candidates(index, flat & 31, starts)
         if not len(item):
             return
         # the item may begin before its piece when an early part of it is missing
@@ -293,17 +343,22 @@ def matches(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
         yield doc, i, distance, a, b
 
 
+def _indexes(spark: SparkSession, items: DataFrame) -> Iterator[Broadcast]:
+    """The index of each block of items."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    for block in range(blocks):
+        own = items.groupBy("item_id", "text").count().where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        every = [(r.item_id, normal(r.text)) for r in own for _ in range(r["count"])]
+        yield spark.sparkContext.broadcast(build_index([i for i, _ in every], [t for _, t in every]))
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, similarity, start, end (places in the normalized text)."""
     schema = "doc_id long, item_id long, distance int, similarity double, start long, end long"
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = build_index([r.item_id for r in rows], [normal(r.text) for r in rows])
-        sent = spark.sparkContext.broadcast(index)
+    for sent in _indexes(spark, items):
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             own = sent.value
@@ -321,9 +376,16 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item is found; rows without a doc_id stay. Columns as before."""
-    bad = contaminated(spark, docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows in whose text no item is found, each judged by its own text; columns as before, nothing is shuffled."""
+    for sent in _indexes(spark, items):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bad = {d for d, *_ in matches(sent.value, [normal(t) for t in batch.column("text").to_pylist()])}
+                yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,19 +200,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents less all but the least doc_id of each component; all columns stay.
+    """Of each component one row, with all columns: that with the least doc_id (null last), then the least hash of the text.
 
-    Rows that repeat a doc_id count once. Rows without a doc_id can't be told apart and all stay.
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id with other texts are documents of their own.
     """
-    columns = docs.columns
-    pairs = near_duplicates(spark, docs)
-    gone = pairs.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once.select(*columns))
+    fp, mark = "__simhash", "__simhash_mark"
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
+    marked = materialize(spark, docs.withColumn(fp, _fingerprints("text")).withColumn(mark, own), "marked")
+    rows = materialize(spark, marked.groupBy(fp, mark).agg(F.count("*").alias("n")), "groups")
+    groups = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(mark).alias("least"))
+    parts = connected_components(spark, link_edges(groups.select("fp")))
+    joined = groups.join(parts, groups.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    chosen = joined.groupBy("component").agg(F.min(F.struct("least", "fp")).alias("b")).select(F.col("b.fp").alias(fp), F.col("b.least").alias(mark))
+    kept = marked.join(chosen, [fp, mark], "left_semi")
+    if not rows.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([fp, mark])
+    return kept.select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

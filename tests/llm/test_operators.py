@@ -85,6 +85,17 @@ def test_keep_first_keeps_one_of_each_group_and_all_columns(spark):
     assert sorted(ids) == sorted({c for c in pairs.values()})
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    one, other, item = "alpha beta gamma delta " * 9, "quite another text that is here once only, " * 4, "which of these planets has the most moons around it today? answer: saturn"
+    rows = [(1, one), (7, one), (7, other), (None, other), (None, "a text without an id that nobody repeats"), (8, "x " + item + " y"), (8, other + one)]
+    kept = {(r.doc_id, r.text) for r in simhash.keep_first(spark, documents(spark, [*rows, *rows])).collect()}
+    assert kept == {(1, one), (7, other), (None, rows[4][1]), (8, rows[5][1]), (8, rows[6][1])}
+    assert simhash.keep_first(spark, documents(spark, [*rows, *rows])).count() == 5
+    items = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    clean = decontam.drop_contaminated(spark, documents(spark, [*rows, (None, item)]), items)
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if item not in t)
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert simhash.near_duplicates(spark, none).count() == 0
