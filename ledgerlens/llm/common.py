@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch: texts can be long, and each task holds a batch in several forms.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts can be long, and each task holds a batch in several forms.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches to BATCH_ROWS rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keep the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes at most."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).rstrip("b")  # bytes are given as 64b
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

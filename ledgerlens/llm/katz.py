@@ -56,8 +56,8 @@ from .common import discard, materialize, table
 ORDER = 3
 K = 5
 SPARE = 0.01
-BLOCK_TOKENS = 600_000
-PART_KEYS = 1_500_000
+BLOCK_TOKENS = 450_000
+PART_KEYS = 1_000_000
 #: Histories of more tokens (or more than SHARE of all, so that few are) are spread over parts.
 SPLIT = 250_000
 SHARE = 2.0**-18
@@ -93,10 +93,15 @@ def _planes(x: np.ndarray) -> bytes:
     return bytes([width]) + raw.T.tobytes()
 
 
-def _whole(raw: bytes) -> np.ndarray:
+def _narrow(raw: bytes) -> np.ndarray:
+    """What _planes packed, in as few bytes."""
     width = raw[0]
     x = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
-    return np.ascontiguousarray(x.T).view(f"<u{width}").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(x.T).view(f"<u{width}").reshape(-1)
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    return _narrow(raw).astype(np.int64)
 
 
 def _rises(x: np.ndarray) -> bytes:
@@ -240,33 +245,39 @@ def _answer(order: int, last: bool, sent):
 
     def merge(rows: list[tuple]) -> Iterator[tuple]:
         model, part = sent.value, rows[0][3]
-        fields = [_unpack(r[4]) for r in rows]
-        n, wanted = (np.concatenate([_whole(f[k]) for f in fields]) for k in (-2, -1))
+        fields, sizes = [_unpack(r[4]) for r in rows], []
+
+        def column(k: int, read=_narrow) -> np.ndarray:
+            parts = [read(f[k]) for f in fields]
+            sizes[:] = map(len, parts)
+            for f in fields:
+                f[k] = b""
+            return np.concatenate(parts)
+
+        n, wanted = column(-2), column(-1) > 0
         if order == 1:
-            words = np.concatenate([np.frombuffer(f[0], np.uint64) for f in fields])
-            sizes = [len(f[0]) // 8 for f in fields]
-            names, at = np.unique(words, return_inverse=True)
+            names, at = np.unique(column(0, lambda raw: np.frombuffer(raw, np.uint64)), return_inverse=True)
             # frequent words first: small numbers, in few bytes
             order_ = np.argsort(-np.bincount(at, n, len(names)), kind="stable")
             place = np.empty(len(names), np.int64)
             place[order_] = np.arange(len(names))
             names, at = names[order_], place[at]
         else:
-            before, words, lower, spread = ([g(f[k]) for f in fields] for k, g in enumerate((_risen, _whole, _whole, _whole)))
-            sizes = list(map(len, words))
-            before, words, lower, spread = map(np.concatenate, (before, words, lower, spread))
+            lower, spread = column(2), column(3) > 0
+            code, words, histories = column(0, _risen), column(1), None
             wide = int(words.max()) + 1
-            if (int(before.max()) + 1) * wide < 1 << 62:
-                histories, code = None, before * wide + words
-            else:
-                histories, code = np.unique(before, return_inverse=True)
-                code = code * wide + words
+            if (int(code.max()) + 1) * wide >= 1 << 62:
+                histories, code = np.unique(code, return_inverse=True)
+            code *= wide
+            code += words.astype(np.int64)
+            del words
             names, at = np.unique(code, return_inverse=True)
+            del code
             h, w = names // wide, names % wide
             h = h if histories is None else histories[h]
         c = np.bincount(at, n, len(names)).astype(np.int64)
         out = np.zeros(len(names), bool)
-        out[at[wanted > 0]] = True
+        out[at[wanted]] = True
         stats = [int((c == r).sum()) for r in range(1, K + 2)]
         closed, sums, hist = np.zeros(len(names), bool), None, None
         if order == 1:
@@ -276,7 +287,7 @@ def _answer(order: int, last: bool, sent):
             low = np.zeros(len(names), np.int64)
             low[at[lower > 0]] = lower[lower > 0]
             own = np.zeros(len(names), bool)
-            own[at[spread > 0]] = True
+            own[at[spread]] = True
             start = np.diff(h, prepend=-1) != 0
             hist = np.cumsum(start) - 1
             size = int(hist[-1]) + 1
