@@ -13,14 +13,16 @@ at least; and a neighbour that shares nearly all of a page (of its article, wher
 one is declared) is a copy of it and deletes nothing. What the markup rules out
 goes in any case; where an article is declared, only its lines stay.
 
-Sorting is a range partitioning: no host is ever gathered in one task. The first
-and last pages of each partition meet their neighbours across the boundary in a
-small second step that sees at most 4 * REACH pages of each partition.
+Pages are parsed once. Sorting is a range partitioning: no host is ever gathered
+in one task. The first and last pages of each partition meet their neighbours
+across the boundary in a second step, one boundary (with the small partitions
+beside it) at a time.
 
 Edge cases: a null or empty page has the empty text. A null url, or one without
 ``://``, has no neighbours. Equal urls are neighbours by page_id. Very long pages
-are aligned whole (a bit vector for each line). Broken markup never raises: an
-unclosed tag is text. Extra columns are ignored.
+are aligned whole (a bit vector for each line). Broken markup never raises: of an
+unclosed tag only the tag goes. A form around a declared article is like a plain
+block. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, materialize, table
 from .urlfilter import host_of, path_of
 
 ARTICLE, OTHER, NEVER = "a", "o", "n"
@@ -52,6 +55,8 @@ INLINE = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = set("script style noscript template iframe svg canvas object select textarea head title math audio video".split())
+#: Of these, one that opens again before it closes was never closed.
+UNNESTED = set("iframe canvas select textarea title audio video".split())
 NEVER_TAGS = set("nav footer aside form button menu dialog fieldset".split())
 NEVER_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 NEVER_WORDS = set(
@@ -69,6 +74,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>", re.S)
 _attribute = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _words = re.compile(r"[a-z]+")
+_form_end, _article = re.compile(r"</form\s*>", re.I), re.compile(r"<(?:article|main)\b", re.I)
 
 
 def _kind(tag: str, attributes: str, inside: str) -> str:
@@ -99,6 +105,12 @@ def _kind(tag: str, attributes: str, inside: str) -> str:
     return inside
 
 
+def _holds_article(page: str, at: int) -> bool:
+    """Whether an article begins before the form that begins at ``at`` ends."""
+    stop = _form_end.search(page, at)
+    return bool(_article.search(page, at, stop.start() if stop else len(page)))
+
+
 def lines_of(page: str | None) -> list[tuple[str, str]]:
     """(kind, text) of each block of a page, in order; texts have no runs of white space and aren't empty."""
     out: list[tuple[str, str]] = []
@@ -155,10 +167,8 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
                 close()
             if not found[3].rstrip().endswith("/"):
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if tag == "head" or tag == "title":
-                    at = stop.end() if stop else at
-                else:
-                    at = stop.end() if stop else size
+                if stop and not (tag in UNNESTED and re.compile(rf"<{tag}\b", re.I).search(page, at, stop.start())):
+                    at = stop.end()
             continue
         if tag not in INLINE:
             close()
@@ -168,7 +178,10 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
                 stack.pop()
         if tag in VOID or found[3].rstrip().endswith("/"):
             continue
-        new = _kind(tag, found[3].strip(), kind())
+        if tag == "form" and kind() != NEVER and _holds_article(page, at):
+            new = kind()
+        else:
+            new = _kind(tag, found[3].strip(), kind())
         if new != kind():
             close()
         stack.append((tag, new))
@@ -218,7 +231,6 @@ class Page:
         #: Of an article: how many neighbours, copies left out, share each of its lines, and how many there are.
         self.likes: dict[int, int] = {}
         self.met = 0
-        self.pending = bool(row[5]) if len(row) > 5 else True
 
     def meet(self, other: Page, apart: int) -> None:
         """Mark in both pages the lines that they share; only articles look further than the next page."""
@@ -255,12 +267,6 @@ class Page:
 OUT = ["page_id", "url", "text", "n_chars", "n_shared_lines"]
 
 
-def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[Page]:
-    for pdf in batches:
-        for row in pdf.itertuples(index=False, name=None):
-            yield Page(row)
-
-
 def _met(pages: Iterator[Page]) -> Iterator[Page]:
     """Each page once it has met the REACH pages before and after it."""
     before: list[Page] = []
@@ -295,53 +301,104 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["page_id", "url", "host", "path"]].assign(packed=packed)
 
 
-def _inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The results of all pages of a partition but its first and last REACH."""
-
-    def rows() -> Iterator[tuple]:
-        held: list[Page] = []
-        for n, page in enumerate(_met(_stream(batches))):
-            if n >= REACH:
-                held.append(page)
-            if len(held) > REACH:
-                yield held.pop(0).row()
-
-    return _frames(rows())
+#: Of an edge page: in the first pages of its partition, in the last, or in a partition too small to tell.
+FIRST, LAST, SMALL = range(3)
+INSIDE = 2 * REACH
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first and last 2 * REACH pages of a partition; the outermost REACH are pending."""
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The results of all pages of a partition but its first and last REACH; its first and last INSIDE pages, packed."""
+    part = TaskContext.get().partitionId()
     first, last, n = [], [], 0
-    for pdf in batches:
-        for row in pdf.itertuples(index=False, name=None):
-            if n < 2 * REACH:
-                first.append(row)
-            else:
-                last = [*last, row][-2 * REACH :]
-            n += 1
-    kept = [*first, *last]
-    if kept:
-        marks = [i < REACH or i >= len(kept) - REACH for i in range(len(kept))]
-        yield pd.DataFrame([(*r, m) for r, m in zip(kept, marks)], columns=["page_id", "url", "host", "path", "packed", "pending"])
+
+    def raw() -> Iterator[tuple]:
+        nonlocal n
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                first.append(row) if n < INSIDE else last.append(row)
+                del last[:-INSIDE]
+                n += 1
+                yield row
+
+    held: list[Page] = []
+    out: list[tuple] = []
+    size = 0
+    for k, page in enumerate(_met(map(Page, raw()))):
+        if k >= REACH:
+            held.append(page)
+        if len(held) > REACH:
+            # done only if the partition turns out to be large; the first INSIDE wait for that
+            row = held.pop(0).row()
+            out.append((0, part, 0, *row, None, None, None))
+            size += len(row[2])
+            if size > 8_000_000 and n >= 2 * INSIDE:
+                yield pd.DataFrame(out, columns=SWEPT)
+                out, size = [], 0
+    large = n >= 2 * INSIDE
+    edges = [(FIRST, r) for r in first] + [(LAST, r) for r in last] if large else [(SMALL, r) for r in [*first, *last]]
+    out = (out if large else []) + [(1, part, side, r[0], r[1], None, None, None, *r[2:]) for side, r in edges]
+    if out:
+        yield pd.DataFrame(out, columns=SWEPT)
+
+
+SWEPT = ["edge", "part", "side", *OUT, "host", "path", "packed"]
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return _frames(page.row() for page in _met(_stream(batches)) if page.pending)
+    """The results of the pending pages of each boundary; rows come sorted by boundary."""
+
+    def groups() -> Iterator[list[tuple]]:
+        at, held = None, []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                if held and row[0] != at:
+                    yield held
+                    held = []
+                at = row[0]
+                held.append(row)
+        if held:
+            yield held
+
+    def rows() -> Iterator[tuple]:
+        for group in groups():
+            before, after = ([r for r in group if r[1] == side] for side in (LAST, FIRST))
+            pending = {id(r) for r in [*before[-REACH:], *after[:REACH], *(r for r in group if r[1] == SMALL)]}
+            for row, page in zip(group, _met(Page(r[2:]) for r in group)):
+                if id(row) in pending:
+                    yield page.row()
+
+    return _frames(rows())
+
+
+def _boundaries(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """part, side, boundary: which boundary an edge belongs to; a row or two for each partition."""
+    number, rows = 0, []
+    for r in sorted(edges.groupBy("part").agg(F.max("side").alias("side")).collect(), key=lambda r: r.part):
+        if r.side == SMALL:
+            rows.append((r.part, SMALL, number))
+        else:
+            rows += [(r.part, FIRST, number), (r.part, LAST, number + 1)]
+            number += 1
+    return spark.createDataFrame(rows, "part int, side int, boundary int")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared_lines (deleted as shared with a neighbour)."""
-    kind = dict(pages.dtypes)["page_id"]
+    spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
     url = F.coalesce("url", F.lit(""))
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
-    parsed = rows.mapInPandas(_parse, f"page_id {kind}, url string, host string, path string, packed binary")
-    # a fixed number, so that both readers of the exchange see the same partitions
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parsed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    out = f"page_id {kind}, url string, text string, n_chars long, n_shared_lines long"
-    edges = ordered.mapInPandas(_edges, f"page_id {kind}, url string, host string, path string, packed binary, pending boolean")
-    across = edges.repartition(1).sortWithinPartitions("host", "path", "page_id").mapInPandas(_across, out)
-    return ordered.mapInPandas(_inner, out).unionByName(across)
+    parsed = materialize(spark, rows.mapInPandas(_parse, f"page_id {kind}, url string, host string, path string, packed binary"), "pages")
+    ordered = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    found = f"page_id {kind}, url string, text string, n_chars long, n_shared_lines long"
+    swept = ordered.mapInPandas(_sweep, f"edge int, part int, side int, {found}, host string, path string, packed binary")
+    # written once: partition numbers and bounds hold for all that follows
+    swept = materialize(spark, swept, "swept", by="edge")
+    discard(spark, parsed)
+    edges = swept.where("edge = 1")
+    at = edges.join(F.broadcast(_boundaries(spark, edges)), ["part", "side"])
+    at = at.select("boundary", "side", "page_id", "url", "host", "path", "packed").repartition("boundary")
+    across = at.sortWithinPartitions("boundary", "host", "path", "page_id").mapInPandas(_across, found)
+    return swept.where("edge = 0").select(*OUT).unionByName(across)
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

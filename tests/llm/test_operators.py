@@ -238,6 +238,69 @@ def test_main_text_deletes_unnamed_template_lines_inside_articles(spark):
     assert all("Share this" in got[k].text and got[k].n_shared_lines == 0 for k in (*range(20, 26), 30, 31)) and len(got) == 14
 
 
+def lcs_pairs(a, b):
+    """Places of a longest common subsequence by the table; equal heads and tails stand together."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7, 40])
+def test_main_text_equals_a_plain_version_over_all_pages(spark, partitions):
+    r = random.Random(12)
+    pages = []
+    for k in range(90):
+        host = f"h{r.randrange(4)}.com" if k < 80 else r.choice(["", "lone.com"])
+        lines = [f"own {k} {i} " + "word " * r.randrange(1, 6) for i in range(r.randrange(2, 6))]
+        lines[0:0] = [f"Share on {host}"] * (r.random() < 0.9)
+        lines += [f"Subscribe to {host}"] * (r.random() < 0.9) + [f"passage {k // 2}"]
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        top = f"<div>Site of {host}</div><nav>menu</nav>"
+        pages.append((k, f"http://{host}/{r.randrange(30)}" if host else None, f"{top}<article>{body}</article>" if k % 3 else top + body))
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {g.page_id: (g.text, g.n_shared_lines) for g in maintext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    keys = lambda p: (p[1].split("/")[2], "/" + p[1].split("/")[3], p[0]) if p[1] else ("", "", p[0])
+    ordered = sorted(pages, key=keys)
+    read = [maintext.lines_of(p[2]) for p in ordered]
+    for at, page in enumerate(ordered):
+        declared = any(k == "a" for k, _ in read[at])
+        likes, met, shared = Counter(), 0, set()
+        mine = [(i, t) for i, (k, t) in enumerate(read[at]) if k == ("a" if declared else "o")]
+        for far in (-2, -1, 1, 2):
+            other = at + far
+            if not 0 <= other < len(ordered) or keys(ordered[other])[0] != keys(page)[0] or not keys(page)[0]:
+                continue
+            theirs = [t for _, t in read[other]]
+            pairs = maintext.common_lines([t for _, t in read[at]], theirs) if at < other else [(j, i) for i, j in maintext.common_lines(theirs, [t for _, t in read[at]])]
+            assert len(pairs) == lcs_pairs([t for _, t in read[at]], theirs)
+            common = {i for i, _ in pairs}
+            copy = sum(len(t) for i, t in mine if i in common) >= 0.8 * sum(len(t) for _, t in mine)
+            if declared and not copy:
+                met += 1
+                likes.update(i for i, _ in mine if i in common)
+            if abs(far) == 1 and (declared or not copy):
+                shared |= common
+        gone = shared if not declared else {i for i, n in likes.items() if n == met >= 3} | {i for i in shared if read[at][i][0] != "a"}
+        assert got[page[0]] == (" ".join(t for i, t in mine if i not in gone), len(gone)), page[:2]
+    assert len(got) == 90 and sum(n > 1 for _, n in got.values()) > 30
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<article><p>One</p><video src=x><p>Two</p></article>", "One Two"), ("<article>A<select><option>x</article>", "A x"), ("<article>A<svg><path/></svg>B</article>", "A B"),
+    ("<form action=x><article><p>Main</p><input></article><button>Go</button></form><form><input> never</form>", "Main"),
+    ("<article>A<video><p>B</p><video>c</video>D</article>", "A B D"), ("<article>T<script>x < y</script>U<style>p{}</style></article>", "T U"),
+    ("<article>long " + "word " * 50000 + "</article>", ("long " + "word " * 50000).strip()), ("<p>unclosed <b>bold", "unclosed bold")])
+def test_main_text_of_broken_markup(html, want):
+    lines = maintext.lines_of(html)
+    kind = "a" if any(k == "a" for k, _ in lines) else "o"
+    assert " ".join(t for k, t in lines if k == kind) == want
+
+
 def test_main_text_reads_the_article_and_differences_pages_without_one(spark):
     menu = "<nav><a href='/'>Home</a></nav><div id=cookie-notice>We use cookies</div>"
     pages = [
