@@ -472,3 +472,59 @@ def test_toxicity_learns_words_and_their_forms(spark):
     kept = {d.doc_id for d in toxicity.reject_toxic(spark, docs, marks).collect()}
     wrong = sum((i in kept) == bool(t) for i, _, t in labels)
     assert wrong <= 14 and {900, 901} <= kept
+
+
+def plain_logit(params, text, pad=max(toxicity.WIDTHS) - 1):
+    """By definition: embeddings of words, all filters at all places, maxima, a linear layer."""
+    words = [params["E"][list(w)].sum(axis=0) for w in text] or [np.zeros(params["E"].shape[1])]
+    words += [np.zeros(params["E"].shape[1])] * pad
+    maxima = []
+    for k, width in enumerate(toxicity.WIDTHS):
+        places = range(len(words) - (pad or width - 1))
+        maxima += [max(sum(words[p + j] @ params[f"W{k}"][j, :, f] for j in range(width)) for p in places) for f in range(toxicity.FILTERS)]
+    return float(np.maximum(np.array(maxima) + params["b"], 0) @ params["v"] + params["c"][0])
+
+
+def test_toxicity_net_and_gradients_by_definition():
+    rng = np.random.default_rng(4)
+    params = {k: x.astype(float) for k, x in toxicity.start(rng).items()}
+    params["b"] += 0.1
+    per = 1 + len(toxicity.PREFIXES)
+    texts = [rng.integers(1, 40, (n, per)).astype(np.int32) for n in (0, 1, 2, 5, 30)]
+    logits = toxicity.forward(params, texts)[0]
+    assert np.allclose(logits, [plain_logit(params, t) for t in texts])
+    table = np.stack([params["E"] @ params[f"W{k}"][j] for k, w in enumerate(toxicity.WIDTHS) for j in range(w)], axis=1)
+    net = toxicity.TextCnn(table, params["b"], params["v"], float(params["c"][0]))
+    for t in texts[1:]:
+        if len(t) >= max(toxicity.WIDTHS):  # scoring has no padding behind a text, training has
+            assert math.isclose(net.logits([np.arange(len(t))], t)[0], plain_logit(params, t, 0), abs_tol=1e-6)
+    assert all((toxicity.unpacked(toxicity.packed(t.tolist())) == t).all() for t in texts[1:])
+    y, weight = np.array([0, 1, 0, 1, 1]), np.array([0.1, 0.3, 0.2, 0.2, 0.2])
+
+    def loss():
+        z = np.array([plain_logit(params, t) for t in texts])
+        return float((weight * np.where(y, np.log1p(np.exp(-z)), np.log1p(np.exp(z)))).sum())
+
+    grads, rows = toxicity.gradients(params, texts, y, weight)
+    for name, grad in grads.items():
+        flat = params[name][rows] if name == "E" else params[name]
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in flat.shape)
+            place = (rows[at[0]], *at[1:]) if name == "E" else at
+            before, ends = params[name][place], []
+            for step in (1e-5, -1e-5):
+                params[name][place] = before + step
+                ends.append(loss())
+            params[name][place] = before
+            assert math.isclose((ends[0] - ends[1]) / 2e-5, grad[at], rel_tol=1e-3, abs_tol=1e-6), name
+
+
+def test_toxicity_sample_is_bounded_and_null_ids_are_scored(spark, monkeypatch):
+    texts = [(i, ("awful " if i % 4 == 0 else "") + "plain words here " * 3) for i in range(400)] + [(500, "awful " + "long " * 5000), (None, "awful"), (0, "awful again")]
+    docs = documents(spark, texts)
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in [*range(400), 500] if i is not None], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 9000)
+    net = toxicity.train(spark, docs, marks)
+    assert net is not None
+    kept = [r.doc_id for r in toxicity.reject_toxic(spark, docs, marks).collect()]
+    assert None not in kept and 500 not in kept and sum(i % 4 != 0 for i in kept) == 300
