@@ -56,12 +56,12 @@ from .common import discard, materialize, table
 ORDER = 3
 K = 5
 SPARE = 0.01
-BLOCK_TOKENS = 450_000
+BLOCK_TOKENS = 700_000
 PART_KEYS = 1_000_000
 #: Histories of more tokens (or more than SHARE of all, so that few are) are spread over parts.
 SPLIT = 250_000
 SHARE = 2.0**-18
-DOCS, KEYS, ANSWER, STATS, SPREAD, TABLE = range(6)
+DOCS, KEYS, ANSWER, STATS, SPREAD, TABLE, BACKOFF = range(7)
 ROW = "kind int, block long, ord int, part int, data binary"
 NAMES = [c.split()[0] for c in ROW.split(", ")]
 END = 0
@@ -199,12 +199,16 @@ def _tokenise(parts: int):
             inside[np.cumsum(lengths) - 1] = False
             words[inside] = np.concatenate(docs)
             words = rank[words]
+            # in the block's row, frequent words have small numbers; how often each stands there tells which number it has
+            often = np.bincount(words, minlength=len(order))
+            number = np.empty(len(order), np.int64)
+            number[np.argsort(-often, kind="stable")] = np.arange(len(order))
             out = np.array(held, bool)
             token_out = np.repeat(out, lengths)
             n = np.bincount(words[~token_out], minlength=len(order))
             wanted = np.bincount(words[token_out], minlength=len(order)) > 0
             names = np.array([0 if i is None else i for i in doc_ids], np.int64), np.array([i is None for i in doc_ids])
-            head = _pack(names[0].tobytes(), _planes(names[1]), _planes(out), _planes(lengths), _planes(words))
+            head = _pack(names[0].tobytes(), _planes(names[1]), _planes(out), _planes(lengths), _planes(number[words]), _planes(often))
             sent = _keyed(base + seq, 1, part[order], (hashes[order], np.ndarray.tobytes), (n, _planes), (wanted, _planes))
             return pd.concat([_frame([(DOCS, base + seq, 0, -1, head)]), sent])
 
@@ -304,10 +308,9 @@ def _answer(order: int, last: bool, sent):
         for row, own_at in zip(rows, np.split(at, np.cumsum(sizes)[:-1])):
             # the last order's n-grams need no numbers
             answer = [_planes(c[own_at]), b"" if last else _rises(own_at), _planes(flags[own_at])]
-            if order > 1:
-                lost = own_at[c[own_at] == 0]
-                answer += [*(_planes(sums[hist[lost], r]) for r in range(K + 1)), below[hist[lost]].tobytes()]
             yield ANSWER, row[1], order, part, _pack(*answer)
+            if order > 1 and len(lost := own_at[c[own_at] == 0]):
+                yield BACKOFF, row[1], order, part, _pack(*(_planes(sums[hist[lost], r]) for r in range(K + 1)), below[hist[lost]].tobytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by(batches, "part"):
@@ -329,7 +332,8 @@ class _Block:
     def __init__(self, model: Model, rows: list[tuple]):
         self.model, self.block = model, rows[0][1]
         head = _unpack(rows[0][4])
-        nulls, self.held, self.lengths, words = map(_whole, head[1:])
+        nulls, self.held, self.lengths, words, often = map(_whole, head[1:])
+        words = np.argsort(-often, kind="stable")[words]
         self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(head[0], np.int64), nulls)]
         self.train = np.repeat(self.held == 0, self.lengths)
         ends = np.cumsum(self.lengths)
@@ -340,7 +344,8 @@ class _Block:
         for order in range(1, 1 + max(r[2] for r in rows)):
             if order > 1:
                 self.keys(order)
-            self.read(order, [_unpack(r[4]) for r in rows if r[2] == order], [r[3] for r in rows if r[2] == order])
+            own = [r for r in rows if r[2] == order]
+            self.read(order, *([_unpack(r[4]) for r in own if r[0] == kind] for kind in (ANSWER, BACKOFF)), [r[3] for r in own if r[0] == ANSWER])
 
     def keys(self, order: int) -> None:
         """Finds the block's distinct n-grams, sorted by part, history and word, from the order below."""
@@ -386,7 +391,8 @@ class _Block:
         lower = np.where(asked, 2 * self.c[order - 1][below] + self.closed[order - 1][below], 0)
         return _keyed(self.block, order, part, (before, _rises), (words, _planes), (lower, _planes), (spread, _planes), (n, _planes), (out, _planes))
 
-    def read(self, order: int, answers: list[list[bytes]], parts: list[int]) -> None:
+    def read(self, order: int, answers: list[list[bytes]], backoff: list[list[bytes]], parts: list[int]) -> None:
+        """What the parts say of the block's n-grams; without the BACKOFF rows, which only scores need, no alpha."""
         model = self.model
         self.c[order] = np.concatenate([_whole(a[0]) for a in answers])
         if all(a[1] for a in answers):
@@ -398,8 +404,9 @@ class _Block:
             return
         c, total = self.c[order], self.total[order]
         lost = np.flatnonzero(c == 0)
-        sums = np.stack([np.concatenate([_whole(a[3 + r]) for a in answers]) for r in range(K + 1)], axis=1)
-        below = np.concatenate([np.frombuffer(a[4 + K]) for a in answers])
+        none = [np.zeros(0)]
+        sums = np.stack([np.concatenate([_whole(a[r]) for a in backoff] or none) for r in range(K + 1)], axis=1)
+        below = np.concatenate([np.frombuffer(a[K + 1]) for a in backoff] or none)
         _, before, _, _, spread = self.sent
         if spread.any():
             names, every, lower = model.spread.get(order, (np.zeros(0, np.int64), np.zeros((0, K + 1), np.int64), np.zeros(0)))
@@ -408,9 +415,13 @@ class _Block:
             there[there] = names[at[there]] == before[there]
             closed = (every[:, :K].sum(axis=1) == 0) & (every[:, K] > 0)
             self.closed[order][there] = closed[at[there]]
-            mine = there[lost]
-            sums, below = sums.copy(), below.copy()
-            sums[mine], below[mine] = every[at[lost][mine]], lower[at[lost][mine]]
+            mine = there[lost] & bool(backoff)
+            if mine.any():
+                sums, below = sums.copy(), below.copy()
+                sums[mine], below[mine] = every[at[lost][mine]], lower[at[lost][mine]]
+        if not backoff:
+            self.alpha[order] = np.zeros(len(c))
+            return
         # alpha of unseen n-grams whose history is known, as logarithms; 0 for the others
         left = sums[:, :K] @ (np.arange(1, K + 1) * (1 - model.d[order][1:]))
         left = np.where(sums[:, :K].sum(axis=1) == 0, SPARE * sums[:, K], left)
@@ -485,7 +496,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, order: int = O
     model = Model(parts=max(1, int(-(-about // PART_KEYS))), split=max(SPLIT, int(about * SHARE)))
     groups = max(2, int(-(-about // (4 * BLOCK_TOKENS))))
     found = materialize(spark, rows.mapInPandas(_tokenise(model.parts), ROW), "katz-blocks", by="kind")
-    kept, keys = found.where(F.col("kind") == DOCS), found.where(F.col("kind") == KEYS)
+    kept, keys, backoff = found.where(F.col("kind") == DOCS), found.where(F.col("kind") == KEYS), None
     for k in range(1, order + 1):
         sent = spark.sparkContext.broadcast(model)
         if k > 1:
@@ -496,8 +507,12 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, order: int = O
             discard(spark, found, f"kind={KEYS}")
         _learn(model, k, answers)
         kept = kept.unionByName(answers.where(F.col("kind") == ANSWER))
+        if k > 1:
+            own = answers.where(F.col("kind") == BACKOFF)
+            backoff = own if backoff is None else backoff.unionByName(own)
+    kept = kept if backoff is None else kept.unionByName(backoff)
     sent = spark.sparkContext.broadcast(model)
-    return kept.repartition(groups, "block").sortWithinPartitions("block", "ord", "part").mapInPandas(_score(order, sent), OUT)
+    return kept.repartition(groups, "block").sortWithinPartitions("block", "ord", "kind", "part").mapInPandas(_score(order, sent), OUT)
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
