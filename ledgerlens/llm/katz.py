@@ -267,13 +267,14 @@ def _answer(order: int, last: bool, sent):
             place[order_] = np.arange(len(names))
             names, at = names[order_], place[at]
         else:
-            lower, spread = column(2), column(3) > 0
-            code, words, histories = column(0, _risen), column(1), None
+            lower, spread = column(4), column(5) > 0
+            code = column(0, _risen) * model.parts + column(1)
+            words, histories = column(2).astype(np.int64) * model.parts + column(3), None
             wide = int(words.max()) + 1
             if (int(code.max()) + 1) * wide >= 1 << 62:
                 histories, code = np.unique(code, return_inverse=True)
             code *= wide
-            code += words.astype(np.int64)
+            code += words
             del words
             names, at = np.unique(code, return_inverse=True)
             del code
@@ -287,7 +288,8 @@ def _answer(order: int, last: bool, sent):
         if order == 1:
             stats += [int(c.sum()), int((c > 0).sum()), int(c[names == END].sum())]
         else:
-            table_ = _pack(_rises(h[c > 0]), _planes(w[c > 0]), _planes(c[c > 0]))
+            seen = c > 0
+            table_ = _pack(_rises(h[seen] // model.parts), _planes(h[seen] % model.parts), _planes(w[seen] // model.parts), _planes(w[seen] % model.parts), _planes(c[seen]))
             low = np.zeros(len(names), np.int64)
             low[at[lower > 0]] = lower[lower > 0]
             own = np.zeros(len(names), bool)
@@ -307,7 +309,7 @@ def _answer(order: int, last: bool, sent):
         flags = closed.astype(np.int64) + 2 * (out & (not last))
         for row, own_at in zip(rows, np.split(at, np.cumsum(sizes)[:-1])):
             # the last order's n-grams need no numbers
-            answer = [_planes(c[own_at]), b"" if last else _rises(own_at), _planes(flags[own_at])]
+            answer = [_planes(c[own_at]), b"" if last else (_planes if order == 1 else _rises)(own_at), _planes(flags[own_at])]
             yield ANSWER, row[1], order, part, _pack(*answer)
             if order > 1 and len(lost := own_at[c[own_at] == 0]):
                 yield BACKOFF, row[1], order, part, _pack(*(_planes(sums[hist[lost], r]) for r in range(K + 1)), below[hist[lost]].tobytes())
@@ -383,20 +385,23 @@ class _Block:
     def emit(self, order: int) -> pd.DataFrame:
         self.keys(order)
         part, before, words, owner, spread = self.sent
+        parts = self.model.parts
         n = np.bincount(self.inv[order][self.train], minlength=len(part))
         out = np.bincount(self.inv[order][~self.train], minlength=len(part)) > 0
         below = self.inv[order - 1][self.some[order]]
         # the lower order's count and flag, for sums over histories that held-out documents ask for
         asked = np.concatenate([[True], self.wanted[order - 1]])[owner] & (n > 0)
         lower = np.where(asked, 2 * self.c[order - 1][below] + self.closed[order - 1][below], 0)
-        return _keyed(self.block, order, part, (before, _rises), (words, _planes), (lower, _planes), (spread, _planes), (n, _planes), (out, _planes))
+        # places and parts by themselves: places rise in small steps, and a history's part is mostly the row's own
+        columns = (before // parts, _rises), (before % parts, _planes), (words // parts, _planes), (words % parts, _planes)
+        return _keyed(self.block, order, part, *columns, (lower, _planes), (spread, _planes), (n, _planes), (out, _planes))
 
     def read(self, order: int, answers: list[list[bytes]], backoff: list[list[bytes]], parts: list[int]) -> None:
         """What the parts say of the block's n-grams; without the BACKOFF rows, which only scores need, no alpha."""
         model = self.model
         self.c[order] = np.concatenate([_whole(a[0]) for a in answers])
         if all(a[1] for a in answers):
-            self.gid[order] = np.concatenate([_risen(a[1]) * model.parts + p for a, p in zip(answers, parts)])
+            self.gid[order] = np.concatenate([(_whole if order == 1 else _risen)(a[1]) * model.parts + p for a, p in zip(answers, parts)])
         flags = np.concatenate([_whole(a[2]) for a in answers])
         self.closed[order], self.wanted[order] = flags & 1, flags > 1
         if order == 1:
