@@ -15,7 +15,7 @@ def parse_vn_number(s: Column) -> Column:
     number = (
         F.when(~bare.rlike(r"^[0-9.,]+$") | ~bare.rlike("[0-9]"), None)
         .when(bare.contains(".") & bare.contains(","), F.regexp_replace(grouped, ",", "."))
-        .when(bare.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$"), grouped)
+        .when(bare.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$") | bare.rlike(r"\..*\."), grouped)
         .when(bare.rlike(r"^[0-9]{1,3}(,[0-9]{3})+$"), F.regexp_replace(bare, ",", ""))
         .when(bare.contains(","), F.regexp_replace(bare, ",", "."))
         .otherwise(bare)

@@ -43,13 +43,18 @@ def scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+#: Ratios of an answer to the true one that tell a unit mistaken, and how near they must be.
+UNIT_RATIOS, UNIT_NEAR = [1e3, 1e-3, 1e6, 1e-6, 1e9, 1e-9], 0.05
+
+
 def classify_error(retrieved: Column, executed: Column, got: Column, gold: Column) -> Column:
-    """The first kind of error that applies."""
-    off = F.try_divide(got, gold)
+    """The first kind of error that applies; with the small ratios any answer that is far too small counts as a unit mistaken."""
+    ratio = F.abs(F.try_divide(got, gold))
     unit = F.lit(False)
-    for e in (3, 6, 9):
-        unit = unit | (F.abs(off / 10.0**e - 1) <= 0.05) | (F.abs(off * 10.0**e - 1) <= 0.05)
+    for r in UNIT_RATIOS:
+        unit = unit | (F.abs(ratio - r) < UNIT_NEAR)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
     return (
-        F.when(~retrieved, "retrieval_miss").when(~executed, "execution_fail").when(answer_match(got, gold), "ok")
-        .when(F.coalesce(unit, F.lit(False)), "unit_mismatch").otherwise("wrong_logic")
+        F.when(no(retrieved), "retrieval_miss").when(no(executed), "execution_fail_unrepaired").when(answer_match(got, gold), "ok")
+        .when(F.coalesce(unit, F.lit(False)), "unit_mismatch").otherwise("generation_wrong_logic")
     )

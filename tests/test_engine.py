@@ -12,7 +12,7 @@ from ledgerlens.streaming.ingest import ingest
 
 NUMBERS = [
     ("1.234.567", 1234567, None), ("(1.234)", -1234, -1.234), ("1.234,5", 1234.5, 1.2345), ("1,5", 1.5, 15), ("1,234", 1234, 1234), ("1,2,3", None, 123),
-    ("1.5", 1.5, 1.5), ("-123", None, -123), ("12%", None, None), ("-", None, 0), ("", None, None), ("5.", 5, 5), ("1,234.5", 1.2345, 1234.5), ("nan", None, math.nan),
+    ("1.5", 1.5, 1.5), ("-123", None, -123), ("12%", None, None), ("-", None, 0), ("", None, None), ("5.", 5, 5), ("1,234.5", 1.2345, 1234.5), ("12.34.56", 123456, None), ("1234.567.890", 1234567890, None), ("nan", None, math.nan),
 ]
 
 
@@ -66,10 +66,36 @@ def test_extraction_and_longify(spark):
     got = {(r.report_id, r.table_seq): r for r in tables.collect()}
     assert set(got) == {("a_consolidated", 0), ("b", 0), ("b", 1)}
     a = got["a_consolidated", 0]
-    assert (a.start_line, a.end_line, a.table_type, a.unit, a.company, a.year, a.is_consolidated) == (2, 5, "CDKT", "triệu đồng", "VNM", 2018, True)
+    assert (a.start_line, a.end_line, a.table_type, a.unit, a.company, a.year, a.is_consolidated) == (2, 5, "CDKT", "Đơn vị: triệu đồng", "VNM", 2018, True)
+    assert got["b", 0].is_consolidated is None
     assert [got["b", n].table_type for n in (0, 1)] == ["CDKT", "KQKD"] and got["b", 1].rows == [["Doanh thu", "603.689", "580.000"]]
     facts = {(r.metric_raw, r.year): (r.value, r.unit) for r in longify.longify(tables).collect()}
-    assert facts == {("Tiền & vàng", 2018): (1234567.0, "triệu đồng"), ("Tiền & vàng", 2017): (-1000.0, "triệu đồng"), ("Hàng tồn kho", 2018): (5e6, "triệu đồng")}
+    assert facts == {("Tiền & vàng", 2018): (1234567.0, "Đơn vị: triệu đồng"), ("Tiền & vàng", 2017): (-1000.0, "Đơn vị: triệu đồng"), ("Hàng tồn kho", 2018): (5e6, "Đơn vị: triệu đồng")}
+
+
+def test_extraction_rules_of_odd_reports(spark):
+    table = lambda *rows: "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    assert extraction.parse_table("<table><tr><td>a</td></tr><tr></tr><tr><td> </td><td></td></tr><tr><td>&amp;") == [["a"], ["", ""]]
+    money = [["Chỉ tiêu", "x"], ["Tiền", "1.000.000"], ["Nợ", "2.000.000"], ["Vay", "3.000.000"]]
+    # a table in one line with more than four cells is no title, whatever it names
+    one = table(["Lưu chuyển tiền tệ", "1.000.000", "2.000.000", "3.000.000", "4.000.000"], ["a", "1"])
+    kinds = [(x[0], x[2]) for x in extraction.extract(one + "\n" * 3 + table(*money))]
+    assert kinds == [(0, "LCTT"), (3, "UNKNOWN")]
+    plain = "BẢNG CÂN ĐỐI KẾ TOÁN\n=====\nA  1\nThuyết minh báo cáo\nBẢNG CÂN ĐỐI KẾ TOÁN (tiếp)\nB  2\n\n\n\nC  3\nKẾT QUẢ HOẠT ĐỘNG KINH DOANH\nLƯU CHUYỂN TIỀN TỆ\nĐơn vị: tỷ đồng\nD\t4"
+    got = [(x[0], x[1], x[2], x[3], x[5]) for x in extraction.extract(plain)]
+    assert got == [
+        (0, 7, "CDKT", None, [["A", "1"], ["Thuyết minh báo cáo"], ["BẢNG CÂN ĐỐI KẾ TOÁN (tiếp)"], ["B", "2"]]), (10, 10, "KQKD", None, []),
+        (11, 13, "LCTT", None, [["Đơn vị: tỷ đồng"], ["D", "4"]])]
+    rows = [("r", 0, 0, 1, "UNKNOWN", None, "A", 2020, None, "", [["Doanh thu bán hàng", "1.000.000"]], "html"), ("r", 1, 0, 1, "UNKNOWN", None, "A", 2020, None, "", [["x"]], "html"),
+            ("r", 2, 0, 1, "CDKT", None, "A", 2020, None, "", [["Mục", "Trang"], ["a", "1"]], "html"), ("r", 3, 0, 1, "CDKT", None, "A", 2020, None, "", money, "html")]
+    tables = spark.createDataFrame(rows, extraction.SCHEMA)
+    assert {r.table_seq: (r.table_type, r.refined) for r in extraction.refine(tables).collect()} == {0: ("KQKD", "heuristic"), 3: ("CDKT", None)}
+    said = extraction.verified(tables, lambda prompt: F.lit('ok {"table_type": "LCTT"}')).collect()
+    assert [r.table_type for r in said] == ["LCTT", "LCTT", "LCTT", "CDKT"] and extraction.verified(tables) is tables
+    scanned = extraction.scan_marks(spark.createDataFrame([("a", "x\nBảng cân đối kế toán\nĐơn vị: triệu"), ("b", None)], "path string, text string")).collect()
+    assert (scanned[0].n_lines, scanned[0].hits["CĐKT"], scanned[0].hits["unit"], scanned[0].types, scanned[1].types) == (3, [1], [2], ["CĐKT"], ["UNKNOWN"])
+    seen = spark.createDataFrame([("a1 (123) 1 2",), ("sạch",)], "t string").select(extraction.faults(F.col("t"))).collect()
+    assert [r[0] for r in seen] == [["số dính chữ", "số âm (123)", "space lạ giữa số"], []]
 
 
 @pytest.mark.parametrize("title, content, distance, want", [
@@ -102,8 +128,9 @@ def test_submission(spark):
     assert found == {"repeated id", "answer isn't a number", "forbidden statement", "not an identifier", "unsafe path", "file not packed", "wrong number of entries"}
     one = spark.createDataFrame([good], schema)
     assert tuple(submission.scores(one, one).first()) == (1.0, 1.0, 1.0)
-    kinds = spark.createDataFrame([(False, True, 1.0, 1.0), (True, False, 1.0, 1.0), (True, True, 5.0, 5.4), (True, True, 5000.0, 5e6), (True, True, 70.0, 5e6)], "r boolean, e boolean, a double, g double")
-    assert [r[0] for r in kinds.select(submission.classify_error(*map(F.col, "reag"))).collect()] == ["retrieval_miss", "execution_fail", "ok", "unit_mismatch", "wrong_logic"]
+    kinds = spark.createDataFrame([(False, True, 1.0, 1.0), (True, False, 1.0, 1.0), (True, True, 5.0, 5.4), (True, True, 5000.0, 5e6), (True, True, 700.0, 50.0), (None, True, 1.0, 1.0), (True, True, None, 2.0), (True, True, -5e6, 5e3)], "r boolean, e boolean, a double, g double")
+    assert [r[0] for r in kinds.select(submission.classify_error(*map(F.col, "reag"))).collect()] == [
+        "retrieval_miss", "execution_fail_unrepaired", "ok", "unit_mismatch", "generation_wrong_logic", "retrieval_miss", "generation_wrong_logic", "unit_mismatch"]
 
 
 def test_sources_and_ingestion(spark, tmp_path):
