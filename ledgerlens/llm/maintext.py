@@ -13,10 +13,10 @@ at least; and a neighbour that shares nearly all of a page (of its article, wher
 one is declared) is a copy of it and deletes nothing. What the markup rules out
 goes in any case; where an article is declared, only its lines stay.
 
-Pages are parsed once. Sorting is a range partitioning: no host is ever gathered
-in one task. The first and last pages of each partition meet their neighbours
-across the boundary in a second step, one boundary (with the small partitions
-beside it) at a time.
+Pages are parsed once and go to parts of the order of host, path and page_id, whose
+bounds come from a sample of the keys: no host is ever gathered in one task. The
+first and last pages of each part meet their neighbours across the boundary in a
+second step, one boundary (with the small parts beside it) at a time.
 
 Edge cases: a null or empty page has the empty text. A null url, or one without
 ``://``, has no neighbours. Equal urls are neighbours by page_id. Very long pages
@@ -29,15 +29,17 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import materialize, table
 from .urlfilter import host_of, path_of
 
 ARTICLE, OTHER, NEVER = "a", "o", "n"
@@ -47,6 +49,8 @@ COPY = 0.8
 REACH = 2
 #: Neighbours that must share an article's line, and no other may lack it.
 MOST_LIKE = 3
+#: Keys for each part from which the parts' bounds are taken.
+SAMPLE_KEYS = 50
 
 # Element names and the words of class, id and role that mark what is never article.
 INLINE = set(
@@ -291,14 +295,32 @@ def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=OUT)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for pdf in batches:
-        packed = []
-        for page in pdf["html"]:
-            lines = "\n".join(k + t for k, t in lines_of(page))
-            packed.append(pack(lines.encode("utf-8", "surrogatepass")) if lines else b"")
-        yield pdf[["page_id", "url", "host", "path"]].assign(packed=packed)
+def _key(host: str, path: str, page_id: object) -> tuple:
+    """The order of pages; a page without an id comes first."""
+    none = page_id is None or page_id != page_id
+    return host, path, not none, 0 if none else page_id
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """Where parts of about the same number of pages begin, from about SAMPLE_KEYS keys for each part."""
+    share = min(1.0, SAMPLE_KEYS * parts / max(1, rows.count()))
+    some = rows.select("host", "path", "page_id").where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(1 << 20)) < share * (1 << 20))
+    keys = sorted(_key(*r) for r in some.collect())
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
+def _parse(bounds: list[tuple]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for pdf in batches:
+            packed = []
+            for page in pdf["html"]:
+                lines = "\n".join(k + t for k, t in lines_of(page))
+                packed.append(pack(lines.encode("utf-8", "surrogatepass")) if lines else b"")
+            part = [bisect_right(bounds, _key(*k)) for k in zip(pdf["host"], pdf["path"], pdf["page_id"])]
+            yield pdf[["page_id", "url", "host", "path"]].assign(part=part, packed=packed)[["part", "page_id", "url", "host", "path", "packed"]]
+
+    return run
 
 
 #: Of an edge page: in the first pages of its partition, in the last, or in a partition too small to tell.
@@ -307,18 +329,23 @@ INSIDE = 2 * REACH
 
 
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The results of all pages of a partition but its first and last REACH; its first and last INSIDE pages, packed."""
-    part = TaskContext.get().partitionId()
+    """The parts of a task one by one; rows come sorted by part."""
+    stream = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+    for part, rows in groupby(stream, key=itemgetter(0)):
+        yield from _swept(int(part), rows)
+
+
+def _swept(part: int, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """The results of all pages of a part but its first and last REACH; its first and last INSIDE pages, packed."""
     first, last, n = [], [], 0
 
     def raw() -> Iterator[tuple]:
         nonlocal n
-        for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                first.append(row) if n < INSIDE else last.append(row)
-                del last[:-INSIDE]
-                n += 1
-                yield row
+        for row in rows:
+            first.append(row[1:]) if n < INSIDE else last.append(row[1:])
+            del last[:-INSIDE]
+            n += 1
+            yield row[1:]
 
     held: list[Page] = []
     out: list[tuple] = []
@@ -327,7 +354,7 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if k >= REACH:
             held.append(page)
         if len(held) > REACH:
-            # done only if the partition turns out to be large; the first INSIDE wait for that
+            # done only if the part turns out to be large; the first INSIDE wait for that
             row = held.pop(0).row()
             out.append((0, part, 0, *row, None, None, None))
             size += len(row[2])
@@ -387,13 +414,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
     url = F.coalesce("url", F.lit(""))
     rows = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
-    parsed = materialize(spark, rows.mapInPandas(_parse, f"page_id {kind}, url string, host string, path string, packed binary"), "pages")
-    ordered = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    bounds = _bounds(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parsed = rows.mapInPandas(_parse(bounds), f"part int, page_id {kind}, url string, host string, path string, packed binary")
+    ordered = parsed.repartition("part").sortWithinPartitions("part", "host", "path", "page_id")
     found = f"page_id {kind}, url string, text string, n_chars long, n_shared_lines long"
     swept = ordered.mapInPandas(_sweep, f"edge int, part int, side int, {found}, host string, path string, packed binary")
-    # written once: partition numbers and bounds hold for all that follows
     swept = materialize(spark, swept, "swept", by="edge")
-    discard(spark, parsed)
     edges = swept.where("edge = 1")
     at = edges.join(F.broadcast(_boundaries(spark, edges)), ["part", "side"])
     at = at.select("boundary", "side", "page_id", "url", "host", "path", "packed").repartition("boundary")
