@@ -56,7 +56,7 @@ from .common import discard, materialize, table
 ORDER = 3
 K = 5
 SPARE = 0.01
-BLOCK_TOKENS = 700_000
+BLOCK_TOKENS = 1_000_000
 PART_KEYS = 1_000_000
 #: Histories of more tokens (or more than SHARE of all, so that few are) are spread over parts.
 SPLIT = 250_000
@@ -68,7 +68,7 @@ END = 0
 #: Bytes of rows that leave a task together.
 FRAME_BYTES = 1 << 22
 
-_zstd, _unzstd = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_zstd, _unzstd = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
 
 
 def hashes_of(words: Collection[bytes]) -> np.ndarray:
