@@ -42,27 +42,79 @@ def header_year(cell: Column, record_year: Column, notes: bool = False) -> Colum
     return found.when(cell.rlike(THIS_YEAR), record_year).when(cell.rlike(LAST_YEARS), record_year - 1)
 
 
+def _in_range(year: Column) -> Column:
+    return F.when(year.between(FIRST_YEAR, LAST_YEAR), year)
+
+
+def _first(grid: Column, i: Column) -> Column:
+    """The first value of column i in rows of arrays."""
+    return F.get(F.filter(F.transform(grid, lambda row: F.get(row, i)), lambda y: y.isNotNull()), 0)
+
+
+def _main_columns(rows: DataFrame) -> DataFrame:
+    """The year of each column by the header rows, and the row at which the body starts."""
+    years = F.transform(F.slice("rows", 1, MAIN_HEADER_ROWS), lambda r: F.transform(r, lambda c, i: F.when(i > 0, header_year(c, F.col("year")))))
+    rows = rows.withColumn("head", years)
+    columns = F.transform(_places("head"), lambda i: F.struct(i.alias("i"), _first(F.col("head"), i).alias("year")))
+    with_year = F.array_position(F.transform("head", lambda h: F.exists(h, lambda y: y.isNotNull())), True).cast("int")
+    start = F.when(with_year > 0, with_year).when(F.array_join(F.get("rows", 0), " ").rlike(HEAD_WORDS), 1).otherwise(0)
+    return rows.withColumns({"columns": F.filter(columns, lambda s: s.year.isNotNull()), "start": start}).drop("head")
+
+
+def _places(grid: str) -> Column:
+    """0 up to the widest row; one more where dates may have shifted."""
+    return F.sequence(F.lit(0), F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0)))
+
+
+def _notes_columns(rows: DataFrame) -> DataFrame:
+    """As for main statements, then bare years; years that begin in cell 0 stand for the columns from 1 on, whatever else says."""
+    top = F.slice("rows", 1, NOTES_HEADER_ROWS)
+    bare = lambda c: _in_range(F.regexp_extract(c, BARE_YEAR, 1).try_cast("int"))
+    rows = rows.withColumns({
+        "named": F.transform(F.slice("rows", 1, MAIN_HEADER_ROWS), lambda r: F.transform(r, lambda c, i: F.when(i > 0, header_year(c, F.col("year"))))),
+        "bare": F.transform(top, lambda r: F.transform(r, bare)),
+    })
+    own = lambda r: F.filter(r, lambda y: y.isNotNull())
+    shifted = F.reverse(F.transform(F.filter("bare", lambda r: F.get(r, 0).isNotNull()), lambda r: F.concat(F.array(F.lit(None).cast("int")), own(r))))
+    rows = rows.withColumn("shifted", shifted)
+    year = lambda i: F.coalesce(_first(F.col("shifted"), i), F.when(i > 0, F.coalesce(_first(F.col("named"), i), _first(F.col("bare"), i))))
+    columns = F.filter(F.transform(_places("rows"), lambda i: F.struct(i.alias("i"), year(i).alias("year"))), lambda s: s.year.isNotNull())
+    rows = rows.withColumn("columns", columns)
+    least = F.array_min(F.transform("columns", lambda s: s.i))
+    start = F.array_position(F.transform(top, lambda r: F.size(r) > least), True).cast("int")
+    return rows.withColumn("start", F.coalesce(start, F.lit(0))).drop("named", "bare", "shifted")
+
+
 def longify(tables: DataFrame, notes: bool = False) -> DataFrame:
     """A row for each labelled row and year column with a number; extra columns of ``tables`` are left out.
 
-    ``notes`` takes tables of all types, six header rows and rows of two cells,
-    and prefers the record's unit.
+    ``notes`` takes tables of all types, six header rows, bare years and rows of two cells, and prefers the record's unit.
     """
     key = ["report_id", "start_line", "table_type", "company", "is_consolidated"]
-    head_rows = NOTES_HEADER_ROWS if notes else MAIN_HEADER_ROWS
     rows = tables if notes else tables.where(F.col("table_type").isin("CDKT", "KQKD", "LCTT"))
-    years = F.transform(F.slice("rows", 1, head_rows), lambda r: F.transform(r, lambda c, i: F.when(i > 0, header_year(c, F.col("year"), notes))))
-    cell_units = F.filter(F.transform(F.flatten(F.slice("rows", 1, 3)), lambda c: F.regexp_extract(c, CELL_UNIT, 1)), lambda u: u != "")
-    own = F.get(cell_units, 0)
-    rows = rows.select(*key, "rows", years.alias("head"), (F.coalesce("unit", own) if notes else F.coalesce(own, "unit")).alias("unit"))
-    width = F.coalesce(F.array_max(F.transform("head", F.size)), F.lit(0))
-    first = lambda i: F.get(F.filter(F.transform("head", lambda h: F.get(h, i)), lambda y: y.isNotNull()), 0)
-    columns = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda i: F.struct(i.alias("i"), first(i).alias("year"))), lambda s: s.year.isNotNull())
-    with_year = F.array_position(F.transform("head", lambda h: F.exists(h, lambda y: y.isNotNull())), True).cast("int")
-    start = F.when(with_year > 0, with_year).when(F.array_join(F.get("rows", 0), " ").rlike(HEAD_WORDS), 1).otherwise(0)
-    rows = rows.select(*key, "unit", columns.alias("columns"), F.slice("rows", start + 1, F.greatest(F.size("rows") - start, F.lit(0))).alias("body"))
-    cells = rows.select(*key, "unit", "columns", F.posexplode("body").alias("row_seq", "r")).where(F.size("r") >= (2 if notes else 3))
+    units = F.transform(F.flatten(F.slice("rows", 1, NOTES_HEADER_ROWS if notes else 3)), lambda c: F.regexp_extract(c, CELL_UNIT, 1))
+    own = F.get(F.filter(units, lambda u: u != ""), 0)
+    rows = rows.select(*key, "year", "rows", (F.coalesce(F.nullif("unit", F.lit("")), own) if notes else F.coalesce(own, "unit")).alias("unit"))
+    rows = (_notes_columns if notes else _main_columns)(rows)
+    rows = rows.select(*key, "unit", "columns", F.slice("rows", F.col("start") + 1, F.greatest(F.size("rows") - F.col("start"), F.lit(0))).alias("body"))
+    cells = rows.select(*key, "unit", "columns", F.posexplode("body").alias("row_seq", "r")).where(F.size("r") >= (1 if notes else 3))
     label = F.trim(F.get("r", 0))
     long = cells.where(label != "").select(*key, "unit", "row_seq", label.alias("metric_raw"), "r", F.explode("columns").alias("c"))
     value = cell_value(F.get(F.col("r"), F.col("c.i")))
     return long.select(*key, "unit", "row_seq", "metric_raw", F.col("c.year").alias("year"), value.alias("value")).where("value is not null")
+
+
+def long_stats(long: DataFrame) -> DataFrame:
+    """Rows, tables with rows, distinct years and their bounds of long rows, in one pass."""
+    return long.agg(F.count("*").alias("n_rows"), F.countDistinct("report_id", "start_line").alias("n_tables"), F.countDistinct("year").alias("n_years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+def raw_labels(tables: DataFrame) -> DataFrame:
+    """Label and place of the first table row that has it, of all distinct labels."""
+    cells = tables.select("report_id", "start_line", F.posexplode(F.transform("rows", lambda r: F.trim(F.get(r, 0)))).alias("row_seq", "raw")).where("raw <> ''")
+    return cells.groupBy("raw").agg(F.min(F.struct("report_id", "start_line", "row_seq")).alias("first"))
+
+
+def all_facts(main: DataFrame, notes: DataFrame) -> DataFrame:
+    """Main statements and notes together; rows in both are told apart later."""
+    return main.unionByName(notes, allowMissingColumns=True)
