@@ -293,13 +293,30 @@ def vn_number_parse(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell"), numbers.parse_vn_number(cell).alias("value"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN n LIKE '%tong%' THEN 'sum' ELSE 'lookup' END AS operation, CASE WHEN n LIKE '%trieu%' THEN 1e6 ELSE 1.0 END AS scale FROM
-(SELECT conv_id, turn, replace(lower(strip_accents(text)), 'đ', 'd') AS n FROM conversations)""")
+def _has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(n, '{w}')" for w in words) + ")"
+
+
+_SHARE, _MOVED = _has("ty le", "phan tram", "%", "chiem bao nhieu"), _has("tang", "giam", "thay doi", "so voi", "cagr")
+
+
+@query(f"""SELECT conv_id, turn,
+CASE WHEN {_has('bao nhieu cong ty', 'bao nhieu ngan hang', 'co bao nhieu')} THEN 'count' WHEN {_has('trung binh', 'gia tri binh quan')} THEN 'mean'
+WHEN {_has('thap nhat', 'nho nhat')} THEN CASE WHEN {_SHARE} AND terms >= 3 THEN 'argmin_ratio' ELSE 'argmin' END
+WHEN {_has('cao nhat', 'lon nhat')} THEN CASE WHEN {_SHARE} AND terms >= 3 THEN 'argmax_ratio' ELSE 'argmax' END
+WHEN {_SHARE} AND terms >= 2 THEN 'ratio' WHEN {_has('tong', 'cong lai')} AND terms >= 2 THEN 'sum' WHEN {_has('chenh lech', 'hieu so', 'tru ')} AND terms >= 2 THEN 'difference'
+WHEN years >= 2 AND {_MOVED} THEN CASE WHEN {_has('phan tram', '%', 'cagr')} THEN 'pct_change' ELSE 'year_delta' END ELSE 'lookup' END AS operation,
+CASE WHEN contains(' ' || n, ' rieng') OR {_has('cong ty me')} THEN 'separate' WHEN {_has('hop nhat')} THEN 'consolidated' ELSE 'any' END AS scope,
+CASE WHEN {_has('nghin ty')} THEN 1e12 WHEN {_has('tram ty')} THEN 1e11 WHEN {_has('trieu')} THEN 1e6 WHEN {_has('ty dong', 'ty vnd', 'tinh bang ty', 'don vi ty')} THEN 1e9 ELSE 1.0 END AS scale
+FROM (SELECT conv_id, turn, turn % 4 AS terms, conv_id % 3 AS years, trim(regexp_replace(replace(lower(strip_accents(question)), 'đ', 'd'), '[^a-z0-9%]+', ' ', 'g')) || ' ' AS n FROM
+(SELECT conv_id, turn, coalesce(text, '') || ' ' || list_extract(['tổng', 'tỷ lệ', 'cao nhất', 'thấp nhất', 'trung bình', 'chênh lệch', 'tăng giảm', 'có bao nhiêu', 'phần trăm so với', 'hợp nhất triệu', 'riêng tỷ đồng', 'nghìn tỷ', 'nhỏ nhất chiếm bao nhiêu'], CAST((conv_id * 7 + turn) % 13 AS INTEGER) + 1) AS question FROM conversations))""")
 def intent_scope_unit(spark: SparkSession, d: str) -> DataFrame:
-    """Q6, N9 over conversation turns with two terms and one year."""
-    t = F.col("text")
-    op = text.infer_operation(t, F.lit(2), F.lit(1))
-    return load(spark, d, "conversations").select("conv_id", "turn", F.when(op == "sum", "sum").otherwise("lookup").alias("operation"), F.when(text.target_scale(t) == 1e6, 1e6).otherwise(1.0).alias("scale"))
+    """Q6, N9, N10 over conversation turns that end in words of the questions, with 0 to 3 terms and 0 to 2 years."""
+    ends = ["tổng", "tỷ lệ", "cao nhất", "thấp nhất", "trung bình", "chênh lệch", "tăng giảm", "có bao nhiêu", "phần trăm so với", "hợp nhất triệu", "riêng tỷ đồng", "nghìn tỷ", "nhỏ nhất chiếm bao nhiêu"]
+    end = F.get(F.array(*map(F.lit, ends)), ((F.col("conv_id") * 7 + F.col("turn")) % 13).cast("int"))
+    t = load(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), end).alias("q"))
+    q = F.col("q")
+    return t.select("conv_id", "turn", text.infer_operation(q, F.col("turn") % 4, F.col("conv_id") % 3).alias("operation"), text.detect_scope(q).alias("scope"), text.target_scale(q).alias("scale"))
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS header_turn FROM conversations""")
@@ -318,23 +335,32 @@ def islands(spark: SparkSession, d: str) -> DataFrame:
     return marked.withColumn("island", F.sum("brk").over(w)).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query("""SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS rate FROM (SELECT CASE WHEN d.doc_id IS NULL THEN 'retrieval_miss' WHEN l.quality = 0 THEN 'execution_fail' WHEN l.toxic = 1 THEN 'wrong_logic' ELSE 'ok' END AS category
-FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id) GROUP BY category""")
+@query("""WITH r AS (SELECT l.doc_id, d.doc_id IS NOT NULL AS retrieved, l.quality = 1 AS executed, CAST(l.doc_id % 5 AS DOUBLE) * list_extract([1.0, 1000.0, 0.000001, 1.0], CAST(l.doc_id % 4 AS INTEGER) + 1) AS got,
+CAST((l.doc_id % 5) * CASE WHEN l.toxic = 1 THEN 7 ELSE 1 END AS DOUBLE) AS gold FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.lang <> 'fr'),
+k AS (SELECT CASE WHEN NOT retrieved THEN 'retrieval_miss' WHEN NOT executed THEN 'execution_fail_unrepaired' WHEN abs(got - gold) <= 1.0 OR abs(got - gold) <= 0.001 * abs(gold) THEN 'ok'
+WHEN gold <> 0 AND (abs(abs(got / gold) - 1000) < 0.05 OR abs(abs(got / gold) - 0.001) < 0.05 OR abs(abs(got / gold) - 1e6) < 0.05 OR abs(abs(got / gold) - 1e-6) < 0.05 OR abs(abs(got / gold) - 1e9) < 0.05 OR abs(abs(got / gold) - 1e-9) < 0.05) THEN 'unit_mismatch'
+ELSE 'generation_wrong_logic' END AS category FROM r) SELECT category, count(*) AS n, round(count(*) / (SELECT count(*) FROM k), 9) AS rate FROM k GROUP BY category""")
 def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    """A19, C2."""
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    """Labels as answers, right, far off or in another unit."""
+    from ledgerlens.operators.submission import classify_error
+
+    docs = load(spark, d, "documents").where("lang <> 'fr'").select(F.col("doc_id").alias("id"))
     rows = load(spark, d, "labels").join(docs, F.col("doc_id") == F.col("id"), "left")
-    cat = F.when(F.col("id").isNull(), "retrieval_miss").when(F.col("quality") == 0, "execution_fail").when(F.col("toxic") == 1, "wrong_logic").otherwise("ok")
-    counts = rows.groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 9))
+    times = F.get(F.array(*map(F.lit, (1.0, 1000.0, 0.000001, 1.0))), (F.col("doc_id") % 4).cast("int"))
+    got, gold = (F.col("doc_id") % 5).cast("double") * times, ((F.col("doc_id") % 5) * F.when(F.col("toxic") == 1, 7).otherwise(1)).cast("double")
+    counts = rows.groupBy(classify_error(F.col("id").isNotNull(), F.col("quality") == 1, got, gold).alias("category")).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias("all")))).select("category", "n", F.round(F.col("n") / F.col("all"), 9).alias("rate"))
 
 
-@query("""SELECT user_id, event_type AS answer, n AS n_agree FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS r FROM events GROUP BY user_id, event_type) WHERE r = 1""")
+@query("""WITH v AS (SELECT user_id AS question_id, event_type AS strategy, event_id AS seq, round_even(value, 0) AS value FROM events WHERE value IS NOT NULL),
+g AS (SELECT question_id, value, count(*) AS n_agree, min(seq) AS first, arg_min(strategy, seq) AS strategy FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n_agree DESC, first) AS r, sum(n_agree) OVER (PARTITION BY question_id) AS n FROM g)
+SELECT question_id, value, strategy, n_agree, CAST(n AS BIGINT) AS n_candidates FROM r WHERE r = 1""")
 def mode_vote(spark: SparkSession, d: str) -> DataFrame:
-    """The commonest answer of each group, ties to the first seen."""
-    votes = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-    best = votes.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("k"), "first", "event_type")).alias("b"))
-    return best.select("user_id", F.col("b.event_type").alias("answer"), (-F.col("b.k")).alias("n_agree"))
+    """users' events as strategies' answers, rounded to whole numbers."""
+    from ledgerlens.plans.pack import vote
+
+    return vote(load(spark, d, "events").select(F.col("user_id").alias("question_id"), F.col("event_type").alias("strategy"), F.col("event_id").alias("seq"), "value"), 0)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -366,24 +392,25 @@ def fuzzy_ontology_join(spark: SparkSession, d: str) -> DataFrame:
     return mapped.select("raw", "canonical", confidence.alias("confidence"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN substr(md5(doc_id || '|42'), 1, 2) < '1a' THEN 'holdout' ELSE 'train' END AS part FROM documents")
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded tenth as holdout, by hash order of the id instead of a shuffled list."""
-    held = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(10)) == 0
+    """A seeded tenth as holdout, by a hash of the id that other engines have as well."""
+    held = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|42"))), 1, 2) < "1a"
     return load(spark, d, "documents").select("doc_id", F.when(held, "holdout").otherwise("train").alias("part"))
 
 
 _SETS = f"SELECT doc_id, list_sort(list_distinct({_TOKENS})) AS t FROM documents"
 
 
-@query(f"""WITH s AS (SELECT min(doc_id) AS id, t FROM ({_SETS}) WHERE len(t) > 0 GROUP BY t),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y FROM s a JOIN s b ON a.id < b.id AND least(len(a.t), len(b.t)) >= 0.92 * greatest(len(a.t), len(b.t)))
-SELECT a, b, round(i / (x + y - i), 9) AS jaccard FROM p WHERE i / (x + y - i) >= 0.92""")
+@query(f"""WITH s AS (SELECT min(doc_id) AS id, t FROM ({_SETS}) GROUP BY t),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y FROM s a JOIN s b ON a.id < b.id AND len(a.t) > 0 AND least(len(a.t), len(b.t)) >= 0.92 * greatest(len(a.t), len(b.t))),
+n AS (SELECT a, b FROM p WHERE i / (x + y - i) >= 0.92), l AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM n UNION ALL SELECT b FROM n) GROUP BY id)
+SELECT d.doc_id AS id, s.id AS class_id, coalesce(l.k, 0) AS n_links FROM ({_SETS}) d JOIN s ON d.t = s.t LEFT JOIN l ON l.id = s.id""")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """E8."""
-    from ledgerlens.operators.dedupe import near_duplicate_pairs
+    """Each document's class of equal token sets and the number of classes near it."""
+    from ledgerlens.operators.dedupe import linked
 
-    return near_duplicate_pairs(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return linked(load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -463,3 +490,103 @@ def gate_report(spark: SparkSession, d: str) -> DataFrame:
     """C11."""
     solvent = F.round(F.avg((F.col("c_acctbal") >= 0).cast("double")), 9)
     return evaluation.gates(load(spark, d, "customer"), {"customers": (F.count("*"), 1), "solvent": (solvent, 2)})
+
+
+#: What the facts' metrics are called in reports and questions; report years lie in the range of years that headers may name.
+SHEET = {"quantity": "Hàng tồn kho", "extendedprice": "Tài sản ngắn hạn", "discount_amt": "Phải thu khách hàng", "tax_amt": "Thuế phải nộp"}
+ASKED = {"quantity": "Doanh thu thuần", "extendedprice": "Tài sản ngắn hạn", "discount_amt": "Chi phí bán hàng", "tax_amt": "Giá vốn hàng bán"}
+LATER = 20
+
+
+def _named(names: dict[str, str]):
+    return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("metric"))
+
+
+def reports_of(facts: DataFrame) -> DataFrame:
+    """path, text of a report for each company: a title, a unit and a table of its metrics by year."""
+    whole = F.floor("value").cast("decimal(20,0)")
+    cell = F.translate(F.format_number(whole, 0), ",", ".")
+    rows = facts.select("company", (F.col("year") + LATER).alias("year"), "metric", _named(SHEET).alias("label"), cell.alias("cell"))
+    lines = rows.groupBy("company", "metric", "label").agg(F.array_sort(F.collect_list(F.struct("year", "cell"))).alias("cells"))
+    td = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    body = F.concat(F.lit("<tr>"), td("td", F.col("label")), td("td", F.lit("100")), F.array_join(F.transform("cells", lambda x: td("td", x["cell"])), ""), F.lit("</tr>"))
+    head = F.array_join(F.transform("cells", lambda x: td("th", F.concat(F.lit("Năm "), x["year"].cast("string")))), "")
+    tables = lines.select("company", "metric", body.alias("body"), head.alias("head")).groupBy("company").agg(F.min("head").alias("head"), F.array_sort(F.collect_list(F.struct("metric", "body"))).alias("b"))
+    table = F.concat(F.lit("<table><tr><th>Chỉ tiêu</th><th>Mã số</th>"), F.col("head"), F.lit("</tr>\n"), F.array_join(F.transform("b", lambda x: x["body"]), "\n"), F.lit("</table>"))
+    text_ = F.concat(F.lit("BÁO CÁO TÀI CHÍNH HỢP NHẤT\nĐơn vị: VND\nBẢNG CÂN ĐỐI KẾ TOÁN\n\n"), table, F.lit("\n<table><tr><td>Mục lục</td><td>Trang</td></tr><tr><td>x</td><td>3</td></tr></table>\n"))
+    path = F.concat(F.lit("/data/financial_statements/"), F.col("company"), F.lit("/2021/"), F.col("company"), F.lit("_consolidated_extracted.txt"))
+    return tables.select(path.alias("path"), text_.alias("text"))
+
+
+@query(_facts_sql("""SELECT company || '_consolidated' AS report_id, 2 AS start_line, 8 AS end_line, 'CDKT' AS table_type, 'Đơn vị: VND' AS unit, company, 2021 AS year, true AS is_consolidated, 5 AS n_rows, 'html' AS source FROM facts GROUP BY company"""))
+def extract_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of reports rendered from the facts; tables of contents aren't among them."""
+    from ledgerlens.operators import extraction
+
+    out = extraction.extract_tables(reports_of(facts_long(spark, d)))
+    return out.select("report_id", "start_line", "end_line", "table_type", "unit", "company", "year", "is_consolidated", F.size("rows").alias("n_rows"), "source")
+
+
+@query(_facts_sql(f"SELECT company, year + {LATER} AS year, CASE metric {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {chr(39)}{n}{chr(39)}' for m, n in SHEET.items())} END AS metric_raw, floor(value) AS value, 'Đơn vị: VND' AS unit FROM facts"))
+def longify_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Reports rendered from the facts, extracted and unpivoted, are the facts again."""
+    from ledgerlens.operators import extraction, longify
+
+    return longify.longify(extraction.extract_tables(reports_of(facts_long(spark, d)))).select("company", "year", "metric_raw", "value", "unit")
+
+
+@query(_facts_sql(f"SELECT company, year + {LATER} AS year, count(*) AS n FROM facts GROUP BY ALL"))
+def longify_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The same tables read as notes."""
+    from ledgerlens.operators import extraction, longify
+
+    return longify.longify(extraction.extract_tables(reports_of(facts_long(spark, d))), True).groupBy("company", "year").agg(F.count("*").alias("n"))
+
+
+#: Operation -> question of a company, and its answer over the pivoted facts q (of the company) in SQL.
+QUESTIONS = {
+    "lookup": ("Doanh thu thuần của %s năm 1997 là bao nhiêu?", "max(quantity) FILTER (WHERE year = 1997)"),
+    "sum": ("Tổng Giá vốn hàng bán và Chi phí bán hàng của %s năm 1997?", "max(tax_amt) FILTER (WHERE year = 1997) + max(discount_amt) FILTER (WHERE year = 1997)"),
+    "difference": ("Chênh lệch giữa Doanh thu thuần và Chi phí bán hàng của %s năm 1997?", "max(quantity) FILTER (WHERE year = 1997) - max(discount_amt) FILTER (WHERE year = 1997)"),
+    "ratio": ("Tỷ lệ Chi phí bán hàng trên Doanh thu thuần của %s năm 1997?", "max(discount_amt) FILTER (WHERE year = 1997) / max(quantity) FILTER (WHERE year = 1997) * 100"),
+    "year_delta": ("Doanh thu thuần của %s năm 1998 thay đổi bao nhiêu so với 1997?", "max(quantity) FILTER (WHERE year = 1998) - max(quantity) FILTER (WHERE year = 1997)"),
+    "pct_change": ("Doanh thu thuần của %s năm 1998 tăng bao nhiêu phần trăm so với 1997?", "(max(quantity) FILTER (WHERE year = 1998) - max(quantity) FILTER (WHERE year = 1997)) / abs(max(quantity) FILTER (WHERE year = 1997)) * 100"),
+    "mean": ("Giá vốn hàng bán trung bình của %s?", "avg(tax_amt)"),
+    "argmax": ("Năm mà Doanh thu thuần của %s cao nhất thì Chi phí bán hàng là bao nhiêu?", "arg_max(discount_amt, (quantity, -year))"),
+    "argmin": ("Chi phí bán hàng vào năm mà Doanh thu thuần của %s thấp nhất?", "arg_min(discount_amt, (quantity, year))"),
+    "argmax_ratio": ("Năm mà Doanh thu thuần của %s lớn nhất thì tỷ lệ Chi phí bán hàng trên Giá vốn hàng bán là bao nhiêu?", "arg_max(discount_amt / tax_amt * 100, (quantity, -year))"),
+    "argmin_ratio": ("Chi phí bán hàng chiếm bao nhiêu Giá vốn hàng bán của %s vào năm mà Doanh thu thuần nhỏ nhất?", "arg_min(discount_amt / tax_amt * 100, (quantity, year))"),
+    "count": ("Có bao nhiêu công ty như %s có Giá vốn hàng bán năm 1997?", "CAST(count(*) FILTER (WHERE year = 1997) AS DOUBLE)"),
+}
+
+
+def questions_of(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts as the planner reads them, a question of each operation about each company, and the companies' aliases."""
+    rows = facts.select(
+        "company", "year", _named(ASKED).alias("metric"), F.lit(None).cast("string").alias("canonical"), "value", F.lit("VND").alias("unit"), F.lit(False).alias("is_consolidated"),
+        F.concat(F.lit("r"), F.col("year").cast("string")).alias("report_id"), F.lit(1).alias("start_line"),
+    )
+    name = F.concat(F.reverse(F.regexp_extract("company", "[0-9]+", 0)), F.lit(" supplier"))
+    companies = facts.select("company").distinct()
+    asked = [F.struct(F.concat(F.col("company"), F.lit(f"|{op}")).alias("question_id"), F.format_string(q, name).alias("question")) for op, (q, _) in QUESTIONS.items()]
+    return rows, companies.select(F.explode(F.array(*asked)).alias("q")).select("q.*"), companies.select(name.alias("alias"), F.col("company").alias("ticker"))
+
+
+@query(_facts_sql(" UNION ALL ".join(f"SELECT company || '|{op}' AS question_id, '{op}' AS operation, round({a}, 4) AS answer, 'ok' AS status FROM p GROUP BY company" for op, (_, a) in QUESTIONS.items())))
+def planner_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Q3-Q10, F1-F3, J9, J10, O1, W7, 2.15: a question of each of the twelve operations about each company."""
+    from ledgerlens.plans.questions import answer_questions
+
+    out = answer_questions(*questions_of(facts_long(spark, d)))
+    return out.select("question_id", "operation", F.round("answer", 4).alias("answer"), "status")
+
+
+@query(_facts_sql(" UNION ALL ".join(f"SELECT company || '|{op}' AS question_id, 'ok' AS status, round({a}, 4) AS value FROM p GROUP BY company" for op, (_, a) in QUESTIONS.items())))
+def planner_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The planner's expressions, read by the grammar and computed over the submitted evidence."""
+    from ledgerlens.plans import pack
+
+    rows, asked, aliases = questions_of(facts_long(spark, d))
+    made, evidence = pack.pack(rows, asked, aliases)
+    done = pack.execute(made.select(F.col("id").alias("question_id"), "pandas_query"), evidence)
+    return done.select("question_id", "status", F.round("value", 4).alias("value"))
