@@ -68,7 +68,7 @@ END = 0
 #: Bytes of rows that leave a task together.
 FRAME_BYTES = 1 << 22
 
-_zstd, _unzstd = zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+_zstd, _unzstd = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 
 
 def hashes_of(words: Collection[bytes]) -> np.ndarray:

@@ -1,25 +1,30 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-Each line of a file is compared with the template texts of licences by the
-cosine of sparse TF-IDF vectors; the file's own licence is that of its best line
-with a cosine of at least THRESHOLD. Document frequencies are counted over all
-files. A licence file declares its licence for its directory; a file without a
-licence of its own takes that of the nearest ancestor directory that declares
-one, found by joins of directory paths.
-
-Only DataFrame functions are used. The templates' terms bound all that is
-broadcast. Words outside them count once each in a line's length at the largest
-idf. No idf exceeds that of a word in one of RAREST documents, so that the weight
-of words the files lack doesn't grow with their number and a line's verdict is
-the same in small and large corpora. Joins on directories have one row for each directory on one side, so that a
-directory with a third of all files is a skewed join that AQE splits, and
-minima are taken before shuffles.
-
-Edge cases: a null or empty text has no lines and can only inherit. A null path
+A file is compared with the template texts of licences as a whole, by its header
+(the first HEADER_LINES lines) and by each line, as the cosine of sparse TF-IDF
+vectors; its own licence is that of the best of these units with a cosine of at
+least THRESHOLD. idf = ln((1 + n) / (1 + df)) + 1 over all files, but never more than
+that of a term in one of RAREST files, so that a verdict is the same in small and
+large corpora. A licence file (by its name, or a file whose whole text reaches
+THRESHOLD) declares its licence for its directory; a file without a licence of its
+own takes that of the nearest ancestor directory that declares one, found by joins
+of directory paths.
+
+Only DataFrame functions are used. A first pass counts the files that hold each
+template term. By the Cauchy-Schwarz inequality, terms that make less than
+THRESHOLD of every template's length can't bring any unit there by themselves, so
+only units that hold one of the other, telling terms are looked at, which loses
+none. Of these the terms outside the templates are counted over all files in a
+second pass. All that is sent out is bounded by the templates. Joins on directories
+have one row for each directory on one side, so that a directory with a third of
+all files is a skewed join that AQE splits, and minima are taken before shuffles.
+
+Edge cases: a null or empty text has no terms and can only inherit. A null path
 has no directories and keeps only its own licence. Ties of cosines go to the
-first licence by name. Repeated rows each get a row. A directory with several
-licence files takes the one with the largest cosine, ties to the first by path.
-Extra columns are ignored. An empty table gives an empty result.
+first licence by name. Rows are judged by their own text, also where they repeat an
+id or have none; repeated rows each get a row. A directory with several licence
+files takes the one with the largest cosine, ties to the first by path. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,26 +34,65 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 THRESHOLD = 0.6
-#: Rarer words weigh like those of one document in so many; the smallest tables have as many documents.
+#: Rarer terms weigh like those of one file in so many; the smallest tables have as many.
 RAREST = 200
-# Short notices by which works name their licences.
+HEADER_LINES = 20
+# Texts by which works name or grant their licences, in full where they are short.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy '
+        "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License.",
+    ),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    (
+        "MIT",
+        "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+        '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR '
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+        'notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS '
+        "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details.",
+    ),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
+        "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -73,60 +117,86 @@ def _template_terms(spark: SparkSession) -> DataFrame:
     )
 
 
-def _repeats(files: DataFrame) -> bool:
-    return not files.groupBy("row").count().where("count > 1").isEmpty()
+def _idf(df: Column, n: int) -> Column:
+    return F.least(F.log((1.0 + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0, F.lit(math.log(1.0 + RAREST) + 1.0))
+
+
+def _telling(weights: list[tuple[int, str, float]]) -> list[str]:
+    """The template terms without which no unit reaches THRESHOLD: all but the lightest, which make too little of each template.
+
+    ``weights``: template, term, part of the template's length.
+    """
+    heaviest: dict[str, float] = {}
+    for _, term, w in weights:
+        heaviest[term] = max(heaviest.get(term, 0.0), w)
+    left: dict[int, float] = {}
+    spare: set[str] = set()
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for template, term, w in weights:
+        by_term.setdefault(term, []).append((template, w))
+    for term in sorted(heaviest, key=lambda t: (heaviest[t], t)):
+        grown = {t: left.get(t, 0.0) + w * w for t, w in by_term[term]}
+        if all(x < 0.999 * THRESHOLD**2 for x in grown.values()):
+            left.update(grown)
+            spare.add(term)
+    return sorted(set(heaviest) - spare)
+
+
+def _key() -> Column:
+    """What tells rows apart: their id, if any, and their text."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), F.col("row").cast("string")), F.lit("-")), F.lit("|"), F.xxhash64("text").cast("string"))
 
 
 def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """row (an id of the file), path, licence, score: of the best line of each row, null if none is near enough.
+    """row (an id of the file), path, licence, score of the best unit of each row (null if none is near enough), whole: its whole text is near.
 
-    ``files`` has row, path, text; rows that repeat an id and text are read once.
+    ``files`` has row, path, text.
     """
-    every = files
-    files = files.groupBy("row").agg(F.max("text").alias("text")) if _repeats(files) else files
     in_templates = _template_terms(spark)
     vocabulary = sorted(r.term for r in in_templates.select("term").distinct().collect())  # bounded by the templates
-    wanted = F.array(*map(F.lit, vocabulary))
-    # whole counts: the documents that hold each template term, and all documents
-    per_file = files.select(F.explode(F.array_intersect(_terms(F.coalesce("text", F.lit(""))), wanted)).alias("term"))
-    seen = per_file.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(files.count())
-    most = F.lit(math.log(1.0 + RAREST) + 1.0)
-    idf_top = F.least(F.log(1.0 + n) + 1.0, most)
-    idf = (
-        in_templates.select("term").distinct().join(F.broadcast(seen), "term", "left")
-        .select("term", F.least(F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0, most).alias("idf"))
-    )
-    idf_rows = sorted((r.term, r.idf) for r in idf.collect())
-    idf = spark.createDataFrame(idf_rows, "term string, idf double")
-    weighted = in_templates.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    n = files.count()
+    held = files.select(F.explode(F.array_intersect(_terms("text"), F.array(*map(F.lit, vocabulary)))).alias("term"))
+    seen = {r.term: r.df for r in held.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    known = spark.createDataFrame([(t, seen.get(t, 0)) for t in vocabulary], "term string, df long").withColumn("idf", _idf(F.col("df"), n))
+    weighted = in_templates.join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    vectors = weighted.join(lengths, "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("length")).alias("unit"))
-    # the cosine is at most the part of a line's length that its template terms make: a sound bound, taken before the explode
-    weight = F.create_map(*[F.lit(x) for pair in idf_rows for x in pair])
-    # template terms and other words of each line, made inside the array so that the explode fixes them: no later
-    # column evaluates them again
-    by_line = F.transform(
-        F.transform(F.split("text", r"[\r\n]+"), _terms),
-        lambda terms: F.struct(F.filter(terms, lambda t: t.isin(vocabulary)).alias("hits"), F.size(terms).alias("n")),
-    )
-    some = files.select("row", F.posexplode(by_line).alias("line", "of")).where(F.size("of.hits") > 0)
-    some = some.select("row", "line", F.col("of.hits").alias("hits"), (F.col("of.n") - F.size("of.hits")).alias("outside"))
-    square = F.aggregate(
-        F.array_distinct("hits"), F.lit(0.0),
-        lambda acc, t: acc + F.pow(weight[t] * F.size(F.filter("hits", lambda x: x == t)), F.lit(2.0)),
+    vectors = weighted.join(lengths, "template").select("template", "licence", "term", (F.col("w") / F.col("length")).alias("unit"))
+    vector_rows = sorted(tuple(r) for r in vectors.collect())
+    vectors = spark.createDataFrame(vector_rows, "template int, licence string, term string, unit double")
+    telling = _telling([(t, term, w) for t, _, term, w in vector_rows])
+
+    # terms by line, then the units: lines, header, whole
+    lines = files.select(_key().alias("key"), F.transform(F.split("text", r"[\r\n]+"), _terms).alias("lines"))
+    tells = lambda terms: F.exists(terms, lambda t: t.isin(telling))
+    some = lines.where(F.exists("lines", tells))
+    unit = lambda terms, whole: F.struct(terms.alias("terms"), whole.alias("whole"))
+    one = F.size("lines") == 1
+    units = F.concat(
+        F.transform("lines", lambda x: unit(x, one)), F.array(unit(F.flatten("lines"), F.lit(True)), unit(F.flatten(F.slice("lines", 1, HEADER_LINES)), F.lit(False)))
     )
-    some = some.withColumn("square", square).withColumn("whole", F.col("square") + F.col("outside") * idf_top * idf_top)
-    some = some.where(F.col("square") >= THRESHOLD**2 * 0.999 * F.col("whole"))
-    terms = some.select("row", "line", F.sqrt("whole").alias("norm"), F.explode("hits").alias("term"))
-    # each occurrence of a term adds idf * unit, so their sum is tf * idf * unit
-    units = vectors.select("template", "licence", "term", (F.col("idf") * F.col("unit")).alias("add"))
-    dots = terms.join(F.broadcast(units), "term").groupBy("row", "line", "template", "licence", "norm").agg(F.sum("add").alias("dot"))
-    scored = dots.select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    near = scored.where(F.col("score") >= THRESHOLD)
-    best = near.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("down"), "licence")).alias("best"))
-    best = best.select("row", F.col("best.licence").alias("licence"), (-F.col("best.down")).alias("score"))
-    return every.select("row", "path").join(best, "row", "left")
+    told = F.filter(units, lambda u: tells(u["terms"]))
+    each = some.select("key", F.monotonically_increasing_id().alias("file"), F.posexplode(told).alias("place", "of"))
+    counted = each.select("key", "file", "place", "of.whole", F.explode("of.terms").alias("term")).groupBy("key", "file", "place", "whole", "term").agg(F.count("*").alias("tf"))
+    # written once: file numbers hold for all that follows
+    counted = materialize(spark, counted, "licence-terms")
+    # no idf is under 1, which bounds what terms outside the templates make of a unit's length from below: units that can't reach THRESHOLD go
+    inside = counted.join(F.broadcast(known.select("term", "idf")), "term", "left")
+    least = F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(1.0)), F.lit(2.0))).alias("least")
+    dot = inside.join(F.broadcast(vectors), "term").groupBy("file", "place", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("unit")).alias("dot"), F.first("licence").alias("licence"))
+    norms = inside.groupBy("key", "file", "place", "whole").agg(least)
+    near = dot.join(norms, ["file", "place"]).where(F.col("dot") >= 0.999 * THRESHOLD * F.sqrt("least")).drop("least")
+    near = materialize(spark, near, "licence-near")
+    kept = counted.join(near.select("file", "place").distinct(), ["file", "place"], "left_semi")
+    outside = kept.join(F.broadcast(known.select("term")), "term", "left_anti")
+    asked = outside.select("term").distinct()
+    # which files hold the terms beside the templates; Spark sends them out only if their size allows
+    frequency = files.select(F.explode(F.array_distinct(_terms("text"))).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = known.select("term", "idf").unionByName(asked.join(frequency, "term", "left").select("term", _idf(F.col("df"), n).alias("idf")))
+    length = kept.join(idf, "term").groupBy("file", "place").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
+    scored = near.join(length, ["file", "place"]).select("key", "whole", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= THRESHOLD)
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("down"), "licence")).alias("best"), F.max("whole").alias("whole"))
+    best = best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.down")).alias("score"), "whole")
+    return files.select("row", "path", _key().alias("key")).join(best, "key", "left").select("row", "path", "licence", "score", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -158,7 +228,7 @@ def inherit(found: DataFrame, declares: Column) -> DataFrame:
 
 
 def is_licence_file(path: Column) -> Column:
-    """Files that speak for their directory, by their usual names."""
+    """Files that speak for their directory by their usual names; files whose whole text is a licence do so in any case."""
     return F.upper(F.element_at(F.split(path, "/"), -1)).rlike(r"^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)([._-].*)?$")
 
 
@@ -166,12 +236,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``: doc_id, path, licence, score, basis, from_directory.
 
     The documents stand at the path source/lang/doc_id; the table has no file
-    names, so any document with a licence of its own speaks for its directory.
+    names, so a document whose whole text is a licence speaks for its directory.
     """
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     files = docs.select(F.col("doc_id").alias("row"), path.alias("path"), "text")
-    out = inherit(own_licences(spark, files), F.lit(True))
+    out = inherit(own_licences(spark, files), F.col("whole"))
     return out.withColumnRenamed("row", "doc_id")
 
 

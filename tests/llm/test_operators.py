@@ -442,6 +442,48 @@ def test_license_lines_and_inheritance(spark):
     }
 
 
+def brute_licences(texts):
+    """Best (licence, score) and whether the whole text is near, of each text by TF-IDF over all texts."""
+    import re
+
+    terms = lambda t: re.findall(license._TERM, t.lower())
+    n, df = len(texts), Counter(w for t in texts for w in set(terms(t or "")))
+    idf = lambda w: min(math.log((1 + n) / (1 + df[w])) + 1, math.log(1 + license.RAREST) + 1)
+    vector = lambda own: {w: c * idf(w) for w, c in Counter(own).items()}
+    templates = [(name, vector(terms(body))) for name, body in license.TEMPLATES]
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return round(sum(x * b.get(w, 0) for w, x in a.items()) / size, 9) if size else 0.0
+
+    out = []
+    for t in texts:
+        lines = [terms(x) for x in re.split(r"[\r\n]+", t or "")]
+        whole, header = [w for x in lines for w in x], [w for x in lines[: license.HEADER_LINES] for w in x]
+        found = [(cosine(vector(u), v), name, u == whole) for u in [*lines, header, whole] for name, v in templates]
+        near = [f for f in found if f[0] >= license.THRESHOLD]
+        best = min(((-s, name) for s, name, _ in near), default=(None, None))
+        out.append((best[1], None if best[0] is None else -best[0], any(w for _, _, w in near)))
+    return out
+
+
+def test_license_scores_equal_brute_force(spark):
+    r = random.Random(3)
+    words = "the of and a in to is software free work other than that code file any this for data table row".split()
+    prose = lambda k: " ".join(r.choice(words) + (str(r.randrange(40)) if r.random() < 0.3 else "") for _ in range(k))
+    texts = [prose(r.randrange(1, 80)) for _ in range(60)] + [None, "", " \n\n"]
+    for name, body in license.TEMPLATES:
+        own = body.split()
+        texts += [body, f"{prose(20)}\n{body}\n{prose(30)}", f"# {' '.join(own[:len(own) // 2])}\n# {' '.join(own[len(own) // 2:])}\n" + "\n".join(prose(5) for _ in range(30)),
+                  " ".join(w for w in own if r.random() < 0.7) + " " + prose(len(own) // 3), body + " " + body]
+    rows = [(i % 150 if i % 9 else None, None, t) for i, t in enumerate(texts)]
+    rows += rows[:5] + rows[-5:]
+    frame = spark.createDataFrame(rows, "row long, path string, text string")
+    want = Counter((row, *found) for (row, _, _), found in zip(rows, brute_licences([t for _, _, t in rows])))
+    got = license.own_licences(spark, frame).collect()
+    assert Counter((g.row, g.licence, g.score, g.whole) for g in got) == want and sum(g.licence is not None for g in got) > 70
+
+
 @pytest.mark.parametrize("n", [200, 2000, 40000])
 def test_license_verdicts_are_the_same_in_large_corpora(spark, n):
     lines = ["All rights reserved.", "All rights reserved. Unauthorized copying is prohibited.", "Copyright Acme. All rights reserved.", "Released under the MIT License.",
