@@ -13,8 +13,11 @@ of directory paths.
 Only DataFrame functions are used. A first pass counts the files that hold each
 template term. By the Cauchy-Schwarz inequality, terms that make less than
 THRESHOLD of every template's length can't bring any unit there by themselves, so
-only units that hold one of the other, telling terms are looked at, which loses
-none. Of these the terms outside the templates are counted over all files in a
+only units that hold one of the other, telling terms are looked at. Likewise the
+terms that make less than LIGHT of every template leave THRESHOLD - LIGHT of a
+unit's length to its other template terms, and no term weighs under its count, so
+units whose telling terms weigh less go before anything is counted. Both bounds
+lose none. Of the units that are left the terms outside the templates are counted over all files in a
 second pass. All that is sent out is bounded by the templates. Joins on directories
 have one row for each directory on one side, so that a directory with a third of
 all files is a skewed join that AQE splits, and minima are taken before shuffles.
@@ -40,6 +43,8 @@ THRESHOLD = 0.6
 #: Rarer terms weigh like those of one file in so many; the smallest tables have as many.
 RAREST = 200
 HEADER_LINES = 20
+#: The part of a template that its light terms may make in the second bound.
+LIGHT = 0.15
 # Texts by which works name or grant their licences, in full where they are short.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -121,8 +126,8 @@ def _idf(df: Column, n: int) -> Column:
     return F.least(F.log((1.0 + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0, F.lit(math.log(1.0 + RAREST) + 1.0))
 
 
-def _telling(weights: list[tuple[int, str, float]]) -> list[str]:
-    """The template terms without which no unit reaches THRESHOLD: all but the lightest, which make too little of each template.
+def _telling(weights: list[tuple[int, str, float]], most: float) -> list[str]:
+    """The template terms but for the lightest, which together make less than ``most`` of each template's length.
 
     ``weights``: template, term, part of the template's length.
     """
@@ -136,12 +141,21 @@ def _telling(weights: list[tuple[int, str, float]]) -> list[str]:
         by_term.setdefault(term, []).append((template, w))
     for term in sorted(heaviest, key=lambda t: (heaviest[t], t)):
         grown = {t: left.get(t, 0.0) + w * w for t, w in by_term[term]}
-        if all(x < 0.999 * THRESHOLD**2 for x in grown.values()):
+        if all(x < 0.999 * most**2 for x in grown.values()):
             left.update(grown)
             spare.add(term)
     return sorted(set(heaviest) - spare)
 
 
+def _squares(terms: Column) -> Column:
+    """The sum of the squares of the terms' counts, from the runs of equal terms in order."""
+    run = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
+    # a run grows its square by 2 n + 1
+    step = lambda x, t: F.when(t == x["last"], F.struct(t.alias("last"), (x["n"] + 1).alias("n"), (x["sum"] + 2 * x["n"] + 1).alias("sum"))).otherwise(
+        F.struct(t.alias("last"), F.lit(1).cast("long").alias("n"), (x["sum"] + 1).alias("sum")))
+    return F.aggregate(F.array_sort(terms), run, step)["sum"]
+
+
 def _key() -> Column:
     """What tells rows apart: their id, if any, and their text."""
     return F.concat(F.coalesce(F.concat(F.lit("="), F.col("row").cast("string")), F.lit("-")), F.lit("|"), F.xxhash64("text").cast("string"))
@@ -163,7 +177,9 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     vectors = weighted.join(lengths, "template").select("template", "licence", "term", (F.col("w") / F.col("length")).alias("unit"))
     vector_rows = sorted(tuple(r) for r in vectors.collect())
     vectors = spark.createDataFrame(vector_rows, "template int, licence string, term string, unit double")
-    telling = _telling([(t, term, w) for t, _, term, w in vector_rows])
+    parts = [(t, term, w) for t, _, term, w in vector_rows]
+    telling, heavy = _telling(parts, THRESHOLD), _telling(parts, LIGHT)
+    weight = F.create_map(*(F.lit(x) for r in known.where(F.col("term").isin(heavy)).collect() for x in (r.term, r.idf)))
 
     # terms by line, then the units: lines, header, whole
     lines = files.select(_key().alias("key"), F.transform(F.split("text", r"[\r\n]+"), _terms).alias("lines"))
@@ -174,7 +190,13 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     units = F.concat(
         F.transform("lines", lambda x: unit(x, one)), F.array(unit(F.flatten("lines"), F.lit(True)), unit(F.flatten(F.slice("lines", 1, HEADER_LINES)), F.lit(False)))
     )
-    told = F.filter(units, lambda u: tells(u["terms"]))
+
+    def may_reach(terms: Column) -> Column:
+        hits = F.filter(terms, lambda t: t.isin(heavy))
+        own = F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda x, t: x + F.pow(weight[t] * F.size(F.filter(hits, lambda h: h == t)), F.lit(2.0)))
+        return own >= 0.999 * (THRESHOLD - LIGHT) ** 2 * _squares(terms)
+
+    told = F.filter(units, lambda u: tells(u["terms"]) & may_reach(u["terms"]))
     each = some.select("key", F.monotonically_increasing_id().alias("file"), F.posexplode(told).alias("place", "of"))
     counted = each.select("key", "file", "place", "of.whole", F.explode("of.terms").alias("term")).groupBy("key", "file", "place", "whole", "term").agg(F.count("*").alias("tf"))
     # written once: file numbers hold for all that follows
