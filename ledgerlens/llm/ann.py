@@ -8,22 +8,27 @@ shifts large inner products; h_par / h_perp = ANISOTROPY. Codes are chosen a
 subspace at a time given the others; all codebooks together solve one linear
 least-squares problem.
 
-The codebooks are fitted on a bounded sample: the FIT_ROWS vectors with the
-least hash of (vec_id, vector). Every vector is then encoded and indexed.
-
-Queries are read in blocks of QUERY_BLOCK, each sent out by broadcast, and every
-chunk of the vectors is scanned against every block through the queries' look-up
-tables (a stated query set against all rows, in blocks). The RERANK best of each
-query and chunk by the tables, ties to the smaller vec_id, get exact cosines in
-double precision; the best k of all chunks are the answer. In a chunk, of equal
-vectors only the k + 1 least vec_ids are scanned: the others can't be nearest. Recall against brute
-force is measured in the tests.
+The vectors lie in cells, each with the centre of the largest inner product
+(spherical k-means). Centres and codebooks are fitted on a bounded sample: the
+FIT_ROWS vectors with the least hash of (vec_id, vector). Every vector is then
+put in its cell, encoded and indexed; a cell is dealt over as many parts as its
+share of the sample asks for, so that a hot cell is no single task. A query probes
+the fewest cells that held CELL_RECALL of the neighbours among the sample's own
+vectors, measured when the index is fitted: few where vectors cluster, most where
+they don't. Queries (a stated set) go to their cells in blocks of QUERY_BLOCK and
+meet the cells' chunks by a join on the cell; the chunk is scanned through the
+queries' look-up tables, and the RERANK best by the tables, ties to the smaller
+vec_id, get exact cosines in double precision. The best k of all chunks are the
+answer. In a chunk, of equal vectors only the k + 2 least vec_ids are scanned: the
+others can't be nearest. Recall against brute force is measured in the tests.
 
 Edge cases: vectors that are null, zero, of another length than the most common
 one, or hold null or non-finite components take no part, neither do rows without
 a vec_id. Equal vectors tie and go by vec_id. Fewer candidates than k: all. An
 empty table: an empty result. Extra columns are ignored. Rows that repeat a
-vec_id are candidates each; a query row's own vec_id is never its candidate.
+vec_id are candidates each; a query's own row alone isn't its candidate. Query rows
+of equal vec_id and vector are one query, those of equal vec_id and other vectors
+several.
 """
 
 from __future__ import annotations
@@ -35,16 +40,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import table
 
 CENTRES = 16
 SUB_DIM = 2
 ANISOTROPY = 4.0
 FIT_ROWS = 16384
 FIT_ROUNDS = 4
-QUERY_BLOCK = 2048
-RERANK = 384
+QUERY_BLOCK = 1024
+#: Vectors of a chunk that are scored exactly.
+RERANK = 256
 CHUNK = 8192
+#: Vectors of a cell; cells are at most MOST_CELLS.
+CELL_ROWS, MOST_CELLS = 4096, 1024
+CELL_RECALL = 0.985
+#: Queries of the sample that measure it.
+PROBED = 512
 
 
 class Quantiser:
@@ -149,17 +160,44 @@ def select(approx: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(approx == edge)[: k - len(above)]])
 
 
-def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of at least CHUNK rows, but for the last."""
-    held, n = [], 0
-    for pdf in batches:
-        held.append(pdf)
-        n += len(pdf)
-        if n >= CHUNK:
-            yield pd.concat(held)
-            held, n = [], 0
-    if n:
-        yield pd.concat(held)
+class Cells:
+    """Centres of cells (unit vectors), each one's share of the vectors and the number of cells that a query probes."""
+
+    def __init__(self, x: np.ndarray, n_rows: int, k: int, seed: int = 9):
+        """x: the sample's unit vectors."""
+        rng = np.random.default_rng(seed)
+        n = int(np.clip(min(n_rows // CELL_ROWS, len(x) // 8), 1, MOST_CELLS))
+        self.centres = x[rng.choice(len(x), n, replace=False)]
+        for _ in range(8):
+            own = self.of(x)
+            sums = np.zeros_like(self.centres)
+            np.add.at(sums, own, x)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            self.centres = np.where(size > 0, sums / np.maximum(size, 1e-300), self.centres)
+        own = self.of(x)
+        self.share = np.bincount(own, minlength=n) / len(x)
+        self.probes = n
+        if n > 1:
+            some = rng.choice(len(x), min(PROBED, len(x)), replace=False)
+            near = x[some] @ x.T
+            near[np.arange(len(some)), some] = -np.inf
+            top = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+            order = self.nearest(x[some], n)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(n)[None, :].repeat(len(some), 0), axis=1)
+            met = np.take_along_axis(place, own[top], axis=1)
+            self.probes = int(np.quantile(met, CELL_RECALL, method="higher")) + 1
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centres.T).argmax(axis=1)
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :n]
+
+
+def unit(vecs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    v = np.stack(vecs.to_numpy())
+    return v, v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -178,72 +216,95 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     # about twice the sample passes the filter, so that each task sends few rows to be ordered
     share = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * FIT_ROWS / max(1, n_rows))
     sample = rows.where(share).orderBy(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 20)), F.xxhash64("vec_id", "vec"), "vec_id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
-    schema = "query_id long, vec_id long, score double"
     if not len(sample):
-        none = spark.createDataFrame([], schema)
-        return none.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    x = np.stack(sample)
-    model = spark.sparkContext.broadcast(Quantiser.fit(x / np.linalg.norm(x, axis=1, keepdims=True)))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    x = unit(sample)[1]
+    model = spark.sparkContext.broadcast((Quantiser.fit(x), Cells(x, n_rows, k)))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = model.value[1]
+        parts = np.maximum(1, np.ceil(cells.share * n_rows / CHUNK)).astype(np.int64)
+        for pdf in batches:
+            cell = cells.of(unit(pdf["vec"])[1])
+            mixed = pdf["vec_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            yield pdf.assign(cell=cell, part=(mixed % parts[cell].astype(np.uint64)).astype(np.int64))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in gathered(batches):
-            for i in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[i : i + CHUNK].sort_values("vec_id", kind="stable")
-                v = np.stack(part["vec"].to_numpy())
-                # of equal vectors, only the k + 1 least vec_ids of a chunk can be among the k nearest
-                first = pd.Series([row.tobytes() for row in v + 0.0])
-                able = (first.groupby(first, sort=False).cumcount() <= k).to_numpy()
-                part, v = part[able], v[able]
-                codes = pack(model.value.encode(v / np.linalg.norm(v, axis=1, keepdims=True)))
-                yield pd.DataFrame(
-                    {"n": [len(part)], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "vecs": [v.tobytes()], "codes": [codes.tobytes()]}
-                )
-
-    chunks = rows.mapInPandas(index, "n int, ids binary, vecs binary, codes binary")
-    queries = rows.where(is_query)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    if blocks > 1:
-        chunks = materialize(spark, chunks, "index")
-        queries = materialize(spark, queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks))), "queries")
-    else:
-        queries = queries.withColumn("block", F.lit(0))
-    found = None
-    for block in range(blocks):
-        own = queries.where(F.col("block") == block).select("vec_id", "vec").toPandas()
-        if not len(own):
-            continue
-        q = np.stack(own["vec"])
-        sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(np.int64), q, np.linalg.norm(q, axis=1)))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            query_ids, q, q_norm = sent.value
-            tables = model.value.tables(q / q_norm[:, None])
-            for pdf in batches:
-                for n, ids, vecs, codes in zip(pdf["n"], pdf["ids"], pdf["vecs"], pdf["codes"]):
-                    ids = np.frombuffer(ids, np.int64)
-                    vecs = np.frombuffer(vecs).reshape(n, -1)
-                    norms = np.linalg.norm(vecs, axis=1)
-                    codes = np.frombuffer(codes, np.uint8).reshape(n, -1)
-                    out = []
-                    for a in range(0, len(query_ids), 256):
-                        approx = scan(tables[a : a + 256], codes)
-                        for r in range(len(approx)):
-                            at = select(approx[r], RERANK + 1)
-                            at = at[ids[at] != query_ids[a + r]]
-                            if not len(at):
-                                continue
-                            score = np.einsum("nd,d->n", vecs[at], q[a + r]) / (norms[at] * q_norm[a + r])
-                            top = np.lexsort((ids[at], -score))[:k]
-                            out.append((np.full(len(top), query_ids[a + r]), ids[at[top]], score[top]))
-                    if out:
-                        yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
-
-        part = chunks.mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        coder = model.value[0]
+
+        def chunk(cell: int, held: list[pd.DataFrame]) -> pd.DataFrame:
+            part = pd.concat(held).sort_values("vec_id", kind="stable")
+            v, u = unit(part["vec"])
+            # of equal vectors, only the k + 2 least vec_ids of a chunk can be among the k nearest
+            same = pd.Series([row.tobytes() for row in v + 0.0])
+            able = (same.groupby(same, sort=False).cumcount() <= k + 1).to_numpy()
+            ids, v, codes = part["vec_id"].to_numpy(np.int64)[able], v[able], pack(coder.encode(u[able]))
+            return pd.DataFrame({"cell": [cell], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [v.tobytes()], "codes": [codes.tobytes()]})
+
+        at, held, size = None, [], 0
+        for pdf in batches:
+            for key, part in pdf.groupby(["cell", "part"], sort=True):
+                for i in range(0, len(part), CHUNK):
+                    piece = part.iloc[i : i + CHUNK]
+                    if held and (key != at or size + len(piece) > CHUNK):
+                        yield chunk(int(at[0]), held)
+                        held, size = [], 0
+                    at = key
+                    held.append(piece)
+                    size += len(piece)
+        if held:
+            yield chunk(int(at[0]), held)
+
+    in_cells = rows.mapInPandas(placed, "vec_id long, vec array<double>, cell int, part int")
+    chunks = in_cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInPandas(index, "cell int, n int, ids binary, vecs binary, codes binary")
+
+    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each cell that a query probes."""
+        cells = model.value[1]
+        for pdf in batches:
+            near = cells.nearest(unit(pdf["vec"])[1], cells.probes)
+            yield pdf.loc[pdf.index.repeat(near.shape[1])].assign(cell=near.ravel())
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries of a cell together, at most QUERY_BLOCK; rows come sorted by cell."""
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell", sort=True):
+                for i in range(0, len(part), QUERY_BLOCK):
+                    own = part.iloc[i : i + QUERY_BLOCK]
+                    yield pd.DataFrame({"cell": [int(cell)], "q_ids": [own["vec_id"].to_numpy(np.int64).tobytes()], "q_keys": [own["key"].to_numpy(np.int64).tobytes()],
+                                        "q_vecs": [np.stack(own["vec"].to_numpy()).tobytes()]})
+
+    asked = rows.where(is_query).select("vec_id", F.xxhash64("vec").alias("key"), "vec").dropDuplicates(["vec_id", "key"])
+    asked = asked.mapInPandas(probing, "vec_id long, key long, vec array<double>, cell int")
+    blocks = asked.repartition("cell").sortWithinPartitions("cell").mapInPandas(block, "cell int, q_ids binary, q_keys binary, q_vecs binary")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = model.value[0]
+        for pdf in batches:
+            for n, ids, vecs, codes, q_ids, q_keys, q_vecs in zip(*(pdf[c] for c in ("n", "ids", "vecs", "codes", "q_ids", "q_keys", "q_vecs"))):
+                ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs).reshape(n, -1)
+                codes = np.frombuffer(codes, np.uint8).reshape(n, -1)
+                q_ids, q_keys = np.frombuffer(q_ids, np.int64), np.frombuffer(q_keys, np.int64)
+                q = np.frombuffer(q_vecs).reshape(len(q_ids), -1)
+                norms, q_norm = np.linalg.norm(vecs, axis=1), np.linalg.norm(q, axis=1)
+                out = []
+                for a in range(0, len(q_ids), 256):
+                    approx = scan(coder.tables(q[a : a + 256] / q_norm[a : a + 256, None]), codes)
+                    for r in range(len(approx)):
+                        at = select(approx[r], RERANK + 1)
+                        score = np.einsum("nd,d->n", vecs[at], q[a + r]) / (norms[at] * q_norm[a + r])
+                        top = np.lexsort((ids[at], -score))[: k + 1]
+                        at, score = at[top], score[top]
+                        own = (ids[at] == q_ids[a + r]) & (vecs[at] == q[a + r]).all(axis=1)
+                        out.append((np.full(len(at), q_ids[a + r]), np.full(len(at), q_keys[a + r]), ids[at], score, own))
+                yield pd.DataFrame(dict(zip(("query_id", "key", "vec_id", "score", "own"), map(np.concatenate, zip(*out)))))
+
+    found = chunks.join(blocks, "cell").mapInPandas(search, "query_id long, key long, vec_id long, score double, own boolean")
+    # the query's own row goes, once
+    mine = Window.partitionBy("query_id", "key", "own").orderBy(F.desc("score"), "vec_id")
+    others = found.withColumn("copy", F.row_number().over(mine)).where((F.col("copy") <= k + 1) & ~(F.col("own") & (F.col("copy") == 1)))
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+    ranked = others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -350,6 +350,48 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     assert got[700] == [701, 702, 703, 704, 705]
 
 
+def brute_nearest(x, queries, k=5):
+    out = {}
+    for q in queries:
+        s = np.einsum("nd,d->n", x, x[q]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        s[q] = -9
+        out[q] = np.lexsort((np.arange(len(x)), -s))[:k].tolist()
+    return out
+
+
+@pytest.mark.parametrize("clusters, rerank, cell_rows", [(0, 512, 10**9), (0, 512, 2000), (40, 512, 500)])
+def test_ann_recall_of_codes_and_cells(spark, monkeypatch, clusters, rerank, cell_rows):
+    # one chunk of 20,000 rows of which the codes pick a fortieth; then cells, without and with clusters
+    r = np.random.default_rng(8)
+    x = r.normal(size=(20_000, 32))
+    if clusters:
+        x += 3 * r.normal(size=(clusters, 32))[r.integers(0, clusters, len(x))]
+    x = x.astype(np.float32).astype(float)
+    monkeypatch.setattr(ann, "CHUNK", 1 << 15), monkeypatch.setattr(ann, "RERANK", rerank), monkeypatch.setattr(ann, "CELL_ROWS", cell_rows), monkeypatch.setattr(ann, "FIT_ROWS", 3000)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    rows = ann.nearest(spark, frame, ann.F.col("vec_id") % 200 == 0).collect()
+    want = brute_nearest(x, range(0, 20_000, 200))
+    got = defaultdict(list)
+    for g in sorted(rows, key=lambda g: g.rank):
+        got[g.query_id].append(g.vec_id)
+    recall = sum(len(set(want[q]) & set(got[q])) for q in want) / (5 * len(want))
+    assert recall >= 0.93 and all(len(got[q]) == 5 for q in want), recall
+    cells = ann.Cells(x[:3000] / np.linalg.norm(x[:3000], axis=1, keepdims=True), len(x), 5)
+    if clusters:
+        assert len(cells.centres) == 40 and cells.probes < 20  # clustered vectors: few cells are probed
+
+
+def test_ann_rows_that_repeat_an_id(spark):
+    v = lambda *x: [float(c) for c in x]
+    rows = [(0, v(1, 0)), (0, v(1, 0)), (0, v(0, 1)), (4, v(1, 1)), (10, v(2, 0)), (11, v(3, 0.1)), (None, v(1, 0)), (7, v(1, 0, 0))]
+    got = ann.nearest(spark, spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string"), ann.F.col("vec_id") % 50 == 0).collect()
+    by_set = sorted(((g.query_id, g.rank, g.vec_id, round(g.score, 6)) for g in got), key=lambda g: (g[1], g[3]))
+    # two queries: (1, 0), of which one of two copies is its own row, and (0, 1)
+    assert sorted(g[1] for g in by_set) == sorted([1, 2, 3, 4, 5] * 2)
+    assert sorted((g[1], g[2]) for g in by_set if g[3] == 1.0) == [(1, 0), (2, 10)]
+    assert sum(g[2] == 0 for g in by_set) == 4 and sum(g[2] == 4 for g in by_set) == 2
+
+
 def test_url_verdicts_equal_plain_rules(spark):
     urls = ["http://www.Example.com/en/1", "https://x.example.com/en/", "http://example.com", "http://a.net/es/1?x", "http://a.net/de#z",
             "http://spam-farm.example.org/q", "http://m.spam-farm.example.org", "http://org/", None, "nothing", "://net/fr/", "http://xnet/es/1"]
