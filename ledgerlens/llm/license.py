@@ -11,14 +11,13 @@ own takes that of the nearest ancestor directory that declares one, found by joi
 of directory paths.
 
 Only DataFrame functions are used. A first pass counts the files that hold each
-template term. By the Cauchy-Schwarz inequality, terms that make less than
+term. By the Cauchy-Schwarz inequality, terms that make less than
 THRESHOLD of every template's length can't bring any unit there by themselves, so
 only units that hold one of the other, telling terms are looked at. Likewise the
 terms that make less than LIGHT of every template leave THRESHOLD - LIGHT of a
 unit's length to its other template terms, and no term weighs under its count, so
 units whose telling terms weigh less go before anything is counted. Both bounds
-lose none. Of the units that are left the terms outside the templates are counted over all files in a
-second pass. All that is sent out is bounded by the templates. Joins on directories
+lose none. All that is sent out is bounded by the templates. Joins on directories
 have one row for each directory on one side, so that a directory with a third of
 all files is a skewed join that AQE splits, and minima are taken before shuffles.
 
@@ -169,8 +168,10 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     in_templates = _template_terms(spark)
     vocabulary = sorted(r.term for r in in_templates.select("term").distinct().collect())  # bounded by the templates
     n = files.count()
-    held = files.select(F.explode(F.array_intersect(_terms("text"), F.array(*map(F.lit, vocabulary)))).alias("term"))
-    seen = {r.term: r.df for r in held.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    # combined before the shuffle: a task sends each term once
+    frequency = files.select(F.explode(F.array_distinct(_terms("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequency = materialize(spark, frequency, "licence-df")
+    seen = {r.term: r.df for r in frequency.where(F.col("term").isin(vocabulary)).collect()}
     known = spark.createDataFrame([(t, seen.get(t, 0)) for t in vocabulary], "term string, df long").withColumn("idf", _idf(F.col("df"), n))
     weighted = in_templates.join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
@@ -211,8 +212,6 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     kept = counted.join(near.select("file", "place").distinct(), ["file", "place"], "left_semi")
     outside = kept.join(F.broadcast(known.select("term")), "term", "left_anti")
     asked = outside.select("term").distinct()
-    # which files hold the terms beside the templates; Spark sends them out only if their size allows
-    frequency = files.select(F.explode(F.array_distinct(_terms("text"))).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = known.select("term", "idf").unionByName(asked.join(frequency, "term", "left").select("term", _idf(F.col("df"), n).alias("idf")))
     length = kept.join(idf, "term").groupBy("file", "place").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
     scored = near.join(length, ["file", "place"]).select("key", "whole", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= THRESHOLD)
