@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns that tell the operations of an emitted query.
@@ -47,6 +47,33 @@ def retrieval_quality(found: DataFrame, gold: DataFrame, cuts: Sequence[int] = (
     return both.groupBy("query_id", "intent").agg(*recalls, F.max(F.col("rank").isNotNull()).alias("hit"))
 
 
+def misses(found: DataFrame, gold: DataFrame, k: int = 20) -> DataFrame:
+    """The gold queries none of whose documents is among the first k."""
+    top = found.where(F.col("rank") <= k).select("query_id", "doc_id")
+    met = gold.join(top, ["query_id", "doc_id"], "left_semi").select("query_id")
+    return gold.select("query_id", "intent").distinct().join(met, "query_id", "left_anti")
+
+
+def extraction_report(reports: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row: files, those with tables and with a main statement, their shares, tables by kind, and tables per file (nearest rank).
+
+    reports has report_id, tables report_id, table_type, unit, company.
+    """
+    main = F.col("table_type").isin("CDKT", "KQKD", "LCTT")
+    per_file = tables.groupBy("report_id").agg(F.count("*").alias("n"), F.max(main).alias("main"))
+    files = reports.select("report_id").distinct().join(per_file, "report_id", "left").agg(
+        F.count("*").alias("total_files"), F.count("n").alias("files_with_tables"), F.count_if("main").alias("files_with_main"))
+    ranks = per_file.withColumn("i", F.row_number().over(Window.orderBy("n", "report_id")) - 1).crossJoin(F.broadcast(per_file.agg(F.count("*").alias("m"))))
+    at = lambda p: F.max(F.when(F.col("i") == F.bround(p * (F.col("m") - 1)).cast("int"), F.col("n")))
+    spread = ranks.agg(F.min("n").alias("least"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+    kinds = ("CDKT", "KQKD", "LCTT", "THUYET_MINH", "UNKNOWN")
+    counts = tables.agg(
+        F.count("*").alias("n_tables"), F.count_if(main).alias("n_main"), F.count_if(F.coalesce("unit", F.lit("")) != "").alias("n_with_unit"), F.countDistinct("company").alias("companies"),
+        *(F.count_if(F.col("table_type") == k).alias(f"n_{k.lower()}") for k in kinds))
+    out = files.crossJoin(counts).crossJoin(spread)  # one row each
+    return out.withColumns({"coverage": rate(F.col("files_with_tables"), F.col("total_files")), "main_coverage": rate(F.col("files_with_main"), F.col("total_files"))})
+
+
 def best_config(scored: DataFrame) -> DataFrame:
     """The configuration with the largest 0.5 f2 + 0.5 answer_accuracy, ties to the first name."""
     total = scored.withColumn("score", 0.5 * F.col("f2") + 0.5 * F.col("answer_accuracy"))

@@ -12,8 +12,8 @@ from ledgerlens.functions.fuzzy import token_sort_ratio
 from ledgerlens.functions.text import clean_term, key_of
 
 CUT, REVIEW = 85.0, 0.7
-#: Aliases that are sent to the executors; an ontology is curated and far smaller.
-MOST_ALIASES = 50_000
+#: Aliases that are sent to the executors at once.
+ALIAS_BLOCK = 50_000
 
 
 def alias_index(aliases: DataFrame) -> DataFrame:
@@ -26,19 +26,26 @@ def map_terms(terms: DataFrame, index: DataFrame) -> DataFrame:
     cleaned = terms.select("raw").where("raw is not null").distinct().select("raw", clean_term(F.col("raw")).alias("clean"), key_of(F.col("raw")).alias("key"))
     exact = cleaned.join(index, "key").select("raw", "clean", "canonical", F.lit(1.0).alias("confidence"))
     rest = cleaned.join(index.select("key"), "key", "left_anti")
-    keys = [(r.key, r.canonical) for r in index.orderBy("key").limit(MOST_ALIASES + 1).collect()]
-    if len(keys) > MOST_ALIASES:
-        raise ValueError(f"an ontology of more than {MOST_ALIASES} aliases isn't sent to executors")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for key in pdf["key"]:
-                score, at = max(((token_sort_ratio(key, k), -i) for i, (k, _) in enumerate(keys)), default=(0.0, 0))
-                found.append((keys[-at][1] if score >= CUT else None, score / 100))
-            yield pd.DataFrame({"raw": pdf["raw"], "clean": pdf["clean"], "canonical": [f[0] for f in found], "confidence": [f[1] for f in found]})
-
-    return exact.unionByName(rest.mapInPandas(best, "raw string, clean string, canonical string, confidence double"))
+    names, found = index.select("key", "canonical"), None
+    blocks = max(1, -(-names.count() // ALIAS_BLOCK))
+    for block in range(blocks):
+        own = names.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
+        keys = sorted((r.key, r.canonical) for r in own.collect())
+
+        def best(batches: Iterator[pd.DataFrame], keys=keys) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                near = [max(((token_sort_ratio(key, k), -i) for i, (k, _) in enumerate(keys)), default=(0.0, 0)) for key in pdf["key"]]
+                yield pd.DataFrame({
+                    "raw": pdf["raw"], "clean": pdf["clean"], "near": [keys[-i][0] if keys else None for _, i in near],
+                    "canonical": [keys[-i][1] if s >= CUT else None for s, i in near], "score": [s for s, _ in near],
+                })
+
+        part = rest.mapInPandas(best, "raw string, clean string, near string, canonical string, score double")
+        found = part if found is None else found.unionByName(part)
+    # of all blocks the best score, ties to the first key
+    if blocks > 1:
+        found = found.groupBy("raw", "clean").agg(F.min(F.struct((-F.col("score")).alias("down"), "near", "canonical")).alias("b")).select("raw", "clean", "b.canonical", (-F.col("b.down")).alias("score"))
+    return exact.unionByName(found.select("raw", "clean", "canonical", (F.col("score") / 100).alias("confidence")))
 
 
 def attach(facts: DataFrame, mapped: DataFrame) -> DataFrame:

@@ -2,33 +2,89 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import keyword
+import zipfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.numbers import answer_match, f2
 
 SAFE_PATH = r"^data/[A-Za-z0-9_./-]+\.csv$"
 
 
+# Statements that a query must not hold, and the keys of an entry.
+BANNED = (ast.Import, ast.ImportFrom, ast.With, ast.AsyncWith, ast.Try, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+KEYS = ["id", "question", "answer", "relevant_docs", "relevant_tables", "evidence", "pandas_query"]
+
+
+def _fault(query: str | None) -> str | None:
+    if query is None or not query.strip():
+        return "empty query"
+    try:
+        tree = ast.parse(query)
+    except (SyntaxError, ValueError):
+        return "query isn't Python"
+    return "forbidden statement" if any(isinstance(n, BANNED) for n in ast.walk(tree)) else None
+
+
+def query_fault(query: Column) -> Column:
+    """What is wrong with a query by its syntax tree; words inside strings don't count."""
+    return F.pandas_udf(lambda s: s.map(_fault), T.StringType())(query)
+
+
+def _is_name(name: str | None) -> bool:
+    return bool(name) and name.isidentifier() and not keyword.iskeyword(name)
+
+
 def violations(entries: DataFrame, files: DataFrame, expected: int) -> DataFrame:
-    """id, rule: entries as submitted, files (csv_path) as packed."""
+    """Id, rule of all faults: entries as submitted, files (csv_path) as packed; ids must be 1 to ``expected``."""
     paths = entries.select("id", F.explode("evidence").alias("e")).select("id", F.col("e.variable").alias("variable"), F.col("e.csv_path").alias("csv_path"))
+    named = F.pandas_udf(lambda s: s.map(_is_name), T.BooleanType())
+    checked = entries.select("id", query_fault(F.col("pandas_query")).alias("rule")).where("rule is not null")
+    lists = [c for c in ("relevant_docs", "relevant_tables", "evidence") if c in entries.columns]
     checks = [
         entries.where("id is null").select("id", F.lit("missing id").alias("rule")),
         entries.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("rule")),
-        entries.where("answer is null or isnan(answer)").select("id", F.lit("answer isn't a number").alias("rule")),
-        entries.where("trim(pandas_query) = '' or pandas_query is null").select("id", F.lit("empty query").alias("rule")),
-        entries.where(F.col("pandas_query").rlike(r"\b(import|with|try|def|class)\b")).select("id", F.lit("forbidden statement").alias("rule")),
-        paths.where(~F.col("variable").rlike(r"^[A-Za-z_]\w*$")).select("id", F.lit("not an identifier").alias("rule")),
-        paths.where(~F.col("csv_path").rlike(SAFE_PATH) | F.col("csv_path").contains("..")).select("id", F.lit("unsafe path").alias("rule")),
+        entries.where(~F.col("id").between(1, expected)).select("id", F.lit("id out of order").alias("rule")),
+        entries.where("answer is null or isnan(answer) or abs(answer) = double('infinity')").select("id", F.lit("answer isn't a number").alias("rule")),
+        entries.where(F.greatest(*(F.col(c).isNull() for c in lists))).select("id", F.lit("missing list").alias("rule")),
+        checked,
+        paths.where(~named("variable")).select("id", F.lit("not an identifier").alias("rule")),
+        paths.where(~F.coalesce(F.col("csv_path").rlike(SAFE_PATH) & ~F.col("csv_path").contains(".."), F.lit(False))).select("id", F.lit("unsafe path").alias("rule")),
         paths.join(files, "csv_path", "left_anti").select("id", F.lit("file not packed").alias("rule")),
         entries.agg(F.count("*").alias("n")).where(F.col("n") != expected).select(F.lit(None).cast("int").alias("id"), F.lit("wrong number of entries").alias("rule")),
     ]
     return reduce(DataFrame.unionByName, checks)
 
 
+def read_zip(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Entries, files and what is wrong with the archive itself; one archive, read on the driver."""
+    schema = "id int, question string, answer double, relevant_docs array<string>, relevant_tables array<string>, evidence array<struct<variable string, csv_path string>>, pandas_query string"
+    faults, rows, names = [], [], []
+    try:
+        with zipfile.ZipFile(path) as z:
+            names = z.namelist()
+            found = json.loads(z.read("submission.json")) if "submission.json" in names else None
+    except (zipfile.BadZipFile, ValueError, OSError) as e:
+        found, faults = [], [f"unreadable archive: {e}"]
+    if found is None:
+        faults.append("no submission.json")
+    elif not isinstance(found, list):
+        faults.append("submission.json isn't a list")
+        found = []
+    for r in found or []:
+        missing = [k for k in KEYS if k not in r]
+        faults += [f"entry {r.get('id')} lacks {k}" for k in missing]
+        number = isinstance(r.get("answer"), (int, float)) and not isinstance(r.get("answer"), bool)
+        rows.append((r.get("id") if isinstance(r.get("id"), int) else None, r.get("question"), float(r["answer"]) if number else None, *(r.get(k) for k in KEYS[3:])))
+    return spark.createDataFrame(rows, schema), spark.createDataFrame([(n,) for n in names], "csv_path string"), faults
+
+
 def scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Macro F2 of tables, answer and execution accuracy over all gold rows (id, answer, relevant_tables)."""
     p = predicted.select("id", F.col("answer").alias("got"), F.col("relevant_tables").alias("found"))

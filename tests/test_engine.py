@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import fuzzy, numbers, text
 from ledgerlens.operators import extraction, grammar, longify, submission
 from ledgerlens.sources import reports
-from ledgerlens.streaming.ingest import ingest
+from ledgerlens.streaming.ingest import ingest, ingest_counted
 
 NUMBERS = [
     ("1.234.567", 1234567, None), ("(1.234)", -1234, -1.234), ("1.234,5", 1234.5, 1.2345), ("1,5", 1.5, 15), ("1,234", 1234, 1234), ("1,2,3", None, 123),
@@ -126,6 +126,9 @@ def test_submission(spark):
     entries = spark.createDataFrame([good, (1, math.nan, [], "import os", [("1x", "data/../b.csv")])], schema)
     found = {r.rule for r in submission.violations(entries, spark.createDataFrame([("data/a.csv",)], "csv_path string"), 3).collect()}
     assert found == {"repeated id", "answer isn't a number", "forbidden statement", "not an identifier", "unsafe path", "file not packed", "wrong number of entries"}
+    odd = spark.createDataFrame([(9, 2.0, None, "df['import os']", [("class", "data/a.csv")]), (1, 1.0, [], "x = (", []), (2, math.inf, [], " ", [])], schema)
+    rules = {(r.id, r.rule) for r in submission.violations(odd, spark.createDataFrame([("data/a.csv",)], "csv_path string"), 3).collect()}
+    assert rules == {(9, "id out of order"), (9, "missing list"), (9, "not an identifier"), (1, "query isn't Python"), (2, "empty query"), (2, "answer isn't a number")}
     one = spark.createDataFrame([good], schema)
     assert tuple(submission.scores(one, one).first()) == (1.0, 1.0, 1.0)
     kinds = spark.createDataFrame([(False, True, 1.0, 1.0), (True, False, 1.0, 1.0), (True, True, 5.0, 5.4), (True, True, 5000.0, 5e6), (True, True, 700.0, 50.0), (None, True, 1.0, 1.0), (True, True, None, 2.0), (True, True, -5e6, 5e3)], "r boolean, e boolean, a double, g double")
@@ -146,3 +149,5 @@ def test_sources_and_ingestion(spark, tmp_path):
     assert run() == 5 and run() == 5
     spark.range(3).write.mode("append").parquet(source)
     assert run() == 8
+    counted = ingest_counted(spark, source, schema, str(tmp_path / "out2"), str(tmp_path / "ck2"), 1)
+    assert counted[-1][2] == 8 and sum(n for _, n, _ in counted) == 8 and len(counted) > 1

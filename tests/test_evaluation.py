@@ -25,7 +25,7 @@ def test_expand(spark):
     assert row.select(corpus.expand(F.col("q"), F.col("a"), F.col("y"))).first()[0] == "q a b c e 2020"
 
 
-def test_dense_and_filter(spark, monkeypatch):
+def test_dense_and_filter(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, None)], "doc_id int, vec array<double>")
     queries = spark.createDataFrame([("a", [1.0, 0.5])], "query_id string, vec array<double>")
     found = retrieval.dense(vectors, queries, 3)
@@ -33,9 +33,6 @@ def test_dense_and_filter(spark, monkeypatch):
     meta = spark.createDataFrame([(1, "A", 2019), (2, "A", 2020), (3, "B", 2020)], "doc_id int, company string, year int")
     wanted = spark.createDataFrame([("a", None, 2020)], "query_id string, company string, year int")
     assert [(r.doc_id, r.rank) for r in retrieval.post_filter(found, meta, wanted).orderBy("rank").collect()] == [(3, 1), (2, 2)]
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 0)
-    with pytest.raises(ValueError):
-        retrieval.dense(vectors, queries)
 
 
 def test_evaluation(spark):
@@ -74,3 +71,24 @@ def test_verify(spark):
     gold = spark.createDataFrame([("notes_qa", "1.5"), ("thuyet_minh", "x"), ("other", "2")], "category string, answer string")
     assert tuple(evaluation.notes_format(gold).first()) == (2, 0.5)
     assert tuple(evaluation.notes_format(gold.limit(0)).first()) == (0, None)
+
+
+def test_extraction_report_misses_and_blocks(spark, monkeypatch):
+    from ledgerlens.operators import ontology
+
+    reports = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "report_id string")
+    tables = spark.createDataFrame([("a", "CDKT", "VND", "X"), ("a", "UNKNOWN", None, "X"), ("b", "THUYET_MINH", "", "Y"), ("a", "KQKD", "x", "X")], "report_id string, table_type string, unit string, company string")
+    r = evaluation.extraction_report(reports, tables).first()
+    assert (r.total_files, r.files_with_tables, r.files_with_main, r.n_tables, r.n_main, r.n_with_unit, r.companies, r.n_unknown, r.least, r.p50, r.p90, r.most) == (3, 2, 1, 4, 2, 2, 2, 1, 1, 1, 3, 3)
+    assert r.coverage == pytest.approx(2 / 3) and r.main_coverage == pytest.approx(1 / 3)
+    gold = spark.createDataFrame([("q", "i", 1), ("r", "i", 2)], "query_id string, intent string, doc_id int")
+    found = spark.createDataFrame([("q", 1, 3), ("r", 2, 25)], "query_id string, doc_id int, rank int")
+    assert [m.query_id for m in evaluation.misses(found, gold).collect()] == ["r"]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2), monkeypatch.setattr(ontology, "ALIAS_BLOCK", 2)
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(6)], "doc_id int, vec array<double>")
+    asked = spark.createDataFrame([(k, [1.0, float(-k)]) for k in range(5)], "query_id int, vec array<double>")
+    got = retrieval.dense(vectors, asked, 1).collect()
+    assert sorted((g.query_id, g.doc_id) for g in got) == [(k, 5) for k in range(5)]
+    index = ontology.alias_index(spark.createDataFrame([(f"alias number {c}", c, 0) for c in "abcdef"], "alias string, canonical string, seq int"))
+    mapped = ontology.map_terms(spark.createDataFrame([("number e alias x",), ("zzz",)], "raw string"), index)
+    assert {m.raw: m.canonical for m in mapped.collect()} == {"number e alias x": "e", "zzz": None}
