@@ -10,7 +10,7 @@ least-squares problem.
 
 The vectors lie in cells, each with the centre of the largest inner product
 (spherical k-means). Centres and codebooks are fitted on a bounded sample: the
-FIT_ROWS vectors with the least hash of (vec_id, vector). Every vector is then
+FIT_ROWS vectors with the least hash of (vec_id, vector), copies once. Every vector is then
 put in its cell, encoded and indexed; a cell is dealt over as many parts as its
 share of the sample asks for, so that a hot cell is no single task. A query probes
 the fewest cells that held CELL_RECALL of the neighbours among the sample's own
@@ -49,7 +49,7 @@ FIT_ROWS = 16384
 FIT_ROUNDS = 4
 QUERY_BLOCK = 1024
 #: Vectors of a chunk that are scored exactly.
-RERANK = 256
+RERANK = 320
 CHUNK = 8192
 #: Vectors of a cell; cells are at most MOST_CELLS.
 CELL_ROWS, MOST_CELLS = 4096, 1024
@@ -175,7 +175,7 @@ class Cells:
             size = np.linalg.norm(sums, axis=1, keepdims=True)
             self.centres = np.where(size > 0, sums / np.maximum(size, 1e-300), self.centres)
         own = self.of(x)
-        self.share = np.bincount(own, minlength=n) / len(x)
+        self.share = (np.bincount(own, minlength=n) + 1) / (len(x) + n)
         self.probes = n
         if n > 1:
             some = rng.choice(len(x), min(PROBED, len(x)), replace=False)
@@ -218,7 +218,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     sample = rows.where(share).orderBy(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 20)), F.xxhash64("vec_id", "vec"), "vec_id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = unit(sample)[1]
+    x = np.unique(unit(sample)[1], axis=0)  # copies would take the centres
     model = spark.sparkContext.broadcast((Quantiser.fit(x), Cells(x, n_rows, k)))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
