@@ -2,8 +2,8 @@
 
 A file is compared with the template texts of licences as a whole, by its header
 (the first HEADER_LINES lines) and by each line, as the cosine of sparse TF-IDF
-vectors; its own licence is that of the best of these units with a cosine of at
-least THRESHOLD. idf = ln((1 + n) / (1 + df)) + 1 over all files, but never more than
+vectors with weights (1 + ln tf) idf; its own licence is that of the best of these
+units with a cosine of at least THRESHOLD. idf = ln((1 + n) / (1 + df)) + 1 over all files, but never more than
 that of a term in one of RAREST files, so that a verdict is the same in small and
 large corpora. A licence file (by its name, or a file whose whole text reaches
 THRESHOLD) declares its licence for its directory; a file without a licence of its
@@ -11,12 +11,12 @@ own takes that of the nearest ancestor directory that declares one, found by joi
 of directory paths.
 
 Only DataFrame functions are used. A first pass counts the files that hold each
-term. By the Cauchy-Schwarz inequality, terms that make less than
+term. By the Cauchy-Schwarz inequality, common terms that make less than
 THRESHOLD of every template's length can't bring any unit there by themselves, so
 only units that hold one of the other, telling terms are looked at. Likewise the
 terms that make less than LIGHT of every template leave THRESHOLD - LIGHT of a
-unit's length to its other template terms, and no term weighs under its count, so
-units whose telling terms weigh less go before anything is counted. Both bounds
+unit's length to its other template terms, and no term weighs under 1, so units
+whose telling terms weigh less go before anything is counted. Both bounds
 lose none. All that is sent out is bounded by the templates. Joins on directories
 have one row for each directory on one side, so that a directory with a third of
 all files is a skewed join that AQE splits, and minima are taken before shuffles.
@@ -121,38 +121,30 @@ def _template_terms(spark: SparkSession) -> DataFrame:
     )
 
 
+def _damped(tf: Column) -> Column:
+    return 1.0 + F.log(tf.cast("double"))
+
+
 def _idf(df: Column, n: int) -> Column:
     return F.least(F.log((1.0 + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0, F.lit(math.log(1.0 + RAREST) + 1.0))
 
 
-def _telling(weights: list[tuple[int, str, float]], most: float) -> list[str]:
-    """The template terms but for the lightest, which together make less than ``most`` of each template's length.
+def _telling(weights: list[tuple[int, str, float]], most: float, files: dict[str, int]) -> list[str]:
+    """The template terms but for the commonest, which together make less than ``most`` of each template's length.
 
-    ``weights``: template, term, part of the template's length.
+    ``weights``: template, term, part of the template's length; ``files``: how many hold a term.
     """
-    heaviest: dict[str, float] = {}
-    for _, term, w in weights:
-        heaviest[term] = max(heaviest.get(term, 0.0), w)
-    left: dict[int, float] = {}
-    spare: set[str] = set()
-    by_term: dict[str, list[tuple[int, float]]] = {}
+    places: dict[str, list[tuple[int, float]]] = {}
     for template, term, w in weights:
-        by_term.setdefault(term, []).append((template, w))
-    for term in sorted(heaviest, key=lambda t: (heaviest[t], t)):
-        grown = {t: left.get(t, 0.0) + w * w for t, w in by_term[term]}
-        if all(x < 0.999 * most**2 for x in grown.values()):
-            left.update(grown)
-            spare.add(term)
-    return sorted(set(heaviest) - spare)
-
-
-def _squares(terms: Column) -> Column:
-    """The sum of the squares of the terms' counts, from the runs of equal terms in order."""
-    run = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"))
-    # a run grows its square by 2 n + 1
-    step = lambda x, t: F.when(t == x["last"], F.struct(t.alias("last"), (x["n"] + 1).alias("n"), (x["sum"] + 2 * x["n"] + 1).alias("sum"))).otherwise(
-        F.struct(t.alias("last"), F.lit(1).cast("long").alias("n"), (x["sum"] + 1).alias("sum")))
-    return F.aggregate(F.array_sort(terms), run, step)["sum"]
+        places.setdefault(term, []).append((template, w * w))
+    made: dict[int, float] = {}
+    telling = []
+    for term in sorted(places, key=lambda t: (-files.get(t, 0), t)):
+        if all(made.get(t, 0.0) + w < 0.999 * most**2 for t, w in places[term]):
+            made.update({t: made.get(t, 0.0) + w for t, w in places[term]})
+        else:
+            telling.append(term)
+    return telling
 
 
 def _key() -> Column:
@@ -173,13 +165,13 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     frequency = materialize(spark, frequency, "licence-df")
     seen = {r.term: r.df for r in frequency.where(F.col("term").isin(vocabulary)).collect()}
     known = spark.createDataFrame([(t, seen.get(t, 0)) for t in vocabulary], "term string, df long").withColumn("idf", _idf(F.col("df"), n))
-    weighted = in_templates.join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = in_templates.join(F.broadcast(known), "term").withColumn("w", _damped(F.col("tf")) * F.col("idf"))
     lengths = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     vectors = weighted.join(lengths, "template").select("template", "licence", "term", (F.col("w") / F.col("length")).alias("unit"))
     vector_rows = sorted(tuple(r) for r in vectors.collect())
     vectors = spark.createDataFrame(vector_rows, "template int, licence string, term string, unit double")
     parts = [(t, term, w) for t, _, term, w in vector_rows]
-    telling, heavy = _telling(parts, THRESHOLD), _telling(parts, LIGHT)
+    telling, heavy = _telling(parts, THRESHOLD, seen), _telling(parts, LIGHT, seen)
     weight = F.create_map(*(F.lit(x) for r in known.where(F.col("term").isin(heavy)).collect() for x in (r.term, r.idf)))
 
     # terms by line, then the units: lines, header, whole
@@ -194,8 +186,8 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
 
     def may_reach(terms: Column) -> Column:
         hits = F.filter(terms, lambda t: t.isin(heavy))
-        own = F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda x, t: x + F.pow(weight[t] * F.size(F.filter(hits, lambda h: h == t)), F.lit(2.0)))
-        return own >= 0.999 * (THRESHOLD - LIGHT) ** 2 * _squares(terms)
+        own = F.aggregate(F.array_distinct(hits), F.lit(0.0), lambda x, t: x + F.pow(weight[t] * _damped(F.size(F.filter(hits, lambda h: h == t))), F.lit(2.0)))
+        return own >= 0.999 * (THRESHOLD - LIGHT) ** 2 * F.size(F.array_distinct(terms))
 
     told = F.filter(units, lambda u: tells(u["terms"]) & may_reach(u["terms"]))
     each = some.select("key", F.monotonically_increasing_id().alias("file"), F.posexplode(told).alias("place", "of"))
@@ -204,8 +196,8 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     counted = materialize(spark, counted, "licence-terms")
     # no idf is under 1, which bounds what terms outside the templates make of a unit's length from below: units that can't reach THRESHOLD go
     inside = counted.join(F.broadcast(known.select("term", "idf")), "term", "left")
-    least = F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(1.0)), F.lit(2.0))).alias("least")
-    dot = inside.join(F.broadcast(vectors), "term").groupBy("file", "place", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("unit")).alias("dot"), F.first("licence").alias("licence"))
+    least = F.sum(F.pow(_damped(F.col("tf")) * F.coalesce("idf", F.lit(1.0)), F.lit(2.0))).alias("least")
+    dot = inside.join(F.broadcast(vectors), "term").groupBy("file", "place", "template").agg(F.sum(_damped(F.col("tf")) * F.col("idf") * F.col("unit")).alias("dot"), F.first("licence").alias("licence"))
     norms = inside.groupBy("key", "file", "place", "whole").agg(least)
     near = dot.join(norms, ["file", "place"]).where(F.col("dot") >= 0.999 * THRESHOLD * F.sqrt("least")).drop("least")
     near = materialize(spark, near, "licence-near")
@@ -213,7 +205,7 @@ def own_licences(spark: SparkSession, files: DataFrame) -> DataFrame:
     outside = kept.join(F.broadcast(known.select("term")), "term", "left_anti")
     asked = outside.select("term").distinct()
     idf = known.select("term", "idf").unionByName(asked.join(frequency, "term", "left").select("term", _idf(F.col("df"), n).alias("idf")))
-    length = kept.join(idf, "term").groupBy("file", "place").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
+    length = kept.join(idf, "term").groupBy("file", "place").agg(F.sqrt(F.sum(F.pow(_damped(F.col("tf")) * F.col("idf"), F.lit(2.0)))).alias("norm"))
     scored = near.join(length, ["file", "place"]).select("key", "whole", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= THRESHOLD)
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("down"), "licence")).alias("best"), F.max("whole").alias("whole"))
     best = best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.down")).alias("score"), "whole")

@@ -491,7 +491,7 @@ def brute_licences(texts):
     terms = lambda t: re.findall(license._TERM, t.lower())
     n, df = len(texts), Counter(w for t in texts for w in set(terms(t or "")))
     idf = lambda w: min(math.log((1 + n) / (1 + df[w])) + 1, math.log(1 + license.RAREST) + 1)
-    vector = lambda own: {w: c * idf(w) for w, c in Counter(own).items()}
+    vector = lambda own: {w: (1 + math.log(c)) * idf(w) for w, c in Counter(own).items()}
     templates = [(name, vector(terms(body))) for name, body in license.TEMPLATES]
 
     def cosine(a, b):
