@@ -37,6 +37,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 TRIE_NODES = 1_200_000
 LONG_WORD = 2_000
+#: Characters of a prefix's end by which the pieces that may end there are bounded.
+TAIL = 3
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -63,6 +65,11 @@ class Trie(dict):
     def __init__(self, scores: dict[str, float], most_nodes: int = TRIE_NODES):
         self.scores, self.most_nodes = scores, most_nodes
         self.longest = max(map(len, scores), default=1)
+        #: The longest piece that ends in these TAIL characters; shorter pieces are looked for in any case.
+        self.tails: dict[str, int] = {}
+        for piece in scores:
+            tail = piece[-TAIL:]
+            self.tails[tail] = max(self.tails.get(tail, 0), len(piece))
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.made = 0
         self.empty()
@@ -76,7 +83,8 @@ class Trie(dict):
         """The best (score, minus tokens) of the first ``end`` characters, given those of shorter prefixes."""
         score, tokens = before(end - 1)
         top = (score + self.unknown, tokens - 1)
-        for start in range(max(0, end - self.longest), end):
+        reach = self.tails.get(text[max(0, end - TAIL) : end], 0)
+        for start in range(max(0, end - max(reach, TAIL - 1)), end):
             piece = self.scores.get(text[start:end])
             if piece is not None:
                 score, tokens = before(start)
@@ -92,17 +100,33 @@ class Trie(dict):
         if len(self.best) > self.most_nodes:
             self.empty()
         children, best = self.children, self.best
-        path, node = [0], 0
-        before = lambda k: best[path[k]]
-        for end, c in enumerate(marked, 1):
+        path, node, end = [0], 0, 0
+        for c in marked:
+            end += 1
             below = children[node].get(c)
             if below is None:
-                below = children[node][c] = len(best)
-                best.append(self.forward(marked, end, before))
-                children.append({})
-                self.made += 1
+                break
             node = below
             path.append(node)
+        else:
+            end += 1
+        scores, tails, unknown, made = self.scores, self.tails, self.unknown, len(best)
+        # from here on all nodes are new: as ``forward``, in place
+        for end in range(end, len(marked) + 1):
+            score, tokens = best[node]
+            top = (score + unknown, tokens - 1)
+            reach = tails.get(marked[end - TAIL : end] if end > TAIL else marked[:end], 0)
+            for start in range(max(0, end - (reach if reach >= TAIL else TAIL - 1)), end):
+                piece = scores.get(marked[start:end])
+                if piece is not None:
+                    score, tokens = best[path[start]]
+                    if (found := (score + piece, tokens - 1)) > top:
+                        top = found
+            children[node][marked[end - 1]] = node = len(best)
+            best.append(top)
+            children.append({})
+            path.append(node)
+        self.made += len(best) - made
         self[word] = count = -best[node][1]
         return count
 
