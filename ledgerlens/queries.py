@@ -590,3 +590,90 @@ def planner_queries(spark: SparkSession, d: str) -> DataFrame:
     made, evidence = pack.pack(rows, asked, aliases)
     done = pack.execute(made.select(F.col("id").alias("question_id"), "pandas_query"), evidence)
     return done.select("question_id", "status", F.round("value", 4).alias("value"))
+
+
+_GENERATED = """SELECT 'lookup_simple' AS category, company, year, metric, value AS answer FROM facts WHERE abs(value) >= 1000
+UNION ALL SELECT 'unit_rounding', company, year, metric, round_even(value / 1e9, 1) FROM facts WHERE abs(value) >= 1000
+UNION ALL SELECT 'negative_value', company, year, metric, value FROM facts WHERE value < 0
+UNION ALL SELECT 'yoy_abs_diff', b.company, b.year, b.metric, b.value - a.value FROM facts a JOIN facts b ON a.company = b.company AND a.metric = b.metric AND b.year = a.year + 1
+UNION ALL SELECT 'compare_2years', b.company, b.year, b.metric, (b.value - a.value) / abs(a.value) * 100 FROM facts a JOIN facts b ON a.company = b.company AND a.metric = b.metric AND b.year = a.year + 1 WHERE a.value <> 0
+UNION ALL SELECT 'cagr', b.company, b.year, b.metric, power(b.value / a.value, 0.5) - 1 FROM facts a JOIN facts b ON a.company = b.company AND a.metric = b.metric AND b.year = a.year + 2 WHERE a.value > 0 AND b.value >= 0
+UNION ALL SELECT * FROM (SELECT 'compare_companies', company, year, metric, value - lead(value) OVER (PARTITION BY year, metric ORDER BY company) AS d FROM facts WHERE abs(value) >= 1000) WHERE d IS NOT NULL"""
+
+
+@query(_facts_sql(f"SELECT category, company, year, metric, round(answer, 6) AS answer FROM ({_GENERATED})"))
+def generated_samples(spark: SparkSession, d: str) -> DataFrame:
+    """All samples of the generators of one and two values."""
+    from functools import reduce
+
+    from ledgerlens.plans import generate as G
+
+    f = facts_long(spark, d)
+    every = reduce(DataFrame.unionByName, [G.lookup(f), G.unit_round(f), G.negative(f), G.year_difference(f), G.compare_years(f), G.growth(f), G.compare_neighbours(f)])
+    return every.select("category", F.get("companies", 0).alias("company"), F.element_at("years", -1).alias("year"), F.get("metrics", 0).alias("metric"), F.round("answer", 6).alias("answer"))
+
+
+@query(_facts_sql("""SELECT CASE kind WHEN 'ratio' THEN 'ratio_structure' WHEN 'index' THEN 'financial_index' WHEN 'sum' THEN 'sum_two' ELSE 'multi_table' END AS category, company, year,
+round(CASE kind WHEN 'sum' THEN extendedprice + tax_amt WHEN 'difference' THEN extendedprice - tax_amt WHEN 'turnover' THEN extendedprice / tax_amt ELSE extendedprice / tax_amt * 100 END, 6) AS answer
+FROM p, (SELECT unnest(['ratio', 'index', 'turnover', 'sum', 'difference']) AS kind) WHERE kind IN ('sum', 'difference') OR abs(tax_amt) >= 1"""))
+def generated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of two metrics of all kinds."""
+    from functools import reduce
+
+    from ledgerlens.plans import generate as G
+
+    f = facts_long(spark, d)
+    every = reduce(DataFrame.unionByName, [G.combine(f, [("extendedprice", "tax_amt")], kind) for kind in G.PAIRS])
+    return every.select("category", F.get("companies", 0).alias("company"), F.get("years", 0).alias("year"), F.round("answer", 6).alias("answer"))
+
+
+@query(_facts_sql("""SELECT count(DISTINCT company) + 1 AS total_files, count(DISTINCT company) AS files_with_tables, count(DISTINCT company) AS files_with_main, count(DISTINCT company) AS n_tables, count(DISTINCT company) AS n_cdkt,
+count(DISTINCT company) AS n_with_unit, 1 AS p50, 1 AS p90, round(count(DISTINCT company) / (count(DISTINCT company) + 1), 9) AS coverage FROM facts"""))
+def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The report of an extraction of rendered reports and of one without tables."""
+    from ledgerlens.operators import extraction
+
+    texts = reports_of(facts_long(spark, d)).unionByName(spark.createDataFrame([("/data/financial_statements/X/2021/x.txt", "chữ")], "path string, text string"))
+    tables = extraction.extract_tables(texts)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(_extracted)?\.txt$", "")
+    out = evaluation.extraction_report(texts.select(stem.alias("report_id")), tables)
+    return out.select("total_files", "files_with_tables", "files_with_main", "n_tables", "n_cdkt", "n_with_unit", "p50", "p90", F.round("coverage", 9).alias("coverage"))
+
+
+_CELLS = "SELECT conv_id, turn, '| ' || coalesce(role, '') || ' | ' || coalesce(text, '') || ' |' AS line FROM conversations"
+
+
+@query(f"SELECT conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY turn, line) AS md FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS r FROM ({_CELLS})) WHERE r <= 15 GROUP BY conv_id")
+def table_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as markdown tables of their first rows."""
+    from ledgerlens.operators import serialize
+
+    line = F.concat(F.lit("| "), F.coalesce("role", F.lit("")), F.lit(" | "), F.coalesce("text", F.lit("")), F.lit(" |"))
+    place = Window.partitionBy("conv_id").orderBy("turn", line)
+    first = load(spark, d, "conversations").withColumn("r", F.row_number().over(place)).where("r <= 15")  # the preview's rows, so that a group is bounded
+    rows = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("r", F.array("role", "text").alias("cells")))).alias("x"))
+    return rows.select("conv_id", serialize.markdown(F.transform("x", lambda x: x["cells"]), F.array(F.lit("role"), F.lit("text"))).alias("md"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN lower(p_type) END AS canonical FROM part")
+def canonical_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Part types with numbering and in capitals, named through the map of normalized labels; half have a name."""
+    from ledgerlens.sources import reports
+
+    part = load(spark, d, "part")
+    terms = part.select(F.initcap("p_type").alias("raw"), F.lit(None).cast("string").alias("clean"), F.lower("p_type").alias("canonical")).distinct().withColumn("seq", F.lit(0))
+    label = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("  "), F.upper("p_type"))).otherwise("no such label")
+    return reports.with_canonical(part.select("p_partkey", label.alias("metric_raw")), reports.canonical_map(terms)).select("p_partkey", "canonical")
+
+
+@query(f"""WITH r AS ({_DOCS}), f AS (SELECT source AS query_id, doc_id, a AS rank FROM r WHERE a <= 20), g AS (SELECT DISTINCT source AS query_id, lang AS intent, doc_id FROM documents WHERE doc_id % 7 = 0),
+q AS (SELECT g.query_id, g.intent, count(*) AS n, count(*) FILTER (WHERE f.rank <= 5) AS h5, count(*) FILTER (WHERE f.rank <= 20) AS h20 FROM g LEFT JOIN f ON g.query_id = f.query_id AND g.doc_id = f.doc_id GROUP BY ALL)
+SELECT query_id, intent, round(h5 / n, 9) AS recall_5, round(h20 / n, 9) AS recall_20, h20 > 0 AS hit FROM q""")
+def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of each source's longest documents for those with certain ids."""
+    docs = load(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    found = docs.select(F.col("source").alias("query_id"), "doc_id", rank.alias("rank")).where("rank <= 20")
+    gold = docs.where("doc_id % 7 = 0").select(F.col("source").alias("query_id"), F.col("lang").alias("intent"), "doc_id")
+    out = evaluation.retrieval_quality(found, gold)
+    return out.select("query_id", "intent", F.round("recall_5", 9).alias("recall_5"), F.round("recall_20", 9).alias("recall_20"), F.coalesce("hit", F.lit(False)).alias("hit"))
