@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import let
+
 
 def parse_vn_number(s: Column) -> Column:
     """Dot for thousands, comma for decimals, (x) negative; a leading minus or % gives null."""
@@ -37,7 +39,7 @@ def parse_plain_number(s: Column) -> Column:
 
 def cell_value(s: Column) -> Column:
     """U8: a table cell; dashes and blanks are null here."""
-    return F.when(F.trim(s).isin("", "-", "--", "–"), None).otherwise(parse_vn_number(s))
+    return let(F.trim(s), lambda t: F.when(t.isin("", "-", "--", "–"), None).otherwise(parse_vn_number(t)))
 
 
 def finite(v: Column) -> Column:
