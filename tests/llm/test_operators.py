@@ -612,3 +612,35 @@ def test_toxicity_sample_is_bounded_and_null_ids_are_scored(spark, monkeypatch):
     assert net is not None
     kept = [r.doc_id for r in toxicity.reject_toxic(spark, docs, marks).collect()]
     assert None not in kept and 500 not in kept and sum(i % 4 != 0 for i in kept) == 300
+
+
+def test_a_long_site_list_is_exact(spark):
+    r = random.Random(11)
+    sites = [f"s{k}.example.{r.choice(['com', 'org', 'net'])}" for k in range(100_000)]
+    listed = set(sites)
+    urls = [f"http://{r.choice(['', 'www.', 'a.b.'])}s{r.randrange(200_000)}.example.{r.choice(['com', 'org', 'net'])}/p{k}" for k in range(3000)] + [None, "x"]
+    rows = [(k, u, "clash", "clash") for k, u in enumerate(urls)] * 2  # repeated rows, columns named as those of the result
+    frame = spark.createDataFrame(rows, "page_id int, url string, host string, verdict string").repartition(3)
+    got = urlfilter.judge(spark, frame, rules=[], sites=sites).collect()
+    want = {}
+    for k, u in enumerate(urls):
+        host = u.split("://")[1].split("/")[0] if u and "://" in u else ""
+        parts = host.split(".")
+        want[k] = "block" if any(".".join(parts[i:]) in listed for i in range(len(parts))) else "allow"
+    assert Counter((g.page_id, g.verdict) for g in got) == Counter({(k, v): 2 for k, v in want.items()}) and 400 < sum(v == "block" for v in want.values()) < 2600
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    pages = [(1, "http://a.com/1", "<article>one</article>", "t", 5, "p"), (1, "http://a.com/1", "<article>one</article>", "t", 5, "p"), (None, None, None, "t", 5, "p"), (None, "http://a.com/2", "<p>two", "t", 5, "p")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, text string, part int, packed string")
+    got = Counter((g.page_id, g.text) for g in maintext.main_text(frame).collect())
+    assert got == Counter({(1, "one"): 2, (None, ""): 1, (None, "two"): 1})
+    files = [("r", "a/LICENSE", "Released under the MIT License.", "x", 1.0, "k"), ("r", "a/x.py", "print", "x", 1.0, "k"), (None, "b/x.py", "Released under the MIT License.", "x", 1.0, "k")]
+    frame = spark.createDataFrame(files * 2, "row string, path string, text string, licence string, score double, key string")
+    out = license.inherit(license.own_licences(spark, frame), license.is_licence_file(license.F.col("path"))).collect()
+    assert Counter((g.row, g.path, g.licence, g.basis) for g in out) == Counter({("r", "a/LICENSE", "MIT", "own"): 2, ("r", "a/x.py", "MIT", "inherited"): 2, (None, "b/x.py", "MIT", "own"): 2})
+    docs = spark.createDataFrame([(1, "a b a", 0.5, True, 3), (1, "a b a", 0.5, True, 3), (None, None, None, None, None)], "doc_id long, text string, score double, held_out boolean, held int")
+    rows = katz.score(spark, docs, katz.F.lit(False)).collect()
+    assert Counter((g.doc_id, g.n_tokens, g.train_tokens) for g in rows) == Counter({(1, 4, 9): 2, (None, 1, 9): 1})
+    counts = tokencount.count_tokens(docs, {"▁": -1.0, "a": -1.0}).collect()
+    assert Counter(g.doc_id for g in counts) == Counter({1: 2, None: 1})
