@@ -13,7 +13,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         root = staged.__dict__.setdefault("own", "file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
     path = f"{root}/ledgerlens-{name}-{uuid.uuid4().hex}"
