@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numbers import cell_value
+from ledgerlens.functions.text import let
 
 FIRST_YEAR, LAST_YEAR = 2010, 2026
 # Header cells and units.
@@ -55,7 +56,7 @@ def _main_columns(rows: DataFrame) -> DataFrame:
     """The year of each column by the header rows, and the row at which the body starts."""
     years = F.transform(F.slice("rows", 1, MAIN_HEADER_ROWS), lambda r: F.transform(r, lambda c, i: F.when(i > 0, header_year(c, F.col("year")))))
     rows = rows.withColumn("head", years)
-    columns = F.transform(_places("head"), lambda i: F.struct(i.alias("i"), _first(F.col("head"), i).alias("year")))
+    columns = let(F.col("head"), lambda head: F.transform(_places("head"), lambda i: F.struct(i.alias("i"), _first(head, i).alias("year"))))
     with_year = F.array_position(F.transform("head", lambda h: F.exists(h, lambda y: y.isNotNull())), True).cast("int")
     start = F.when(with_year > 0, with_year).when(F.array_join(F.get("rows", 0), " ").rlike(HEAD_WORDS), 1).otherwise(0)
     return rows.withColumns({"columns": F.filter(columns, lambda s: s.year.isNotNull()), "start": start}).drop("head")
@@ -69,20 +70,24 @@ def _places(grid: str) -> Column:
 def _notes_columns(rows: DataFrame) -> DataFrame:
     """As for main statements, then bare years; years that begin in cell 0 stand for the columns from 1 on, whatever else says."""
     top = F.slice("rows", 1, NOTES_HEADER_ROWS)
-    bare = lambda c: _in_range(F.regexp_extract(c, BARE_YEAR, 1).try_cast("int"))
-    rows = rows.withColumns({
-        "named": F.transform(F.slice("rows", 1, MAIN_HEADER_ROWS), lambda r: F.transform(r, lambda c, i: F.when(i > 0, header_year(c, F.col("year"))))),
-        "bare": F.transform(top, lambda r: F.transform(r, bare)),
-    })
+    named = F.transform(F.slice("rows", 1, MAIN_HEADER_ROWS), lambda r: F.transform(r, lambda c, i: F.when(i > 0, header_year(c, F.col("year")))))
+    bare = F.transform(top, lambda r: F.transform(r, lambda c: _in_range(F.regexp_extract(c, BARE_YEAR, 1).try_cast("int"))))
     own = lambda r: F.filter(r, lambda y: y.isNotNull())
-    shifted = F.reverse(F.transform(F.filter("bare", lambda r: F.get(r, 0).isNotNull()), lambda r: F.concat(F.array(F.lit(None).cast("int")), own(r))))
-    rows = rows.withColumn("shifted", shifted)
-    year = lambda i: F.coalesce(_first(F.col("shifted"), i), F.when(i > 0, F.coalesce(_first(F.col("named"), i), _first(F.col("bare"), i))))
-    columns = F.filter(F.transform(_places("rows"), lambda i: F.struct(i.alias("i"), year(i).alias("year"))), lambda s: s.year.isNotNull())
+
+    def shifted(grid: Column) -> Column:
+        dated = F.filter(grid, lambda r: F.get(r, 0).isNotNull())
+        return F.reverse(F.transform(dated, lambda r: F.concat(F.array(F.lit(None).cast("int")), own(r))))
+
+    def columns_of(g: Column) -> Column:
+        year = lambda i: F.coalesce(_first(g["shifted"], i), F.when(i > 0, F.coalesce(_first(g["named"], i), _first(g["bare"], i))))
+        return F.filter(F.transform(_places("rows"), lambda i: F.struct(i.alias("i"), year(i).alias("year"))), lambda s: s.year.isNotNull())
+
+    # each grid is made once, not once for each column
+    columns = let(bare, lambda grid: let(F.struct(shifted(grid).alias("shifted"), named.alias("named"), grid.alias("bare")), columns_of))
     rows = rows.withColumn("columns", columns)
     least = F.array_min(F.transform("columns", lambda s: s.i))
     start = F.array_position(F.transform(top, lambda r: F.size(r) > least), True).cast("int")
-    return rows.withColumn("start", F.coalesce(start, F.lit(0))).drop("named", "bare", "shifted")
+    return rows.withColumn("start", F.coalesce(start, F.lit(0)))
 
 
 def longify(tables: DataFrame, notes: bool = False) -> DataFrame:
