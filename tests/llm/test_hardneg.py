@@ -97,7 +97,7 @@ def test_leaf_pairs_are_pruned_for_whole_groups(monkeypatch):
     own = np.arange(16)
     found = hardneg.leaf_search(v[own], labels[own], np.full((16, 1), hardneg.NONE + 1), np.full((16, 1), hardneg.MOST), node, True, 5)
     assert sum(scored) <= len(v) / 2
-    score = np.where(labels[own, None] == labels, v[own] @ v.T, hardneg.NONE)
+    score = np.where(labels[own, None] == labels, v[own] @ v.T, -(2**60))
     want = [(a, 0, int(score[a, i]), int(i)) for a in range(16) for i in np.lexsort((np.arange(len(v)), -score[a]))[:5]]
     assert [tuple(r[:4]) for r in found.tolist()] == want
 
