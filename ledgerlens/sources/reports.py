@@ -58,7 +58,7 @@ def json_document(spark: SparkSession, path: str, schema: str | None = None) ->
 
 def evidence(spark: SparkSession, path: str, schema: str = EVIDENCE) -> DataFrame:
     """Evidence files with a header; what doesn't fit the schema is null."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
 
 
 def company_aliases(spark: SparkSession, path: str) -> DataFrame:
