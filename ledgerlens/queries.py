@@ -185,8 +185,8 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 def group_counts_sets(spark: SparkSession, d: str) -> DataFrame:
     """A1: several counts in one pass."""
-    load(spark, d, "lineitem").createOrReplaceTempView("ll_lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM ll_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return load(spark, d, "lineitem").groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type LIMIT 3")
@@ -527,6 +527,32 @@ def extract_tables(spark: SparkSession, d: str) -> DataFrame:
     return out.select("report_id", "start_line", "end_line", "table_type", "unit", "company", "year", "is_consolidated", F.size("rows").alias("n_rows"), "source")
 
 
+_TABLES_SQL = ORACLE_SQL["extract_tables"]
+
+
+@query(_TABLES_SQL)
+def ingested_tables(spark: SparkSession, d: str) -> DataFrame:
+    """2.18, S1, X16, K3: the same reports as files of their own, read as a stream in batches, with extraction inside it."""
+    from ledgerlens.sources import files, staging
+    from ledgerlens.streaming import ingest
+
+    root = staging.staging_folder(spark, "reports")
+    made = reports_of(facts_long(spark, d))
+    files.write_files(made.select(F.substring("path", 2, 1000).alias("name"), F.col("text").alias("content")), f"{root}/in")
+    out = ingest.ingest_reports(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", 500)
+    return out.select("report_id", "start_line", "end_line", "table_type", "unit", "company", "year", "is_consolidated", F.size("rows").alias("n_rows"), "source")
+
+
+@query(_TABLES_SQL)
+def extract_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """2.17: extraction as a table function of SQL."""
+    from ledgerlens.operators import extraction
+
+    extraction.register(spark)
+    return spark.sql("SELECT report_id, start_line, end_line, table_type, unit, company, year, is_consolidated, size(rows) AS n_rows, source FROM {reports}, LATERAL extract_tables(path, text, false)",
+                     reports=reports_of(facts_long(spark, d)))
+
+
 @query(_facts_sql(f"SELECT company, year + {LATER} AS year, CASE metric {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {chr(39)}{n}{chr(39)}' for m, n in SHEET.items())} END AS metric_raw, floor(value) AS value, 'Đơn vị: VND' AS unit FROM facts"))
 def longify_facts(spark: SparkSession, d: str) -> DataFrame:
     """Reports rendered from the facts, extracted and unpivoted, are the facts again."""

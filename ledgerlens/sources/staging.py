@@ -5,20 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir and read again; on local masters without one, to a temporary folder."""
-    spark = df.sparkSession
+def staging_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of spark.checkpoint.dir; on local masters without one, in a temporary folder. It goes when the JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
-        root = staged.__dict__.setdefault("own", "file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
+        root = staging_folder.__dict__.setdefault("own", "file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
     path = f"{root}/ledgerlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to a staging folder (in folders ``by`` columns) and read again."""
+    path = staging_folder(df.sparkSession, name)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
