@@ -382,14 +382,36 @@ def evidence_row_ids(spark: SparkSession, d: str) -> DataFrame:
     return facts_long(spark, d).select("company", "year", "metric", (F.row_number().over(w) - 1).cast("long").alias("row_id"))
 
 
-@query()
+#: A name with its words in the other order and one letter left out or doubled, by the part's number.
+_AT = "1 + p_partkey % length(n)"
+_DAMAGED = f"""SELECT DISTINCT trim(regexp_replace(CASE WHEN p_partkey % 5 = 0 THEN n WHEN p_partkey % 2 = 0 THEN left(n, CAST({_AT} AS INTEGER) - 1) || substr(n, CAST({_AT} AS INTEGER) + 1)
+ELSE left(n, CAST({_AT} AS INTEGER)) || substr(n, CAST({_AT} AS INTEGER)) END, ' +', ' ', 'g')) AS raw
+FROM (SELECT p_partkey, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) AS n FROM part)"""
+_WORDS = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+
+
+def _lcs_sql() -> str:
+    """Longest common subsequences of strings a and b in DuckDB: a row of lengths for each letter of b, its running maxima."""
+    step = "list_transform(range(1, length(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], CASE WHEN a[CAST(i AS INTEGER)] = chr(CAST(x[1] AS INTEGER)) THEN coalesce(row[i - 1], 0) + 1 ELSE 0 END))))"
+    return f"list_extract(list_reduce(list_transform(range(1, length(b) + 1), lambda k: [CAST(unicode(b[CAST(k AS INTEGER)]) AS BIGINT)]), lambda row, x: {step}, list_transform(range(1, length(a) + 1), lambda k: CAST(0 AS BIGINT))), -1)"
+
+
+@query(f"""WITH t AS ({_DAMAGED}), n AS (SELECT DISTINCT p_name AS alias FROM part), p AS (SELECT raw, alias, {_WORDS.format('raw')} AS a, {_WORDS.format('alias')} AS b FROM t, n),
+s AS (SELECT raw, alias, CASE WHEN raw = alias THEN 101.0 ELSE 200.0 * {_lcs_sql()} / (length(a) + length(b)) END AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, alias) AS k FROM s)
+SELECT raw, CASE WHEN score >= 85 THEN alias END AS canonical, round(least(score, 100.0), 6) AS confidence FROM r WHERE k = 1""")
 def fuzzy_ontology_join(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct part types against all of them as aliases, exact first, then the best token_sort score of 85 or more."""
-    terms = load(spark, d, "part").select(F.lower("p_type").alias("raw")).distinct()
-    index = ontology.alias_index(terms.select(F.col("raw").alias("alias"), F.col("raw").alias("canonical"), F.col("raw").alias("seq")))
-    mapped = ontology.map_terms(terms, index)
-    confidence = F.when(F.col("canonical").isNotNull(), 100 * F.col("confidence")).otherwise(0.0)
-    return mapped.select("raw", "canonical", confidence.alias("confidence"))
+    """Part names with words in the other order and a letter too few or too many against all names as aliases."""
+    part = load(spark, d, "part")
+    words = F.split("p_name", " ")
+    n = F.concat(F.get(words, 1), F.lit(" "), F.get(words, 0))
+    at = (F.col("p_partkey") % F.length("n") + 1).cast("int")
+    cut = lambda a, b: F.concat(F.substr("n", F.lit(1), a), F.substr("n", b))
+    damaged = F.when(F.col("p_partkey") % 5 == 0, F.col("n")).when(F.col("p_partkey") % 2 == 0, cut(at - 1, at + 1)).otherwise(cut(at, at))
+    terms = part.select("p_partkey", n.alias("n")).select(F.trim(F.regexp_replace(damaged, " +", " ")).alias("raw")).distinct()
+    names = part.select(F.col("p_name").alias("alias"), F.col("p_name").alias("canonical"), F.lit(0).alias("seq")).distinct()
+    mapped = ontology.map_terms(terms, ontology.alias_index(names))
+    return mapped.select("raw", "canonical", F.round(100 * F.col("confidence"), 6).alias("confidence"))
 
 
 @query("SELECT doc_id, CASE WHEN substr(md5(doc_id || '|42'), 1, 2) < '1a' THEN 'holdout' ELSE 'train' END AS part FROM documents")
