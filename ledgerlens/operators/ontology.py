@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.fuzzy import ratio, ratio_score
 from ledgerlens.functions.text import clean_term, key_of
+from ledgerlens.operators.blocks import meeting
 from ledgerlens.sources.staging import staged
 
 CUT, REVIEW = 85.0, 0.7
@@ -78,17 +79,11 @@ def near_pairs(terms: DataFrame, aliases: DataFrame, cut: float = CUT) -> DataFr
 
 def best_scores(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """term, score: of each string (name, s) the best score with any alias, in blocks of both."""
-    blocks = max(1, -(-aliases.count() // ALIAS_BLOCK))
-    held = aliases.groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block")).agg(F.collect_list("s").alias("own"))
-    groups = max(1, -(-terms.count() // TERM_BLOCK))
-    asked = terms.groupBy(F.pmod(F.xxhash64("name"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("name", "s")).alias("asked"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for own, group in zip(pdf["own"], pdf["asked"]):
-                own = sorted(own)
+            for own, group in zip(pdf["held"], pdf["asked"]):
+                own = [r["s"] for r in own]
                 letters = {c: i for i, c in enumerate(sorted(set("".join(own))))}
                 lengths, counts = np.array([len(s) for s in own]), np.zeros((len(own), len(letters)), np.int16)
                 for k, s in enumerate(own):
@@ -105,7 +100,8 @@ def best_scores(terms: DataFrame, aliases: DataFrame) -> DataFrame:
                     out.append((r["name"], best))
             yield pd.DataFrame(out, columns=["term", "score"])
 
-    return asked.join(held, "block").repartition("block", "group").mapInPandas(compare, "term string, score double").groupBy("term").agg(F.max("score").alias("score"))
+    met = meeting(terms.select("name", "s"), aliases.select("s"), TERM_BLOCK, ALIAS_BLOCK)
+    return met.mapInPandas(compare, "term string, score double").groupBy("term").agg(F.max("score").alias("score"))
 
 
 def map_terms(terms: DataFrame, index: DataFrame, graded: bool = True) -> DataFrame:
