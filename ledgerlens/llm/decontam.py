@@ -5,7 +5,10 @@ item is found in a document when some passage is within floor((1 - SIMILARITY) *
 length) edits of it.
 
 Item-sized windows stand at the words of a document (of LEAST_WORD characters at
-least), one for each place an item's own words could be aligned to it. The CGK
+least), one for each place an item's own words could be aligned to it. Items with
+fewer windows than one in WINDOW_EVERY characters (short words or syllables, digits,
+signs) have tables of their own, with windows at every word of item and document; that
+second look at the documents is only taken where a block has such items. The CGK
 random walk reads a window from there: at step j it puts out the character under
 its pointer and moves on if a random bit of (j, character) says so, so that edits
 of the text become differences at few steps of the walk, which falls back into
@@ -63,6 +66,8 @@ HEAD = 4
 GATES, GATE_BITS = (9, 13, 18, 23), 18
 #: Windows begin at words of at least so many characters.
 LEAST_WORD = 4
+#: An item with fewer windows than one in so many characters gets windows at all its words.
+WINDOW_EVERY = 20
 #: Items of fewer characters are searched for whole, without walks.
 SHORT = 48
 #: In a run of more characters without a space windows stand at every character.
@@ -86,15 +91,15 @@ def as_bytes(text: str) -> np.ndarray:
         return np.where(code < 256, code, 128 | (code * np.uint32(0x9E3779B1)) >> np.uint32(25)).astype(np.uint8)
 
 
-def window_starts(chars: np.ndarray) -> np.ndarray:
-    """Places of words of at least LEAST_WORD characters, and each place more than RUN characters into a run without a space."""
+def window_starts(chars: np.ndarray, least: int = LEAST_WORD) -> np.ndarray:
+    """Places of words of at least ``least`` characters, and each place more than RUN characters into a run without a space."""
     if not len(chars):
         return np.zeros(0, np.int64)
     cuts = np.flatnonzero(chars == 32)
     starts, ends = np.concatenate([[0], cuts + 1]), np.append(cuts, len(chars))
     size = ends - starts
     long = np.flatnonzero(size > RUN)
-    return np.concatenate([starts[size >= LEAST_WORD], *(np.arange(starts[k] + RUN, ends[k]) for k in long)])
+    return np.concatenate([starts[size >= least], *(np.arange(starts[k] + RUN, ends[k]) for k in long)])
 
 
 def short_hits(item: np.ndarray, budget: int, chars: np.ndarray) -> np.ndarray:
@@ -195,17 +200,25 @@ def head_codes(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class ItemIndex:
-    """The walks of a block of items: for each repetition the heads and gates that they pass, and sorted hashes with item and offset."""
+class Tables:
+    """The walks of some items from their words of ``least`` characters: for each repetition the heads and gates that they pass, and sorted hashes with item and offset."""
 
-    ids: list
-    texts: list[str]
-    walker: Walker
+    least: int
     heads: list[np.ndarray]
     gates: list[list[np.ndarray]]
     hashes: list[np.ndarray]
     item: list[np.ndarray]
     offset: list[np.ndarray]
+
+
+@dataclass
+class ItemIndex:
+    """A block of items: tables of those with enough words of LEAST_WORD characters, of those that need windows at all their words, and the short ones."""
+
+    ids: list
+    texts: list[str]
+    walker: Walker
+    tables: list[Tables]
     short: list[int]
 
 
@@ -213,19 +226,34 @@ def _gate(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - GATE_BITS)).astype(np.int64)
 
 
+def sparse_windows(text: str) -> bool:
+    """Whether too few windows of a text stand at words of LEAST_WORD characters with WALK characters behind them."""
+    chars = as_bytes(text)
+    return int((window_starts(chars) <= len(chars) - WALK).sum()) * WINDOW_EVERY < len(chars)
+
+
 def build_index(ids: list, texts: list[str], seed: int = 11) -> ItemIndex:
     walker = Walker(seed)
-    index = ItemIndex(ids, texts, walker, [], [], [], [], [], [i for i, t in enumerate(texts) if t and len(t) < SHORT])
-    whole = [(i, as_bytes(t) & 31) for i, t in enumerate(texts) if len(t) >= SHORT]
-    flat = np.concatenate([np.concatenate([c, np.zeros(WALK + 1, np.uint8)]) for _, c in whole]) if whole else np.zeros(WALK + 1, np.uint8)
-    base, starts, item, stop = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    whole = [i for i, t in enumerate(texts) if len(t) >= SHORT]
+    dense = {i for i in whole if sparse_windows(texts[i])}
+    parts = ((LEAST_WORD, [i for i in whole if i not in dense]), (1, sorted(dense)))
+    tables = [build_tables(walker, texts, own, least) for least, own in parts if own]
+    return ItemIndex(ids, texts, walker, tables, [i for i, t in enumerate(texts) if t and len(t) < SHORT])
+
+
+def build_tables(walker: Walker, texts: list[str], own: list[int], least: int) -> Tables:
+    """Tables of the items with the numbers ``own``."""
+    out = Tables(least, [], [], [], [], [])
+    whole = [(i, as_bytes(texts[i]) & 31) for i in own]
+    flat = np.concatenate([np.concatenate([c, np.zeros(WALK + 1, np.uint8)]) for _, c in whole])
+    base, starts, item, stop = 0, [], [], []
     for i, c in whole:
-        own = window_starts(as_bytes(texts[i]))
-        starts.append(own + base), item.append(np.full(len(own), i)), stop.append(np.full(len(own), base + len(c)))
+        at = window_starts(as_bytes(texts[i]), least)
+        starts.append(at + base), item.append(np.full(len(at), i)), stop.append(np.full(len(at), base + len(c)))
         base += len(c) + WALK + 1
     starts, item, stop = map(np.concatenate, (starts, item, stop))
     first = np.cumsum([0, *(len(c) + WALK + 1 for _, c in whole)])[:-1]
-    offset = starts - (first[np.searchsorted(first, starts, side="right") - 1] if len(first) else 0)
+    offset = starts - first[np.searchsorted(first, starts, side="right") - 1]
     every = np.arange(1 << (5 * HEAD), dtype=np.int32)
     for rep in range(REPETITIONS):
         h, pointer, gates = np.full(len(starts), rep + 1, np.uint64), starts.astype(np.int32), []
@@ -238,36 +266,35 @@ def build_index(ids: list, texts: list[str], seed: int = 11) -> ItemIndex:
         for g in gates:
             marks.append(np.zeros(1 << GATE_BITS, bool))
             marks[-1][_gate(g[fits])] = True
-        heads = np.isin(walker.heads(rep, every), walker.heads(rep, head_codes(flat, starts[fits])))
         order = np.argsort(h[fits], kind="stable")
-        index.heads.append(heads)
-        index.gates.append(marks)
-        index.hashes.append(h[fits][order])
-        index.item.append(item[fits][order])
-        index.offset.append(offset[fits][order])
-    return index
+        out.heads.append(np.isin(walker.heads(rep, every), walker.heads(rep, head_codes(flat, starts[fits]))))
+        out.gates.append(marks)
+        out.hashes.append(h[fits][order])
+        out.item.append(item[fits][order])
+        out.offset.append(offset[fits][order])
+    return out
 
 
-def candidates(index: ItemIndex, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidates(walker: Walker, tables: Tables, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(item, place in ``classes`` where the item would begin) of all collisions; ``classes`` ends in padding."""
     items, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     code = head_codes(classes, starts)
     for rep in range(REPETITIONS):
-        start = starts[index.heads[rep][code]].astype(np.int32)
+        start = starts[tables.heads[rep][code]].astype(np.int32)
         h, pointer = np.full(len(start), rep + 1, np.uint64), start.copy()
-        gates = iter(index.gates[rep])
+        gates = iter(tables.gates[rep])
         for j in range(WALK):
-            index.walker.step(rep, j, classes[pointer], h, pointer)
+            walker.step(rep, j, classes[pointer], h, pointer)
             if j + 1 in GATES:
                 keep = np.flatnonzero(next(gates)[_gate(h)])
                 h, start, pointer = h[keep], start[keep], pointer[keep]
-        low = np.searchsorted(index.hashes[rep], h, side="left")
-        count = np.searchsorted(index.hashes[rep], h, side="right") - low
+        low = np.searchsorted(tables.hashes[rep], h, side="left")
+        count = np.searchsorted(tables.hashes[rep], h, side="right") - low
         hit = np.flatnonzero(count)
         n = count[hit]
         entry = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        items.append(index.item[rep][entry])
-        begins.append(np.repeat(start[hit].astype(np.int64), n) - index.offset[rep][entry])
+        items.append(tables.item[rep][entry])
+        begins.append(np.repeat(start[hit].astype(np.int64), n) - tables.offset[rep][entry])
     return np.concatenate(items), np.concatenate(begins)
 
 
@@ -294,8 +321,11 @@ def matches(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int,
     def flush(held: list) -> None:
         flat = np.concatenate([x for _, _, c in held for x in (c, gap)])
         bounds = np.cumsum([0, *(len(c) + len(gap) for _, _, c in held)])
-        starts = np.concatenate([window_starts(c) + b for (_, _, c), b in zip(held, bounds)])
-        item, begin = candidates(index, flat & 31, starts)
+        met = []
+        for tables in index.tables:
+            starts = np.concatenate([window_starts(c, tables.least) + b for (_, _, c), b in zip(held, bounds)])
+            met.append(candidates(index.walker, tables, flat & 31, starts))
+        item, begin = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64),) * 2
         if not len(item):
             return
         # the item may begin before its piece when an early part of it is missing
