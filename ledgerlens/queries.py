@@ -256,6 +256,15 @@ def bm25_top20(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("""SELECT query_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
+(SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0)) WHERE rank <= 10""")
+def dense_top10(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth embedding as a query against all."""
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    out = retrieval.dense(vectors, vectors.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 10)
+    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
 _DOCS = ("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS a, "
          "row_number() OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents")
 
