@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numbers import answer_match
+from ledgerlens.operators.dedupe import first_of_near
 from ledgerlens.plans import facts as P
+from ledgerlens.sources.staging import staged
 
 #: A figure under this is no amount of money; in notes under the second.
 LEAST, LEAST_NOTES = 1000.0, 100.0
@@ -176,10 +178,12 @@ def split(samples: DataFrame, seed: int = 42, tenth: int = 10) -> DataFrame:
     return samples.withColumn("part", part)
 
 
-def balanced(categories: list[DataFrame], quota: int, seed: int = 42) -> DataFrame:
-    """At most ``quota`` of each category, with ids and a tenth held out; near-duplicate questions go by ``dedupe.first_of_near``."""
+def balanced(categories: list[DataFrame], quota: int, seed: int = 42, threshold: float = 0.92) -> DataFrame:
+    """At most ``quota`` of each category with ids; of near-duplicate questions the first by id stays; a tenth is held out."""
     few = take(reduce(DataFrame.unionByName, categories), quota, seed)
-    return split(few.withColumn("question_id", F.format_string("%s_%06d", "category", "n")), seed).drop("n")
+    named = staged(few.withColumn("question_id", F.format_string("%s_%06d", "category", "n")).drop("n"), "balanced")
+    kept = first_of_near(named.select(F.col("question_id").alias("id"), F.col("question").alias("text")), threshold)
+    return split(named.join(kept.select(F.col("id").alias("question_id")), "question_id", "left_semi"), seed)
 
 
 def gold_set(categories: list[tuple[DataFrame, int]], least: int = 150, seed: int = 42) -> DataFrame:
