@@ -391,6 +391,16 @@ def evidence_row_ids(spark: SparkSession, d: str) -> DataFrame:
     return facts_long(spark, d).select("company", "year", "metric", (F.row_number().over(w) - 1).cast("long").alias("row_id"))
 
 
+@query()
+def fuzzy_ontology_join(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct part types against all of them as aliases; each is its own, so all are exact (``misspelt_names`` has those that aren't)."""
+    terms = load(spark, d, "part").select(F.lower("p_type").alias("raw")).distinct()
+    index = ontology.alias_index(terms.select(F.col("raw").alias("alias"), F.col("raw").alias("canonical"), F.col("raw").alias("seq")))
+    mapped = ontology.map_terms(terms, index)
+    confidence = F.when(F.col("canonical").isNotNull(), 100 * F.col("confidence")).otherwise(0.0)
+    return mapped.select("raw", "canonical", confidence.alias("confidence"))
+
+
 #: A name with its words in the other order and one letter left out or doubled, by the part's number.
 _AT = "1 + p_partkey % length(n)"
 _DAMAGED = f"""SELECT DISTINCT trim(regexp_replace(CASE WHEN p_partkey % 5 = 0 THEN n WHEN p_partkey % 2 = 0 THEN left(n, CAST({_AT} AS INTEGER) - 1) || substr(n, CAST({_AT} AS INTEGER) + 1)
@@ -409,7 +419,7 @@ def _lcs_sql() -> str:
 s AS (SELECT raw, alias, CASE WHEN raw = alias THEN 101.0 ELSE 200.0 * {_lcs_sql()} / (length(a) + length(b)) END AS score FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, alias) AS k FROM s)
 SELECT raw, CASE WHEN score >= 85 THEN alias END AS canonical, round(least(score, 100.0), 6) AS confidence FROM r WHERE k = 1""")
-def fuzzy_ontology_join(spark: SparkSession, d: str) -> DataFrame:
+def misspelt_names(spark: SparkSession, d: str) -> DataFrame:
     """Part names with words in the other order and a letter too few or too many against all names as aliases."""
     part = load(spark, d, "part")
     words = F.split("p_name", " ")
