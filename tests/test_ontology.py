@@ -5,7 +5,9 @@ import random
 import pytest
 
 from ledgerlens.functions.fuzzy import ratio, token_sort_ratio
+from ledgerlens.functions import text
 from ledgerlens.operators import ontology
+from ledgerlens.sources import reports
 
 SYLLABLES = ["doanh", "thu", "chi", "phi", "loi", "nhuan", "tai", "san", "no", "phai", "tra", "von", "gop", "tien", "mat", "thue", "lai", "vay", "co", "phieu", "hang", "ton", "kho", "ban"]
 
@@ -61,3 +63,20 @@ def test_terms_and_aliases_that_are_not_there(spark):
     full = spark.createDataFrame([("tien mat", "T")], "key string, canonical string")
     assert ontology.map_terms(some.where("false"), full).count() == 0
     assert [tuple(r) for r in ontology.map_terms(some, full, graded=False).collect()] == [("tien", "tien", None, 0.0)]
+
+
+def test_review_takes_what_is_far_from_all_names(spark):
+    rows = [("a", "a", "A", 1.0), ("b", "b", None, 0.65), ("c", "c", None, 0.75), ("d", "d", "D", 0.9)]
+    named, review = ontology.split_review(spark.createDataFrame(rows, "raw string, clean string, canonical string, confidence double"))
+    assert sorted(r.raw for r in named.collect()) == ["a", "d"] and [r.raw for r in review.collect()] == ["b"]
+
+
+def test_of_repeated_keys_the_last_stays(spark):
+    rows = spark.createDataFrame([("x", 1, "old"), ("x", 3, "new"), ("x", 2, "mid"), ("y", 1, None)], "k string, seq int, v string")
+    assert {(r.k, r.seq, r.v) for r in reports.last_by_key(rows, "k", "seq").collect()} == {("x", 3, "new"), ("y", 1, None)}
+
+
+def test_a_period_has_all_its_years(spark):
+    rows = [("Trong giai đoạn 2018 đến 2021", [2018, 2021]), ("Năm 2018 và 2021", [2018, 2021]), ("Giai đoạn 2020", [2020]), (None, [2019])]
+    got = spark.createDataFrame(rows, "q string, y array<int>").select(text.fill_years(ontology.F.col("q"), ontology.F.col("y"))).collect()
+    assert [r[0] for r in got] == [[2018, 2019, 2020, 2021], [2018, 2021], [2020], [2019]]
