@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Bins, in_blocks, table
 
 CENTRES = 16
 SUB_DIM = 2
@@ -104,8 +104,11 @@ class Quantiser:
         b += 1e-6 * self.books.ravel()
         self.books = np.linalg.solve(a, b).reshape(m, CENTRES, d)
 
-    def encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
+    def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes (rows, subspaces), from nearest centres by coordinate descent on the loss."""
+        return in_blocks(self._encode, x)
+
+    def _encode(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
         parts = self.parts(x).astype(np.float64)
         n, m, _ = parts.shape
         codes = np.empty((n, m), np.int64)
@@ -163,8 +166,8 @@ def select(approx: np.ndarray, k: int) -> np.ndarray:
 class Cells:
     """Centres of cells (unit vectors), each one's share of the vectors and the number of cells that a query probes."""
 
-    def __init__(self, x: np.ndarray, n_rows: int, k: int, seed: int = 9):
-        """x: the sample's unit vectors."""
+    def __init__(self, x: np.ndarray, n_rows: int, k: int, seed: int = 9, drawn: np.ndarray | None = None):
+        """x: the sample's unit vectors, copies once; drawn: with copies."""
         rng = np.random.default_rng(seed)
         n = int(np.clip(min(n_rows // CELL_ROWS, len(x) // 8), 1, MOST_CELLS))
         self.centres = x[rng.choice(len(x), n, replace=False)]
@@ -175,21 +178,36 @@ class Cells:
             size = np.linalg.norm(sums, axis=1, keepdims=True)
             self.centres = np.where(size > 0, sums / np.maximum(size, 1e-300), self.centres)
         own = self.of(x)
-        self.share = (np.bincount(own, minlength=n) + 1) / (len(x) + n)
+        share = (np.bincount(own if drawn is None else self.of(drawn), minlength=n) + 1) / (len(x if drawn is None else drawn) + n)
+        self.parts = np.maximum(1, np.ceil(share * n_rows / CHUNK)).astype(np.int64)
+        self.bins = Bins(self.parts)
         self.probes = n
         if n > 1:
             some = rng.choice(len(x), min(PROBED, len(x)), replace=False)
-            near = x[some] @ x.T
-            near[np.arange(len(some)), some] = -np.inf
-            top = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k]
-            order = self.nearest(x[some], n)
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.arange(n)[None, :].repeat(len(some), 0), axis=1)
-            met = np.take_along_axis(place, own[top], axis=1)
+            met = in_blocks(lambda at: self._met(x, own, at, k), some, 64)
             self.probes = int(np.quantile(met, CELL_RECALL, method="higher")) + 1
 
+    def _met(self, x: np.ndarray, own: np.ndarray, some: np.ndarray, k: int) -> np.ndarray:
+        """How many cells are nearer to the rows ``some`` than those of their neighbours."""
+        near = -(x[some] @ x.T)
+        near[np.arange(len(some)), some] = np.inf
+        top = np.argpartition(near, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+        order = self.nearest(x[some], len(self.centres))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(some), 0), axis=1)
+        return np.take_along_axis(place, own[top], axis=1)
+
     def of(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centres.T).argmax(axis=1)
+        return in_blocks(lambda rows: (rows @ self.centres.T).argmax(axis=1), x)
+
+    def floor(self, x: np.ndarray) -> np.ndarray:
+        """For each row the inner product with the last centre that it probes."""
+        at = len(self.centres) - self.probes
+        return in_blocks(lambda rows: np.partition(rows @ self.centres.T, at, axis=1)[:, at], x) - 1e-9
+
+    def probed(self, x: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """For each row the cells that it probes (rows, cells)."""
+        return x @ self.centres.T >= floor[:, None]
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :n]
@@ -200,6 +218,28 @@ def unit(vecs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return v, v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def narrow(v: np.ndarray) -> np.ndarray:
+    """As single precision where that holds the values exactly."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return single if (single == v).all() else v
+
+
+def bytes_of(v: np.ndarray) -> list[bytes]:
+    """Each row's bytes, narrow where all rows are."""
+    return [row.tobytes() for row in narrow(v)]
+
+
+def rows_of(held: pd.Series, dim: int) -> np.ndarray:
+    """Back from ``bytes_of``: rows of eight or four bytes a component."""
+    wide = held.str.len().to_numpy() == 8 * dim
+    out = np.empty((len(held), dim))
+    for kind, at in ((np.float64, wide), (np.float32, ~wide)):
+        if at.any():
+            out[at] = np.frombuffer(b"".join(held[at]), kind).reshape(-1, dim)
+    return out
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """vec_id and vec (array<double>) of the vectors that take part, and their number."""
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -218,28 +258,32 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     sample = rows.where(share).orderBy(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 20)), F.xxhash64("vec_id", "vec"), "vec_id").limit(FIT_ROWS).select("vec").toPandas()["vec"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.unique(unit(sample)[1], axis=0)  # copies would take the centres
-    model = spark.sparkContext.broadcast((Quantiser.fit(x), Cells(x, n_rows, k)))
+    drawn = unit(sample)[1]
+    x, dim = np.unique(drawn, axis=0), drawn.shape[1]  # copies would take the centres
+    del sample
+    model = spark.sparkContext.broadcast((Quantiser.fit(x), Cells(x, n_rows, k, drawn=drawn)))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = model.value[1]
-        parts = np.maximum(1, np.ceil(cells.share * n_rows / CHUNK)).astype(np.int64)
+        parts = cells.parts
         for pdf in batches:
-            cell = cells.of(unit(pdf["vec"])[1])
+            v, u = unit(pdf["vec"])
+            cell = cells.of(u)
             mixed = pdf["vec_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            yield pdf.assign(cell=cell, part=(mixed % parts[cell].astype(np.uint64)).astype(np.int64))
+            yield pdf.assign(vec=bytes_of(v), cell=cell, part=(mixed % parts[cell].astype(np.uint64)).astype(np.int64))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = model.value[0]
+        coder, cells = model.value
 
-        def chunk(cell: int, held: list[pd.DataFrame]) -> pd.DataFrame:
+        def chunk(cell: int, number: int, held: list[pd.DataFrame]) -> pd.DataFrame:
             part = pd.concat(held).sort_values("vec_id", kind="stable")
-            v, u = unit(part["vec"])
+            v = rows_of(part["vec"], dim)
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
             # of equal vectors, only the k + 2 least vec_ids of a chunk can be among the k nearest
             same = pd.Series([row.tobytes() for row in v + 0.0])
             able = (same.groupby(same, sort=False).cumcount() <= k + 1).to_numpy()
             ids, v, codes = part["vec_id"].to_numpy(np.int64)[able], v[able], pack(coder.encode(u[able]))
-            return pd.DataFrame({"cell": [cell], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [v.tobytes()], "codes": [codes.tobytes()]})
+            return pd.DataFrame({"bin": [int(cells.bins.of(cell, number))], "cell": [cell], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [narrow(v).tobytes()], "codes": [codes.tobytes()]})
 
         at, held, size = None, [], 0
         for pdf in batches:
@@ -247,46 +291,63 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
                 for i in range(0, len(part), CHUNK):
                     piece = part.iloc[i : i + CHUNK]
                     if held and (key != at or size + len(piece) > CHUNK):
-                        yield chunk(int(at[0]), held)
+                        yield chunk(*map(int, at), held)
                         held, size = [], 0
                     at = key
                     held.append(piece)
                     size += len(piece)
         if held:
-            yield chunk(int(at[0]), held)
+            yield chunk(*map(int, at), held)
 
-    in_cells = rows.mapInPandas(placed, "vec_id long, vec array<double>, cell int, part int")
-    chunks = in_cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInPandas(index, "cell int, n int, ids binary, vecs binary, codes binary")
+    in_cells = rows.mapInPandas(placed, "vec_id long, vec binary, cell int, part int")
+    chunks = in_cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInPandas(index, "bin int, cell int, n int, ids binary, vecs binary, codes binary")
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each cell that a query probes."""
+        """A row for each bin with cells that a query probes; home, its nearest cell, keeps like queries together."""
         cells = model.value[1]
+        within = np.zeros((len(cells.centres), cells.bins.n), np.float32)
+        for b, own in enumerate(cells.bins.cells()):
+            within[own, b] = 1
         for pdf in batches:
-            near = cells.nearest(unit(pdf["vec"])[1], cells.probes)
-            yield pdf.loc[pdf.index.repeat(near.shape[1])].assign(cell=near.ravel())
+            v, u = unit(pdf["vec"])
+            query, to = np.nonzero(in_blocks(lambda rows: cells.probed(rows, cells.floor(rows)).astype(np.float32) @ within, u))
+            yield pdf.assign(vec=bytes_of(v), home=cells.of(u)).iloc[query].assign(bin=to)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Queries of a cell together, at most QUERY_BLOCK; rows come sorted by cell."""
+        """Queries of a bin together, at most QUERY_BLOCK, with the bin's cells that one of them probes; rows come sorted by bin and home."""
+        cells = model.value[1]
+        owned = cells.bins.cells()
         for pdf in batches:
-            for cell, part in pdf.groupby("cell", sort=True):
+            for b, part in pdf.groupby("bin", sort=True):
                 for i in range(0, len(part), QUERY_BLOCK):
                     own = part.iloc[i : i + QUERY_BLOCK]
-                    yield pd.DataFrame({"cell": [int(cell)], "q_ids": [own["vec_id"].to_numpy(np.int64).tobytes()], "q_keys": [own["key"].to_numpy(np.int64).tobytes()],
-                                        "q_vecs": [np.stack(own["vec"].to_numpy()).tobytes()]})
+                    v = rows_of(own["vec"], dim)
+                    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    floor = cells.floor(u)
+                    met = cells.probed(u, floor).any(axis=0)
+                    yield pd.DataFrame({"bin": [int(b)], "cells": [owned[b][met[owned[b]]]], "q_ids": [own["vec_id"].to_numpy(np.int64).tobytes()], "q_keys": [own["key"].to_numpy(np.int64).tobytes()],
+                                        "q_vecs": [narrow(v).tobytes()], "floor": [floor.tobytes()]})
 
     asked = rows.where(is_query).select("vec_id", F.xxhash64("vec").alias("key"), "vec").dropDuplicates(["vec_id", "key"])
-    asked = asked.mapInPandas(probing, "vec_id long, key long, vec array<double>, cell int")
-    blocks = asked.repartition("cell").sortWithinPartitions("cell").mapInPandas(block, "cell int, q_ids binary, q_keys binary, q_vecs binary")
+    asked = asked.mapInPandas(probing, "vec_id long, key long, vec binary, home int, bin int")
+    blocks = asked.repartition("bin").sortWithinPartitions("bin", "home").mapInPandas(block, "bin int, cells array<int>, q_ids binary, q_keys binary, q_vecs binary, floor binary")
+
+    def held(data: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(data, np.float64 if len(data) == 8 * n * dim else np.float32).reshape(n, dim).astype(np.float64)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = model.value[0]
+        coder, cells = model.value
         for pdf in batches:
-            for n, ids, vecs, codes, q_ids, q_keys, q_vecs in zip(*(pdf[c] for c in ("n", "ids", "vecs", "codes", "q_ids", "q_keys", "q_vecs"))):
-                ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs).reshape(n, -1)
+            for cell, n, ids, vecs, codes, q_ids, q_keys, q_vecs, floor in zip(*(pdf[c] for c in ("cell", "n", "ids", "vecs", "codes", "q_ids", "q_keys", "q_vecs", "floor"))):
+                ids, vecs = np.frombuffer(ids, np.int64), held(vecs, n)
                 codes = np.frombuffer(codes, np.uint8).reshape(n, -1)
                 q_ids, q_keys = np.frombuffer(q_ids, np.int64), np.frombuffer(q_keys, np.int64)
-                q = np.frombuffer(q_vecs).reshape(len(q_ids), -1)
+                q = held(q_vecs, len(q_ids))
                 norms, q_norm = np.linalg.norm(vecs, axis=1), np.linalg.norm(q, axis=1)
+                probing = q / q_norm[:, None] @ cells.centres[cell] >= np.frombuffer(floor)  # others of the block may not
+                if not probing.any():
+                    continue
+                q_ids, q_keys, q, q_norm = q_ids[probing], q_keys[probing], q[probing], q_norm[probing]
                 out = []
                 for a in range(0, len(q_ids), 256):
                     approx = scan(coder.tables(q[a : a + 256] / q_norm[a : a + 256, None]), codes)
@@ -299,7 +360,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
                         out.append((np.full(len(at), q_ids[a + r]), np.full(len(at), q_keys[a + r]), ids[at], score, own))
                 yield pd.DataFrame(dict(zip(("query_id", "key", "vec_id", "score", "own"), map(np.concatenate, zip(*out)))))
 
-    found = chunks.join(blocks, "cell").mapInPandas(search, "query_id long, key long, vec_id long, score double, own boolean")
+    # a bin's chunks are held while its blocks pass
+    pairs = blocks.join(chunks, "bin").where(F.array_contains("cells", F.col("cell"))).drop("bin", "cells")
+    found = pairs.mapInPandas(search, "query_id long, key long, vec_id long, score double, own boolean")
     # the query's own row goes, once
     mine = Window.partitionBy("query_id", "key", "own").orderBy(F.desc("score"), "vec_id")
     others = found.withColumn("copy", F.row_number().over(mine)).where((F.col("copy") <= k + 1) & ~(F.col("own") & (F.col("copy") == 1)))

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, in_blocks, materialize, table
 
 FIT_ROWS = 16384
 #: Rows of a cell, at most so many cells; rows of a part and of a leaf.
@@ -167,7 +167,8 @@ class Cells:
         self.near = np.argsort(-(self.centres @ self.centres.T), axis=1, kind="stable")[:, :NEAR]
 
     def of(self, v: np.ndarray) -> np.ndarray:
-        return ((self.centres**2).sum(axis=1) - 2 * v @ self.centres.T).argmin(axis=1)
+        size = (self.centres**2).sum(axis=1)
+        return in_blocks(lambda rows: (size - 2 * rows @ self.centres.T).argmin(axis=1), v)
 
     def parts(self, n_rows: int, size: int) -> np.ndarray:
         return np.maximum(1, np.ceil(self.share * n_rows / size)).astype(np.int64)

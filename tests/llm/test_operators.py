@@ -381,6 +381,22 @@ def test_ann_recall_of_codes_and_cells(spark, monkeypatch, clusters, rerank, cel
         assert len(cells.centres) == 40 and cells.probes < 20  # clustered vectors: few cells are probed
 
 
+def test_ann_and_hard_negative_fits_take_little_memory():
+    import tracemalloc
+
+    from ledgerlens.llm import hardneg
+
+    x = np.random.default_rng(3).normal(size=(ann.FIT_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fits = [lambda: ann.Cells(x, 1 << 23, 5), lambda: hardneg.Cells(np.floor(256 * x), 1 << 23), lambda: ann.Quantiser(np.random.default_rng(4).normal(size=(32, 16, 2))).encode(x)]
+    for fit in fits:  # the driver fits them, whatever the number of cells
+        tracemalloc.start()
+        fit()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 80 << 20, most
+
+
 def test_ann_rows_that_repeat_an_id(spark):
     v = lambda *x: [float(c) for c in x]
     rows = [(0, v(1, 0)), (0, v(1, 0)), (0, v(0, 1)), (4, v(1, 1)), (10, v(2, 0)), (11, v(3, 0.1)), (None, v(1, 0)), (7, v(1, 0, 0))]
