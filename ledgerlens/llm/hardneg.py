@@ -12,8 +12,8 @@ between far points. Every node has a ball (centre, radius) and the labels inside
 a mask. Anchors form a tree of cells, blocks and leaves likewise. For two balls the
 inner product lies in <a,c> -+ (|a| r_c + |c| r_a + r_a r_c); a pair of nodes whose
 interval misses the ranges of all the group's asks is dropped for all its anchors at
-once. Blocks of anchors go only to the cells that are left, by a join on cell and
-part; in a task leaves are taken by falling upper bound, pairs of leaves are scored
+once. Blocks of anchors go only to the cells that are left, once to each bin of chunks
+that holds one; in a task leaves are taken by falling upper bound, pairs of leaves are scored
 exactly, and the k-th best so far raises the lower end of an ask. A first round
 visits the NEAR cells of each anchor cell, the second the others, with what the
 first one found. So the result is exact; only the work depends on how well vectors
@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, in_blocks, materialize, table
+from .common import Bins, discard, in_blocks, materialize, table
 
 FIT_ROWS = 16384
 #: Rows of a cell, at most so many cells; rows of a part and of a leaf.
@@ -210,16 +210,18 @@ class Search:
         if self.empty:
             return
         cells = Cells(np.unique(np.stack(sample.to_numpy()).astype(np.float64), axis=0), n_rows)
-        model = spark.sparkContext.broadcast((cells, cells.parts(n_rows, CHUNK)))
+        parts = cells.parts(n_rows, CHUNK)
+        model = spark.sparkContext.broadcast((cells, parts, bins := Bins(parts)))
 
         def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cells, parts = model.value
+            cells, parts, _ = model.value
             for pdf in batches:
                 cell = cells.of(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
                 mixed = pdf["vec_id"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 yield pdf.assign(cell=cell, part=(mixed % parts[cell].astype(np.uint64)).astype(np.int64))
 
         def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bins = model.value[2]
             for (cell, part), own in _grouped(batches, ["cell", "part"], 2 * CHUNK):
                 v = np.stack(own["vec"].to_numpy()).astype(np.int64)
                 groups = halves(v.astype(np.float64), LEAF)
@@ -229,14 +231,14 @@ class Search:
                 vecs, kind = packed(v)
                 whole = balls(v.astype(np.float64), labels, np.array([len(v)]))
                 yield pd.DataFrame({
-                    "cell": [cell], "part": [part], "ids": [own["vec_id"].to_numpy(np.int64)[at].tobytes()], "labels": [labels.tobytes()], "vecs": [vecs], "kind": [kind],
+                    "bin": [int(bins.of(cell, part))], "cell": [cell], "ids": [own["vec_id"].to_numpy(np.int64)[at].tobytes()], "labels": [labels.tobytes()], "vecs": [vecs], "kind": [kind],
                     "sizes": [sizes.astype(np.int64).tobytes()], "centres": [centres.tobytes()], "radii": [radii.tobytes()], "masks": [mask.astype(np.int64).tobytes()],
                     "centre": [whole[0][0]], "radius": [whole[1][0]], "mask": [whole[2][0]],
                 })
 
         in_cells = rows.mapInPandas(placed, "vec_id long, label long, vec array<long>, cell int, part int")
         chunks = in_cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInPandas(
-            index, "cell int, part int, ids binary, labels binary, vecs binary, kind string, sizes binary, centres binary, radii binary, masks binary, centre array<double>, radius double, mask long")
+            index, "bin int, cell int, ids binary, labels binary, vecs binary, kind string, sizes binary, centres binary, radii binary, masks binary, centre array<double>, radius double, mask long")
         self.chunks = materialize(spark, chunks, "tree")
         discard(spark, rows)
         # a cell's ball about its k-means centre: from the balls of its chunks
@@ -246,7 +248,7 @@ class Search:
         stats = own.toPandas()  # at most MOST_CELLS rows
         radii, mask = np.full(len(cells.centres), -1.0), np.zeros(len(cells.centres), np.int64)
         radii[stats["cell"]], mask[stats["cell"]] = stats["radius"] * (1 + 1e-9), stats["mask"]
-        self.model = spark.sparkContext.broadcast((cells, cells.parts(n_rows, CHUNK), radii, mask))
+        self.model = spark.sparkContext.broadcast((cells, bins, radii, mask))
 
     def anchors(self, rows: DataFrame, n_rows: int) -> DataFrame:
         """vec_id, key, label, vec, a_cell, a_part of the rows, in the shared folder."""
@@ -268,7 +270,8 @@ class Search:
         model = self.model
 
         def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cells, parts, radii, mask = model.value
+            cells, bins, radii, mask = model.value
+            owned = bins.cells()
             for (cell, _), own in _grouped(batches, ["a_cell", "a_part"], BLOCK):
                 v = np.stack(own["vec"].to_numpy()).astype(np.int64)
                 groups = halves(v.astype(np.float64), ANCHOR_LEAF)
@@ -285,12 +288,15 @@ class Search:
                 if same:
                     able &= (mask & own_mask[:, None]) != 0
                 able &= np.isin(np.arange(len(radii)), cells.near[cell]) == near
-                for target in np.flatnonzero(able.any(axis=0)):
-                    some = able[:, target]
+                for target, there in enumerate(owned):
+                    wanted = there[able[:, there].any(axis=0)]
+                    if not len(wanted):
+                        continue
+                    some = able[:, wanted].any(axis=1)
                     at = np.repeat(some, sizes)
                     vecs, kind = packed(v[at])
                     yield pd.DataFrame({
-                        "cell": [target], "parts": [parts[target]], "a_ids": [own["vec_id"].to_numpy(np.int64)[at].tobytes()], "a_keys": [own["key"].to_numpy(np.int64)[at].tobytes()],
+                        "bin": [target], "cells": [wanted], "a_ids": [own["vec_id"].to_numpy(np.int64)[at].tobytes()], "a_keys": [own["key"].to_numpy(np.int64)[at].tobytes()],
                         "a_labels": [labels[at].tobytes()], "a_vecs": [vecs], "a_kind": [kind], "a_sizes": [sizes[some].astype(np.int64).tobytes()],
                         "asks": [asks[at].tobytes()], "low": [low[at].tobytes()], "high": [high[at].tobytes()],
                     })
@@ -314,10 +320,11 @@ class Search:
                     yield pd.DataFrame({"a_id": a_ids[row], "key": keys[row], "ask": asks[row, ask], "score": score, "vec_id": vec_id, "own": own})
 
         asking = asked.repartition("a_cell", "a_part").sortWithinPartitions("a_cell", "a_part").mapInPandas(
-            blocks, "cell int, parts int, a_ids binary, a_keys binary, a_labels binary, a_vecs binary, a_kind string, a_sizes binary, asks binary, low binary, high binary")
-        asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            blocks, "bin int, cells array<int>, a_ids binary, a_keys binary, a_labels binary, a_vecs binary, a_kind string, a_sizes binary, asks binary, low binary, high binary")
         chunks = self.chunks.drop("centre", "radius", "mask")
-        found = chunks.join(asking, ["cell", "part"]).mapInPandas(search, "a_id long, key long, ask long, score long, vec_id long, own boolean")
+        # a bin's chunks are held while its blocks of anchors pass
+        pairs = asking.join(chunks, "bin").where(F.array_contains("cells", F.col("cell"))).drop("bin", "cells", "cell")
+        found = pairs.mapInPandas(search, "a_id long, key long, ask long, score long, vec_id long, own boolean")
         return top(found, k)
 
     def largest(self, asked: DataFrame, same: bool, k: int) -> DataFrame:

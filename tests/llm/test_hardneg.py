@@ -114,3 +114,14 @@ def test_intervals_hold_all_products():
 def test_large_components_keep_exact_scores():
     a = np.array([[2**27, 3], [5, -7]])
     assert hardneg.products(a, a).tolist() == [[2**54 + 9, 5 * 2**27 - 21], [5 * 2**27 - 21, 74]]
+
+
+def test_bins_hold_every_chunk_once():
+    from ledgerlens.llm.common import Bins
+
+    for parts in ([1], [3, 1, 1, 7], [1] * 900 + [400] + [2] * 60):
+        bins = Bins(np.array(parts))
+        at = [int(bins.of(c, p)) for c, n in enumerate(parts) for p in range(n)]
+        cells = bins.cells()
+        assert at == sorted(at) and set(at) == set(range(bins.n)) and bins.n <= max(48, sum(parts) // 24)
+        assert all(c in cells[b] for b, c in zip(at, (c for c, n in enumerate(parts) for _ in range(n))))
