@@ -13,13 +13,15 @@ The vectors lie in cells, each with the centre of the largest inner product
 FIT_ROWS vectors with the least hash of (vec_id, vector), copies once. Every vector is then
 put in its cell, encoded and indexed; a cell is dealt over as many parts as its
 share of the sample asks for, so that a hot cell is no single task. A query probes
-the fewest cells that held CELL_RECALL of the neighbours among the sample's own
-vectors, measured when the index is fitted: few where vectors cluster, most where
-they don't. Queries (a stated set) go to their cells in blocks of QUERY_BLOCK and
-meet the cells' chunks by a join on the cell; the chunk is scanned through the
+the fewest cells that held CELL_RECALL of the neighbours in the sample of PROBED
+queries, measured when the index is fitted: few where vectors cluster, most where
+they don't or where queries lie elsewhere than rows. A cell's number of parts counts copies. Queries (a stated set) go to their cells in blocks of QUERY_BLOCK, once
+to each bin of chunks, and meet the chunks there by a join on the bin; the chunk is scanned through the
 queries' look-up tables, and the RERANK best by the tables, ties to the smaller
-vec_id, get exact cosines in double precision. The best k of all chunks are the
-answer. In a chunk, of equal vectors only the k + 2 least vec_ids are scanned: the
+vec_id, get exact cosines in double precision; the k-th of these is a bar, and so does
+every other row that can reach it by what its codes leave (kept with them). So a
+chunk's k nearest are exact, also among near copies, whose codes are equal; only cells
+that aren't probed can hide neighbours. The best k of all chunks are the answer. In a chunk, of equal vectors only the k + 2 least vec_ids are scanned: the
 others can't be nearest. Recall against brute force is measured in the tests.
 
 Edge cases: vectors that are null, zero, of another length than the most common
@@ -48,7 +50,7 @@ ANISOTROPY = 4.0
 FIT_ROWS = 16384
 FIT_ROUNDS = 4
 QUERY_BLOCK = 1024
-#: Vectors of a chunk that are scored exactly.
+#: Vectors of a chunk that are scored exactly in any case; they set the bar for the others.
 RERANK = 320
 CHUNK = 8192
 #: Vectors of a cell; cells are at most MOST_CELLS.
@@ -127,6 +129,12 @@ class Quantiser:
                 along = other + alongs[s][rows, codes[:, s]]
         return codes.astype(np.uint8)
 
+    def rests(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of unit vectors what the codes leave: its part along the vector and the length of the rest."""
+        left = self.parts(x) - self.books[np.arange(codes.shape[1]), codes]
+        along = (left * self.parts(x)).sum(axis=(1, 2))
+        return along, np.sqrt(np.maximum((left**2).sum(axis=(1, 2)) - along**2, 0))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Per query and subspace the inner products with the 16 centres."""
         return np.einsum("qsd,scd->qsc", self.parts(queries), self.books).astype(np.float32)
@@ -163,11 +171,53 @@ def select(approx: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(approx == edge)[: k - len(above)]])
 
 
+def least(score: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The least approximate products (queries, rows) with which a row's cosine can reach each query's ``score``.
+
+    For unit vectors q and u, where u's codes leave r = along u + rest: <q, u> = approx + along <q, u> + <q, rest>, and
+    |<q, rest>| <= across sqrt(1 - <q, u>^2). So approx >= t (1 - along) - across sqrt(1 - t^2), which grows with t from 0 on.
+    """
+    t = np.minimum(score, 1.0)
+    edge = np.outer(t, 1 - along) - np.outer(np.sqrt(np.maximum(1 - t**2, 0)), across) - 1e-5  # scans are in single precision
+    edge[~(t > 0)] = -np.inf
+    edge[:, along >= 1] = -np.inf
+    return edge.astype(np.float32)
+
+
+def exact(q: np.ndarray, q_norm: float, vecs: np.ndarray, norms: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows ``at`` (in order of ids) the k of largest cosine, ties to the smaller id, and their cosines."""
+    score = np.einsum("nd,d->n", vecs[at], q) / (norms[at] * q_norm)
+    top = np.lexsort((ids[at], -score))[:k]
+    return at[top], score[top]
+
+
+def chunk_nearest(coder: Quantiser, q: np.ndarray, vecs: np.ndarray, codes: np.ndarray, rests: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the k nearest of a chunk (places, cosines), exactly: the RERANK best by codes set a bar, and every row that
+    can still reach it is scored too; where those are many, in one product for all such queries."""
+    norms, q_norm = np.linalg.norm(vecs, axis=1), np.linalg.norm(q, axis=1)
+    approx = scan(coder.tables(q / q_norm[:, None]), codes)
+    out = [exact(q[r], q_norm[r], vecs, norms, ids, select(approx[r], RERANK), k) for r in range(len(q))]
+    if len(ids) <= RERANK:
+        return out
+    bar = np.array([score[-1] if len(score) == k else -1.0 for _, score in out])
+    able = approx >= least(bar, *rests)
+    count = able.sum(axis=1)
+    many = np.flatnonzero(count > len(ids) // 16)
+    for r in np.flatnonzero((count <= len(ids) // 16) & (count > 0)):
+        out[r] = exact(q[r], q_norm[r], vecs, norms, ids, np.union1d(np.flatnonzero(able[r]), out[r][0]), k)
+    if len(many):
+        score = (q[many] @ vecs.T) / norms / q_norm[many, None]
+        for row, r in zip(score, many):
+            edge = np.partition(row, len(row) - k)[len(row) - k] - 1e-12 if len(row) > k else -np.inf
+            out[r] = exact(q[r], q_norm[r], vecs, norms, ids, np.flatnonzero(row >= edge), k)
+    return out
+
+
 class Cells:
     """Centres of cells (unit vectors), each one's share of the vectors and the number of cells that a query probes."""
 
-    def __init__(self, x: np.ndarray, n_rows: int, k: int, seed: int = 9, drawn: np.ndarray | None = None):
-        """x: the sample's unit vectors, copies once; drawn: with copies."""
+    def __init__(self, x: np.ndarray, n_rows: int, k: int, seed: int = 9, drawn: np.ndarray | None = None, asked: np.ndarray | None = None):
+        """x: the sample's unit vectors, copies once; drawn: with copies; asked: unit vectors of queries, else some of x stand for them."""
         rng = np.random.default_rng(seed)
         n = int(np.clip(min(n_rows // CELL_ROWS, len(x) // 8), 1, MOST_CELLS))
         self.centres = x[rng.choice(len(x), n, replace=False)]
@@ -183,18 +233,18 @@ class Cells:
         self.bins = Bins(self.parts)
         self.probes = n
         if n > 1:
-            some = rng.choice(len(x), min(PROBED, len(x)), replace=False)
-            met = in_blocks(lambda at: self._met(x, own, at, k), some, 64)
+            asked = x[rng.choice(len(x), min(PROBED, len(x)), replace=False)] if asked is None else asked
+            met = in_blocks(lambda q: self._met(x, own, q, k), asked, 64)
             self.probes = int(np.quantile(met, CELL_RECALL, method="higher")) + 1
 
-    def _met(self, x: np.ndarray, own: np.ndarray, some: np.ndarray, k: int) -> np.ndarray:
-        """How many cells are nearer to the rows ``some`` than those of their neighbours."""
-        near = -(x[some] @ x.T)
-        near[np.arange(len(some)), some] = np.inf
+    def _met(self, x: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+        """How many cells are nearer to queries than those of their neighbours."""
+        near = -(asked @ x.T)
+        near[near < 1e-12 - 1] = np.inf  # a query's own vector
         top = np.argpartition(near, min(k, len(x) - 1) - 1, axis=1)[:, :k]
-        order = self.nearest(x[some], len(self.centres))
+        order = self.nearest(asked, len(self.centres))
         place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(some), 0), axis=1)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(asked), 0), axis=1)
         return np.take_along_axis(place, own[top], axis=1)
 
     def of(self, x: np.ndarray) -> np.ndarray:
@@ -261,7 +311,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     drawn = unit(sample)[1]
     x, dim = np.unique(drawn, axis=0), drawn.shape[1]  # copies would take the centres
     del sample
-    model = spark.sparkContext.broadcast((Quantiser.fit(x), Cells(x, n_rows, k, drawn=drawn)))
+    # queries may lie elsewhere than the rows: they measure how many cells to probe
+    drawn_by = F.xxhash64(F.lit(7), "vec_id", "vec")
+    queries = rows.where(is_query).select("vec", drawn_by.alias("h")).orderBy("h").limit(PROBED).select("vec").toPandas()["vec"]
+    asked = unit(queries)[1] if len(queries) else None
+    model = spark.sparkContext.broadcast((Quantiser.fit(x), Cells(x, n_rows, k, drawn=drawn, asked=asked)))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = model.value[1]
@@ -282,8 +336,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
             # of equal vectors, only the k + 2 least vec_ids of a chunk can be among the k nearest
             same = pd.Series([row.tobytes() for row in v + 0.0])
             able = (same.groupby(same, sort=False).cumcount() <= k + 1).to_numpy()
-            ids, v, codes = part["vec_id"].to_numpy(np.int64)[able], v[able], pack(coder.encode(u[able]))
-            return pd.DataFrame({"bin": [int(cells.bins.of(cell, number))], "cell": [cell], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [narrow(v).tobytes()], "codes": [codes.tobytes()]})
+            ids, v, codes = part["vec_id"].to_numpy(np.int64)[able], v[able], coder.encode(u[able])
+            rests = np.stack(coder.rests(u[able], codes))
+            return pd.DataFrame({"bin": [int(cells.bins.of(cell, number))], "cell": [cell], "n": [len(ids)], "ids": [ids.tobytes()], "vecs": [narrow(v).tobytes()], "codes": [pack(codes).tobytes()], "rests": [rests.tobytes()]})
 
         at, held, size = None, [], 0
         for pdf in batches:
@@ -300,7 +355,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
             yield chunk(*map(int, at), held)
 
     in_cells = rows.mapInPandas(placed, "vec_id long, vec binary, cell int, part int")
-    chunks = in_cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInPandas(index, "bin int, cell int, n int, ids binary, vecs binary, codes binary")
+    chunks = in_cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInPandas(index, "bin int, cell int, n int, ids binary, vecs binary, codes binary, rests binary")
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each bin with cells that a query probes; home, its nearest cell, keeps like queries together."""
@@ -338,26 +393,21 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, cells = model.value
         for pdf in batches:
-            for cell, n, ids, vecs, codes, q_ids, q_keys, q_vecs, floor in zip(*(pdf[c] for c in ("cell", "n", "ids", "vecs", "codes", "q_ids", "q_keys", "q_vecs", "floor"))):
+            for cell, n, ids, vecs, codes, rests, q_ids, q_keys, q_vecs, floor in zip(*(pdf[c] for c in ("cell", "n", "ids", "vecs", "codes", "rests", "q_ids", "q_keys", "q_vecs", "floor"))):
                 ids, vecs = np.frombuffer(ids, np.int64), held(vecs, n)
                 codes = np.frombuffer(codes, np.uint8).reshape(n, -1)
                 q_ids, q_keys = np.frombuffer(q_ids, np.int64), np.frombuffer(q_keys, np.int64)
                 q = held(q_vecs, len(q_ids))
-                norms, q_norm = np.linalg.norm(vecs, axis=1), np.linalg.norm(q, axis=1)
-                probing = q / q_norm[:, None] @ cells.centres[cell] >= np.frombuffer(floor)  # others of the block may not
+                probing = q / np.linalg.norm(q, axis=1, keepdims=True) @ cells.centres[cell] >= np.frombuffer(floor)  # others of the block may not
                 if not probing.any():
                     continue
-                q_ids, q_keys, q, q_norm = q_ids[probing], q_keys[probing], q[probing], q_norm[probing]
+                q_ids, q_keys, q = q_ids[probing], q_keys[probing], q[probing]
+                rests = np.frombuffer(rests).reshape(2, -1)
                 out = []
                 for a in range(0, len(q_ids), 256):
-                    approx = scan(coder.tables(q[a : a + 256] / q_norm[a : a + 256, None]), codes)
-                    for r in range(len(approx)):
-                        at = select(approx[r], RERANK + 1)
-                        score = np.einsum("nd,d->n", vecs[at], q[a + r]) / (norms[at] * q_norm[a + r])
-                        top = np.lexsort((ids[at], -score))[: k + 1]
-                        at, score = at[top], score[top]
-                        own = (ids[at] == q_ids[a + r]) & (vecs[at] == q[a + r]).all(axis=1)
-                        out.append((np.full(len(at), q_ids[a + r]), np.full(len(at), q_keys[a + r]), ids[at], score, own))
+                    for r, (at, score) in enumerate(chunk_nearest(coder, q[a : a + 256], vecs, codes, rests, ids, k + 1), a):
+                        own = (ids[at] == q_ids[r]) & (vecs[at] == q[r]).all(axis=1)
+                        out.append((np.full(len(at), q_ids[r]), np.full(len(at), q_keys[r]), ids[at], score, own))
                 yield pd.DataFrame(dict(zip(("query_id", "key", "vec_id", "score", "own"), map(np.concatenate, zip(*out)))))
 
     # a bin's chunks are held while its blocks pass

@@ -381,6 +381,27 @@ def test_ann_recall_of_codes_and_cells(spark, monkeypatch, clusters, rerank, cel
         assert len(cells.centres) == 40 and cells.probes < 20  # clustered vectors: few cells are probed
 
 
+@pytest.mark.parametrize("kind", ["tight", "one", "queries"])
+def test_ann_recall_among_near_copies_and_for_unlike_queries(spark, kind):
+    r = np.random.default_rng(6)
+    n = 9000
+    if kind == "tight":  # clusters whose rows share their codes
+        x = r.normal(size=(6, 32))[r.integers(0, 6, n)] + 0.02 * r.normal(size=(n, 32))
+    elif kind == "one":
+        x = r.normal(size=(1, 32)) + 0.001 * r.normal(size=(n, 32))
+    else:  # rows cluster, queries don't
+        x = r.normal(size=(30, 32))[r.integers(0, 30, n)] + 0.3 * r.normal(size=(n, 32))
+        x[::150] = r.normal(size=(n // 150, 32))
+    x = x.astype(np.float32).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(set)
+    for g in ann.nearest(spark, frame, ann.F.col("vec_id") % 150 == 0).collect():
+        got[g.query_id].add(g.vec_id)
+    want = brute_nearest(x, range(0, n, 150))
+    recall = sum(len(set(want[q]) & got[q]) for q in want) / (5 * len(want))
+    assert recall >= 0.95, recall
+
+
 def test_ann_and_hard_negative_fits_take_little_memory():
     import tracemalloc
 
